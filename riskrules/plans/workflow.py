@@ -39,6 +39,8 @@ class Prepared:
     source_of: dict[str, str]
     profiles: dict[str, DataFrame] = field(default_factory=dict)
     counts: DataFrame | None = None
+    # distinct values per id / categorical column (NULL counts as one)
+    cardinality: dict[str, int] = field(default_factory=dict)
 
 
 @dataclass
@@ -70,10 +72,13 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
     source_of: dict[str, str] = {}
     profiles: dict[str, DataFrame] = {}
     tiers: dict[str, list[str]] = {}
+    card: dict[str, int] = {}
     for key in roles.ids:
         prof = with_risk_tier(entity_profile(pop, key, roles, params), key, roles, params)
         prof = prof.persist(StorageLevel.MEMORY_AND_DISK)
         profiles[key] = prof
+        # one row per key: the size check of the join and the id's cardinality
+        card[key] = prof.count()
         tiers[key] = tier_labels(prof, key, roles)
         for c in profile_columns(prof, key):
             source_of[c] = key
@@ -83,12 +88,14 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
     if roles.categoricals:
         counts = category_counts(pop, roles.categoricals).persist(StorageLevel.MEMORY_AND_DISK)
         onehot, freq = plan_encoding(counts, roles.categoricals, params)
+        for f in roles.categoricals:
+            card[f] = params.onehot_max_values if f in onehot else params.onehot_max_values + 1
 
     band = with_amount_flags(score_band(df, roles, params), roles, params)
     for i in range(len(params.amount_thresholds) + 1):
         source_of[f"amount_range_{i}"] = roles.amount
     for key, prof in profiles.items():
-        band = attach_profile(band, prof, key, roles, params)
+        band = attach_profile(band, prof, key, roles, params, keyed_rows=card[key])
         enc = tier_onehot_columns(key, roles, tiers[key])
         band = band.select("*", *enc)
         for i in range(len(enc)):
@@ -102,7 +109,7 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
         source_of[f"{f}_freq"] = f
     inputs = model_inputs(band, roles, params)
     band = materialize(fill_sentinel(band, inputs), params)
-    return Prepared(band=band, inputs=inputs, source_of=source_of, profiles=profiles, counts=counts)
+    return Prepared(band=band, inputs=inputs, source_of=source_of, profiles=profiles, counts=counts, cardinality=card)
 
 
 def mineable(df: DataFrame, name: str, roles: Roles) -> bool:
@@ -115,16 +122,26 @@ def mineable(df: DataFrame, name: str, roles: Roles) -> bool:
 
 
 def mining_features(
-    ranked_inputs: Sequence[tuple[str, float]], source_of: dict[str, str], scored: DataFrame, roles: Roles, params: Params
+    ranked_inputs: Sequence[tuple[str, float]],
+    source_of: dict[str, str],
+    scored: DataFrame,
+    roles: Roles,
+    params: Params,
+    cardinality: dict[str, int] | None = None,
 ) -> list[str]:
     """Top ``top_features`` inputs with non-zero importance, mapped back to the
-    raw columns they come from; continuous columns other than the interval
-    score are left out (equality on them would almost never repeat)."""
+    raw columns they come from.  Continuous columns other than the interval
+    score, and ids or categoricals with more than ``onehot_max_values``
+    values, are left out: equality on them would almost never repeat
+    ``min_support`` times."""
+    card = cardinality or {}
     out: list[str] = []
     for name, imp in list(ranked_inputs)[: params.top_features]:
         if imp <= 0:
             continue
         src = source_of.get(name, name)
+        if card.get(src, 0) > params.onehot_max_values:
+            continue
         if mineable(scored, src, roles) and src not in out:
             out.append(src)
     return out
@@ -146,7 +163,7 @@ def mine_rules(
     ranking = feature_ranking(spark, model, prep.inputs, prep.source_of)
     ranked_inputs = [(r["feature"], r["importance"]) for r in ranking.orderBy("rank").collect()]
     scored = materialize(score(model, prep.band), params)
-    feats = list(features) if features is not None else mining_features(ranked_inputs, prep.source_of, scored, roles, params)
+    feats = list(features) if features is not None else mining_features(ranked_inputs, prep.source_of, scored, roles, params, prep.cardinality)
     flag = flagged if flagged is not None else confident(params)
     patterns = mine_patterns(scored, flag, feats, roles, params)
     rules = rule_conditions(patterns, feats, roles, params).persist(StorageLevel.MEMORY_AND_DISK)
