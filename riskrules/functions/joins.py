@@ -49,8 +49,11 @@ def attach(
     frequency table).  ``count_col`` is the number of ``rows`` behind each key
     (``tx_count`` of a profile); it tells which keys are hot.
     """
-    n = keyed.count() if keyed_rows is None else keyed_rows
-    if n <= params.max_broadcast_rows:
+    if keyed_rows is None:
+        # the count fills the cache the join then reads (no second aggregation)
+        keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
+        keyed_rows = keyed.count()
+    if keyed_rows <= params.max_broadcast_rows:
         return rows.join(F.broadcast(keyed), on=key, how="left")
     if count_col is None:
         # no weights: sort-merge join, AQE splits skewed partitions

@@ -35,9 +35,13 @@ def bin_width(params: Params) -> float:
     return float(params.score_half_width) if params.score_half_width > 0 else 0.05
 
 
+def mask_counts(rules: DataFrame) -> dict[int, int]:
+    """Rules per wildcard mask, in one small job (at most 2^features rows)."""
+    return {r[MASK]: r["n"] for r in rules.groupBy(MASK).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def masks_of(rules: DataFrame) -> list[int]:
-    """Distinct wildcard masks (bounded by 2^features)."""
-    return sorted(r[MASK] for r in rules.select(MASK).distinct().collect())
+    return sorted(mask_counts(rules))
 
 
 def bound_features(mask: int, features: Sequence[str]) -> list[str]:
@@ -93,17 +97,18 @@ def match_rules(
     params: Params,
     *,
     keep: Sequence[str] = (),
-    n_rules: int | None = None,
+    masks: dict[int, int] | None = None,
 ) -> DataFrame:
     """``rule_id, label, amount, <keep>`` for every (row, rule) match."""
     interval = interval_feature(rows, features, roles)
     cols = list(dict.fromkeys([roles.label, roles.amount, BUCKET, *features, *keep]))
     base = with_bin(rows.select(*cols), interval, params)
-    n = rules.count() if n_rules is None else n_rules
-    # exploded rule side has at most ~ (2 w / w + 1) = 3 bins per rule
-    small = n * 4 <= params.max_broadcast_rows
+    masks = mask_counts(rules) if masks is None else masks
+    # size check before broadcasting the rule side: an interval spans at
+    # most 3 bins of width w, so each rule has at most 4 exploded copies
+    small = sum(masks.values()) * 4 <= params.max_broadcast_rows
     parts = []
-    for m in masks_of(rules):
+    for m in sorted(masks):
         r = _rule_side(rules, m, features, interval, params)
         r = F.broadcast(r) if small else r
         j = base.join(r, _match_condition(base, r, m, features, interval), "inner")
@@ -123,10 +128,14 @@ def total_fraud_amount(rows: DataFrame, roles: Roles) -> DataFrame:
 
 
 def evaluate_rules(
-    rows: DataFrame, rules: DataFrame, features: Sequence[str], roles: Roles, params: Params, *, n_rules: int | None = None
+    rows: DataFrame, rules: DataFrame, features: Sequence[str], roles: Roles, params: Params, *, masks: dict[int, int] | None = None
 ) -> DataFrame:
-    """Rules + num_transactions, num_frauds, captured_fraud_amount, precision, amount_recall."""
-    matches = match_rules(rows, rules, features, roles, params, n_rules=n_rules)
+    """Rules + num_transactions, num_frauds, captured_fraud_amount, precision, amount_recall.
+
+    ``rules`` should be persisted by the caller: it is read by the mask job,
+    the joins and the final projection.
+    """
+    matches = match_rules(rows, rules, features, roles, params, masks=masks)
     stats = matches.groupBy(RULE_ID).agg(
         F.count(F.lit(1)).alias("num_transactions"),
         F.sum(F.col(roles.label).cast("int")).cast("long").alias("num_frauds"),

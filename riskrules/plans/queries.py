@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,7 +178,7 @@ def q_null_sentinel(spark, sf):
 
 
 def _band(spark, sf):
-    return bands.with_amount_bucket(bands.score_band(_tx(spark, sf), R, P), R, P)
+    return bands.with_amount_bucket(bands.score_band(_tx(spark, sf), R, P), R, P).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _flag():
@@ -188,16 +189,19 @@ def _patterns(spark, sf):
     return patterns.mine_patterns(_band(spark, sf), _flag(), MINING, R, P)
 
 
-def _rules(spark, sf):
-    return patterns.rule_conditions(_patterns(spark, sf), MINING, R, P)
+def _rules(spark, sf, band=None):
+    band = band if band is not None else _band(spark, sf)
+    pats = patterns.mine_patterns(band, _flag(), MINING, R, P)
+    return patterns.rule_conditions(pats, MINING, R, P).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _evaluated(spark, sf):
-    return rules.evaluate_rules(_band(spark, sf), _rules(spark, sf), MINING, R, P)
+def _evaluated(spark, sf, band=None):
+    band = band if band is not None else _band(spark, sf)
+    return rules.evaluate_rules(band, _rules(spark, sf, band), MINING, R, P).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _ranked(spark, sf):
-    return rules.rank_rules(rules.keep_precise(_evaluated(spark, sf), P), MINING)
+def _ranked(spark, sf, band=None):
+    return rules.rank_rules(rules.keep_precise(_evaluated(spark, sf, band), P), MINING).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 METRIC_COLS = ["num_transactions", "num_frauds", "captured_fraud_amount", "precision", "amount_recall"]
@@ -235,8 +239,8 @@ def q_extract_rules(spark, sf):
     return _ranked(spark, sf).select("rank", BUCKET, *MINING, "rule_string", "support", *METRIC_COLS)
 
 
-def _selected(spark, sf):
-    return ruleset.choose(_ranked(spark, sf), P)
+def _selected(spark, sf, band=None):
+    return ruleset.choose(_ranked(spark, sf, band), P)
 
 
 def q_top_rules(spark, sf):
@@ -267,11 +271,13 @@ def q_ruleset(spark, sf):
 
 
 def q_ruleset_hits(spark, sf):
-    return ruleset.hits(_band(spark, sf), _selected(spark, sf), MINING, R, P)
+    band = _band(spark, sf)
+    return ruleset.hits(band, _selected(spark, sf, band), MINING, R, P)
 
 
 def q_ruleset_union_metrics(spark, sf):
-    return ruleset.union_metrics(_band(spark, sf), _selected(spark, sf), MINING, R, P)
+    band = _band(spark, sf)
+    return ruleset.union_metrics(band, _selected(spark, sf, band), MINING, R, P)
 
 
 # ---- model-backed queries (no SQL oracle: a trained tree decides) ------------------------

@@ -167,8 +167,7 @@ def mine_rules(
     flag = flagged if flagged is not None else confident(params)
     patterns = mine_patterns(scored, flag, feats, roles, params)
     rules = rule_conditions(patterns, feats, roles, params).persist(StorageLevel.MEMORY_AND_DISK)
-    n_rules = rules.count()
-    evaluated = evaluate_rules(scored, rules, feats, roles, params, n_rules=n_rules)
+    evaluated = evaluate_rules(scored, rules, feats, roles, params).persist(StorageLevel.MEMORY_AND_DISK)
     ranked = rank_rules(keep_precise(evaluated, params), feats).persist(StorageLevel.MEMORY_AND_DISK)
     selected = choose(ranked, params)
     return MiningResult(
