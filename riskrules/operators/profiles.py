@@ -119,3 +119,86 @@ def attach_profile(
     """Left join of a profile on ``key``; NULL keys never match (NULL measures)."""
     count_col = measure_names(key, roles)["count"]
     return attach(rows, profile, key, params, count_col=count_col, keyed_rows=keyed_rows)
+
+
+# ---- one pass for every profile and every category count -----------------------------
+
+
+def _all_measures(df: DataFrame, roles: Roles, params: Params) -> list[Column]:
+    """Every measure any profile kind needs, under internal names."""
+    y = label_double(roles.label)
+    amt = F.col(roles.amount)
+    fraud_amt = F.when(F.col(roles.label) == 1, amt).otherwise(F.lit(0.0))
+    t = params.amount_thresholds
+    out = [
+        F.avg(y).alias("__rate"),
+        F.count(F.lit(1)).alias("__count"),
+        safe_ratio(money_sum(amt), F.count(amt)).alias("__avg"),
+        F.stddev_samp(amt).alias("__std"),
+        safe_ratio(money_sum(fraud_amt), money_sum(amt)).alias("__amount_rate"),
+        F.avg(F.when(amt <= F.lit(float(t[0])), y)).alias("__small"),
+        F.avg(F.when(amt > F.lit(float(t[-1])), y)).alias("__large"),
+    ]
+    if roles.status in df.columns:
+        out.append(F.avg(F.when(F.col(roles.status) == "Y", 1.0).otherwise(0.0)).alias("__auth"))
+    if roles.auth_mode in df.columns:
+        out.append(F.avg(F.when(F.col(roles.auth_mode) != "N", 1.0).otherwise(0.0)).alias("__3ds"))
+    if has_cross_border(df, roles):
+        xb = cross_border_flag(roles)
+        out.append(F.avg(xb.cast("double")).alias("__xb"))
+        out.append(F.avg(F.when(xb == 1, y)).alias("__xb_fraud"))
+    return out
+
+
+class PopulationStats:
+    """Profiles of all id columns and value counts of all categoricals from ONE
+    aggregate (``GROUPING SETS``, one set per column): one scan of the
+    population, partial aggregation before a single shuffle, persisted once.
+
+    ``profile(key)`` equals ``entity_profile(df, key)``; ``counts`` equals
+    ``encode.category_counts(df, categoricals)``.
+    """
+
+    def __init__(self, df: DataFrame, roles: Roles, params: Params, categoricals=()):
+        from ..functions.exprs import category_text
+        from pyspark import StorageLevel
+
+        self.roles, self.params = roles, params
+        self.ids = list(roles.ids)
+        self.cats = list(categoricals)
+        self.cat_col = {f: f"__cat_{i}" for i, f in enumerate(self.cats)}
+        base = df.select("*", *[category_text(f).alias(self.cat_col[f]) for f in self.cats])
+        cols = self.ids + [self.cat_col[f] for f in self.cats]
+        n = len(cols)
+        self.gid = {c: (2**n - 1) - 2 ** (n - 1 - i) for i, c in enumerate(cols)}
+        self.measures = [m for m in _all_measures(df, roles, params)]
+        agg = base.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols]).agg(
+            *self.measures, F.grouping_id().alias("__gid")
+        )
+        self.table = agg.persist(StorageLevel.MEMORY_AND_DISK)
+        self.has = set(self.table.columns)
+
+    def profile(self, key: str) -> DataFrame:
+        names = measure_names(key, self.roles)
+        sel = [F.col(key)]
+        for m, out in names.items():
+            src = {"xb_fraud": "__xb_fraud"}.get(m, f"__{m}")
+            if src in self.has:
+                sel.append(F.col(src).alias(out))
+        return self.table.where(F.col("__gid") == F.lit(self.gid[key])).select(*sel)
+
+    @property
+    def counts(self) -> DataFrame:
+        parts = [
+            self.table.where(F.col("__gid") == F.lit(self.gid[self.cat_col[f]])).select(
+                F.lit(f).alias("feature"), F.col(self.cat_col[f]).alias("value"), F.col("__count").alias("n")
+            )
+            for f in self.cats
+        ]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def unpersist(self) -> None:
+        self.table.unpersist()

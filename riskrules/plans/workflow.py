@@ -22,10 +22,10 @@ from pyspark.sql import types as T
 
 from ..functions.joins import materialize
 from ..operators.bands import BUCKET, score_band, with_amount_flags
-from ..operators.encode import attach_frequency, category_counts, fill_sentinel, onehot_columns, plan_encoding
+from ..operators.encode import attach_frequency, fill_sentinel, onehot_columns, plan_encoding
 from ..operators.model import confident, feature_ranking, model_inputs, score, train
 from ..operators.patterns import mine_patterns, rule_conditions
-from ..operators.profiles import attach_profile, entity_profile, profile_columns, with_cross_border
+from ..operators.profiles import PopulationStats, attach_profile, profile_columns, with_cross_border
 from ..operators.rules import evaluate_rules, keep_precise, rank_rules
 from ..operators.ruleset import choose, combined_rule, metrics, union_metrics
 from ..operators.tiers import tier_labels, tier_name, tier_onehot_columns, with_risk_tier
@@ -73,8 +73,10 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
     profiles: dict[str, DataFrame] = {}
     tiers: dict[str, list[str]] = {}
     card: dict[str, int] = {}
+    # all profiles and category counts in one pass over the population
+    stats = PopulationStats(pop, roles, params, roles.categoricals)
     for key in roles.ids:
-        prof = with_risk_tier(entity_profile(pop, key, roles, params), key, roles, params)
+        prof = with_risk_tier(stats.profile(key), key, roles, params)
         prof = prof.persist(StorageLevel.MEMORY_AND_DISK)
         profiles[key] = prof
         # one row per key: the size check of the join and the id's cardinality
@@ -86,7 +88,7 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
     onehot: dict[str, list[str]] = {}
     freq: list[str] = []
     if roles.categoricals:
-        counts = category_counts(pop, roles.categoricals).persist(StorageLevel.MEMORY_AND_DISK)
+        counts = stats.counts
         onehot, freq = plan_encoding(counts, roles.categoricals, params)
         for f in roles.categoricals:
             card[f] = params.onehot_max_values if f in onehot else params.onehot_max_values + 1

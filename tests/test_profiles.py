@@ -108,3 +108,25 @@ def test_cross_border_null_is_zero(spark):
     )
     out = profiles.with_cross_border(df, Roles())
     assert [r["is_cross_border"] for r in out.collect()] == [0, 1, 0, 0]
+
+
+def test_population_stats_equal_separate_aggregates(spark):
+    from riskrules.operators import encode
+    from riskrules.operators.profiles import PopulationStats
+    from riskrules.sources.fixtures import FIXTURE_ROLES, tx_frame
+
+    from .conftest import SF0001
+
+    tx = profiles.with_cross_border(tx_frame(spark, SF0001), FIXTURE_ROLES)
+    cats = ["card_profile_dep", "part_id"]
+    st = PopulationStats(tx, FIXTURE_ROLES, P, cats)
+
+    def norm(df):
+        return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+    for key in FIXTURE_ROLES.ids:
+        sep = profiles.entity_profile(tx, key, FIXTURE_ROLES, P)
+        fused = st.profile(key)
+        assert fused.columns == sep.columns
+        assert norm(fused) == norm(sep)
+    assert norm(st.counts) == norm(encode.category_counts(tx, cats))
