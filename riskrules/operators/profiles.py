@@ -160,15 +160,18 @@ class PopulationStats:
     """
 
     def __init__(self, df: DataFrame, roles: Roles, params: Params, categoricals=()):
-        from ..functions.exprs import category_text
         from pyspark import StorageLevel
 
+        from ..functions.exprs import category_text
+
         self.roles, self.params = roles, params
         self.ids = list(roles.ids)
         self.cats = list(categoricals)
         self.cat_col = {f: f"__cat_{i}" for i, f in enumerate(self.cats)}
         base = df.select("*", *[category_text(f).alias(self.cat_col[f]) for f in self.cats])
         cols = self.ids + [self.cat_col[f] for f in self.cats]
+        if not cols:
+            raise ValueError("PopulationStats needs at least one id or categorical column")
         n = len(cols)
         self.gid = {c: (2**n - 1) - 2 ** (n - 1 - i) for i, c in enumerate(cols)}
         self.measures = [m for m in _all_measures(df, roles, params)]

@@ -7,10 +7,13 @@ to the profile (one row per entity), never collected to the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import tier_expr
+from ..functions.rank import global_rank
 from ..roles import UNKNOWN_TIER, Params, Roles
 from .profiles import measure_names
 
@@ -20,17 +23,36 @@ BINS = "bins"
 def risk_bins(profile: DataFrame, rate_col: str, params: Params, *, approx: bool = False) -> DataFrame:
     """One row, ``bins array<double>``: sorted distinct percentile edges.
 
-    Exact (linear interpolation, as NumPy's default) unless ``approx``; the
-    exact aggregate keeps one map entry per distinct rate on the final reducer,
-    ``approx`` bounds that memory for very many distinct rates.
+    Exact, with linear interpolation between order statistics (NumPy's
+    default): for percentile p over n distinct rates, position (n - 1) p lies
+    between ranks floor and ceil.  The distinct rates are ranked by a
+    range-partitioned sort (``global_rank``), so no task ever holds all of
+    them; only the at most 2 x 5 rows at the needed ranks reach the final
+    one-row aggregate.  ``approx`` uses ``percentile_approx`` instead.
     """
     rates = profile.select(F.col(rate_col).alias("rate")).where(F.col("rate").isNotNull()).distinct()
-    pct = F.array(*[F.lit(float(p)) for p in params.tier_percentiles])
+    pcts = [float(p) for p in params.tier_percentiles]
     if approx:
-        edges = F.percentile_approx("rate", pct, params.percentile_accuracy)
-    else:
-        edges = F.percentile("rate", pct)
-    return rates.agg(F.array_distinct(edges).alias(BINS))
+        edges = F.percentile_approx("rate", F.array(*[F.lit(p) for p in pcts]), params.percentile_accuracy)
+        return rates.agg(F.array_distinct(edges).alias(BINS))
+    n = rates.agg(F.count(F.lit(1)).alias("__n"))
+    ranked = global_rank(rates, [F.asc("rate")], "__rk").crossJoin(F.broadcast(n))
+    pos = [(F.col("__n") - 1) * F.lit(p) for p in pcts]
+    needed = reduce(
+        lambda a, b: a | b,
+        [(F.col("__rk") == F.floor(x) + 1) | (F.col("__rk") == F.ceil(x) + 1) for x in pos],
+    )
+    picked = ranked.where(needed).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("__rk").cast("long"), "rate"))).alias("__v"),
+        F.first("__n").alias("__n"),
+    )
+    edges = []
+    for p in pcts:
+        x = (F.col("__n") - 1) * F.lit(p)
+        lo = F.element_at("__v", F.floor(x) + 1)
+        hi = F.element_at("__v", F.ceil(x) + 1)
+        edges.append(lo + (x - F.floor(x)) * (hi - lo))
+    return picked.select(F.when(F.col("__n") > 0, F.array_distinct(F.array(*edges))).alias(BINS))
 
 
 def tier_name(key: str, roles: Roles) -> str:

@@ -74,7 +74,7 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
     tiers: dict[str, list[str]] = {}
     card: dict[str, int] = {}
     # all profiles and category counts in one pass over the population
-    stats = PopulationStats(pop, roles, params, roles.categoricals)
+    stats = PopulationStats(pop, roles, params, roles.categoricals) if (roles.ids or roles.categoricals) else None
     for key in roles.ids:
         prof = with_risk_tier(stats.profile(key), key, roles, params)
         prof = prof.persist(StorageLevel.MEMORY_AND_DISK)
