@@ -41,11 +41,13 @@ def start_flagging(
     sink_format: str = "parquet",
     path: str | None = None,
     trigger: dict | None = None,
+    checkpoint: str | None = None,
 ) -> StreamingQuery:
     """Start an append-mode query writing flagged events; exactly-once file
-    sink with its checkpoint under ``spark.checkpoint.dir/<name>``."""
+    sink with its checkpoint under ``spark.checkpoint.dir/<name>`` unless
+    ``checkpoint`` names another shared location."""
     out = flag_events(events, selected, features, roles, params)
-    ckpt = os.path.join(checkpoint_dir(events.sparkSession), f"stream-{name}")
+    ckpt = checkpoint or os.path.join(checkpoint_dir(events.sparkSession), f"stream-{name}")
     w = out.writeStream.outputMode("append").format(sink_format).option("checkpointLocation", ckpt)
     if sink_format == "memory":
         w = w.queryName(name)

@@ -63,7 +63,9 @@ def test_streaming_equals_batch(spark):
     events = band.drop("amount_bucket")
     events.write.mode("overwrite").parquet(os.path.join(d, "in"))
     stream = spark.readStream.schema(events.schema).parquet(os.path.join(d, "in"))
-    q = start_flagging(stream, sel, Q.MINING, Q.R, Q.P, name="flag_test", sink_format="memory")
+    q = start_flagging(
+        stream, sel, Q.MINING, Q.R, Q.P, name="flag_test", sink_format="memory", checkpoint=os.path.join(d, "ckpt")
+    )
     q.processAllAvailable()
     q.stop()
     got = spark.sql("SELECT COUNT(*) FROM flag_test").first()[0]
