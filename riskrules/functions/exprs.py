@@ -26,8 +26,14 @@ def money_sum(c: str | Column) -> Column:
     ``cents / 100.0`` is the double nearest the exact total, the same value a
     DECIMAL(18,2) sum cast to double gives.
     """
-    cents = F.round(col(c) * F.lit(100.0)).cast("long")
-    return F.sum(cents) / F.lit(100.0)
+    return F.sum(cents(c)) / F.lit(100.0)
+
+
+def cents(c: str | Column) -> Column:
+    """Whole cents, half away from zero, in plain arithmetic (no per-row
+    BigDecimal as ``round`` uses)."""
+    x = col(c)
+    return (F.signum(x) * F.floor(F.abs(x) * F.lit(100.0) + F.lit(0.5))).cast("long")
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

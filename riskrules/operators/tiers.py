@@ -20,21 +20,30 @@ from .profiles import measure_names
 BINS = "bins"
 
 
-def risk_bins(profile: DataFrame, rate_col: str, params: Params, *, approx: bool = False) -> DataFrame:
+def risk_bins(
+    profile: DataFrame, rate_col: str, params: Params, *, approx: bool = False, max_rates: int | None = None
+) -> DataFrame:
     """One row, ``bins array<double>``: sorted distinct percentile edges.
 
     Exact, with linear interpolation between order statistics (NumPy's
     default): for percentile p over n distinct rates, position (n - 1) p lies
-    between ranks floor and ceil.  The distinct rates are ranked by a
-    range-partitioned sort (``global_rank``), so no task ever holds all of
-    them; only the at most 2 x 5 rows at the needed ranks reach the final
-    one-row aggregate.  ``approx`` uses ``percentile_approx`` instead.
+    between ranks floor and ceil.
+
+    * ``max_rates`` (an upper bound of the distinct rates, e.g. the profile's
+      row count) at most ``exact_percentile_max_rates``: Spark's ``percentile``
+      aggregate, whose final merge holds one entry per distinct rate.
+    * otherwise the distinct rates are ranked by a range-partitioned sort
+      (``global_rank``), so no task holds all of them; only the at most 2 x 5
+      rows at the needed ranks reach the final one-row aggregate.
+    * ``approx``: ``percentile_approx``.
     """
     rates = profile.select(F.col(rate_col).alias("rate")).where(F.col("rate").isNotNull()).distinct()
     pcts = [float(p) for p in params.tier_percentiles]
     if approx:
         edges = F.percentile_approx("rate", F.array(*[F.lit(p) for p in pcts]), params.percentile_accuracy)
         return rates.agg(F.array_distinct(edges).alias(BINS))
+    if max_rates is not None and max_rates <= params.exact_percentile_max_rates:
+        return rates.agg(F.array_distinct(F.percentile("rate", F.array(*[F.lit(p) for p in pcts]))).alias(BINS))
     n = rates.agg(F.count(F.lit(1)).alias("__n"))
     ranked = global_rank(rates, [F.asc("rate")], "__rk").crossJoin(F.broadcast(n))
     pos = [(F.col("__n") - 1) * F.lit(p) for p in pcts]
@@ -60,11 +69,19 @@ def tier_name(key: str, roles: Roles) -> str:
     return names["rate"].replace("_fraud_rate", "_risk_tier")
 
 
-def with_risk_tier(profile: DataFrame, key: str, roles: Roles, params: Params, bins: DataFrame | None = None) -> DataFrame:
+def with_risk_tier(
+    profile: DataFrame,
+    key: str,
+    roles: Roles,
+    params: Params,
+    bins: DataFrame | None = None,
+    *,
+    max_rates: int | None = None,
+) -> DataFrame:
     """Profile + tier column; ``bins`` is one row (bounded) so it is broadcast."""
     rate = measure_names(key, roles)["rate"]
     if bins is None:
-        bins = risk_bins(profile, rate, params)
+        bins = risk_bins(profile, rate, params, max_rates=max_rates)
     return (
         profile.crossJoin(F.broadcast(bins))
         .withColumn(tier_name(key, roles), tier_expr(F.col(rate), F.col(BINS)))

@@ -76,11 +76,12 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
     # all profiles and category counts in one pass over the population
     stats = PopulationStats(pop, roles, params, roles.categoricals) if (roles.ids or roles.categoricals) else None
     for key in roles.ids:
-        prof = with_risk_tier(stats.profile(key), key, roles, params)
-        prof = prof.persist(StorageLevel.MEMORY_AND_DISK)
+        base = stats.profile(key).persist(StorageLevel.MEMORY_AND_DISK)
+        # one row per key: the size check of the join and of the percentile
+        # aggregate, and the id's cardinality
+        card[key] = base.count()
+        prof = with_risk_tier(base, key, roles, params, max_rates=card[key]).persist(StorageLevel.MEMORY_AND_DISK)
         profiles[key] = prof
-        # one row per key: the size check of the join and the id's cardinality
-        card[key] = prof.count()
         tiers[key] = tier_labels(prof, key, roles)
         for c in profile_columns(prof, key):
             source_of[c] = key

@@ -88,9 +88,10 @@ class Params:
     score_half_width: float = 0.05
     score_decimals: int = 2
     max_rules: int = 5
-    # exact percentiles by default; above this many distinct rates use
-    # percentile_approx with the accuracy below
-    exact_percentile_max_rates: int = 5_000_000
+    # exact percentile bins: Spark's percentile aggregate up to this many
+    # entities (its final merge holds every distinct rate), a distributed
+    # rank of the distinct rates above; percentile_accuracy is for approx
+    exact_percentile_max_rates: int = 1_000_000
     percentile_accuracy: int = 100_000
     # explicit size checks before any broadcast of a data-derived table
     max_broadcast_rows: int = 2_000_000

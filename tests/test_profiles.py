@@ -130,3 +130,17 @@ def test_population_stats_equal_separate_aggregates(spark):
         assert fused.columns == sep.columns
         assert norm(fused) == norm(sep)
     assert norm(st.counts) == norm(encode.category_counts(tx, cats))
+
+
+def test_bins_both_paths_agree(spark):
+    from riskrules.sources.fixtures import FIXTURE_ROLES, tx_frame
+
+    from .conftest import SF0001
+
+    tx = tx_frame(spark, SF0001)
+    for key in ("issuer_member", "part_id"):
+        prof = profiles.entity_profile(tx, key, FIXTURE_ROLES, P).persist()
+        rate = profiles.measure_names(key, FIXTURE_ROLES)["rate"]
+        a = tiers.risk_bins(prof, rate, P).first()["bins"]
+        b = tiers.risk_bins(prof, rate, P, max_rates=prof.count()).first()["bins"]
+        assert len(a) == len(b) and all(abs(x - y) <= 1e-12 for x, y in zip(a, b))
