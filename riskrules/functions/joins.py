@@ -90,13 +90,14 @@ def _salted_left_join(
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; a private temp folder only when unset (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        # spark.checkpoint.dir is a core config and cannot be set at run time
         d = tempfile.mkdtemp(prefix="riskrules-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def materialize(df: DataFrame, params: Params) -> DataFrame:

@@ -51,12 +51,8 @@ def plan_encoding(counts: DataFrame, features: Sequence[str], params: Params) ->
     freq = [f for f in features if f not in onehot]
     labels: dict[str, list[str]] = {f: [] for f in onehot}
     if onehot:
-        rows = (
-            counts.where(F.col("feature").isin(onehot) & F.col("value").isNotNull())
-            .orderBy("feature", F.desc("n"), F.asc("value"))
-            .collect()
-        )
-        for r in rows:
+        rows = counts.where(F.col("feature").isin(onehot) & F.col("value").isNotNull()).collect()
+        for r in sorted(rows, key=lambda r: (r["feature"], -r["n"], r["value"])):
             labels[r["feature"]].append(r["value"])
     return labels, freq
 

@@ -105,8 +105,8 @@ def tier_labels(profile_with_tier: DataFrame, key: str, roles: Roles) -> list[st
 
     At most five labels exist, so this collect is bounded.
     """
-    rows = tier_row_counts(profile_with_tier, key, roles).orderBy(F.desc("n"), F.asc("value")).collect()
-    return [r["value"] for r in rows]
+    rows = tier_row_counts(profile_with_tier, key, roles).collect()
+    return [r["value"] for r in sorted(rows, key=lambda r: (-r["n"], r["value"]))]
 
 
 def tier_onehot_columns(key: str, roles: Roles, labels: list[str]) -> list:

@@ -164,7 +164,7 @@ def mine_rules(
     prep = preprocess(df, roles, params, profile_df=profile_df)
     model = train(prep.band, prep.inputs, roles, params)
     ranking = feature_ranking(spark, model, prep.inputs, prep.source_of)
-    ranked_inputs = [(r["feature"], r["importance"]) for r in ranking.orderBy("rank").collect()]
+    ranked_inputs = [(r["feature"], r["importance"]) for r in sorted(ranking.collect(), key=lambda r: r["rank"])]
     scored = materialize(score(model, prep.band), params)
     feats = list(features) if features is not None else mining_features(ranked_inputs, prep.source_of, scored, roles, params, prep.cardinality)
     flag = flagged if flagged is not None else confident(params)

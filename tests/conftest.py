@@ -25,9 +25,8 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     # tests only: a private checkpoint folder when the session names none
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="riskrules-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
+    if not s.conf.get("spark.checkpoint.dir", None) and s.sparkContext.getCheckpointDir() is None:
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskrules-test-ckpt-"))
     yield s
     s.stop()
 
