@@ -39,14 +39,18 @@ def cardinality(counts: DataFrame) -> DataFrame:
     return counts.groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
-def plan_encoding(counts: DataFrame, features: Sequence[str], params: Params) -> tuple[dict[str, list[str]], list[str]]:
+def plan_encoding(
+    counts: DataFrame, features: Sequence[str], params: Params, card: dict[str, int] | None = None
+) -> tuple[dict[str, list[str]], list[str]]:
     """Decide one-hot vs frequency per feature.
 
     Returns ({feature: labels in slot order} for one-hot, [features] for
     frequency).  The collects are bounded: one row per feature, and at most
-    ``onehot_max_values`` labels per one-hot feature.
+    ``onehot_max_values`` labels per one-hot feature.  ``card`` (known
+    cardinalities) saves the cardinality job.
     """
-    card = {r["feature"]: r["n_distinct"] for r in cardinality(counts).collect()}
+    if card is None:
+        card = {r["feature"]: r["n_distinct"] for r in cardinality(counts).collect()}
     onehot = [f for f in features if card.get(f, 0) <= params.onehot_max_values]
     freq = [f for f in features if f not in onehot]
     labels: dict[str, list[str]] = {f: [] for f in onehot}
@@ -80,11 +84,15 @@ def frequency_table(counts: DataFrame, feature: str) -> DataFrame:
     )
 
 
-def attach_frequency(rows: DataFrame, counts: DataFrame, feature: str, params: Params) -> DataFrame:
-    """Left join of the frequency of ``feature``'s value; NULL values get NULL."""
+def attach_frequency(
+    rows: DataFrame, counts: DataFrame, feature: str, params: Params, *, n_values: int | None = None
+) -> DataFrame:
+    """Left join of the frequency of ``feature``'s value; NULL values get NULL.
+
+    ``n_values`` (the known cardinality) is the size check of the join."""
     table = frequency_table(counts, feature)
     keyed = rows.withColumn("__value", category_text(feature))
-    out = attach(keyed, table, "__value", params, count_col=f"__{feature}_n")
+    out = attach(keyed, table, "__value", params, count_col=f"__{feature}_n", keyed_rows=n_values)
     return out.drop("__value", f"__{feature}_n")
 
 

@@ -203,5 +203,14 @@ class PopulationStats:
             out = out.unionByName(p)
         return out
 
+    def cardinalities(self) -> dict[str, int]:
+        """Distinct values (NULL counted once) of every id and categorical, in
+        one small job: the number of groups in each grouping set."""
+        rows = self.table.groupBy("__gid").agg(F.count(F.lit(1)).alias("n")).collect()
+        by_gid = {r["__gid"]: r["n"] for r in rows}
+        out = {k: by_gid.get(self.gid[k], 0) for k in self.ids}
+        out.update({f: by_gid.get(self.gid[self.cat_col[f]], 0) for f in self.cats})
+        return out
+
     def unpersist(self) -> None:
         self.table.unpersist()

@@ -28,7 +28,7 @@ from ..operators.patterns import mine_patterns, rule_conditions
 from ..operators.profiles import PopulationStats, attach_profile, profile_columns, with_cross_border
 from ..operators.rules import evaluate_rules, keep_precise, rank_rules
 from ..operators.ruleset import choose, combined_rule, metrics, union_metrics
-from ..operators.tiers import tier_labels, tier_name, tier_onehot_columns, with_risk_tier
+from ..operators.tiers import tier_labels_all, tier_name, tier_onehot_columns, with_risk_tier
 from ..roles import Params, Roles, is_numeric
 
 
@@ -71,28 +71,23 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
         pop = with_cross_border(pop, roles)
     source_of: dict[str, str] = {}
     profiles: dict[str, DataFrame] = {}
-    tiers: dict[str, list[str]] = {}
-    card: dict[str, int] = {}
     # all profiles and category counts in one pass over the population
     stats = PopulationStats(pop, roles, params, roles.categoricals) if (roles.ids or roles.categoricals) else None
+    # one small job: every id's and categorical's cardinality (also the size
+    # checks of the profile joins and of the percentile aggregate)
+    card: dict[str, int] = stats.cardinalities() if stats is not None else {}
     for key in roles.ids:
-        base = stats.profile(key).persist(StorageLevel.MEMORY_AND_DISK)
-        # one row per key: the size check of the join and of the percentile
-        # aggregate, and the id's cardinality
-        card[key] = base.count()
-        prof = with_risk_tier(base, key, roles, params, max_rates=card[key]).persist(StorageLevel.MEMORY_AND_DISK)
-        profiles[key] = prof
-        tiers[key] = tier_labels(prof, key, roles)
+        prof = with_risk_tier(stats.profile(key), key, roles, params, max_rates=card[key])
+        profiles[key] = prof.persist(StorageLevel.MEMORY_AND_DISK)
         for c in profile_columns(prof, key):
             source_of[c] = key
+    tiers = tier_labels_all(profiles, roles)
     counts = None
     onehot: dict[str, list[str]] = {}
     freq: list[str] = []
     if roles.categoricals:
         counts = stats.counts
-        onehot, freq = plan_encoding(counts, roles.categoricals, params)
-        for f in roles.categoricals:
-            card[f] = params.onehot_max_values if f in onehot else params.onehot_max_values + 1
+        onehot, freq = plan_encoding(counts, roles.categoricals, params, card)
 
     band = with_amount_flags(score_band(df, roles, params), roles, params)
     for i in range(len(params.amount_thresholds) + 1):
@@ -108,10 +103,13 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
         for i in range(len(labels)):
             source_of[f"{f}_vec_{i}"] = f
     for f in freq:
-        band = attach_frequency(band, counts, f, params)
+        band = attach_frequency(band, counts, f, params, n_values=card[f])
         source_of[f"{f}_freq"] = f
     inputs = model_inputs(band, roles, params)
     band = materialize(fill_sentinel(band, inputs), params)
+    if stats is not None and params.materialize == "checkpoint":
+        # the band no longer depends on the population aggregate
+        stats.unpersist()
     return Prepared(band=band, inputs=inputs, source_of=source_of, profiles=profiles, counts=counts, cardinality=card)
 
 
