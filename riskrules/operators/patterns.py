@@ -50,13 +50,15 @@ def mine_patterns(
 ) -> DataFrame:
     """``amount_bucket, <features>, support`` with support >= min_support.
 
-    The interval score is grouped on its value rounded to ``score_decimals``
-    (continuous scores would otherwise almost never repeat 50 times).
+    The interval score is grouped on its value rounded to the grid of the
+    rule interval (``Params.score_grid_decimals``, one decimal for a
+    half-width of 0.05): continuous scores would otherwise almost never repeat
+    50 times, and each pattern's rows then lie inside its own rule interval.
     """
     keys = [F.col(BUCKET)]
     for f in features:
         if is_interval(f, rows.schema[f].dataType, roles):
-            keys.append(F.round(F.col(f), params.score_decimals).alias(f))
+            keys.append(F.round(F.col(f), params.score_grid_decimals).alias(f))
         else:
             keys.append(F.col(f))
     return (

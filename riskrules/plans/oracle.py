@@ -186,7 +186,7 @@ RANGES = ", ".join(f"CASE WHEN amount_bucket = {i} THEN 1.0 ELSE 0.0 END AS amou
 # ---- rules with cs >= 0.35 as the flag, mining (bucket, cs, card_profile_dep) -------------
 
 PAT = (
-    "pat AS (SELECT amount_bucket, ROUND(cs, 2) AS cs, card_profile_dep, COUNT(*) AS support FROM band "
+    "pat AS (SELECT amount_bucket, ROUND(cs, 1) AS cs, card_profile_dep, COUNT(*) AS support FROM band "
     "WHERE cs >= 0.35 AND amount_bucket IS NOT NULL GROUP BY 1, 2, 3 HAVING COUNT(*) >= 50)"
 )
 RUL = (

@@ -7,6 +7,7 @@ operator takes ``Roles`` and ``Params`` instead of hard-wired names.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -86,7 +87,10 @@ class Params:
     confidence: float = 0.7
     min_support: int = 50
     score_half_width: float = 0.05
-    score_decimals: int = 2
+    # grid of the interval score when mining; None = the grid whose step is
+    # the rule interval's width (2 x 0.05 = 0.1, one decimal), so the cell of
+    # a pattern, round(x) = v, is its own rule interval [v - w, v + w)
+    score_decimals: int | None = None
     max_rules: int = 5
     # exact percentile bins: Spark's percentile aggregate up to this many
     # entities (its final merge holds every distinct rate), a distributed
@@ -106,6 +110,13 @@ class Params:
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
 
+    @property
+    def score_grid_decimals(self) -> int:
+        if self.score_decimals is not None:
+            return self.score_decimals
+        step = 2 * self.score_half_width
+        return max(0, round(-math.log10(step))) if step > 0 else 2
+
 
 def is_numeric(dt: T.DataType) -> bool:
     return isinstance(dt, NUMERIC_TYPES)
