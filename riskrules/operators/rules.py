@@ -135,6 +135,7 @@ def evaluate_rules(
     ``rules`` should be persisted by the caller: it is read by the mask job,
     the joins and the final projection.
     """
+    masks = mask_counts(rules) if masks is None else masks
     matches = match_rules(rows, rules, features, roles, params, masks=masks)
     stats = matches.groupBy(RULE_ID).agg(
         F.count(F.lit(1)).alias("num_transactions"),
@@ -143,7 +144,8 @@ def evaluate_rules(
     )
     total = total_fraud_amount(rows, roles)
     out = (
-        rules.join(stats, on=RULE_ID, how="left")
+        # one row per rule on both sides; the rule count is known (mask job)
+        rules.join(F.broadcast(stats) if sum(masks.values()) <= params.max_broadcast_rows else stats, on=RULE_ID, how="left")
         .crossJoin(F.broadcast(total))
         .select(
             *[F.col(c) for c in rules.columns],

@@ -138,7 +138,7 @@ def mining_features(
     card = cardinality or {}
     out: list[str] = []
     for name, imp in list(ranked_inputs)[: params.top_features]:
-        if imp <= 0:
+        if imp <= 0 and not params.keep_zero_importance:
             continue
         src = source_of.get(name, name)
         if card.get(src, 0) > params.onehot_max_values:

@@ -84,6 +84,9 @@ class Params:
     min_instances_per_node: int = 100
     seed: int = 42
     top_features: int = 10
+    # the method's top-10 list includes zero-importance features; True keeps
+    # them as mining candidates too (parity), False skips them
+    keep_zero_importance: bool = False
     confidence: float = 0.7
     min_support: int = 50
     score_half_width: float = 0.05
