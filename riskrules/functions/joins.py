@@ -93,7 +93,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        # spark.checkpoint.dir is a core config and cannot be set at run time
+        if not sc.master.startswith("local"):
+            raise ValueError(
+                "set spark.checkpoint.dir to a shared folder: checkpoints must survive lost executors"
+            )
+        # local mode only (tests): spark.checkpoint.dir is a core config and
+        # cannot be set at run time, so name a private folder on the context
         d = tempfile.mkdtemp(prefix="riskrules-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

@@ -73,11 +73,11 @@ def onehot_columns(feature: str, labels: Sequence[str]) -> list:
 def frequency_table(counts: DataFrame, feature: str) -> DataFrame:
     """``__value, <feature>_freq``: share of all rows holding the value.
 
-    The total is a one-row aggregate broadcast beside each value.
+    The total is a one-row aggregate read as a scalar subquery.
     """
     fc = counts.where(F.col("feature") == F.lit(feature))
     total = fc.agg(F.sum("n").alias("__total"))
-    return fc.crossJoin(F.broadcast(total)).select(
+    return fc.withColumn("__total", total.scalar()).select(
         F.col("value").alias("__value"),
         (F.col("n") / F.col("__total")).alias(f"{feature}_freq"),
         F.col("n").alias(f"__{feature}_n"),

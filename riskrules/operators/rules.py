@@ -146,7 +146,7 @@ def evaluate_rules(
     out = (
         # one row per rule on both sides; the rule count is known (mask job)
         rules.join(F.broadcast(stats) if sum(masks.values()) <= params.max_broadcast_rows else stats, on=RULE_ID, how="left")
-        .crossJoin(F.broadcast(total))
+        .withColumn("total_fraud_amount", total.scalar())
         .select(
             *[F.col(c) for c in rules.columns],
             F.coalesce(F.col("num_transactions"), F.lit(0)).cast("long").alias("num_transactions"),

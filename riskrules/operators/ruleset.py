@@ -84,7 +84,7 @@ def union_metrics(rows: DataFrame, selected: DataFrame, features: Sequence[str],
         F.coalesce(money_sum(fraud_amount(roles)), F.lit(0.0)).alias("union_captured_fraud_amount"),
     )
     total = total_fraud_amount(rows, roles)
-    return agg.crossJoin(total).select(
+    return agg.withColumn("total_fraud_amount", total.scalar()).select(
         "union_transactions",
         "union_frauds",
         "union_captured_fraud_amount",

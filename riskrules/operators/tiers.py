@@ -1,8 +1,9 @@
 """Risk tiers (A12, A13, T1-T3, J6) and their one-hot columns.
 
 Bins are the percentiles 0/50/90/95/100 of the DISTINCT non-NULL entity
-rates, ties removed.  They live in a one-row DataFrame that is broadcast on
-to the profile (one row per entity), never collected to the driver.
+rates, ties removed.  They live in a one-row DataFrame that reaches the
+profile (one row per entity) as a scalar subquery, never through a Python
+collect.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def risk_bins(
     if max_rates is not None and max_rates <= params.exact_percentile_max_rates:
         return rates.agg(F.array_distinct(F.percentile("rate", F.array(*[F.lit(p) for p in pcts]))).alias(BINS))
     n = rates.agg(F.count(F.lit(1)).alias("__n"))
-    ranked = global_rank(rates, [F.asc("rate")], "__rk").crossJoin(F.broadcast(n))
+    # n: one-row aggregate, evaluated once as a scalar subquery
+    ranked = global_rank(rates, [F.asc("rate")], "__rk").withColumn("__n", n.scalar())
     pos = [(F.col("__n") - 1) * F.lit(p) for p in pcts]
     needed = reduce(
         lambda a, b: a | b,
@@ -78,12 +80,12 @@ def with_risk_tier(
     *,
     max_rates: int | None = None,
 ) -> DataFrame:
-    """Profile + tier column; ``bins`` is one row (bounded) so it is broadcast."""
+    """Profile + tier column; ``bins`` (one row) is read as a scalar subquery."""
     rate = measure_names(key, roles)["rate"]
     if bins is None:
         bins = risk_bins(profile, rate, params, max_rates=max_rates)
     return (
-        profile.crossJoin(F.broadcast(bins))
+        profile.withColumn(BINS, bins.scalar())
         .withColumn(tier_name(key, roles), tier_expr(F.col(rate), F.col(BINS)))
         .drop(BINS)
     )

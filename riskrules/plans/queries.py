@@ -267,7 +267,7 @@ def q_combined_rule(spark, sf):
 
 def q_ruleset(spark, sf):
     sel = _selected(spark, sf)
-    return ruleset.combined_rule(sel).crossJoin(_metrics_shown(ruleset.metrics(sel)))
+    return _metrics_shown(ruleset.metrics(sel)).withColumn("combined_rule", ruleset.combined_rule(sel).scalar())
 
 
 def q_ruleset_hits(spark, sf):
