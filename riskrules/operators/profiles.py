@@ -181,14 +181,25 @@ class PopulationStats:
         self.table = agg.persist(StorageLevel.MEMORY_AND_DISK)
         self.has = set(self.table.columns)
 
-    def profile(self, key: str) -> DataFrame:
+    def profile(self, key: str, table: DataFrame | None = None, extra=()) -> DataFrame:
+        """One id's profile (its grouping set), from the aggregate or from a
+        table derived from it (``extra``: further columns to keep)."""
         names = measure_names(key, self.roles)
         sel = [F.col(key)]
         for m, out in names.items():
-            src = {"xb_fraud": "__xb_fraud"}.get(m, f"__{m}")
+            src = f"__{m}"
             if src in self.has:
                 sel.append(F.col(src).alias(out))
-        return self.table.where(F.col("__gid") == F.lit(self.gid[key])).select(*sel)
+        t = self.table if table is None else table
+        return t.where(F.col("__gid") == F.lit(self.gid[key])).select(*sel, *extra)
+
+    def key_is_null(self) -> Column:
+        """True on the NULL-key group of whichever id set a row belongs to."""
+        expr = None
+        for k in self.ids:
+            cond = F.col("__gid") == F.lit(self.gid[k])
+            expr = F.when(cond, F.col(k).isNull()) if expr is None else expr.when(cond, F.col(k).isNull())
+        return expr if expr is not None else F.lit(False)
 
     @property
     def counts(self) -> DataFrame:

@@ -133,3 +133,57 @@ def tier_onehot_columns(key: str, roles: Roles, labels: list[str]) -> list:
     return [
         F.when(v == F.lit(lab), 1.0).otherwise(0.0).alias(f"{tier}_enc_{i}") for i, lab in enumerate(labels)
     ]
+
+
+def tier_population(stats, roles: Roles, params: Params, card: dict[str, int]):
+    """Tiers of every entity of every id from the one population aggregate.
+
+    Bins of all ids come from one grouped ``percentile`` over the distinct
+    (id, rate) pairs; the task of one id holds that id's distinct rates,
+    checked against ``exact_percentile_max_rates`` (ids above it take the
+    distributed rank path of ``risk_bins``).  The bins table has one row per
+    id (bounded) and is broadcast; tiers are one projection; the tier labels
+    of all ids are one small aggregate.
+
+    Returns ({id: profile with tier column}, {id: tier labels in slot order}).
+    """
+    from pyspark import StorageLevel
+
+    ids = list(stats.ids)
+    if not ids:
+        return {}, {}
+    gids = {k: stats.gid[k] for k in ids}
+    table = stats.table.where(F.col("__gid").isin(list(gids.values())))
+    pct = F.array(*[F.lit(float(p)) for p in params.tier_percentiles])
+    small = [k for k in ids if card.get(k, 0) <= params.exact_percentile_max_rates]
+    parts = []
+    if small:
+        rates = (
+            table.where(F.col("__gid").isin([gids[k] for k in small]) & F.col("__rate").isNotNull())
+            .select("__gid", F.col("__rate").alias("rate"))
+            .distinct()
+        )
+        parts.append(rates.groupBy("__gid").agg(F.array_distinct(F.percentile("rate", pct)).alias(BINS)))
+    for k in ids:
+        if k not in small:
+            rate = measure_names(k, roles)["rate"]
+            parts.append(risk_bins(stats.profile(k), rate, params).select(F.lit(gids[k]).alias("__gid"), BINS))
+    bins = reduce(lambda a, b: a.unionByName(b), parts)
+    tiered = (
+        table.join(F.broadcast(bins), on="__gid", how="left")
+        .withColumn("__tier", tier_expr(F.col("__rate"), F.col(BINS)))
+        .drop(BINS)
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    value = F.when(stats.key_is_null(), F.lit(UNKNOWN_TIER)).otherwise(F.col("__tier"))
+    rows = tiered.groupBy("__gid", value.alias("value")).agg(F.sum("__count").alias("n")).collect()
+    by_gid: dict[int, list] = {}
+    for r in rows:
+        by_gid.setdefault(r["__gid"], []).append(r)
+    labels = {
+        k: [r["value"] for r in sorted(by_gid.get(gids[k], []), key=lambda r: (-r["n"], r["value"]))] for k in ids
+    }
+    profiles = {
+        k: stats.profile(k, tiered, extra=[F.col("__tier").alias(tier_name(k, roles))]) for k in ids
+    }
+    return profiles, labels

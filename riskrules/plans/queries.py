@@ -99,8 +99,11 @@ def q_risk_bins(spark, sf):
 
 
 def _tiered(spark, sf, key):
+    # the profile's row count bounds the distinct rates: the size check of the
+    # exact percentile aggregate (q_risk_bins runs the distributed rank path)
     names = profiles.measure_names(key, R)
-    t = tiers.with_risk_tier(_profile(spark, sf, key), key, R, P)
+    prof = _profile(spark, sf, key).persist(StorageLevel.MEMORY_AND_DISK)
+    t = tiers.with_risk_tier(prof, key, R, P, max_rates=prof.count())
     return t.select(key, names["rate"], tiers.tier_name(key, R))
 
 

@@ -28,7 +28,7 @@ from ..operators.patterns import mine_patterns, rule_conditions
 from ..operators.profiles import PopulationStats, attach_profile, profile_columns, with_cross_border
 from ..operators.rules import evaluate_rules, keep_precise, rank_rules
 from ..operators.ruleset import choose, combined_rule, metrics, union_metrics
-from ..operators.tiers import tier_labels_all, tier_name, tier_onehot_columns, with_risk_tier
+from ..operators.tiers import tier_name, tier_onehot_columns, tier_population
 from ..roles import Params, Roles, is_numeric
 
 
@@ -76,12 +76,11 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
     # one small job: every id's and categorical's cardinality (also the size
     # checks of the profile joins and of the percentile aggregate)
     card: dict[str, int] = stats.cardinalities() if stats is not None else {}
-    for key in roles.ids:
-        prof = with_risk_tier(stats.profile(key), key, roles, params, max_rates=card[key])
-        profiles[key] = prof.persist(StorageLevel.MEMORY_AND_DISK)
+    # tiers of every entity of every id in one plan, labels in one small job
+    profiles, tiers = tier_population(stats, roles, params, card) if roles.ids else ({}, {})
+    for key, prof in profiles.items():
         for c in profile_columns(prof, key):
             source_of[c] = key
-    tiers = tier_labels_all(profiles, roles)
     counts = None
     onehot: dict[str, list[str]] = {}
     freq: list[str] = []

@@ -144,3 +144,24 @@ def test_bins_both_paths_agree(spark):
         a = tiers.risk_bins(prof, rate, P).first()["bins"]
         b = tiers.risk_bins(prof, rate, P, max_rates=prof.count()).first()["bins"]
         assert len(a) == len(b) and all(abs(x - y) <= 1e-12 for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_tier_population_equals_per_id_tiers(spark, limit):
+    from riskrules.operators.profiles import PopulationStats
+    from riskrules.sources.fixtures import FIXTURE_ROLES, tx_frame
+
+    from .conftest import SF0001
+
+    tx = profiles.with_cross_border(tx_frame(spark, SF0001), FIXTURE_ROLES)
+    params = P.with_(exact_percentile_max_rates=limit)
+    st = PopulationStats(tx, FIXTURE_ROLES, params, ())
+    card = st.cardinalities()
+    profs, labels = tiers.tier_population(st, FIXTURE_ROLES, params, card)
+    for key in FIXTURE_ROLES.ids:
+        ref = tiers.with_risk_tier(profiles.entity_profile(tx, key, FIXTURE_ROLES, P), key, FIXTURE_ROLES, P)
+        name = tiers.tier_name(key, FIXTURE_ROLES)
+        got = {r[key]: r[name] for r in profs[key].select(key, name).collect()}
+        exp = {r[key]: r[name] for r in ref.select(key, name).collect()}
+        assert got == exp
+        assert labels[key] == tiers.tier_labels(ref, key, FIXTURE_ROLES)
