@@ -178,7 +178,16 @@ class PopulationStats:
         agg = base.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols]).agg(
             *self.measures, F.grouping_id().alias("__gid")
         )
-        self.table = agg.persist(StorageLevel.MEMORY_AND_DISK)
+        # one row per distinct key of every set.  Checkpointed (default): the
+        # band query reads it beside its own scan of the same input, and the
+        # analyzer's re-instantiation of shared leaves can make a cached plan
+        # miss; a checkpointed relation is always read back, never recomputed.
+        if params.materialize == "checkpoint":
+            from ..functions.joins import materialize
+
+            self.table = materialize(agg, params)
+        else:
+            self.table = agg.persist(StorageLevel.MEMORY_AND_DISK)
         self.has = set(self.table.columns)
 
     def profile(self, key: str, table: DataFrame | None = None, extra=()) -> DataFrame:
@@ -203,16 +212,19 @@ class PopulationStats:
 
     @property
     def counts(self) -> DataFrame:
-        parts = [
-            self.table.where(F.col("__gid") == F.lit(self.gid[self.cat_col[f]])).select(
-                F.lit(f).alias("feature"), F.col(self.cat_col[f]).alias("value"), F.col("__count").alias("n")
-            )
-            for f in self.cats
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        """``feature, value, n`` of every categorical: one filter and CASE
+        projections over the cached aggregate (a union of per-feature filters
+        would re-instantiate the plan and miss the cache)."""
+        gids = [self.gid[self.cat_col[f]] for f in self.cats]
+        feature = value = None
+        for f in self.cats:
+            cond = F.col("__gid") == F.lit(self.gid[self.cat_col[f]])
+            feature = F.when(cond, F.lit(f)) if feature is None else feature.when(cond, F.lit(f))
+            col = F.col(self.cat_col[f])
+            value = F.when(cond, col) if value is None else value.when(cond, col)
+        return self.table.where(F.col("__gid").isin(gids)).select(
+            feature.alias("feature"), value.alias("value"), F.col("__count").alias("n")
+        )
 
     def cardinalities(self) -> dict[str, int]:
         """Distinct values (NULL counted once) of every id and categorical, in

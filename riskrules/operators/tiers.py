@@ -173,8 +173,17 @@ def tier_population(stats, roles: Roles, params: Params, card: dict[str, int]):
         table.join(F.broadcast(bins), on="__gid", how="left")
         .withColumn("__tier", tier_expr(F.col("__rate"), F.col(BINS)))
         .drop(BINS)
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    # one row per entity.  Checkpointed (default): the band joins several
+    # profiles cut from this one table, and repeated references to a cached
+    # plan can be re-instantiated by the analyzer and miss the cache, while a
+    # checkpointed relation is always read back, never recomputed.
+    if params.materialize == "checkpoint":
+        from ..functions.joins import materialize
+
+        tiered = materialize(tiered, params)
+    else:
+        tiered = tiered.persist(StorageLevel.MEMORY_AND_DISK)
     value = F.when(stats.key_is_null(), F.lit(UNKNOWN_TIER)).otherwise(F.col("__tier"))
     rows = tiered.groupBy("__gid", value.alias("value")).agg(F.sum("__count").alias("n")).collect()
     by_gid: dict[int, list] = {}
