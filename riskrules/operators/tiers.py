@@ -111,21 +111,6 @@ def tier_labels(profile_with_tier: DataFrame, key: str, roles: Roles) -> list[st
     return [r["value"] for r in sorted(rows, key=lambda r: (-r["n"], r["value"]))]
 
 
-def tier_labels_all(profiles_with_tier: dict[str, DataFrame], roles: Roles) -> dict[str, list[str]]:
-    """``tier_labels`` of several ids in one job (at most 5 rows per id)."""
-    if not profiles_with_tier:
-        return {}
-    parts = [
-        tier_row_counts(p, key, roles).select(F.lit(key).alias("__key"), "value", "n")
-        for key, p in profiles_with_tier.items()
-    ]
-    rows = reduce(lambda a, b: a.unionByName(b), parts).collect()
-    out: dict[str, list[str]] = {k: [] for k in profiles_with_tier}
-    for r in sorted(rows, key=lambda r: (r["__key"], -r["n"], r["value"])):
-        out[r["__key"]].append(r["value"])
-    return out
-
-
 def tier_onehot_columns(key: str, roles: Roles, labels: list[str]) -> list:
     """0/1 columns ``<tier>_enc_<i>`` (one slot per label, as index+one-hot with keep)."""
     tier = tier_name(key, roles)

@@ -15,7 +15,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.joins import materialize
 from ..operators import bands, encode, model, patterns, profiles, rules, ruleset, tiers
 from ..operators.bands import BUCKET
 from ..roles import Params, Roles

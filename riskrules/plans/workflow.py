@@ -17,7 +17,6 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.joins import materialize
