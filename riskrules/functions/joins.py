@@ -47,7 +47,10 @@ def attach(
 
     ``keyed`` must hold at most one row per non-NULL key (a profile or a
     frequency table).  ``count_col`` is the number of ``rows`` behind each key
-    (``tx_count`` of a profile); it tells which keys are hot.
+    (``tx_count`` of a profile); it tells which keys are hot.  ``keyed_rows``
+    is its known row count (the size check); when it is not given, ``keyed``
+    is persisted and counted here, and the caller may ``unpersist`` it after
+    the join has run.
     """
     if keyed_rows is None:
         # the count fills the cache the join then reads (no second aggregation)

@@ -165,3 +165,28 @@ def test_tier_population_equals_per_id_tiers(spark, limit):
         exp = {r[key]: r[name] for r in ref.select(key, name).collect()}
         assert got == exp
         assert labels[key] == tiers.tier_labels(ref, key, FIXTURE_ROLES)
+
+
+def test_salted_join_splits_hot_key(spark):
+    """A key holding most rows is spread over several join tasks (AQE off, so
+    the partitioning is the planned one); the plain join keeps it in one."""
+    rows = [("H", 1, float(i), 55.0) for i in range(3000)] + [(f"K{i % 50}", 0, 10.0, 55.0) for i in range(500)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    prof = profiles.entity_profile(df, "mch_id_trimmed", ROLES, P)
+    forced = P.with_(max_broadcast_rows=0, rows_per_task=400, max_hot_keys=100)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    old_bc = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        salted = profiles.attach_profile(df, prof, "mch_id_trimmed", ROLES, forced)
+        parts = salted.where(F.col("mch_id_trimmed") == "H").select(F.spark_partition_id().alias("p")).distinct().count()
+        plain = df.join(prof, "mch_id_trimmed", "left")
+        plain_parts = plain.where(F.col("mch_id_trimmed") == "H").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert salted.count() == 3500
+        assert salted.where(F.col("merchant_tx_count") == 3000).count() == 3000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old_bc)
+    assert plain_parts == 1
+    assert parts >= 4
