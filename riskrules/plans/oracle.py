@@ -142,7 +142,7 @@ def onehot_sql(feature: str, slots: int, prefix: str, value_expr: str, source: s
         f"FROM (SELECT {value_expr} AS v, {weight} AS n FROM {source} WHERE {value_expr} IS NOT NULL GROUP BY 1))"
     )
     cols = ", ".join(
-        f"CASE WHEN idx_{feature}.i = {k} THEN 1.0 ELSE 0.0 END AS {prefix}_{k}" for k in range(slots)
+        f"CAST(CASE WHEN idx_{feature}.i = {k} THEN 1 ELSE 0 END AS DOUBLE) AS {prefix}_{k}" for k in range(slots)
     )
     return cte, cols
 
@@ -181,7 +181,7 @@ def q_cardinality() -> str:
 
 FREQ = "SELECT part_id, COUNT(*) / (SELECT COUNT(*) FROM tx) AS part_id_freq FROM tx GROUP BY part_id"
 
-RANGES = ", ".join(f"CASE WHEN amount_bucket = {i} THEN 1.0 ELSE 0.0 END AS amount_range_{i}" for i in range(6))
+RANGES = ", ".join(f"CAST(CASE WHEN amount_bucket = {i} THEN 1 ELSE 0 END AS DOUBLE) AS amount_range_{i}" for i in range(6))
 
 # ---- rules with cs >= 0.35 as the flag, mining (bucket, cs, card_profile_dep) -------------
 
@@ -191,10 +191,10 @@ PAT = (
 )
 RUL = (
     "r AS (SELECT *, ROUND(GREATEST(0.0, cs - 0.05), 3) AS score_lo, ROUND(LEAST(1.0, cs + 0.05), 3) AS score_hi, "
-    "CASE amount_bucket WHEN 0 THEN NULL WHEN 1 THEN 3000.0 WHEN 2 THEN 10000.0 WHEN 3 THEN 25000.0 "
-    "WHEN 4 THEN 50000.0 ELSE 100000.0 END AS amount_lo, "
-    "CASE amount_bucket WHEN 0 THEN 3000.0 WHEN 1 THEN 10000.0 WHEN 2 THEN 25000.0 WHEN 3 THEN 50000.0 "
-    "WHEN 4 THEN 100000.0 ELSE NULL END AS amount_hi FROM pat)"
+    "CAST(CASE amount_bucket WHEN 0 THEN NULL WHEN 1 THEN 3000 WHEN 2 THEN 10000 WHEN 3 THEN 25000 "
+    "WHEN 4 THEN 50000 ELSE 100000 END AS DOUBLE) AS amount_lo, "
+    "CAST(CASE amount_bucket WHEN 0 THEN 3000 WHEN 1 THEN 10000 WHEN 2 THEN 25000 WHEN 3 THEN 50000 "
+    "WHEN 4 THEN 100000 ELSE NULL END AS DOUBLE) AS amount_hi FROM pat)"
 )
 AMOUNT_TEXT = (
     "CASE amount_bucket WHEN 0 THEN 'event.amount <= 3000.0' "
