@@ -140,13 +140,15 @@ def q_freq_table(spark, sf):
 
 def q_freq_encode(spark, sf):
     tx = _tx(spark, sf)
-    counts = encode.category_counts(tx, [PART])
+    # read by the size check, the total and the join: count once
+    counts = encode.category_counts(tx, [PART]).persist(StorageLevel.MEMORY_AND_DISK)
     return encode.attach_frequency(tx, counts, PART, P)
 
 
 def q_onehot_encode(spark, sf):
     tx = _tx(spark, sf)
-    counts = encode.category_counts(tx, ONEHOT_DEMO)
+    # read by the cardinality and the label collects: count once
+    counts = encode.category_counts(tx, ONEHOT_DEMO).persist(StorageLevel.MEMORY_AND_DISK)
     labels, _ = encode.plan_encoding(counts, ONEHOT_DEMO, P)
     cols = [c for f in ONEHOT_DEMO for c in encode.onehot_columns(f, labels[f])]
     return tx.select(MCH, "amount", *ONEHOT_DEMO, *cols)
