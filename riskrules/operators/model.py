@@ -75,6 +75,36 @@ def feature_ranking(
     return spark.createDataFrame(data, schema)
 
 
+def tree_nodes(spark: SparkSession, model: PipelineModel, inputs: Sequence[str]) -> DataFrame:
+    """The fitted tree as a table, one row per node (at most 2^(depth+1) - 1).
+
+    ``node_id`` numbers nodes as a heap (root 1, children 2i and 2i + 1);
+    internal nodes carry the split (input column, threshold: go left when
+    ``value <= threshold``), every node its prediction, impurity and the
+    training rows that reached it.  Model metadata walked on the driver
+    through Spark ML's public node API; no data is read.
+    """
+    rows = []
+    stack = [(model.stages[-1]._java_obj.rootNode(), 1, 0)]
+    while stack:
+        node, nid, depth = stack.pop()
+        count = int(node.impurityStats().count())
+        if node.getClass().getSimpleName() == "InternalNode":
+            split = node.split()
+            threshold = float(split.threshold()) if split.getClass().getSimpleName() == "ContinuousSplit" else None
+            rows.append((nid, depth, False, inputs[split.featureIndex()], threshold,
+                         float(node.prediction()), float(node.impurity()), float(node.gain()), count))
+            stack.append((node.leftChild(), 2 * nid, depth + 1))
+            stack.append((node.rightChild(), 2 * nid + 1, depth + 1))
+        else:
+            rows.append((nid, depth, True, None, None, float(node.prediction()), float(node.impurity()), None, count))
+    schema = (
+        "node_id long, depth int, is_leaf boolean, feature string, threshold double, "
+        "prediction double, impurity double, gain double, rows long"
+    )
+    return spark.createDataFrame(sorted(rows), schema)
+
+
 def source_ranking(ranking: DataFrame) -> DataFrame:
     """Importance summed per source column (one-hot slots and profile measures
     fold back on to the column they were derived from)."""

@@ -310,11 +310,7 @@ def q_feature_ranking(spark, sf):
 
 def q_train_tree(spark, sf):
     prep, m = _trained(spark, sf)
-    tree = m.stages[-1]
-    return spark.createDataFrame(
-        [(int(tree.depth), int(tree.numNodes), int(tree.numFeatures), len(prep.inputs))],
-        "depth int, num_nodes int, num_features int, num_inputs int",
-    )
+    return model.tree_nodes(spark, m, prep.inputs)
 
 
 def q_score_rows(spark, sf):

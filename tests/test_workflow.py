@@ -39,6 +39,11 @@ def test_tree_flags_planted_signal(spark):
     m = model.train(prep.band, prep.inputs, FIXTURE_ROLES, Q.TREE_P)
     rank = model.feature_ranking(spark, m, prep.inputs, prep.source_of).orderBy("rank").first()
     assert rank["feature"] == "cs"
+    nodes = model.tree_nodes(spark, m, prep.inputs).collect()
+    assert len(nodes) == m.stages[-1].numNodes
+    root = [n for n in nodes if n["node_id"] == 1][0]
+    assert root["feature"] == "cs" and not root["is_leaf"] and root["rows"] == 12023
+    assert all(n["is_leaf"] == (n["feature"] is None) for n in nodes)
     scored = model.score(m, prep.band)
     assert prep.band.count() == 12023
     assert scored.where(model.confident(Q.TREE_P)).count() == 2215
