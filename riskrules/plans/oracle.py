@@ -260,6 +260,7 @@ def oracle() -> dict[str, str]:
         "attach_merchant_profile": q_attach("mch_id_trimmed"),
         "attach_issuer_profile": q_attach("issuer_member"),
         "attach_id_profile": q_attach("part_id"),
+        "attach_issuer_profile_salted": q_attach("issuer_member"),
         "risk_bins": q_risk_bins(),
         "risk_tier_merchant": q_tier("mch_id_trimmed"),
         "risk_tier_issuer": q_tier("issuer_member"),

@@ -84,6 +84,15 @@ def q_attach_id_profile(spark, sf):
     return _attached(spark, sf, PART)
 
 
+def q_attach_issuer_profile_salted(spark, sf):
+    """J2 through the path taken above the broadcast limit: salted sort-merge
+    join, with a per-task budget small enough that most issuers are hot."""
+    tx = _tx(spark, sf)
+    prof = _shown(_profile(spark, sf, ISS), ISS)
+    salted = P.with_(max_broadcast_rows=0, rows_per_task=16, max_hot_keys=1_000_000)
+    return profiles.attach_profile(tx, prof, ISS, R, salted).select(*tx.columns, *profiles.profile_columns(prof, ISS))
+
+
 def q_risk_bins(spark, sf):
     parts = []
     for key in (MCH, ISS, PART):
