@@ -108,6 +108,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Eager checkpoint in the shared checkpoint folder (lineage cut)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def materialize(df: DataFrame, params: Params) -> DataFrame:
     """Reuse ``df`` across jobs without recomputing its lineage.
 

@@ -160,8 +160,6 @@ class PopulationStats:
     """
 
     def __init__(self, df: DataFrame, roles: Roles, params: Params, categoricals=()):
-        from pyspark import StorageLevel
-
         from ..functions.exprs import category_text
 
         self.roles, self.params = roles, params
@@ -178,16 +176,13 @@ class PopulationStats:
         agg = base.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols]).agg(
             *self.measures, F.grouping_id().alias("__gid")
         )
-        # one row per distinct key of every set.  Checkpointed (default): the
-        # band query reads it beside its own scan of the same input, and the
-        # analyzer's re-instantiation of shared leaves can make a cached plan
-        # miss; a checkpointed relation is always read back, never recomputed.
-        if params.materialize == "checkpoint":
-            from ..functions.joins import materialize
-
-            self.table = materialize(agg, params)
-        else:
-            self.table = agg.persist(StorageLevel.MEMORY_AND_DISK)
+        # one row per distinct key of every set, always checkpointed (small):
+        # the band query reads it beside its own scan of the same input, and
+        # the analyzer's re-instantiation of shared leaves makes a cached plan
+        # miss there; a checkpointed relation is read back, never recomputed.
+        from ..functions.joins import checkpoint
+
+        self.table = checkpoint(agg)
         self.has = set(self.table.columns)
 
     def profile(self, key: str, table: DataFrame | None = None, extra=()) -> DataFrame:

@@ -132,8 +132,6 @@ def tier_population(stats, roles: Roles, params: Params, card: dict[str, int]):
 
     Returns ({id: profile with tier column}, {id: tier labels in slot order}).
     """
-    from pyspark import StorageLevel
-
     ids = list(stats.ids)
     if not ids:
         return {}, {}
@@ -159,16 +157,13 @@ def tier_population(stats, roles: Roles, params: Params, card: dict[str, int]):
         .withColumn("__tier", tier_expr(F.col("__rate"), F.col(BINS)))
         .drop(BINS)
     )
-    # one row per entity.  Checkpointed (default): the band joins several
+    # one row per entity, always checkpointed (small): the band joins several
     # profiles cut from this one table, and repeated references to a cached
     # plan can be re-instantiated by the analyzer and miss the cache, while a
     # checkpointed relation is always read back, never recomputed.
-    if params.materialize == "checkpoint":
-        from ..functions.joins import materialize
+    from ..functions.joins import checkpoint
 
-        tiered = materialize(tiered, params)
-    else:
-        tiered = tiered.persist(StorageLevel.MEMORY_AND_DISK)
+    tiered = checkpoint(tiered)
     value = F.when(stats.key_is_null(), F.lit(UNKNOWN_TIER)).otherwise(F.col("__tier"))
     rows = tiered.groupBy("__gid", value.alias("value")).agg(F.sum("__count").alias("n")).collect()
     by_gid: dict[int, list] = {}

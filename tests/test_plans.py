@@ -51,3 +51,20 @@ def test_band_filter_reaches_scan(spark):
     p = plan(score_band(df, Roles(), Params()).select("fraud_score", "l_tax"))
     assert "PushedFilters: [IsNotNull(fraud_score)" in p or "PushedFilters: [IsNotNull(l_discount)" in p
     assert "ReadSchema: struct<l_tax:double,l_discount:double>" in p or "ReadSchema: struct<l_discount:double,l_tax:double>" in p
+
+
+@pytest.mark.parametrize("mode", ["checkpoint", "persist"])
+def test_band_reads_population_aggregates_back(spark, monkeypatch, mode):
+    """The band joins several profiles cut from one aggregate beside its own
+    scan of the input: the aggregate must be read back (checkpoint), never
+    recomputed inside the band's plan (no Expand, one scan per input table)."""
+    import riskrules.plans.workflow as W
+    from riskrules.plans.queries import R, TREE_P
+    from riskrules.sources.fixtures import tx_frame
+
+    monkeypatch.setattr(W, "materialize", lambda df, params: df)  # inspect the band's own plan
+    prep = W.preprocess(tx_frame(spark, SF0001), R, TREE_P.with_(materialize=mode))
+    p = prep.band._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in p
+    for table in ("lineitem", "orders", "customer", "supplier"):
+        assert p.count(f"{table}.parquet") == 1, (table, p.count(f"{table}.parquet"))
