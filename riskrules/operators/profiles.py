@@ -153,7 +153,7 @@ def _all_measures(df: DataFrame, roles: Roles, params: Params) -> list[Column]:
 class PopulationStats:
     """Profiles of all id columns and value counts of all categoricals from ONE
     aggregate (``GROUPING SETS``, one set per column): one scan of the
-    population, partial aggregation before a single shuffle, persisted once.
+    population, partial aggregation before a single shuffle, checkpointed once.
 
     ``profile(key)`` equals ``entity_profile(df, key)``; ``counts`` equals
     ``encode.category_counts(df, categoricals)``.
