@@ -8,6 +8,7 @@ rows inside each range, and adds the number of rows in all earlier ranges
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,15 +21,34 @@ RN = "__rn"
 OFF = "__off"
 
 
+ROWS_PER_RANGE = 1_000_000
+
+
+def range_partitions(spark, rows_hint: int | None) -> int:
+    """Range partitions for ``rows_hint`` rows: about ROWS_PER_RANGE each,
+    at most the session's shuffle partitions."""
+    cap = default_partitions(spark)
+    if rows_hint is None:
+        return cap
+    return max(1, min(cap, math.ceil(rows_hint / ROWS_PER_RANGE)))
+
+
 def global_rank(
-    df: DataFrame, order: Sequence[Column], rank_col: str = "rank", partitions: int | None = None
+    df: DataFrame,
+    order: Sequence[Column],
+    rank_col: str = "rank",
+    partitions: int | None = None,
+    rows_hint: int | None = None,
 ) -> DataFrame:
     """Add ``rank_col`` = 1-based position of each row in ``order``.
 
     ``order`` must be a total order (add tie-breaking keys), as with
-    ``row_number``.
+    ``row_number``.  The partition count is explicit, so partition ids are
+    fixed (both consumers of the numbered rows see the same ranges); it is
+    sized from ``rows_hint`` (an upper bound of the rows) when known, so a
+    small table does not run as many tasks as the cluster's shuffle partitions.
     """
-    n = partitions or default_partitions(df.sparkSession)
+    n = partitions or range_partitions(df.sparkSession, rows_hint)
     ranged = df.repartitionByRange(n, *order).withColumn(PID, F.spark_partition_id())
     numbered = ranged.withColumn(RN, F.row_number().over(Window.partitionBy(PID).orderBy(*order)))
     counts = numbered.groupBy(PID).agg(F.count(F.lit(1)).alias("__cnt"))

@@ -174,5 +174,7 @@ def rank_order(features: Sequence[str]) -> list[Column]:
     return [F.desc("amount_recall"), F.asc(BUCKET), *[F.asc_nulls_first(f) for f in features]]
 
 
-def rank_rules(kept: DataFrame, features: Sequence[str]) -> DataFrame:
-    return global_rank(kept, rank_order(features), "rank")
+def rank_rules(kept: DataFrame, features: Sequence[str], n_rules: int | None = None) -> DataFrame:
+    """``rank`` by ``rank_order``; ``n_rules`` (an upper bound, e.g. the rule
+    count from the mask job) sizes the range partitions."""
+    return global_rank(kept, rank_order(features), "rank", rows_hint=n_rules)

@@ -47,7 +47,7 @@ def risk_bins(
         return rates.agg(F.array_distinct(F.percentile("rate", F.array(*[F.lit(p) for p in pcts]))).alias(BINS))
     n = rates.agg(F.count(F.lit(1)).alias("__n"))
     # n: one-row aggregate, evaluated once as a scalar subquery
-    ranked = global_rank(rates, [F.asc("rate")], "__rk").withColumn("__n", n.scalar())
+    ranked = global_rank(rates, [F.asc("rate")], "__rk", rows_hint=max_rates).withColumn("__n", n.scalar())
     pos = [(F.col("__n") - 1) * F.lit(p) for p in pcts]
     needed = reduce(
         lambda a, b: a | b,

@@ -25,7 +25,7 @@ from ..operators.encode import attach_frequency, fill_sentinel, onehot_columns,
 from ..operators.model import confident, feature_ranking, model_inputs, score, train
 from ..operators.patterns import mine_patterns, rule_conditions
 from ..operators.profiles import PopulationStats, attach_profile, profile_columns, with_cross_border
-from ..operators.rules import evaluate_rules, keep_precise, rank_rules
+from ..operators.rules import evaluate_rules, keep_precise, mask_counts, rank_rules
 from ..operators.ruleset import choose, combined_rule, metrics, union_metrics
 from ..operators.tiers import tier_name, tier_onehot_columns, tier_population
 from ..roles import Params, Roles, is_numeric
@@ -166,8 +166,9 @@ def mine_rules(
     flag = flagged if flagged is not None else confident(params)
     patterns = mine_patterns(scored, flag, feats, roles, params)
     rules = rule_conditions(patterns, feats, roles, params).persist(StorageLevel.MEMORY_AND_DISK)
-    evaluated = evaluate_rules(scored, rules, feats, roles, params).persist(StorageLevel.MEMORY_AND_DISK)
-    ranked = rank_rules(keep_precise(evaluated, params), feats).persist(StorageLevel.MEMORY_AND_DISK)
+    masks = mask_counts(rules)
+    evaluated = evaluate_rules(scored, rules, feats, roles, params, masks=masks).persist(StorageLevel.MEMORY_AND_DISK)
+    ranked = rank_rules(keep_precise(evaluated, params), feats, sum(masks.values())).persist(StorageLevel.MEMORY_AND_DISK)
     selected = choose(ranked, params)
     return MiningResult(
         model=model,
