@@ -33,4 +33,45 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 WHERE rank <= 5
 """
 
-ORACLE: dict[str, str] = {"op1_chat_format": OP1, "op6_topk_search": OP6}
+OP8 = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+    SELECT doc_id, i, array_to_string(w[i:i+49], ' ') AS win
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+first AS (SELECT win, min(doc_id) AS m FROM win GROUP BY win),
+hit AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM win JOIN first USING (win) WHERE m < doc_id),
+word AS (
+    SELECT doc_id, k, w[k] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text
+    FROM word ANTI JOIN hit USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP9 = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w
+        ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END) AS s FROM d),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+link AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(doc_id, c) AS (
+    SELECT doc_id, doc_id FROM s UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.c)
+SELECT s.doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(c) AS component_id, s.doc_id = min(c) AS kept
+FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_chat_format": OP1,
+    "op6_topk_search": OP6,
+    "op8_substring_dedup": OP8,
+    "op9_minhash_neardup": OP9,
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import checkpoint_dir
 
-#: Bits of a key filter; its size (4 MiB) never depends on the data.
-FILTER_BITS = 1 << 25
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: Bits of a key filter; its size (8 MiB) never depends on the data.
+FILTER_BITS = 1 << 26
 
 
 def shared_table(df: DataFrame, name: str, *, sort: list[str] | None = None) -> DataFrame:
@@ -67,4 +69,9 @@ def passes(bitset: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the given folder.  In local mode, where the package may be run
+    from its source folder, workers get that folder on their path."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        sc.environment.setdefault("PYTHONPATH", ROOT)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
