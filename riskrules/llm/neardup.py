@@ -13,13 +13,16 @@ Links are confirmed on the full sets.  No group is expanded into all pairs:
 1. equal sets are one node (its smallest id);
 2. a document is compared with the least and greatest id of its key groups, the
    one that shares most keys first; confirmed links make components;
-3. key groups that still span several components compare the documents outside
-   their largest component with the others, within the radius; links are never
-   lost, and groups inside one component cost nothing.
+3. the same comparisons also tell which documents are akin (similarity NEAR or
+   more), and kinship makes clusters: both ends of a link are akin to the ends
+   of the key groups they share.  In clusters that still span several
+   components, the documents outside the largest component are compared with all
+   others, block by block: a unit of work holds two blocks of sets and lets out
+   links only.  Clusters inside one component cost nothing.
 
-Comparisons are dealt by (document, block of partners): one set is held at a
-time and partners stream past it.  Components come from label propagation with
-pointer jumping over written tables.
+Comparisons with a single document are dealt by (document, block of partners):
+one set is held at a time and partners stream past it.  Components come from
+label propagation with pointer jumping over written tables.
 
 Defined results: null or empty texts have empty sets and are linked to nothing;
 a text shorter than a shingle is one shingle, its whole sequence; rows with a
@@ -44,8 +47,10 @@ from .words import mix, shingles, words
 SYMBOLS, CHUNKS, ERRORS = 100, 20, 1
 WIDTH = SYMBOLS // CHUNKS
 RADIUS = CHUNKS * (ERRORS + 1) - 1
-#: Partners compared with one held set in one unit of work.
-BLOCK = 512
+#: Partners of one held set, and documents of a cluster's block, in a unit of work.
+BLOCK, CLUSTER_BLOCK = 512, 256
+#: Similarity from which two documents are akin.
+NEAR = 0.35
 LEAVE = list(combinations(range(WIDTH), WIDTH - ERRORS))
 _seeds = mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64))
 MULT, ADD = _seeds[:SYMBOLS] | np.uint64(1), _seeds[SYMBOLS:]
@@ -116,7 +121,7 @@ def _keys(shared=None):
 
 
 def _compare(k: int, num: int, den: int):
-    """Stream of (held set, then its partners) rows into confirmed links."""
+    """Stream of (held set, then its partners) rows into akin pairs and links."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, None
@@ -131,22 +136,24 @@ def _compare(k: int, num: int, den: int):
                     if other[r] < 0 and group != (a[r], block[r]):
                         group, held = (a[r], block[r]), mine
                     elif other[r] >= 0 and group == (a[r], block[r]):
-                        if den * min(len(mine), len(held)) >= num * max(len(mine), len(held)):
-                            at = np.searchsorted(held, mine)
-                            both = int((held[np.minimum(at, len(held) - 1)] == mine).sum())
-                            if both and den * both >= num * (len(mine) + len(held) - both):
-                                links.append((a[r], other[r]))
+                        at = np.searchsorted(held, mine)
+                        both = int((held[np.minimum(at, len(held) - 1)] == mine).sum()) if len(held) else 0
+                        union = len(mine) + len(held) - both
+                        if both >= NEAR * union and both:
+                            links.append((a[r], other[r], den * both >= num * union))
                 if links:
-                    yield pa.record_batch([pa.array(np.array(x, np.int64)) for x in zip(*links, strict=True)], names=["a", "b"])
+                    x, y, z = zip(*links, strict=True)
+                    yield pa.record_batch([pa.array(np.array(x, np.int64)), pa.array(np.array(y, np.int64)), pa.array(z, pa.bool_())], names=["a", "b", "linked"])
 
     return compare
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity num / den.
+def compared(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``a, b, linked`` of the pairs that are akin; linked: their full sets reach
+    the similarity num / den.
 
-    ``texts`` has one row per id (``doc_id, text``); ids are not negative after
-    ranking, so b = -1 marks the row of the held set, which sorts first.
+    ``texts`` has one row per id (``doc_id, text``) and no negative id: b = -1
+    marks the row of the held set, which sorts first.
     """
     blocks = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).cast("long")
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
@@ -158,7 +165,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
         .join(texts, "doc_id")
         .select("a", "block", "b", "text")
     )
-    return rows.repartition("a", "block").sortWithinPartitions("a", "block", "b").mapInArrow(_compare(k, num, den), "a long, b long")
+    return rows.repartition("a", "block").sortWithinPartitions("a", "block", "b").mapInArrow(_compare(k, num, den), "a long, b long, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -187,11 +194,79 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return shared_table(labels.join(more, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def _within_radius(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            near = (_symbols(b.column("sig_a")) != _symbols(b.column("sig_b"))).sum(1) <= RADIUS
-            yield b.select(["a", "b"]).filter(pa.array(near))
+def _cross_links(k: int, num: int, den: int):
+    """Rows of a unit of work (two blocks of a cluster) into links between
+    documents with different labels; one side of each is outside ("left")."""
+
+    def of_unit(held: list) -> Iterator[tuple[int, int]]:
+        ids, labels, left, own = (np.array([h[i] for h in held]) for i in range(4))
+        sets = [h[4] for h in held]
+        sizes = np.array([len(x) for x in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for i in np.flatnonzero(left):
+            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            n = hi - lo
+            at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            both = np.bincount(owner[at], minlength=len(sets))
+            union = sizes + sizes[i] - both
+            hit = (labels != labels[i]) & (both > 0) & (den * both >= num * union)
+            for j in np.flatnonzero(hit & (~left | (own != own[i]) | (ids > ids[i]))):
+                yield int(ids[i]), int(ids[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*found, strict=True)
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        unit, held = None, []
+        for b in batches:
+            c = {x: b.column(x).to_pylist() for x in ("cluster", "p", "q", "doc_id", "label", "left", "block")}
+            for w in words(b.column("text"), lower=True):
+                sizes, g = shingles(w, k)
+                end = np.cumsum(sizes)
+                for r in range(w.lo, w.hi):
+                    now = (c["cluster"][r], c["p"][r], c["q"][r])
+                    if now != unit:
+                        if held and (found := list(of_unit(held))):
+                            yield out(found)
+                        unit, held = now, []
+                    held.append((c["doc_id"][r], c["label"][r], c["left"][r], c["block"][r], g[end[r - w.lo] - sizes[r - w.lo] : end[r - w.lo]].copy()))
+        if held and (found := list(of_unit(held))):
+            yield out(found)
+
+    return run
+
+
+def _cluster_links(akin: DataFrame, labels: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links between the components that lie in one cluster."""
+    clusters = components(akin).select(F.col("id").alias("doc_id"), F.col("label").alias("cluster"))
+    placed = shared_table(clusters.join(labels, F.col("doc_id") == F.col("id")).select("cluster", "doc_id", "label"), "clusters")
+    per = placed.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size"))
+    main = per.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all"), F.max("size").alias("most"), F.max_by("label", F.struct("size", "label")).alias("main")
+    )
+    blocks = [F.ceil(F.col(c) / CLUSTER_BLOCK).cast("int") for c in ("most", "rest")]
+    main = main.where("parts > 1").withColumn("rest", F.col("all") - F.col("most"))
+    main = main.select("cluster", "main", blocks[0].alias("n_main"), blocks[1].alias("n_left"))
+    rows = placed.join(main, "cluster").withColumn("left", F.col("label") != F.col("main"))
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("left"), F.col("n_left")).otherwise(F.col("n_main"))).cast("int")
+    rows = rows.withColumn("block", own)
+    # units: (left block, main block) as (p, -1 - q); (left block, left block) as p <= q
+    lefts, mains = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("n_left", "n_main"))
+    of_left = F.concat(
+        F.transform(mains, lambda j: F.struct(F.col("block").alias("p"), (-j - 1).alias("q"))),
+        F.transform(lefts, lambda j: F.struct(F.least("block", j).alias("p"), F.greatest("block", j).alias("q"))),
+    )
+    of_main = F.transform(lefts, lambda i: F.struct(i.alias("p"), (-F.col("block") - 1).alias("q")))
+    units = rows.withColumn("unit", F.explode(F.when(F.col("left"), of_left).otherwise(of_main)))
+    units = units.select("cluster", "unit.p", "unit.q", "doc_id", "label", "left", "block").join(texts, "doc_id")
+    return (
+        units.repartition("cluster", "p", "q")
+        .sortWithinPartitions("cluster", "p", "q", "doc_id")
+        .mapInArrow(_cross_links(k, num, den), "a long, b long")
+    )
 
 
 def _across(labels: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -210,7 +285,7 @@ def groups(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> Dat
     taking_part = signed.where("n > 0 AND doc_id IS NOT NULL")
     same = ["n", "set_a", "set_b"]
     nodes = taking_part.groupBy(*same).agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"))
-    # rank ids: a dense-enough, non-negative stand-in is the node itself shifted above zero
+    # ids are shifted to start at 0, so that -1 is free to mark held sets
     nodes = shared_table(nodes, "nodes")
     low = nodes.agg(F.min("node")).first()[0] or 0
     sigs = nodes.select((F.col("node") - F.lit(low)).alias("doc_id"), "n", "sig")
@@ -220,35 +295,22 @@ def groups(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> Dat
     )
     ends = shared_table(ends.where("least < most"), "ends")
     shared = key_filter(ends, "key")
-    held = shared_table(sigs.select("doc_id", "sig").mapInArrow(_keys(shared), "key long, doc_id long").join(ends.select("key"), "key", "left_semi"), "keys")
-    star = held.join(ends, "key").select("doc_id", F.explode(F.array("least", "most")).alias("end")).where("doc_id <> end")
+    held = sigs.select("doc_id", "sig").mapInArrow(_keys(shared), "key long, doc_id long").join(ends, "key")
+    star = held.select("doc_id", F.explode(F.array("least", "most")).alias("end")).where("doc_id <> end")
     star = shared_table(star.groupBy("doc_id", "end").agg(F.count(F.lit(1)).alias("keys")), "star")
 
     wanted = key_filter(star.select("doc_id").union(star.select("end")).distinct(), "doc_id")
     texts = shared_table(_texts(rows, nodes, low, wanted), "texts")
     best = star.groupBy("doc_id").agg(F.max_by("end", F.struct("keys", -F.col("end"))).alias("end"))
-    links = confirmed(best.select(F.col("end").alias("a"), F.col("doc_id").alias("b")), texts, k, num, den)
-    all_ids = texts.select(F.col("doc_id").alias("id")).distinct()
-    labels = components(links)
+    first = shared_table(compared(best.select(F.col("end").alias("a"), F.col("doc_id").alias("b")), texts, k, num, den), "akin")
+    labels = components(first.where("linked"))
+    all_ids = texts.select(F.col("doc_id").alias("id"))
     labels = shared_table(all_ids.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
 
-    rest = _across(labels, star.select(F.col("end").alias("a"), F.col("doc_id").alias("b")).distinct())
-    labels = _relabel(labels, confirmed(rest, texts, k, num, den))
-
-    sized = held.join(labels, F.col("doc_id") == F.col("id")).join(sigs.select("doc_id", "n"), "doc_id").select("key", "doc_id", "label", "n")
-    per = sized.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("size", "label")).alias("main"))
-    open_keys = shared_table(sized.join(main.where("parts > 1").select("key", "main"), "key"), "open")
-    x = open_keys.where("label <> main").select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    y = open_keys.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), "main")
-    fits = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
-    fits = fits & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    pairs = x.join(y, "key").where(fits).select("a", "b").distinct()
-    tried = star.select(F.col("end").alias("a"), F.col("doc_id").alias("b"))
-    pairs = pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
-    sa, sb = (sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    near = pairs.join(sa, "a").join(sb, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_within_radius, "a long, b long")
-    labels = _relabel(labels, confirmed(shared_table(near, "near"), texts, k, num, den))
+    rest = _across(labels, star.select(F.col("end").alias("a"), F.col("doc_id").alias("b")))
+    rest = shared_table(compared(rest, texts, k, num, den), "akin")
+    labels = _relabel(labels, rest.where("linked"))
+    labels = _relabel(labels, _cluster_links(first.union(rest), labels, texts, k, num, den))
 
     found = nodes.select(*same, "node").join(labels.select((F.col("id") + F.lit(low)).alias("node"), (F.col("label") + F.lit(low)).alias("label")), "node", "left")
     found = found.select(*same, F.coalesce("label", "node").alias("component"))
