@@ -41,31 +41,33 @@ def key_filter(keys: DataFrame, key: str):
     """Broadcast bitset holding every ``key`` of ``keys`` (long column).
 
     A member always tests true; others may (they only cost work later, joins
-    decide).  Partial bitsets are combined per 512-byte page on the executors
+    decide).  Partial bitsets are combined per 64-bit word on the executors
     and the driver gets at most FILTER_BITS / 8 bytes, however many keys exist.
     """
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(FILTER_BITS, np.bool_)
+        words = np.zeros(FILTER_BITS // 64, np.uint64)
         for b in batches:
-            flags[bits_of(np.asarray(b.column(0)).view(np.uint64))] = True
-        words = np.packbits(flags).view(np.int64)
+            if b.num_rows:
+                bits = np.unique(bits_of(np.asarray(b.column(0)).view(np.uint64)))
+                at, first = np.unique(bits >> 6, return_index=True)
+                words[at] |= np.bitwise_or.reduceat(np.uint64(1) << (bits & 63).astype(np.uint64), first)
         at = np.flatnonzero(words)
         for i in range(0, len(at), 65536):
-            yield pa.record_batch([pa.array(at[i : i + 65536]), pa.array(words[at[i : i + 65536]])], names=["at", "word"])
+            yield pa.record_batch([pa.array(at[i : i + 65536]), pa.array(words[at[i : i + 65536]].view(np.int64))], names=["at", "word"])
 
     words = keys.select(key).mapInArrow(pages, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
     # at most FILTER_BITS / 64 rows of 16 bytes, moved in Arrow batches
     got = words.toArrow()
     bitset = np.zeros(FILTER_BITS // 64, np.int64)
     bitset[got.column("at").to_numpy()] = got.column("word").to_numpy()
-    return keys.sparkSession.sparkContext.broadcast(bitset.view(np.uint8))
+    return keys.sparkSession.sparkContext.broadcast(bitset.view(np.uint64))
 
 
 def passes(bitset: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which 64-bit ``keys`` may be in the filter (all that are, do)."""
     bit = bits_of(keys)
-    return (bitset[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
+    return (bitset[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact removal of repeated passages: seed and extend on winnowed anchors.
 
 Every window of ``window`` consecutive words names one anchor: its least hashed
-run of ``window // 2`` words (leftmost on ties), a function of the window's
+run of about half as many words (leftmost on ties), a function of the window's
 words alone.  Equal windows therefore meet at equal anchors, and an anchor's
 neighbouring windows form one cell, the anchor extended both ways as far as
 windows name it.
@@ -10,10 +10,12 @@ windows name it.
    fixed-size bit filter.
 2. Extension: cells of shared anchors.  Equal cells of many documents collapse
    into one with the smallest id (aggregation, combined map-side: a passage in a
-   third of all documents costs one partial row per task); only distinct cells
-   are opened into windows, and each window gets the smallest document id.
-3. Maximal repeats: the windows that start in an earlier document are merged per
-   document and their words removed.
+   third of all documents costs one partial row per task).  All windows of a cell
+   repeat in every document but that first one.  For the first, cells of anchors
+   that have several distinct cells are opened into windows, and the windows that
+   another cell holds with a smaller id are kept as a bit mask.
+3. Maximal repeats: the repeated windows are merged per document and their words
+   removed.
 
 Nothing is emitted per pair of documents.
 
@@ -37,7 +39,12 @@ from pyspark.sql import types as T
 from .shared import key_filter, passes, shared_table
 from .words import WORD_BASE, grams, mix, spans_hash, words
 
-CELL = "anchor long, cell long, doc_id long, tkey long, start int, wins binary"
+CELL = "anchor long, cell long, doc_id long, tkey long, start int, windows int, wins binary"
+
+
+def anchor_words(window: int) -> int:
+    """Words of an anchor: half a window, and more if a cell's mask (63 bits) asks it."""
+    return max(window // 2, window - 61, 1)
 
 
 def leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -60,7 +67,7 @@ def cells_of(h: np.ndarray, row: np.ndarray, window: int):
     n = len(h)
     if n < window:
         return None
-    k = window // 2
+    k = anchor_words(window)
     g = grams(h, k)
     at = leftmost_min(g, window - k + 1)
     inside = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
@@ -85,30 +92,33 @@ def _seeds(window: int):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for w in words(b.column("text")):
                 if (c := cells_of(w.hash, w.row, window)) is not None:
-                    yield pa.record_batch([_long(c[3]), pa.array(ids[c[0]].astype(np.int64))], names=["anchor", "doc_id"])
+                    yield pa.record_batch([_long(c[3]), _long(c[4]), pa.array(ids[c[0]].astype(np.int64))], names=["anchor", "cell", "doc_id"])
 
     return seeds
 
 
-def _cells(window: int, shared):
+def _cells(window: int, shared, mixed):
+    names = [f.split()[0] for f in CELL.split(", ")]
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for b in batches:
             ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tkey"))
             for w in words(b.column("text")):
                 if (c := cells_of(w.hash, w.row, window)) is None:
                     continue
-                keep = passes(bits, c[3])
+                keep = passes(shared.value, c[3])
                 row, start, count, anchor, cell = (x[keep] for x in c[:5])
                 if not len(row):
                     continue
-                firsts = w.firsts()[row - w.lo]
-                inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                wins = c[5][np.repeat(start, count) + inside]
-                cuts = pa.py_buffer((np.r_[0, np.cumsum(count)] * 8).astype(np.int32))
+                # windows are listed only where an anchor has several distinct cells
+                opened = np.where(passes(mixed.value, anchor), count, 0)
+                inside = np.arange(int(opened.sum())) - np.repeat(np.cumsum(opened) - opened, opened)
+                wins = c[5][np.repeat(start, opened) + inside]
+                cuts = pa.py_buffer((np.r_[0, np.cumsum(opened)] * 8).astype(np.int32))
                 held = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, cuts, pa.py_buffer(wins)])
-                cols = [_long(anchor), _long(cell), pa.array(ids[row]), pa.array(keys[row]), pa.array((start - firsts).astype(np.int32)), held]
-                yield pa.record_batch(cols, names=[f.split()[0] for f in CELL.split(", ")])
+                place = (start - w.firsts()[row - w.lo]).astype(np.int32)
+                cols = [_long(anchor), _long(cell), pa.array(ids[row]), pa.array(keys[row]), pa.array(place), pa.array(count.astype(np.int32)), held]
+                yield pa.record_batch(cols, names=names)
 
     return cells
 
@@ -116,64 +126,77 @@ def _cells(window: int, shared):
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct cells into their windows."""
     for b in batches:
+        if not b.num_rows:
+            continue
         wins = b.column("wins")
         off = np.frombuffer(wins.buffers()[1], np.int32)[wins.offset : wins.offset + len(wins) + 1] // 8
         n = np.diff(off)
         at = np.repeat(np.arange(b.num_rows), n)
-        vals = np.frombuffer(wins.buffers()[2], np.int64)[off[0] : off[-1]] if b.num_rows else np.zeros(0, np.int64)
+        vals = np.frombuffer(wins.buffers()[2], np.int64)[off[0] : off[-1]]
         j = (np.arange(len(vals)) - np.repeat(off[:-1] - off[0], n)).astype(np.int32)
         cols = [b.column(c).take(pa.array(at)) for c in ("anchor", "cell", "first_id")]
         yield pa.record_batch([*cols, pa.array(j), pa.array(vals)], names=["anchor", "cell", "first_id", "j", "win"])
 
 
 def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
-    """``doc_id, tkey, starts``: word numbers at which a window starts whose words
-    also start in a document with a smaller id (tkey: hash of the row's text)."""
+    """``doc_id, tkey, found``: places and bit masks of the windows whose words also
+    start in a document with a smaller id.
+
+    tkey is the hash of the row's text; bit j of a mask is the window that starts
+    j words after ``start``.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).withColumn("tkey", F.xxhash64("text"))
-    seeds = rows.mapInArrow(_seeds(window), "anchor long, doc_id long").groupBy("anchor").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")
-    )
-    shared = key_filter(seeds.where("lo < hi"), "anchor")
-    occ = shared_table(rows.mapInArrow(_cells(window, shared), CELL), "cells")
-    cells = occ.groupBy("anchor", "cell").agg(F.min("doc_id").alias("first_id"), F.first("wins").alias("wins"))
-    opened = shared_table(cells.mapInArrow(_open, "anchor long, cell long, first_id long, j int, win long"), "windows")
-    least = opened.groupBy("anchor", "win").agg(F.min("first_id").alias("least"))
-    judged = (
-        opened.join(least, ["anchor", "win"])
+    ends = [f("doc_id").alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))] + [f("cell").alias(n) for f, n in ((F.min, "cell_lo"), (F.max, "cell_hi"))]
+    seeds = rows.mapInArrow(_seeds(window), "anchor long, cell long, doc_id long").groupBy("anchor").agg(*ends)
+    seeds = shared_table(seeds.where("lo < hi").select("anchor", (F.col("cell_lo") < F.col("cell_hi")).alias("mixed")), "anchors")
+    shared, mixed = key_filter(seeds, "anchor"), key_filter(seeds.where("mixed"), "anchor")
+    occ = shared_table(rows.mapInArrow(_cells(window, shared, mixed), CELL), "cells")
+    cells = shared_table(occ.groupBy("anchor", "cell").agg(F.min("doc_id").alias("first_id"), F.first("wins").alias("wins")), "distinct")
+    opened = cells.where(F.octet_length("wins") > 0).mapInArrow(_open, "anchor long, cell long, first_id long, j int, win long")
+    less = opened.groupBy("anchor", "win").agg(F.min("first_id").alias("least"), F.max("first_id").alias("most")).where("least < most")
+    masks = (
+        opened.join(less.drop("most"), ["anchor", "win"])
+        .where("least < first_id")
         .groupBy("anchor", "cell")
-        .agg(F.collect_list(F.struct("j", "least")).alias("wins"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
     )
-    hit = F.filter("wins", lambda w: w["least"] < F.col("doc_id"))
+    judged = cells.select("anchor", "cell", "first_id").join(masks, ["anchor", "cell"], "left")
+    whole = F.expr("shiftleft(1L, windows) - 1L")
+    mask = F.when(F.col("first_id") < F.col("doc_id"), whole).otherwise(F.col("mask"))
     return (
-        occ.select("anchor", "cell", "doc_id", "tkey", "start")
+        occ.select("anchor", "cell", "doc_id", "tkey", "start", "windows")
         .join(judged, ["anchor", "cell"])
-        .select("doc_id", "tkey", F.transform(hit, lambda w: F.col("start") + w["j"]).alias("starts"))
-        .where(F.size("starts") > 0)
+        .select("doc_id", "tkey", F.struct("start", mask.alias("mask")).alias("found"))
+        .where(F.col("found.mask").isNotNull())
         .groupBy("doc_id", "tkey")
-        .agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+        .agg(F.collect_list("found").alias("found"))
     )
 
 
+def covered(found: pa.StructArray, n: int, window: int) -> np.ndarray:
+    """Which of n words lie in the windows of (start, mask) pairs."""
+    start, mask = (found.field(c).to_numpy().astype(np.int64) for c in ("start", "mask"))
+    row, j = np.nonzero((mask[:, None] >> np.arange(63)) & 1)
+    edge = np.bincount(start[row] + j, minlength=n + 1) - np.bincount(np.minimum(start[row] + j + window, n), minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0
+
+
 def _remove(window: int, join_all: bool, names: list[str]):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, found = [], b.column("__starts")
+            texts, found = [], b.column("__found")
             n_words, n_removed = [], []
             col = b.column("text")
             for i in range(b.num_rows):
-                text, starts = col[i].as_py(), found[i].values
+                text, windows = col[i].as_py(), found[i].values
                 parts = (text or "").encode().split()
                 n_words.append(len(parts))
-                if starts is None or not len(starts):
+                if windows is None or not len(windows):
                     n_removed.append(0)
                     texts.append(b" ".join(parts).decode() if join_all else text)
                     continue
-                at = starts.to_numpy()
-                cover = np.zeros(len(parts) + 1, np.int64)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + window, -1)
-                kept = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
+                kept = np.flatnonzero(~covered(windows, len(parts), window))
                 n_removed.append(len(parts) - len(kept))
                 texts.append(b" ".join([parts[j] for j in kept]).decode())
             made = {"text": pa.array(texts, pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
@@ -189,12 +212,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, *, join_all: bool = False)
     stay as they are (``join_all``: their words are joined by one space too).
     """
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    starts = repeated_windows(docs, window).select(
-        F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"), F.col("starts").alias("__starts")
+    found = repeated_windows(docs, window).select(
+        F.col("doc_id").alias("__id"), F.col("tkey").alias("__tkey"), F.col("found").alias("__found")
     )
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    on = (rows["doc_id"].cast("long") == starts["__id"]) & (F.xxhash64(rows["text"].cast("string")) == starts["__tkey"])
+    on = (rows["doc_id"].cast("long") == found["__id"]) & (F.xxhash64(rows["text"].cast("string")) == found["__tkey"])
     out = T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in rows.schema.fields])
     out = out.add("n_words", T.LongType()).add("n_removed", T.LongType())
-    joined = rows.join(starts, on, "left").drop("__id", "__tkey").withColumn("text", F.col("text").cast("string"))
+    joined = rows.join(found, on, "left").drop("__id", "__tkey").withColumn("text", F.col("text").cast("string"))
     return joined.mapInArrow(_remove(window, join_all, out.names), out)
