@@ -36,6 +36,8 @@ ESCAPE = (r"([<\[])(%*)(\||/?s>|/?INST\])", r"\1%\2\3")
 UNESCAPE = (re.compile(r"([<\[])%(%*)(\||/?s>|/?INST\])"), r"\1\2\3")
 TURN = re.compile(r"<\|start\|>([^\n]*)\n(.*?)<\|end\|>\n", re.S)
 LOSS_ROLES = ("assistant",)
+#: Bytes of text assembled at once.
+PART = 1 << 22
 FORMATTED = "conv_id long, n_turns long, formatted binary, loss_start array<long>, loss_end array<long>"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
@@ -80,10 +82,20 @@ def _role(col: pa.Array) -> pa.Array:
     return _escaped(pc.replace_substring(col, "\n", "%0A"))
 
 
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to rows of about PART bytes, or one longer row."""
     for b in batches:
-        if not b.num_rows:
-            continue
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column("text")), 0)))
+        at = 0
+        while at < b.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + PART, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _parts(batches):
         roles, ids = b.column("role"), b.column("conv_id")
         buffer, at = assemble([START, _content(_role(roles)), HEAD_END, _content(_escaped(b.column("text"))), END])
         id_values, id_null = np.asarray(pc.fill_null(ids, 0)), np.asarray(pc.is_null(ids))

@@ -37,8 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Segments longer than this take the scalar path; characters of a slice.
-WIDE, SLICE = 48, 1_000_000
+#: Segments longer than this take the scalar path; characters of a slice, segments
+#: solved in step, and ids decoded at once.
+WIDE, SLICE, STEP, DECODE = 48, 2_000_000, 16_384, 400_000
 ALTERNATIVES = T.ArrayType(T.StructType([
     T.StructField("score", T.DoubleType()),
     T.StructField("edits", T.ArrayType(T.StructType([
@@ -196,33 +197,41 @@ class Vocabulary:
         """Best ids of each segment (flat ids, offsets), best score, second-best loss."""
         n = np.array([len(s) for s in segs], np.int64)
         best, loss = np.zeros(len(segs)), np.full(len(segs), np.inf)
-        ids: list = [None] * len(segs)
+        counts = np.zeros(len(segs), np.int64)
+        solved = []
         lower = 0
         for width in (4, 6, 8, 10, 12, 16, 24, WIDE):
-            at = np.flatnonzero((n > lower) & (n <= width))
+            group = np.flatnonzero((n > lower) & (n <= width))
             lower = width
-            if len(at):
-                self._solve(segs, at, n[at], width, best, loss, ids)
+            for i in range(0, len(group), STEP):
+                at = group[i : i + STEP]
+                flat, counts[at], best[at], loss[at] = self._solve([segs[k] for k in at], n[at], width)
+                solved.append((at, flat))
         for k in np.flatnonzero(n > WIDE):
             two = self.nbest(segs[k], 2)
-            best[k], ids[k] = two[0][0], two[0][1]
+            best[k], counts[k] = two[0][0], len(two[0][1])
             if len(two) > 1:
                 loss[k] = two[0][0] - two[1][0]
-        sizes = np.array([len(x) if x is not None else 0 for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids if x is not None for i in x), np.int32, int(sizes.sum()))
-        return flat, np.r_[0, np.cumsum(sizes)], best, loss
-
-    def _solve(self, segs, at, n, width, best, loss, ids) -> None:
-        u = len(at)
+            solved.append((np.array([k]), np.array(two[0][1], np.int32)))
+        offsets = np.r_[0, np.cumsum(counts)]
+        out = np.empty(int(offsets[-1]), np.int32)
+        for at, flat in solved:
+            c = counts[at]
+            inside = np.arange(len(flat)) - np.repeat(np.cumsum(c) - c, c)
+            out[np.repeat(offsets[at], c) + inside] = flat
+        return out, offsets, best, loss
+
+    def _solve(self, segs: list[str], n: np.ndarray, width: int):
+        """Forward and backward passes in step over segments of at most ``width``."""
+        u = len(segs)
         chars = np.zeros((u, width), np.int64)
-        text = np.frombuffer("".join([segs[k] for k in at]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        chars[np.arange(width) < n[:, None]] = text
+        chars[np.arange(width) < n[:, None]] = np.frombuffer("".join(segs).encode("utf-32-le", "surrogatepass"), np.uint32)
         forward = np.full((u, width + 1), -np.inf)
         forward[:, 0] = 0.0
-        came, piece = np.zeros((u, width + 1), np.int64), np.full((u, width + 1), -1, np.int64)
+        came, piece = np.zeros((u, width + 1), np.int32), np.full((u, width + 1), -1, np.int32)
         steps = []
         for i in range(width):
-            row = np.flatnonzero(n > i)
+            row = np.flatnonzero(n > i).astype(np.int32)
             if not len(row):
                 break
             node = np.zeros(len(row), np.int64)
@@ -245,39 +254,40 @@ class Vocabulary:
                     s = self.score[p]
                     steps.append((i, j, w, s))
                     self._relax(forward, came, piece, w, i, j, s, p)
-            w = np.flatnonzero((n > i) & ~single)
+            w = np.flatnonzero((n > i) & ~single).astype(np.int32)
             if len(w):
                 s = np.full(len(w), self.penalty)
                 steps.append((i, i + 1, w, s))
-                self._relax(forward, came, piece, w, i, i + 1, s, np.full(len(w), -1))
+                self._relax(forward, came, piece, w, i, i + 1, s, np.full(len(w), -1, np.int32))
         rows = np.arange(u)
-        best[at] = forward[rows, n]
+        best = forward[rows, n]
         # walk back for all segments at once, marking the start of each best edge by its end
-        on = np.full((u, width + 1), -1, np.int64)
-        place, out = n.copy(), []
-        while (place > 0).any():
-            w = np.flatnonzero(place > 0)
+        on = np.full((u, width + 1), -1, np.int32)
+        place, walked = n.copy(), []
+        w = rows
+        while len(w):
             start = came[w, place[w]]
             on[w, place[w]] = start
-            out.append((w, piece[w, place[w]], start))
+            walked.append((w, start, piece[w, place[w]]))
             place[w] = start
-        got: list[list] = [[] for _ in range(u)]
-        for w, p, start in reversed(out):
-            for x, y, z in zip(w.tolist(), p.tolist(), start.tolist(), strict=True):
-                got[x].extend([y] if y >= 0 else self.ids_of(segs[at[x]][z]))
-        for k, x in zip(at.tolist(), got, strict=True):
-            ids[k] = x
+            w = w[start > 0]
+        of, start, ids = (np.concatenate(x) for x in zip(*walked, strict=True))
+        order = np.lexsort((start, of))
+        of, start, ids = of[order], start[order], ids[order]
+        if (ids < 0).any():
+            spelt = [[p] if p >= 0 else self.ids_of(segs[x][i]) for x, i, p in zip(of.tolist(), start.tolist(), ids.tolist(), strict=True)]
+            of = np.repeat(of, [len(x) for x in spelt])
+            ids = np.array([p for x in spelt for p in x], np.int32)
         backward = np.full((u, width + 1), -np.inf)
         backward[rows, n] = 0.0
-        second = np.full(u, -np.inf)
         for i, j, w, s in reversed(steps):
-            through = s + backward[w, j]
-            backward[w, i] = np.maximum(backward[w, i], through)
+            backward[w, i] = np.maximum(backward[w, i], s + backward[w, j])
+        second = np.full(u, -np.inf)
         for i, j, w, s in steps:
             off = on[w, j] != i
             w = w[off]
             second[w] = np.maximum(second[w], forward[w, i] + s[off] + backward[w, j])
-        loss[at] = best[at] - second
+        return ids, np.bincount(of, minlength=u), best, best - second
 
     @staticmethod
     def _relax(forward, came, piece, w, i, j, s, p) -> None:
@@ -350,16 +360,13 @@ def encode_texts(v: Vocabulary, texts: list[str], n: int) -> tuple[list[np.ndarr
     return ids, scores, alternatives
 
 
-def decode_ids(v: Vocabulary, flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+def decode_ids(v: Vocabulary, flat: np.ndarray, offsets: np.ndarray) -> list[str]:
     """Texts of rows of ids, without the leading word mark; broken UTF-8 becomes U+FFFD."""
     n = v.raw_len[flat]
     inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     raw = v.raw[np.repeat(v.raw_at[flat], n) + inside].tobytes()
     ends = np.r_[0, np.cumsum(n)][offsets]
-    out = []
-    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        out.append(raw[a + (raw[a : a + 1] == b" ") : b].decode("utf-8", "replace"))
-    return pa.array(out, pa.string())
+    return [raw[a + (raw[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def _slices(col: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -398,8 +405,14 @@ def _decoder(path: str, names: list[str]):
             ids = b.column("ids")
             off = ids.offsets.to_numpy()
             flat = ids.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
-            text = decode_ids(v, flat, off - off[0])
-            yield pa.record_batch([text if c == "decoded" else b.column(c) for c in names], names=names)
+            off = off - off[0]
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(off, off[at] + DECODE, "right")) - 1)
+                text = pa.array(decode_ids(v, flat[off[at] : off[to]], off[at : to + 1] - off[at]), pa.string())
+                part = b.slice(at, to - at)
+                yield pa.record_batch([text if c == "decoded" else part.column(c) for c in names], names=names)
+                at = to
 
     return run
 

@@ -30,7 +30,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,7 @@ from . import rans
 from .shared import shared_table
 
 #: Least ids of a block (unless its part ends), pieces a worker remembers.
-BLOCK_TOKENS, CACHE = 1 << 19, 600_000
+BLOCK_TOKENS, CACHE = 1 << 19, 1_500_000
 #: White space other than single spaces and line feeds between other characters.
 ODD_SPACE = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 IDS = "doc_id long, tkey long, ids binary"
@@ -50,55 +49,82 @@ BLOCK = "part int, seq int, doc_ids binary, no_id binary, lens binary, n long, s
 READ = "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long"
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: printable Latin-1
+    stands for itself, other bytes are numbered from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    letters, n = [], 0x100
+    for b in range(256):
+        letters.append(chr(b if b in own else n))
+        n += b not in own
+    return letters
+
+
 class Encoder:
-    """A tokenizer file with a bounded memory of pieces."""
+    """A tokenizer file with a bounded memory of pieces, as id bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: np.dtype | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size()
-        self.known: dict[str, tuple] = {}
-        self.marks = {c: tuple(self.whole(c)) for c in ",.\n"}
+        self.kind = kind or np.dtype("<u4")
+        self.letters = {b: c for b, c in enumerate(byte_letters())}
+        self.marks = {c: self.whole(c) for c in ",.\n"}
+        self.known: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        """Encode unknown pieces; letters before one final mark are a split of
-        their own, so the letters are shared by all their marks."""
-        known, marks = self.known, self.marks
-        bare = {p: p[:-1] for p in pieces if p[-1:] in marks and p[:-1].removeprefix(" ").isalpha()}
-        new = list({bare.get(p, p) for p in pieces if bare.get(p, p) not in known})
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = tuple(e.ids)
-        for p, b in bare.items():
-            known[p] = known[b] + marks[p[-1]]
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text."""
-        cut = [None if "\0" in t or ODD_SPACE.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
+        """Encode unknown pieces.  A word of letters (after at most one space) is
+        one split of the tokenizer and goes to its model directly; one final mark
+        after it is a split of its own; other pieces go to the library whole."""
+        known, marks, kind, letters = self.known, self.marks, self.kind, self.letters
+        tokenize = self.library.model.tokenize
+        others = []
+        for p in pieces:
+            mark = p[-1:] if p[-1:] in marks else ""
+            word = p[:-1] if mark else p
+            if not word.removeprefix(" ").isalpha():
+                others.append(p)
+                continue
+            ids = known.get(word)
+            if ids is None:
+                spelt = word.encode().decode("latin-1").translate(letters)
+                ids = known[word] = np.array([t.id for t in tokenize(spelt)], kind).tobytes()
+            if mark:
+                known[p] = ids + marks[mark]
+        for p, e in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            known[p] = np.array(e.ids, kind).tobytes()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as bytes."""
         if len(self.known) > CACHE:
-            self.known = {"\n": self.marks["\n"], "": ()}
-        known = self.known
-        unknown = {p for c in cut if c for p in c if p not in known}
-        if unknown:
-            self._learn(unknown)
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            out.append(self.whole(text) if pieces is None else list(chain.from_iterable(map(known.__getitem__, pieces))))
+            self.known = {}
+        known, out = self.known, []
+        for text in texts:
+            if "\0" in text or ODD_SPACE.search(text):
+                out.append(self.whole(text))
+                continue
+            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            try:
+                out.append(b"".join(map(known.__getitem__, pieces)))
+            except KeyError:
+                self._learn({p for p in pieces if p not in known})
+                out.append(b"".join(map(known.__getitem__, pieces)))
         return out
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kind: np.dtype) -> Encoder:
     """One encoder per worker process and file."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, kind)
     return _encoders[path]
 
 
@@ -108,12 +134,12 @@ def _kind(size: int) -> np.dtype:
 
 def _encode(path: str, end_id: int, kind: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, end = encoder(path, kind), np.array([end_id], kind).tobytes()
         for b in batches:
             col = b.column("text")
             for i in range(0, b.num_rows, 128):
                 texts = [t or "" for t in col.slice(i, 128).to_pylist()]
-                ids = [np.array([*x, end_id], kind).tobytes() for x in enc.ids(texts)]
+                ids = [x + end for x in enc.ids(texts)]
                 yield pa.record_batch([b.column("doc_id").slice(i, 128), b.column("tkey").slice(i, 128), pa.array(ids, pa.binary())], names=["doc_id", "tkey", "ids"])
 
     return run
