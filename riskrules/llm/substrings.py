@@ -161,7 +161,8 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
         .groupBy("anchor", "cell")
         .agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
     )
-    judged = cells.select("anchor", "cell", "first_id").join(masks, ["anchor", "cell"], "left")
+    # written, so that the join below has two plain shuffles and a hot cell's rows can be split
+    judged = shared_table(cells.select("anchor", "cell", "first_id").join(masks, ["anchor", "cell"], "left"), "judged")
     whole = F.expr("shiftleft(1L, windows) - 1L")
     mask = F.when(F.col("first_id") < F.col("doc_id"), whole).otherwise(F.col("mask"))
     return (
