@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 #: Segments longer than this take the scalar path; characters of a slice, segments
 #: solved in step, and ids decoded at once.
-WIDE, SLICE, STEP, DECODE = 48, 2_000_000, 16_384, 400_000
+WIDE, SLICE, STEP, DECODE = 48, 600_000, 8_192, 200_000
 ALTERNATIVES = T.ArrayType(T.StructType([
     T.StructField("score", T.DoubleType()),
     T.StructField("edits", T.ArrayType(T.StructType([
@@ -186,7 +186,7 @@ class Vocabulary:
                 if forward[i] > float("-inf"):
                     order += 1
                     heapq.heappush(heap, (-(g + s + forward[i]), i, order, g + s, ((i, p), path)))
-        if len(self.nbest_of) > 200_000:
+        if len(self.nbest_of) > 20_000:
             self.nbest_of.clear()
         self.nbest_of[key] = found
         return found

@@ -18,6 +18,17 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 FILTER_BITS = 1 << 26
 
 
+#: Bytes of an Arrow batch handed to a worker, and Spark's own (eight times larger) default.
+BATCH, BATCH_DEFAULT, BATCH_KEY = "8m", "67108864b", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Ask for batches of whole texts that stay small in a worker, unless the
+    session has a setting of its own."""
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH)
+
+
 def shared_table(df: DataFrame, name: str, *, sort: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
@@ -26,6 +37,7 @@ def shared_table(df: DataFrame, name: str, *, sort: list[str] | None = None) ->
     the cluster names in ``spark.checkpoint.dir``; its owner clears it.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -73,6 +85,7 @@ def passes(bitset: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the given folder.  In local mode, where the package may be run
     from its source folder, workers get that folder on their path."""
+    bounded_batches(spark)
     sc = spark.sparkContext
     if sc.master.startswith("local"):
         sc.environment.setdefault("PYTHONPATH", ROOT)

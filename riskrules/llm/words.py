@@ -116,6 +116,7 @@ def words(col: pa.Array, *, lower: bool = False, separator: np.ndarray = SEPARAT
         row = np.searchsorted(o, start, "right") - 1 + lo
         yield Words(lo, hi, raw, o, start, end, row, _hashes(text, start, end))
         lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
