@@ -11,8 +11,8 @@ beyond the radius of 39 with a chance below 1e-5.
 Links are confirmed on the full sets.  No group is expanded into all pairs:
 
 1. equal sets are one node (its smallest id);
-2. a document is compared with the least and greatest id of its key groups, the
-   one that shares most keys first; confirmed links make components;
+2. a document is compared with the least id of each of its key groups, the one
+   that shares most keys first; confirmed links make components;
 3. the same comparisons also tell which documents are akin (similarity NEAR or
    more), and kinship makes clusters: both ends of a link are akin to the ends
    of the key groups they share.  In clusters that still span several
@@ -241,8 +241,11 @@ def _cross_links(k: int, num: int, den: int):
 
 def _cluster_links(akin: DataFrame, labels: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links between the components that lie in one cluster."""
-    clusters = components(akin).select(F.col("id").alias("doc_id"), F.col("label").alias("cluster"))
-    placed = shared_table(clusters.join(labels, F.col("doc_id") == F.col("id")).select("cluster", "doc_id", "label"), "clusters")
+    # kinship between components: whole components are in one cluster anyway
+    la, lb = (labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    across = akin.join(la, "a").join(lb, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    clusters = components(across).select(F.col("id").alias("label"), F.col("label").alias("cluster"))
+    placed = shared_table(labels.select(F.col("id").alias("doc_id"), "label").join(clusters, "label").select("cluster", "doc_id", "label"), "clusters")
     per = placed.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size"))
     main = per.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all"), F.max("size").alias("most"), F.max_by("label", F.struct("size", "label")).alias("main")
@@ -293,10 +296,10 @@ def groups(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> Dat
     ends = sigs.select("doc_id", "sig").mapInArrow(_keys(), "key long, doc_id long").groupBy("key").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
     )
-    ends = shared_table(ends.where("least < most"), "ends")
+    ends = shared_table(ends.where("least < most").drop("most"), "ends")
     shared = key_filter(ends, "key")
     held = sigs.select("doc_id", "sig").mapInArrow(_keys(shared), "key long, doc_id long").join(ends, "key")
-    star = held.select("doc_id", F.explode(F.array("least", "most")).alias("end")).where("doc_id <> end")
+    star = held.where("doc_id <> least").select("doc_id", F.col("least").alias("end"))
     star = shared_table(star.groupBy("doc_id", "end").agg(F.count(F.lit(1)).alias("keys")), "star")
 
     wanted = key_filter(star.select("doc_id").union(star.select("end")).distinct(), "doc_id")

@@ -1,7 +1,7 @@
 """Exact removal of repeated passages: seed and extend on winnowed anchors.
 
 Every window of ``window`` consecutive words names one anchor: its least hashed
-run of about half as many words (leftmost on ties), a function of the window's
+run of about a quarter as many words (leftmost on ties), a function of the window's
 words alone.  Equal windows therefore meet at equal anchors, and an anchor's
 neighbouring windows form one cell, the anchor extended both ways as far as
 windows name it.
@@ -43,8 +43,9 @@ CELL = "anchor long, cell long, doc_id long, tkey long, start int, windows int,
 
 
 def anchor_words(window: int) -> int:
-    """Words of an anchor: half a window, and more if a cell's mask (63 bits) asks it."""
-    return max(window // 2, window - 61, 1)
+    """Words of an anchor: a quarter of a window (shorter anchors name longer
+    cells), and more if a cell's mask (63 bits) asks it."""
+    return max(window // 4, window - 61, 1)
 
 
 def leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
