@@ -3,37 +3,66 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..roles import TIER_LABELS, UNKNOWN_TIER
 
-MONEY = "decimal(18,2)"
-
-
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money_sum(c: str | Column) -> Column:
-    """Exact, order-independent sum of a money column, returned as double.
-
-    Double sums depend on the order rows arrive in.  Amounts are rounded to
-    whole cents (half up, as a cast to DECIMAL(18,2)) and summed as a long:
-    exact on every run and partitioning, about twice as fast as a decimal
-    sum, and ANSI mode raises instead of wrapping on overflow (9.2e16 units).
-    ``cents / 100.0`` is the double nearest the exact total, the same value a
-    DECIMAL(18,2) sum cast to double gives.
-    """
-    return F.sum(cents(c)) / F.lit(100.0)
+#: Decimals to which amounts given as doubles are summed exactly.
+AMOUNT_DECIMALS = 6
+_UNIT = 10**AMOUNT_DECIMALS
+
+
+def money_parts(c: str | Column, prefix: str) -> list[Column]:
+    """Aggregates of an amount that can be summed again: whole units and the
+    fraction as longs, whether any value is NaN or infinite, and the plain sum."""
+    x = col(c).cast("double")
+    unit = F.floor(x)
+    rest = F.floor((x - unit) * F.lit(float(_UNIT)) + F.lit(0.5)).cast("long")
+    odd = F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+    return [
+        F.sum(F.when(~odd, unit)).alias(f"{prefix}_unit"),
+        F.sum(F.when(~odd, rest)).alias(f"{prefix}_rest"),
+        F.bool_or(F.coalesce(odd, F.lit(False))).alias(f"{prefix}_odd"),
+        F.sum(x).alias(f"{prefix}_plain"),
+    ]
+
+
+def money_again(prefix: str) -> list[Column]:
+    """The parts of many groups as the parts of their union."""
+    return [
+        *(F.sum(f"{prefix}_{p}").alias(f"{prefix}_{p}") for p in ("unit", "rest")),
+        F.bool_or(f"{prefix}_odd").alias(f"{prefix}_odd"),
+        F.sum(f"{prefix}_plain").alias(f"{prefix}_plain"),
+    ]
 
 
-def cents(c: str | Column) -> Column:
-    """Whole cents, half away from zero, in plain arithmetic (no per-row
-    BigDecimal as ``round`` uses)."""
-    x = col(c)
-    return (F.signum(x) * F.floor(F.abs(x) * F.lit(100.0) + F.lit(0.5))).cast("long")
+def _total(unit: Column, rest: Column, odd: Column, plain: Column) -> Column:
+    exact = unit.cast("decimal(20,0)") + rest.cast("decimal(20,0)") * F.lit(Decimal(1) / _UNIT)
+    return F.when(odd, plain).otherwise(exact.cast("double"))
+
+
+def money_total(prefix: str) -> Column:
+    """The sum that ``money_parts`` columns stand for."""
+    return _total(*(F.col(f"{prefix}_{p}") for p in ("unit", "rest", "odd", "plain")))
+
+
+def money_sum(c: str | Column) -> Column:
+    """Order-independent sum of an amount, returned as double.
+
+    Double sums depend on the order rows arrive in.  Whole units and fractions
+    (at AMOUNT_DECIMALS decimals, lossless for amounts with no more of them) are
+    summed as longs: exact on every run and partitioning; the result is the
+    double nearest the exact total.  A NaN or infinite amount makes the sum
+    what adding doubles makes it.
+    """
+    return _total(*money_parts(c, "m"))
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

@@ -11,7 +11,6 @@
 from __future__ import annotations
 
 import math
-import os
 import tempfile
 
 from pyspark import StorageLevel
@@ -130,8 +129,4 @@ def materialize(df: DataFrame, params: Params) -> DataFrame:
 
 
 def default_partitions(spark: SparkSession) -> int:
-    v = spark.conf.get("spark.sql.shuffle.partitions", "200")
-    try:
-        return max(1, int(v))
-    except ValueError:
-        return int(os.environ.get("BENCH_CPUS", "8"))
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

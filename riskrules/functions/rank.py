@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import default_partitions
+from .joins import checkpoint, default_partitions
 
 PID = "__pid"
 RN = "__rn"
@@ -43,17 +43,17 @@ def global_rank(
     """Add ``rank_col`` = 1-based position of each row in ``order``.
 
     ``order`` must be a total order (add tie-breaking keys), as with
-    ``row_number``.  The partition count is explicit, so partition ids are
-    fixed (both consumers of the numbered rows see the same ranges); it is
-    sized from ``rows_hint`` (an upper bound of the rows) when known, so a
-    small table does not run as many tasks as the cluster's shuffle partitions.
+    ``row_number``.  The numbered rows are checkpointed before they are counted:
+    range partitioning samples its bounds, and two uses of one plan would sample
+    them twice and disagree.  Rows and counts therefore read one written table.
+    The range count is sized from ``rows_hint`` (an upper bound of the rows)
+    when known, so a small table does not run the cluster's shuffle partitions.
     """
     n = partitions or range_partitions(df.sparkSession, rows_hint)
     ranged = df.repartitionByRange(n, *order).withColumn(PID, F.spark_partition_id())
-    numbered = ranged.withColumn(RN, F.row_number().over(Window.partitionBy(PID).orderBy(*order)))
-    counts = numbered.groupBy(PID).agg(F.count(F.lit(1)).alias("__cnt"))
+    numbered = checkpoint(ranged.withColumn(RN, F.row_number().over(Window.partitionBy(PID).orderBy(*order))))
     # at most n rows: one per range partition
-    offsets = counts.select(
+    offsets = numbered.groupBy(PID).agg(F.count(F.lit(1)).alias("__cnt")).select(
         PID,
         F.coalesce(
             F.sum("__cnt").over(Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)),

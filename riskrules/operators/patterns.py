@@ -45,20 +45,30 @@ def is_interval(feature: str, dtype: T.DataType, roles: Roles) -> bool:
     return feature == roles.interval_score and is_numeric(dtype)
 
 
+def on_grid(score: Column, params: Params) -> Column:
+    """The score rounded to steps of the interval's width (2 x half-width), or to
+    ``Params.score_decimals``."""
+    d = params.score_grid_decimals
+    if d is not None:
+        return F.round(score, d)
+    step = F.lit(2.0 * params.score_half_width)
+    return F.round(F.round(score / step) * step, 6)
+
+
 def mine_patterns(
     rows: DataFrame, flagged: Column, features: Sequence[str], roles: Roles, params: Params
 ) -> DataFrame:
     """``amount_bucket, <features>, support`` with support >= min_support.
 
     The interval score is grouped on its value rounded to the grid of the
-    rule interval (``Params.score_grid_decimals``, one decimal for a
-    half-width of 0.05): continuous scores would otherwise almost never repeat
-    50 times, and each pattern's rows then lie inside its own rule interval.
+    rule interval (``on_grid``, steps of twice the half-width): continuous
+    scores would otherwise almost never repeat 50 times, and each pattern's rows
+    then lie inside its own rule interval.
     """
     keys = [F.col(BUCKET)]
     for f in features:
         if is_interval(f, rows.schema[f].dataType, roles):
-            keys.append(F.round(F.col(f), params.score_grid_decimals).alias(f))
+            keys.append(on_grid(F.col(f), params).alias(f))
         else:
             keys.append(F.col(f))
     return (
@@ -90,6 +100,16 @@ def amount_text(roles: Roles, params: Params) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in texts]), F.col(BUCKET) + 1)
 
 
+def rule_key(names: Sequence[str]) -> Column:
+    """Key of a pattern: a digest of its values, each marked as NULL or written
+    with its length, so that no two patterns share a text."""
+    parts = []
+    for f in names:
+        v = F.col(f).cast("string")
+        parts.append(F.when(v.isNull(), F.lit("-")).otherwise(F.concat(F.length(v).cast("string"), F.lit(":"), v)))
+    return F.sha2(F.concat_ws("|", *parts), 256)
+
+
 def rule_conditions(patterns: DataFrame, features: Sequence[str], roles: Roles, params: Params) -> DataFrame:
     """Patterns + ``rule_id, amount_lo, amount_hi, score_lo, score_hi, mask,
     conditions, rule_string``."""
@@ -125,7 +145,7 @@ def rule_conditions(patterns: DataFrame, features: Sequence[str], roles: Roles,
     conditions = F.filter(F.array(*conds), lambda c: c.isNotNull()) if conds else F.array().cast(T.ArrayType(CONDITION))
     rule_string = F.array_join(F.array(amount_text(roles, params), *texts), " AND ")
     return patterns.select(
-        F.xxhash64(F.col(BUCKET), *[F.col(f) for f in features]).alias(RULE_ID),
+        rule_key([BUCKET, *features]).alias(RULE_ID),
         "*",
         F.element_at(lo_arr, F.col(BUCKET) + 1).alias("amount_lo"),
         F.element_at(hi_arr, F.col(BUCKET) + 1).alias("amount_hi"),

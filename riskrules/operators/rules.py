@@ -1,7 +1,8 @@
 """Rule evaluation (J7, A17-A20), precision gate (P11) and ranking (O1).
 
-Every rule is measured over ALL rows of the band (not only flagged rows).
-Matching is a join, never one query per rule:
+Every rule is measured over ALL rows of the band (not only flagged rows), which
+are first aggregated once to cells of equal bucket and mining values.
+Matching is a join of cells, never one query per rule:
 
 * rules are grouped by their wildcard mask (which features they bind; at
   most 2^k masks, in practice few);
@@ -11,7 +12,7 @@ Matching is a join, never one query per rule:
   row has exactly one bin, and the exact interval test is the join residual.
   ``floor(x / w)`` is monotone in x, so no match is lost.
 
-The union of the per-mask matches holds each (row, rule) pair once.
+The union of the per-mask matches holds each (cell, rule) pair once.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import money_sum
+from ..functions.exprs import money_again, money_parts, money_sum, money_total
+from ..functions.joins import checkpoint
 from ..functions.rank import global_rank
 from ..roles import Params, Roles
 from .bands import BUCKET
@@ -99,9 +101,9 @@ def match_rules(
     keep: Sequence[str] = (),
     masks: dict[int, int] | None = None,
 ) -> DataFrame:
-    """``rule_id, label, amount, <keep>`` for every (row, rule) match."""
+    """``rule_id, <keep>`` for every (row or cell, rule) match."""
     interval = interval_feature(rows, features, roles)
-    cols = list(dict.fromkeys([roles.label, roles.amount, BUCKET, *features, *keep]))
+    cols = list(dict.fromkeys([BUCKET, *features, *keep]))
     base = with_bin(rows.select(*cols), interval, params)
     masks = mask_counts(rules) if masks is None else masks
     # size check before broadcasting the rule side: an interval spans at
@@ -112,9 +114,9 @@ def match_rules(
         r = _rule_side(rules, m, features, interval, params)
         r = F.broadcast(r) if small else r
         j = base.join(r, _match_condition(base, r, m, features, interval), "inner")
-        parts.append(j.select(RULE_ID, roles.label, roles.amount, *[c for c in keep if c not in (roles.label, roles.amount)]))
+        parts.append(j.select(RULE_ID, *keep))
     if not parts:
-        return base.limit(0).select(F.lit(None).cast("long").alias(RULE_ID), roles.label, roles.amount)
+        return base.limit(0).select(F.lit(None).cast("string").alias(RULE_ID), *keep)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -127,6 +129,19 @@ def total_fraud_amount(rows: DataFrame, roles: Roles) -> DataFrame:
     return rows.agg(F.coalesce(money_sum(fraud_amount(roles)), F.lit(0.0)).alias("total_fraud_amount"))
 
 
+def rule_cells(rows: DataFrame, features: Sequence[str], roles: Roles) -> DataFrame:
+    """The rows aggregated once to (bucket, mining values) cells with their
+    measures.  Rules see only these columns, so a cell matches as its rows do;
+    rules of any number of masks then scan cells, not rows, and a frequent value
+    is one cell.  Checkpointed: every mask's join reads it."""
+    cells = rows.where(F.col(BUCKET).isNotNull()).groupBy(BUCKET, *features).agg(
+        F.count(F.lit(1)).alias("__cell_n"),
+        F.sum(F.col(roles.label).cast("int")).alias("__cell_frauds"),
+        *money_parts(fraud_amount(roles), "__cell"),
+    )
+    return checkpoint(cells)
+
+
 def evaluate_rules(
     rows: DataFrame, rules: DataFrame, features: Sequence[str], roles: Roles, params: Params, *, masks: dict[int, int] | None = None
 ) -> DataFrame:
@@ -136,12 +151,14 @@ def evaluate_rules(
     the joins and the final projection.
     """
     masks = mask_counts(rules) if masks is None else masks
-    matches = match_rules(rows, rules, features, roles, params, masks=masks)
+    cells = rule_cells(rows, features, roles)
+    measures = [c for c in cells.columns if c.startswith("__cell")]
+    matches = match_rules(cells, rules, features, roles, params, keep=measures, masks=masks)
     stats = matches.groupBy(RULE_ID).agg(
-        F.count(F.lit(1)).alias("num_transactions"),
-        F.sum(F.col(roles.label).cast("int")).cast("long").alias("num_frauds"),
-        money_sum(fraud_amount(roles)).alias("captured_fraud_amount"),
-    )
+        F.sum("__cell_n").alias("num_transactions"),
+        F.sum("__cell_frauds").cast("long").alias("num_frauds"),
+        *money_again("__cell"),
+    ).withColumn("captured_fraud_amount", money_total("__cell"))
     total = total_fraud_amount(rows, roles)
     out = (
         # one row per rule on both sides; the rule count is known (mask job)

@@ -14,19 +14,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import money_sum
 from ..roles import Params, Roles
 from .bands import BUCKET
-from .rules import BIN, _rule_side, bound_features, fraud_amount, interval_feature, masks_of, total_fraud_amount, with_bin
+from .rules import BIN, _rule_side, bound_features, fraud_amount, interval_feature, masks_of, rank_order, total_fraud_amount, with_bin
 
 ROW = "__t"
 
 
-def choose(ranked: DataFrame, params: Params, k: int | None = None) -> DataFrame:
-    return ranked.where(F.col("rank") <= F.lit(k or params.max_rules))
+def choose(rules: DataFrame, params: Params, k: int | None = None, *, features: Sequence[str] | None = None) -> DataFrame:
+    """The best ``k`` rules.  Given ``features``, unranked rules are sorted and cut
+    in one top-k step (no rank of all rules); the window numbers k rows."""
+    k = k or params.max_rules
+    if features is None:
+        return rules.where(F.col("rank") <= F.lit(k))
+    order = rank_order(features)
+    top = rules.orderBy(*order).limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int"))
 
 
 def combined_rule(selected: DataFrame) -> DataFrame:

@@ -253,7 +253,8 @@ def q_extract_rules(spark, sf):
 
 
 def _selected(spark, sf, band=None):
-    return ruleset.choose(_ranked(spark, sf, band), P)
+    kept = rules.keep_precise(_evaluated(spark, sf, band), P)
+    return ruleset.choose(kept, P, features=MINING).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def q_top_rules(spark, sf):

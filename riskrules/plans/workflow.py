@@ -47,6 +47,7 @@ class MiningResult:
     model: PipelineModel
     ranking: DataFrame
     features: list[str]
+    left_out: list[str]
     scored: DataFrame
     patterns: DataFrame
     rules: DataFrame
@@ -95,7 +96,7 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
         enc = tier_onehot_columns(key, roles, tiers[key])
         band = band.select("*", *enc)
         for i in range(len(enc)):
-            source_of[f"{tier_name(key, roles)}_enc_{i}"] = key
+            source_of[f"{tier_name(key, roles)}_enc_{i}"] = tier_name(key, roles)
     for f, labels in onehot.items():
         band = band.select("*", *onehot_columns(f, labels))
         for i in range(len(labels)):
@@ -127,23 +128,40 @@ def mining_features(
     roles: Roles,
     params: Params,
     cardinality: dict[str, int] | None = None,
-) -> list[str]:
-    """Top ``top_features`` inputs with non-zero importance, mapped back to the
-    raw columns they come from.  Continuous columns other than the interval
-    score, and ids or categoricals with more than ``onehot_max_values``
-    values, are left out: equality on them would almost never repeat
-    ``min_support`` times."""
-    card = cardinality or {}
-    out: list[str] = []
-    for name, imp in list(ranked_inputs)[: params.top_features]:
-        if imp <= 0 and not params.keep_zero_importance:
-            continue
+) -> tuple[list[str], list[str]]:
+    """Columns to mine, and those left out.
+
+    Importances are summed per source column (one-hot slots fold back onto their
+    column, tier slots onto the tier); the top ``top_features`` sources with
+    non-zero importance are wanted.  Of them, continuous columns other than the
+    interval score and columns with more than ``mining_max_values`` values are
+    left out and listed: equality on them rarely repeats ``min_support`` times.
+    """
+    card, most = cardinality or {}, params.mining_max_values
+    total: dict[str, float] = {}
+    for name, imp in ranked_inputs:
         src = source_of.get(name, name)
-        if card.get(src, 0) > params.onehot_max_values:
-            continue
-        if mineable(scored, src, roles) and src not in out:
-            out.append(src)
-    return out
+        total[src] = total.get(src, 0.0) + imp
+    ranked = sorted(total, key=lambda s: (-total[s], s))[: params.top_features]
+    wanted = [s for s in ranked if total[s] > 0 or params.keep_zero_importance]
+    mined = [s for s in wanted if mineable(scored, s, roles) and (most is None or card.get(s, 0) <= most)]
+    return mined, [s for s in wanted if s not in mined]
+
+
+def extract_rules(
+    scored: DataFrame, features: Sequence[str], roles: Roles, params: Params, *, flagged: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Patterns among the confident rows of a scored frame, and the precise rules
+    they give, ranked.  ``scored`` comes from ``score`` of a fitted model; another
+    ``target_precision`` needs only this step."""
+    if flagged is None and "prediction" not in scored.columns:
+        raise ValueError("score the rows with a trained model first, or say which rows are flagged")
+    patterns = mine_patterns(scored, flagged if flagged is not None else confident(params), features, roles, params)
+    rules = rule_conditions(patterns, features, roles, params).persist(StorageLevel.MEMORY_AND_DISK)
+    masks = mask_counts(rules)
+    evaluated = evaluate_rules(scored, rules, features, roles, params, masks=masks).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = keep_precise(evaluated, params)
+    return patterns, rank_rules(kept, features, sum(masks.values())).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def mine_rules(
@@ -162,18 +180,14 @@ def mine_rules(
     ranking = feature_ranking(spark, model, prep.inputs, prep.source_of)
     ranked_inputs = [(r["feature"], r["importance"]) for r in sorted(ranking.collect(), key=lambda r: r["rank"])]
     scored = materialize(score(model, prep.band), params)
-    feats = list(features) if features is not None else mining_features(ranked_inputs, prep.source_of, scored, roles, params, prep.cardinality)
-    flag = flagged if flagged is not None else confident(params)
-    patterns = mine_patterns(scored, flag, feats, roles, params)
-    rules = rule_conditions(patterns, feats, roles, params).persist(StorageLevel.MEMORY_AND_DISK)
-    masks = mask_counts(rules)
-    evaluated = evaluate_rules(scored, rules, feats, roles, params, masks=masks).persist(StorageLevel.MEMORY_AND_DISK)
-    ranked = rank_rules(keep_precise(evaluated, params), feats, sum(masks.values())).persist(StorageLevel.MEMORY_AND_DISK)
+    feats, left_out = (list(features), []) if features is not None else mining_features(ranked_inputs, prep.source_of, scored, roles, params, prep.cardinality)
+    patterns, ranked = extract_rules(scored, feats, roles, params, flagged=flagged)
     selected = choose(ranked, params)
     return MiningResult(
         model=model,
         ranking=ranking,
         features=feats,
+        left_out=left_out,
         scored=scored,
         patterns=patterns,
         rules=ranked,

@@ -84,6 +84,9 @@ class Params:
     min_instances_per_node: int = 100
     seed: int = 42
     top_features: int = 10
+    # ids and categoricals with more values than this are not mined (they are
+    # listed in MiningResult.left_out); None mines them whatever their number
+    mining_max_values: int | None = 50
     # the method's top-10 list includes zero-importance features; True keeps
     # them as mining candidates too (parity), False skips them
     keep_zero_importance: bool = False
@@ -114,11 +117,15 @@ class Params:
         return replace(self, **kw)
 
     @property
-    def score_grid_decimals(self) -> int:
+    def score_grid_decimals(self) -> int | None:
+        """Decimals of the score grid; None if its step is no power of ten."""
         if self.score_decimals is not None:
             return self.score_decimals
         step = 2 * self.score_half_width
-        return max(0, round(-math.log10(step))) if step > 0 else 2
+        if step <= 0:
+            return 2
+        d = round(-math.log10(step))
+        return d if d >= 0 and math.isclose(step, 10.0**-d) else None
 
 
 def is_numeric(dt: T.DataType) -> bool:

@@ -1,7 +1,8 @@
 """Rule matching with wildcards and intervals against brute force on a small fixture."""
 
 import random
-from decimal import ROUND_HALF_UP, Decimal
+import tempfile
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,10 +58,6 @@ def matches(row, rule):
     return True
 
 
-def cents(x):
-    return Decimal(str(x)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)
-
-
 @pytest.fixture(scope="module")
 def mined(spark):
     data = make_rows()
@@ -87,7 +84,7 @@ def test_rule_eval_equals_brute_force(mined):
         hit = [x for x in rows if matches(x, r)]
         n = len(hit)
         frauds = sum(1 for x in hit if x["is_fraud"] is not None and x["is_fraud"] == 1)
-        cap = sum((cents(x["amount"]) for x in hit if x["is_fraud"] == 1), Decimal(0))
+        cap = sum((Decimal(str(x["amount"])) for x in hit if x["is_fraud"] == 1), Decimal(0))
         assert r["num_transactions"] == n, r["rule_string"]
         assert r["num_frauds"] == frauds
         assert abs(r["captured_fraud_amount"] - float(cap)) < 1e-6
@@ -165,3 +162,69 @@ def test_global_rank_matches_sort(spark):
     out = global_rank(df, [F.desc("v"), F.asc("id")], partitions=7).collect()
     exp = {row[0]: k + 1 for k, row in enumerate(sorted(data, key=lambda t: (-t[1], t[0])))}
     assert {r["id"]: r["rank"] for r in out} == exp
+
+
+def test_global_rank_of_many_rows_with_payload(spark):
+    """Beyond the range sample, several partitions, written out with a payload."""
+    df = spark.range(0, 300_000, 1, 8).select("id", F.rand(5).alias("v"), F.concat(F.lit("p"), F.col("id")).alias("payload"))
+    path = tempfile.mkdtemp(prefix="riskrules-rank-")
+    df.write.mode("overwrite").parquet(f"{path}/in")
+    df = spark.read.parquet(f"{path}/in")
+    global_rank(df, [F.asc("v"), F.asc("id")], partitions=8).write.parquet(f"{path}/out")
+    out = spark.read.parquet(f"{path}/out")
+    s = out.agg(F.countDistinct("rank").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).first()
+    assert (s["n"], s["lo"], s["hi"]) == (300_000, 1, 300_000)
+    pdf = out.select("rank", "v", "id").toPandas().sort_values("rank")
+    assert pdf["v"].is_monotonic_increasing
+
+
+def test_bins_of_many_rates_equal_percentile(spark):
+    from riskrules.operators.tiers import risk_bins
+
+    rates = spark.range(0, 400_000, 1, 8).select((F.rand(9) * 0.9 + F.col("id") * 1e-12).alias("rate"))
+    path = tempfile.mkdtemp(prefix="riskrules-rates-")
+    rates.write.mode("overwrite").parquet(path)
+    rates = spark.read.parquet(path)
+    a = risk_bins(rates, "rate", P).first()["bins"]
+    b = risk_bins(rates, "rate", P, max_rates=400_000).first()["bins"]
+    assert len(a) == len(b) == 5 and all(abs(x - y) < 1e-12 for x, y in zip(a, b, strict=True))
+
+
+def test_rules_that_differ_in_their_wildcard_only(spark):
+    """('Y', NULL) and (NULL, 'Y') are two rules, measured apart."""
+    schema = "is_fraud int, amount double, fraud_score double, a string, b string"
+    rows = [(1, 10.0, 55.0, "Y", None)] * 60 + [(0, 10.0, 55.0, None, "Y")] * 100
+    df = bands.with_amount_bucket(spark.createDataFrame(rows, schema), Roles(), P)
+    pats = patterns.mine_patterns(df, F.lit(True), ["a", "b"], Roles(), P)
+    ev = rules.evaluate_rules(df, patterns.rule_conditions(pats, ["a", "b"], Roles(), P), ["a", "b"], Roles(), P)
+    got = {(r["a"], r["b"]): (r["num_transactions"], r["num_frauds"], r["precision"]) for r in ev.collect()}
+    assert got == {("Y", None): (60, 60, 1.0), (None, "Y"): (100, 0, 0.0)}
+
+
+def test_amounts_are_not_rounded(spark):
+    from riskrules.functions.exprs import money_sum
+
+    def total(*xs):
+        return spark.createDataFrame([(x,) for x in xs], "a double").agg(money_sum("a").alias("s")).first()["s"]
+
+    assert total(0.004, 0.004, 1.2345) == 1.2425
+    assert total(-0.5, -0.25, 2.0, None) == 1.25
+    assert total(None, None) is None
+    assert total(1.0, float("nan")) != total(1.0, float("nan"))
+    assert total(1.0, float("inf")) == float("inf")
+    assert total(*[0.1] * 1000) == 100.0
+
+
+def test_score_grid_is_the_interval(spark):
+    from riskrules.operators.patterns import on_grid
+
+    p = P.with_(score_half_width=0.25)
+    df = spark.createDataFrame([(0.1,), (0.3,), (0.6,), (0.8,)], "x double")
+    assert [r[0] for r in df.select(on_grid(F.col("x"), p)).collect()] == [0.0, 0.5, 0.5, 1.0]
+
+
+def test_top_rules_equal_the_first_of_the_ranking(mined):
+    _, _, ev, _ = mined
+    ranked = [r["rule_string"] for r in rules.rank_rules(ev, FEATS).where("rank <= 4").orderBy("rank").collect()]
+    chosen = ruleset.choose(ev, P, 4, features=FEATS).orderBy("rank").collect()
+    assert [r["rank"] for r in chosen] == [1, 2, 3, 4] and [r["rule_string"] for r in chosen] == ranked

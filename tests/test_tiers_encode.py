@@ -1,5 +1,6 @@
-"""Tier expression against a plain restatement of its definition; encoders."""
+"""Tier expression on fixed cases and by bisection; encoders."""
 
+import bisect
 import random
 
 from pyspark.sql import functions as F
@@ -14,29 +15,29 @@ from .conftest import SF0001
 P = Params()
 
 
-def tier_by_definition(rate, bins):
-    # smallest i >= 1 with rate <= bins[i]; 1 low, 2 medium, 3 high, else very_high
-    if rate is None:
-        return "unknown"
-    for i in range(1, len(bins)):
-        if rate <= bins[i]:
-            return {1: "low", 2: "medium", 3: "high"}.get(i, "very_high")
-    return "unknown"
-
-
-def test_tier_matches_definition(spark):
-    rng = random.Random(7)
-    cases = []
-    for _ in range(300):
-        k = rng.randint(1, 5)
-        grid = [rng.choice([0.0, 0.1, 0.25, 0.5, 0.75, 1.0]) for _ in range(k)]
-        bins = sorted(set(grid))
-        rate = rng.choice([None, *grid, rng.random(), 1.5, -0.1])
-        cases.append((rate, bins))
+EDGES = [0.0, 0.2, 0.5, 0.8, 1.0]
+#: rate, edges, tier
+TIERS = [
+    (None, EDGES, "unknown"), (-0.5, EDGES, "low"), (0.0, EDGES, "low"), (0.2, EDGES, "low"), (0.21, EDGES, "medium"),
+    (0.5, EDGES, "medium"), (0.8, EDGES, "high"), (0.81, EDGES, "very_high"), (1.0, EDGES, "very_high"),
+    (1.01, EDGES, "unknown"), (0.3, [0.3], "unknown"), (0.3, [], "unknown"), (0.3, None, "unknown"),
+    (0.1, [0.1, 0.4], "low"), (0.4, [0.1, 0.4], "low"), (0.5, [0.1, 0.4], "unknown"), (0.7, [0.1, 0.4, 0.9], "medium"),
+]
+
+
+def test_tier_of_fixed_cases(spark):
+    df = spark.createDataFrame([(r, b) for r, b, _ in TIERS], "rate double, bins array<double>")
+    assert [r[0] for r in df.select(tier_expr("rate", "bins")).collect()] == [t for _, _, t in TIERS]
+
+
+def test_tier_by_bisection(spark):
+    rng = random.Random(23)
+    cases = [(rng.random(), sorted(rng.sample([0.05, 0.1, 0.3, 0.6, 0.9, 0.99], rng.randint(2, 5)))) for _ in range(200)]
     df = spark.createDataFrame(cases, "rate double, bins array<double>")
-    got = [r[0] for r in df.select(tier_expr("rate", "bins")).collect()]
-    exp = [tier_by_definition(r, b) for r, b in cases]
-    assert got == exp
+    for (rate, edges), row in zip(cases, df.select(tier_expr("rate", "bins")).collect(), strict=True):
+        under = bisect.bisect_left(edges, rate)
+        names = ["low", "low", "medium", "high", "very_high"]
+        assert row[0] == ("unknown" if under == len(edges) else names[under])
 
 
 def test_tier_monotone_in_rate(spark):
