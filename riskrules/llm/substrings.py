@@ -13,7 +13,10 @@ windows name it.
    third of all documents costs one partial row per task).  All windows of a cell
    repeat in every document but that first one.  For the first, cells of anchors
    that have several distinct cells are opened into windows, and the windows that
-   another cell holds with a smaller id are kept as a bit mask.
+   another cell holds with a smaller id are kept as a bit mask.  Neighbouring cells
+   of a document form chains (cells of opened anchors stand alone); equal chains of
+   many documents collapse first, cells are taken from the distinct chains only, and
+   a document meets its verdict once a chain, not once a cell.
 3. Maximal repeats: the repeated windows are merged per document and their words
    removed.
 
@@ -39,7 +42,14 @@ from pyspark.sql import types as T
 from .shared import key_filter, passes, shared_table
 from .words import WORD_BASE, grams, mix, spans_hash, words
 
-CELL = "anchor long, cell long, doc_id long, tkey long, start int, windows int, wins binary"
+#: A chain's key is the hash of its cells with the hash of its anchors.
+CHAIN = (
+    "chain long, anchors long, doc_id long, tkey long, start int, "
+    "cells array<struct<anchor: long, cell: long, at: int, windows: int, wins: binary>>"
+)
+#: A chain ends after a cell whose hash is divisible by the first number (so that
+#: chains of different documents fall into step), at the latest after the second.
+CHAIN_CUT, CHAIN_MOST = 16, 256
 
 
 def anchor_words(window: int) -> int:
@@ -98,8 +108,17 @@ def _seeds(window: int):
     return seeds
 
 
+def chains_of(row: np.ndarray, place: np.ndarray, cell: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """First cells of the chains: neighbouring cells of a row, ``single`` ones alone."""
+    new = np.ones(len(row), np.bool_)
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1) | single[1:] | single[:-1] | (cell[:-1] % CHAIN_CUT == 0)
+    at = np.arange(len(row))
+    since = at - np.maximum.accumulate(np.where(new, at, 0))
+    return np.flatnonzero(new | (since % CHAIN_MOST == 0))
+
+
 def _cells(window: int, shared, mixed):
-    names = [f.split()[0] for f in CELL.split(", ")]
+    names, parts = ["chain", "anchors", "doc_id", "tkey", "start", "cells"], ["anchor", "cell", "at", "windows", "wins"]
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,19 +126,26 @@ def _cells(window: int, shared, mixed):
             for w in words(b.column("text")):
                 if (c := cells_of(w.hash, w.row, window)) is None:
                     continue
-                keep = passes(shared.value, c[3])
-                row, start, count, anchor, cell = (x[keep] for x in c[:5])
-                if not len(row):
+                place = np.flatnonzero(passes(shared.value, c[3]))
+                if not len(place):
                     continue
+                row, start, count, anchor, cell = (x[place] for x in c[:5])
                 # windows are listed only where an anchor has several distinct cells
-                opened = np.where(passes(mixed.value, anchor), count, 0)
+                several = passes(mixed.value, anchor)
+                opened = np.where(several, count, 0)
                 inside = np.arange(int(opened.sum())) - np.repeat(np.cumsum(opened) - opened, opened)
                 wins = c[5][np.repeat(start, opened) + inside]
                 cuts = pa.py_buffer((np.r_[0, np.cumsum(opened)] * 8).astype(np.int32))
                 held = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, cuts, pa.py_buffer(wins)])
-                place = (start - w.firsts()[row - w.lo]).astype(np.int32)
-                cols = [_long(anchor), _long(cell), pa.array(ids[row]), pa.array(keys[row]), pa.array(place), pa.array(count.astype(np.int32)), held]
-                yield pa.record_batch(cols, names=names)
+                first = chains_of(row, place, cell, several)
+                ends = np.r_[first[1:], len(row)]
+                at = (start - np.repeat(start[first], ends - first)).astype(np.int32)
+                part = [_long(anchor), _long(cell), pa.array(at), pa.array(count.astype(np.int32)), held]
+                held_cells = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.StructArray.from_arrays(part, parts))
+                head = row[first]
+                begin = (start[first] - w.firsts()[head - w.lo]).astype(np.int32)
+                keyed = (_long(mix(spans_hash(x, WORD_BASE, first, ends) + (ends - first).astype(np.uint64))) for x in (cell, anchor))
+                yield pa.record_batch([*keyed, pa.array(ids[head]), pa.array(keys[head]), pa.array(begin), held_cells], names=names)
 
     return cells
 
@@ -152,8 +178,12 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     seeds = rows.mapInArrow(_seeds(window), "anchor long, cell long, doc_id long").groupBy("anchor").agg(*ends)
     seeds = shared_table(seeds.where("lo < hi").select("anchor", (F.col("cell_lo") < F.col("cell_hi")).alias("mixed")), "anchors")
     shared, mixed = key_filter(seeds, "anchor"), key_filter(seeds.where("mixed"), "anchor")
-    occ = shared_table(rows.mapInArrow(_cells(window, shared, mixed), CELL), "cells")
-    cells = shared_table(occ.groupBy("anchor", "cell").agg(F.min("doc_id").alias("first_id"), F.first("wins").alias("wins")), "distinct")
+    occ = shared_table(rows.mapInArrow(_cells(window, shared, mixed), CHAIN), "occurrences")
+    key = ["chain", "anchors"]
+    chains = shared_table(occ.groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.first("cells").alias("cells")), "chains")
+    parts = chains.select(*key, "first_id", F.explode("cells").alias("c"))
+    cells = parts.groupBy("c.anchor", "c.cell").agg(F.min("first_id").alias("first_id"), F.first("c.wins").alias("wins"))
+    cells = shared_table(cells, "distinct")
     opened = cells.where(F.octet_length("wins") > 0).mapInArrow(_open, "anchor long, cell long, first_id long, j int, win long")
     less = opened.groupBy("anchor", "win").agg(F.min("first_id").alias("least"), F.max("first_id").alias("most")).where("least < most")
     masks = (
@@ -162,17 +192,26 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
         .groupBy("anchor", "cell")
         .agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
     )
-    # written, so that the join below has two plain shuffles and a hot cell's rows can be split
-    judged = shared_table(cells.select("anchor", "cell", "first_id").join(masks, ["anchor", "cell"], "left"), "judged")
-    whole = F.expr("shiftleft(1L, windows) - 1L")
-    mask = F.when(F.col("first_id") < F.col("doc_id"), whole).otherwise(F.col("mask"))
-    return (
-        occ.select("anchor", "cell", "doc_id", "tkey", "start", "windows")
+    judged = cells.select("anchor", "cell", "first_id").join(masks, ["anchor", "cell"], "left")
+    judged = (
+        parts.select(*key, "c.anchor", "c.cell", "c.at", "c.windows")
         .join(judged, ["anchor", "cell"])
-        .select("doc_id", "tkey", F.struct("start", mask.alias("mask")).alias("found"))
-        .where(F.col("found.mask").isNotNull())
+        .groupBy(*key)
+        .agg(F.collect_list(F.struct("at", "windows", "first_id", "mask")).alias("parts"))
+    )
+    # written, so that the join below has two plain shuffles and a hot chain's rows can be split
+    judged = shared_table(judged, "judged")
+    found = F.expr(
+        "filter(transform(parts, p -> struct(start + p.at AS start, "
+        "IF(p.first_id < doc_id, shiftleft(1L, p.windows) - 1L, p.mask) AS mask)), f -> f.mask IS NOT NULL)"
+    )
+    return (
+        occ.select(*key, "doc_id", "tkey", "start")
+        .join(judged, key)
+        .select("doc_id", "tkey", found.alias("found"))
+        .where(F.size("found") > 0)
         .groupBy("doc_id", "tkey")
-        .agg(F.collect_list("found").alias("found"))
+        .agg(F.flatten(F.collect_list("found")).alias("found"))
     )
 
 

@@ -258,6 +258,29 @@ def test_substrings_by_definition(spark, window):
     assert substrings.remove_repeats(spark.createDataFrame([], DOCS), window).count() == 0
 
 
+def test_long_copies_in_chains_out_of_step(spark):
+    rng = random.Random(5)
+    body = [f"w{rng.randrange(3000)}" for _ in range(9000)]
+    rows = [(10, " ".join(body), "x"), (11, " ".join(body[37:]), "x"), (12, " ".join(body[:4000] + ["new"] + body[4000:]), "x")]
+    rows += [(9, " ".join(body[2000:2400]), "x"), (13, " ".join(body[5000:] + body[:100]), "x")]
+    out = substrings.remove_repeats(spark.createDataFrame(rows, DOCS), 10, join_all=True).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in out), key=str) == removed_by_definition(rows, 10)
+
+
+def test_chains_break_at_gaps_cuts_and_their_greatest_length():
+    n = substrings.CHAIN_MOST * 2 + 5
+    row, place, none = np.zeros(n, int), np.arange(n), np.zeros(n, bool)
+    odd = np.full(n, 1, np.uint64)
+    assert substrings.chains_of(row, place, odd, none).tolist() == [0, substrings.CHAIN_MOST, 2 * substrings.CHAIN_MOST]
+    cell = odd.copy()
+    cell[3] = substrings.CHAIN_CUT
+    single = none.copy()
+    single[8] = True
+    place = place + (np.arange(n) >= 6)
+    row = row + (np.arange(n) >= 11)
+    assert substrings.chains_of(row, place, cell, single)[:6].tolist() == [0, 4, 6, 8, 9, 11]
+
+
 def test_shared_table_keeps_rows(spark):
     df = spark.range(10).selectExpr("id", "array(id) AS a")
     assert shared_table(df, "t").count() == 10
