@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 SEPARATOR = np.zeros(256, np.bool_)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
