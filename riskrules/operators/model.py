@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ from .bands import BUCKET
 
 FEATURES = "features"
 LABEL = "__label"
+#: Prefix of the number columns that stand for flags in the vector.
+FLAG = "__flag_"
 PROB = "fraud_probability"
 
 
@@ -38,15 +40,35 @@ def model_inputs(df: DataFrame, roles: Roles, params: Params, exclude: Sequence[
     ]
 
 
+def _vector_stages(df: DataFrame, inputs: Sequence[str]) -> list[Transformer]:
+    """Stages that make the ``features`` vector: NULL numbers become NaN
+    (handleInvalid=keep); flags become 0 / 1 and NULL flags the -1 sentinel, since
+    the assembler takes no NULL boolean."""
+    flags = [c for c in inputs if isinstance(df.schema[c].dataType, T.BooleanType)]
+    number = {c: f"{FLAG}{i}" for i, c in enumerate(flags)}
+    assembler = VectorAssembler(inputCols=[number.get(c, c) for c in inputs], outputCol=FEATURES, handleInvalid="keep")
+    if not flags:
+        return [assembler]
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in flags}
+    made = ", ".join(f"coalesce(cast({quoted[c]} AS double), -1D) AS {n}" for c, n in number.items())
+    return [SQLTransformer(statement=f"SELECT *, {made} FROM __THIS__"), assembler]
+
+
+def _without_flags(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(FLAG)])
+
+
 def assemble(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
-    """``features`` vector; NULL inputs become NaN (handleInvalid=keep)."""
-    return VectorAssembler(inputCols=list(inputs), outputCol=FEATURES, handleInvalid="keep").transform(df)
+    """``features`` vector of the inputs; see ``_vector_stages`` for NULLs."""
+    out = df
+    for stage in _vector_stages(df, inputs):
+        out = stage.transform(out)
+    return _without_flags(out)
 
 
 def train(band: DataFrame, inputs: Sequence[str], roles: Roles, params: Params) -> PipelineModel:
     """Gini tree on rows with a label (rows without one are only scored)."""
     data = band.where(F.col(roles.label).isNotNull()).withColumn(LABEL, F.col(roles.label).cast("double"))
-    assembler = VectorAssembler(inputCols=list(inputs), outputCol=FEATURES, handleInvalid="keep")
     tree = DecisionTreeClassifier(
         labelCol=LABEL,
         featuresCol=FEATURES,
@@ -54,7 +76,7 @@ def train(band: DataFrame, inputs: Sequence[str], roles: Roles, params: Params)
         minInstancesPerNode=params.min_instances_per_node,
         seed=params.seed,
     )
-    return Pipeline(stages=[assembler, tree]).fit(data)
+    return Pipeline(stages=[*_vector_stages(data, inputs), tree]).fit(data)
 
 
 def feature_ranking(
@@ -105,15 +127,9 @@ def tree_nodes(spark: SparkSession, model: PipelineModel, inputs: Sequence[str])
     return spark.createDataFrame(sorted(rows), schema)
 
 
-def source_ranking(ranking: DataFrame) -> DataFrame:
-    """Importance summed per source column (one-hot slots and profile measures
-    fold back on to the column they were derived from)."""
-    return ranking.groupBy("source").agg(F.sum("importance").alias("importance"))
-
-
 def score(model: PipelineModel, band: DataFrame) -> DataFrame:
     """Adds ``prediction``, ``probability`` and ``fraud_probability`` = P(class 1)."""
-    out = model.transform(band)
+    out = _without_flags(model.transform(band))
     return out.withColumn(PROB, vector_to_array(F.col("probability"))[1]).drop(FEATURES, "rawPrediction")
 
 

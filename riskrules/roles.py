@@ -84,9 +84,10 @@ class Params:
     min_instances_per_node: int = 100
     seed: int = 42
     top_features: int = 10
-    # ids and categoricals with more values than this are not mined (they are
-    # listed in MiningResult.left_out); None mines them whatever their number
-    mining_max_values: int | None = 50
+    # a caller may keep ids and categoricals with more values than this out of
+    # mining (they are listed in MiningResult.left_out); None mines them whatever
+    # their number, as the method does (min_support bounds the patterns)
+    mining_max_values: int | None = None
     # the method's top-10 list includes zero-importance features; True keeps
     # them as mining candidates too (parity), False skips them
     keep_zero_importance: bool = False

@@ -24,7 +24,7 @@ def as_transactions(tx):
         "panalias_hab_cp_bill_count_45d": F.col("bill_count"),
         "panalias_hab_ipaddress_count_4": F.when(line > 1, line),
         "isres_dpt_estimated_fact": F.col("bill_count") % 2,
-        "is_correct_bill_dept": line < 4,
+        "is_correct_bill_dept": F.when(line != 3, line < 4),
         "card_profile_dep": F.when(line == 1, "").when(line == 2, "nan").otherwise(F.col("card_profile_dep")),
     }
     rows = tx.withColumns(made)
@@ -49,7 +49,7 @@ def test_mine_rules_on_demo_schema_and_publish(spark, demo):
     roles = Roles(categoricals=("ship_address_usage_ind", "card_profile_dep"), ids=("mch_id_trimmed", "issuer_member"))
     res = mine_rules(df, roles, Params(max_depth=4, min_support=20, max_rules=3))
     inputs = set(res.scored.columns)
-    # boolean kept as a model input, "" tokenised, issuer auth / 3DS measures present
+    # boolean (with NULLs) kept as a model input, "" tokenised, issuer auth / 3DS measures present
     assert "is_correct_bill_dept" in inputs and "issuer_auth_rate" in inputs and "issuer_3ds_usage_rate" in inputs
     assert any(c.startswith("card_profile_dep_vec_") for c in inputs)
     sel = res.selected.collect()
