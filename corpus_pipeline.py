@@ -42,7 +42,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every text, and the text read back from them."""
     model = tokenizer_file("piece_bpe_32k.model")
-    return pieces.decode(pieces.encode(docs, model, n_best=3).drop("text"), model)
+    return pieces.round_trip(docs, model, n_best=3)
 
 
 STAGES = [

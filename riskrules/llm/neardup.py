@@ -289,7 +289,9 @@ def groups(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> Dat
     same = ["n", "set_a", "set_b"]
     nodes = taking_part.groupBy(*same).agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"))
     # ids are shifted to start at 0, so that -1 is free to mark held sets
-    nodes = shared_table(nodes, "nodes")
+    # a signature becomes CHUNKS * WIDTH keys, so its table is dealt over as many
+    # parts as the session shuffles into and a task aggregates few of them
+    nodes = shared_table(nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "set_a", "set_b"), "nodes")
     low = nodes.agg(F.min("node")).first()[0] or 0
     sigs = nodes.select((F.col("node") - F.lit(low)).alias("doc_id"), "n", "sig")
 

@@ -431,3 +431,16 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     rows = encoded.drop("decoded")
     out = T.StructType(list(rows.schema.fields)).add("decoded", T.StringType())
     return rows.mapInArrow(_decoder(model, out.names), out)
+
+
+def round_trip(docs: DataFrame, model: str, *, n_best: int = 3) -> DataFrame:
+    """``decode(encode(docs).drop("text"))`` in one pass: the ids go from the
+    encoder to the decoder inside one worker."""
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in (*MADE, "decoded")]).withColumn("text", docs["text"].cast("string"))
+    out = T.StructType([f for f in kept.schema.fields if f.name != "text"])
+    for name, kind in MADE.items():
+        out = out.add(name, kind)
+    encoder = _encoder(model, n_best, list(out.names))
+    out = out.add("decoded", T.StringType())
+    decoder = _decoder(model, out.names)
+    return kept.mapInArrow(lambda batches: decoder(encoder(batches)), out)

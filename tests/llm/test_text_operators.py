@@ -186,6 +186,16 @@ def test_pieces_round_trip(text):
     assert pieces.decode_ids(v, ids[0], np.array([0, len(ids[0])])) == [text]
 
 
+def test_pieces_in_one_pass(spark):
+    model = tokenizer_file("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(1, "a small text", "x"), (2, None, "y"), (3, "", "z"), (4, "é " * 900, "x")], DOCS)
+    for d in (docs, docs.withColumnRenamed("extra", "score"), docs.limit(0)):
+        two = pieces.decode(pieces.encode(d, model).drop("text"), model)
+        one = pieces.round_trip(d, model)
+        assert one.schema == two.schema
+        assert sorted(one.collect()) == sorted(two.collect())
+
+
 def test_pieces_query_shape(spark):
     rows = odd_texts(random.Random(3)) + [(None, "no id", "x"), (1, "again", "x"), (50, "w" * 300 + " end", "x")]
     model = tokenizer_file("piece_bpe_32k.model")
