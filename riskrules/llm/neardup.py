@@ -14,11 +14,16 @@ Links are confirmed on the full sets.  No group is expanded into all pairs:
 2. a document is compared with the least id of each of its key groups, the one
    that shares most keys first; confirmed links make components;
 3. the same comparisons also tell which documents are akin (similarity NEAR or
-   more), and kinship makes clusters: both ends of a link are akin to the ends
-   of the key groups they share.  In clusters that still span several
+   more), and kinship makes clusters: both ends of most links are akin to the
+   ends of the key groups they share.  In clusters that still span several
    components, the documents outside the largest component are compared with all
    others, block by block: a unit of work holds two blocks of sets and lets out
-   links only.  Clusters inside one component cost nothing.
+   links only.  Clusters inside one component cost nothing;
+4. a key group may be headed by a document akin to neither end of a link.  Key
+   groups that span several clusters are dealt the same way, as blocks of
+   signatures: all their pairs of different clusters within RADIUS, whose sizes
+   allow the similarity, are compared.  So every pair within the radius is
+   compared or lies in one component.
 
 Comparisons with a single document are dealt by (document, block of partners):
 one set is held at a time and partners stream past it.  Components come from
@@ -47,8 +52,8 @@ from .words import mix, shingles, words
 SYMBOLS, CHUNKS, ERRORS = 100, 20, 1
 WIDTH = SYMBOLS // CHUNKS
 RADIUS = CHUNKS * (ERRORS + 1) - 1
-#: Partners of one held set, and documents of a cluster's block, in a unit of work.
-BLOCK, CLUSTER_BLOCK = 512, 256
+#: Partners of one held set, and documents of a cluster's and of a key's block, in a unit of work.
+BLOCK, CLUSTER_BLOCK, KEY_BLOCK = 512, 256, 2048
 #: Similarity from which two documents are akin.
 NEAR = 0.35
 LEAVE = list(combinations(range(WIDTH), WIDTH - ERRORS))
@@ -103,10 +108,13 @@ def index_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _keys(shared=None):
+    """Rows into (key, other columns), a row per key of the signature."""
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
+            others = [x for x in b.schema.names if x != "sig"]
             for i in range(0, b.num_rows, 2048):
                 part = b.slice(i, 2048)
                 k = index_keys(_symbols(part.column("sig")))
@@ -115,7 +123,8 @@ def _keys(shared=None):
                 if shared is not None:
                     keep = passes(shared.value, k)
                     k, row = k[keep], row[keep]
-                yield pa.record_batch([pa.array(k.view(np.int64)), part.column("doc_id").take(pa.array(row))], names=["key", "doc_id"])
+                at = pa.array(row)
+                yield pa.record_batch([pa.array(k.view(np.int64)), *(part.column(x).take(at) for x in others)], names=["key", *others])
 
     return keys
 
@@ -239,18 +248,15 @@ def _cross_links(k: int, num: int, den: int):
     return run
 
 
-def _cluster_links(akin: DataFrame, labels: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links between the components that lie in one cluster."""
-    # kinship between components: whole components are in one cluster anyway
-    la, lb = (labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    across = akin.join(la, "a").join(lb, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    clusters = components(across).select(F.col("id").alias("label"), F.col("label").alias("cluster"))
-    placed = shared_table(labels.select(F.col("id").alias("doc_id"), "label").join(clusters, "label").select("cluster", "doc_id", "label"), "clusters")
+def _dealt(placed: DataFrame, block: int) -> DataFrame:
+    """Rows ``cluster, doc_id, label`` of the clusters with several labels, dealt
+    over units of work (cluster, p, q): the documents outside the largest label
+    ("left") meet all others there."""
     per = placed.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("size"))
     main = per.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all"), F.max("size").alias("most"), F.max_by("label", F.struct("size", "label")).alias("main")
     )
-    blocks = [F.ceil(F.col(c) / CLUSTER_BLOCK).cast("int") for c in ("most", "rest")]
+    blocks = [F.ceil(F.col(c) / block).cast("int") for c in ("most", "rest")]
     main = main.where("parts > 1").withColumn("rest", F.col("all") - F.col("most"))
     main = main.select("cluster", "main", blocks[0].alias("n_main"), blocks[1].alias("n_left"))
     rows = placed.join(main, "cluster").withColumn("left", F.col("label") != F.col("main"))
@@ -264,7 +270,22 @@ def _cluster_links(akin: DataFrame, labels: DataFrame, texts: DataFrame, k: int,
     )
     of_main = F.transform(lefts, lambda i: F.struct(i.alias("p"), (-F.col("block") - 1).alias("q")))
     units = rows.withColumn("unit", F.explode(F.when(F.col("left"), of_left).otherwise(of_main)))
-    units = units.select("cluster", "unit.p", "unit.q", "doc_id", "label", "left", "block").join(texts, "doc_id")
+    return units.select("cluster", "unit.p", "unit.q", "doc_id", "label", "left", "block")
+
+
+def _clusters(akin: DataFrame, labels: DataFrame) -> DataFrame:
+    """``cluster, doc_id, label`` of every labelled document."""
+    # kinship between components: whole components are in one cluster anyway
+    la, lb = (labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    across = akin.join(la, "a").join(lb, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    clusters = components(across).select(F.col("id").alias("label"), F.col("label").alias("cluster"))
+    placed = labels.select(F.col("id").alias("doc_id"), "label").join(clusters, "label", "left")
+    return shared_table(placed.select(F.coalesce("cluster", "label").alias("cluster"), "doc_id", "label"), "clusters")
+
+
+def _cluster_links(placed: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links between the components that lie in one cluster."""
+    units = _dealt(placed, CLUSTER_BLOCK).join(texts, "doc_id")
     return (
         units.repartition("cluster", "p", "q")
         .sortWithinPartitions("cluster", "p", "q", "doc_id")
@@ -272,6 +293,60 @@ def _cluster_links(akin: DataFrame, labels: DataFrame, texts: DataFrame, k: int,
     )
 
 
+def _close_pairs(num: int, den: int):
+    """Rows of a unit of work (two blocks of a key group) into pairs of different
+    labels within RADIUS, of sizes that allow the similarity num / den."""
+
+    def of_unit(parts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids, labels, left, own, n, sig = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts, strict=True))
+        for i in np.flatnonzero(left):
+            sizes = den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])
+            at = np.flatnonzero((labels != labels[i]) & sizes & (~left | (own != own[i]) | (ids > ids[i])))
+            at = at[(sig[at] != sig[i]).sum(1) <= RADIUS]
+            if len(at):
+                yield np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: list) -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        unit, held, found = None, [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c, p, q, *cols = (b.column(x).to_numpy(zero_copy_only=False) for x in ("cluster", "p", "q", "doc_id", "label", "left", "block", "n"))
+            cols.append(_symbols(b.column("sig")))
+            new = np.flatnonzero((c[1:] != c[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+            for lo, hi in zip([0, *new], [*new, len(c)], strict=True):
+                if unit != (now := (c[lo], p[lo], q[lo])):
+                    if held:
+                        found.extend(of_unit(held))
+                    unit, held = now, []
+                held.append([x[lo:hi] for x in cols])
+            if found:
+                yield out(found)
+                found = []
+        if held and (found := list(of_unit(held))):
+            yield out(found)
+
+    return run
+
+
+def _meeting(sigs: DataFrame, placed: DataFrame, shared, num: int, den: int) -> DataFrame:
+    """``a, b``: pairs of different clusters that share a key and lie within RADIUS."""
+    clustered = sigs.join(placed.select("doc_id", F.col("cluster").alias("label")), "doc_id").select("doc_id", "label", "sig")
+    clustered = shared_table(clustered, "clustered")
+    keyed = "key long, doc_id long, label long"
+    spans = clustered.mapInArrow(_keys(shared), keyed).groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    spans = shared_table(spans.where("least < most").select("key"), "spans")
+    met = clustered.mapInArrow(_keys(key_filter(spans, "key")), keyed).join(spans, "key")
+    met = shared_table(met.select(F.col("key").alias("cluster"), "doc_id", "label"), "met")
+    units = _dealt(met, KEY_BLOCK).join(sigs, "doc_id")
+    pairs = units.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "doc_id").mapInArrow(_close_pairs(num, den), "a long, b long")
+    return shared_table(pairs.distinct(), "met-pairs")
+
+
 def _across(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components."""
     la, lb = (labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
@@ -315,7 +390,10 @@ def groups(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> Dat
     rest = _across(labels, star.select(F.col("end").alias("a"), F.col("doc_id").alias("b")))
     rest = shared_table(compared(rest, texts, k, num, den), "akin")
     labels = _relabel(labels, rest.where("linked"))
-    labels = _relabel(labels, _cluster_links(first.union(rest), labels, texts, k, num, den))
+    placed = _clusters(first.union(rest), labels)
+    labels = _relabel(labels, _cluster_links(placed, texts, k, num, den))
+    met = _meeting(sigs, placed, shared, num, den)
+    labels = _relabel(labels, compared(met, texts, k, num, den).where("linked"))
 
     found = nodes.select(*same, "node").join(labels.select((F.col("id") + F.lit(low)).alias("node"), (F.col("label") + F.lit(low)).alias("label")), "node", "left")
     found = found.select(*same, F.coalesce("label", "node").alias("component"))

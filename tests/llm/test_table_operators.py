@@ -4,12 +4,14 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskrules.llm import langid, neardup, quality, topk
 from riskrules.llm.shared import key_filter, passes, read
+from riskrules.llm.words import shingles, words
 
 DOCS = "doc_id long, text string, extra string"
 SF = "/root/testdata/sf0.001"
@@ -92,6 +94,23 @@ def test_neardup_groups_by_definition(spark, k):
     assert neardup.groups(spark.createDataFrame([], DOCS), k=k).count() == 0
 
 
+def test_pairs_headed_by_other_documents_meet(spark):
+    """Links whose key groups all start with documents akin to neither end."""
+    rng, rows = random.Random(11), []
+    for pair in range(6):
+        a = [f"w{pair}x{x}" for x in range(200)]
+        b = a[:185] + [f"v{pair}x{x}" for x in range(15)]
+        (w,) = words(pa.array(a))
+        g = shingles(w, 1)[1]
+        least = [a[int(np.argmin(g * m + add))] for m, add in zip(neardup.MULT, neardup.ADD, strict=True)]
+        heads = [least[i : i + neardup.WIDTH] for i in range(0, neardup.SYMBOLS, neardup.WIDTH)]
+        rng.shuffle(b)
+        rows += [(100 * pair + i, " ".join(s), "e") for i, s in enumerate([*heads, a, b])]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, DOCS), k=1).collect()}
+    want = groups_by_definition(rows, 1)
+    assert got == {i: want[i] for i in got} and sum(got[100 * p + 21] == 100 * p + 20 for p in range(6)) == 6
+
+
 def test_index_meets_every_pair_within_the_radius():
     rng = np.random.default_rng(5)
     for _ in range(200):
