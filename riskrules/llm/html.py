@@ -12,7 +12,10 @@
 
 The text of a path is every block of its containers outside menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments;
-nothing is dropped for length.  Character references are decoded, white space in
+nothing is dropped for length.  A class or id names such a part by a whole token or
+its last word ("cookie-notice"; not "has-sidebar", "related-work"), and never
+removes an element that holds the page's first article or main, nor one with most
+of the text unless that article lies elsewhere or it is named as comments.  Character references are decoded, white space in
 a block becomes one space, blocks are joined by two line feeds.
 
 Defined results: null or empty html gives empty text; a null url is a host of its
@@ -55,6 +58,9 @@ BAD_NAMES = set(
     "consent gdpr notice notices newsletter subscribe subscription signup share sharing social related recommended "
     "recommendations popup modal overlay widget toolbar pagination pager login search form hidden disclaimer copyright".split()
 )
+COMMENT_NAMES = set("comment comments disqus respond reply".split())
+#: First words of tokens that say something about an element, not what it is.
+ABOUT = set("has with no without overflow".split())
 GOOD_NAMES = set("article post entry content story body text main".split())
 #: Elements whose start ends an open element of the same list, up to the border.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -65,7 +71,8 @@ P_BORDER = set("article aside body button div fieldset figure footer form header
 
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)
-    |<(script|style|textarea|title|noscript|template|svg|iframe)\b(?>[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)
+    |<svg(?=[\s/])(?>[^>"']++|"[^"]*+"|'[^']*+')*+(?<=/)>
+    |<(script|style|textarea|title|noscript|template|svg|iframe)(?=[\s/>])(?>[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)
     |<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>
     |<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>
     |<[!?/][^>]*(?:>|\Z)
@@ -78,21 +85,32 @@ SPACE = re.compile(r"\s+")
 
 
 class _Open:
-    """An open element; ``box`` is the nearest container (itself if it is one)."""
+    """An open element; ``box`` is the nearest container (itself if it is one),
+    ``part`` the nearest element with a bad name."""
 
-    __slots__ = ("tag", "path", "out", "box", "link")
+    __slots__ = ("tag", "path", "out", "box", "link", "part")
 
-    def __init__(self, tag, path, out, box, link):
-        self.tag, self.path, self.out, self.box, self.link = tag, path, out, box, link
+    def __init__(self, tag, path, out, box, link, part):
+        self.tag, self.path, self.out, self.box, self.link, self.part = tag, path, out, box, link, part
+
+
+class _Part:
+    """An element with a bad name, judged when the page is read."""
+
+    __slots__ = ("up", "comments", "inside", "holds", "size", "out")
+
+    def __init__(self, up, comments, inside):
+        # inside, holds: it lies in, or holds, the page's first article or main
+        self.up, self.comments, self.inside, self.holds, self.size, self.out = up, comments, inside, False, 0, False
 
 
 class _Box:
     """A container: path, parent container, and the score of its own blocks."""
 
-    __slots__ = ("path", "tag", "up", "own", "named")
+    __slots__ = ("path", "tag", "up", "own", "named", "part")
 
-    def __init__(self, path, tag, up, named):
-        self.path, self.tag, self.up, self.own, self.named = path, tag, up, 0.0, named
+    def __init__(self, path, tag, up, named, part):
+        self.path, self.tag, self.up, self.own, self.named, self.part = path, tag, up, 0.0, named, part
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -103,7 +121,13 @@ def _names(attrs: dict[str, str]) -> set[str]:
     return {p.lower() for p in NAME_PARTS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
 
 
-def _is_out(tag: str, attrs: dict[str, str], names: set[str], stack: list[_Open]) -> bool:
+def _heads(attrs: dict[str, str]) -> set[str]:
+    """What the tokens of class and id call an element: their last words."""
+    words = [[p.lower() for p in NAME_PARTS.findall(t)] for t in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()]
+    return {w[-1] for w in words if w and w[0] not in ABOUT} | {w[0] for w in words if len(w) == 1}
+
+
+def _is_out(tag: str, attrs: dict[str, str], stack: list[_Open]) -> bool:
     if tag in LEFT_OUT:
         return True
     if tag == "article" and any(o.tag == "article" for o in stack):
@@ -112,7 +136,7 @@ def _is_out(tag: str, attrs: dict[str, str], names: set[str], stack: list[_Open]
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in BAD_ROLES:
         return True
-    return bool(names & BAD_NAMES) or "display:none" in attrs.get("style", "").replace(" ", "")
+    return "display:none" in attrs.get("style", "").replace(" ", "")
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -125,12 +149,15 @@ class Page:
     """Blocks and containers of one page."""
 
     def __init__(self, text: str):
-        root = _Box("", "", None, False)
+        root = _Box("", "", None, False, None)
         self.boxes = [root]
         self.blocks: list[tuple[_Box, str]] = []
-        self.stack = [_Open("", "", False, root, False)]
-        self.parts: list[str] = []
-        self.linked = 0
+        self.stack = [_Open("", "", False, root, False, None)]
+        self.pieces: list[tuple[str, bool, _Part | None]] = []
+        self.read: list[tuple[_Box, list[tuple[str, bool, _Part | None]]]] = []
+        self.parts: list[_Part] = []
+        self.first: _Open | None = None
+        self.size = 0
         at = 0
         for m in MARKUP.finditer(text):
             if m.start() > at:
@@ -142,22 +169,35 @@ class Page:
                 self._tag(m[5], m[6].lower(), m[7])
         self._text(text[at:])
         self._flush()
+        self._judge()
 
     def _text(self, s: str) -> None:
         top = self.stack[-1]
         if s and not top.out:
-            self.parts.append(s)
-            if top.link:
-                self.linked += len(s)
+            self.pieces.append((s, top.link, top.part))
+            n, part = len(s.strip()), top.part
+            self.size += n
+            while part is not None:
+                part.size, part = part.size + n, part.up
 
     def _flush(self) -> None:
-        if self.parts:
-            block = SPACE.sub(" ", references.unescape("".join(self.parts))).strip()
+        if self.pieces:
+            self.read.append((self.stack[-1].box, self.pieces))
+            self.pieces = []
+
+    def _judge(self) -> None:
+        """Leave out the parts with bad names, and score the blocks that stay."""
+        for p in self.parts:  # outer ones first
+            most = 2 * p.size > self.size and (self.first is None or p.inside) and not p.comments
+            p.out = not (p.holds or most) or (p.up is not None and p.up.out)
+        for box, pieces in self.read:
+            kept = [(s, link) for s, link, p in pieces if p is None or not p.out]
+            block = SPACE.sub(" ", references.unescape("".join(s for s, _ in kept))).strip()
             if block:
-                box = self.stack[-1].box
                 self.blocks.append((box, block))
-                box.own += max(0, len(block) - 2 * self.linked)
-            self.parts, self.linked = [], 0
+                box.own += max(0, len(block) - 2 * sum(len(s) for s, link in kept if link))
+        self.boxes = [b for b in self.boxes if b.part is None or not b.part.out]
+        self.read = []
 
     def _close(self, k: int) -> None:
         """Pop down to depth k."""
@@ -176,7 +216,7 @@ class Page:
             return None
         if tag in VOID:
             if tag == "br" and not stack[-1].out:
-                self.parts.append(" ")
+                self.pieces.append((" ", False, stack[-1].part))
             elif tag == "hr":
                 self._flush()
             return None
@@ -199,14 +239,22 @@ class Page:
         top = stack[-1]
         attrs = _attributes(rest)
         names = _names(attrs) if "class" in attrs or "id" in attrs else set()
-        out = top.out or _is_out(tag, attrs, names, stack)
-        path, box = top.path, top.box
+        out = top.out or _is_out(tag, attrs, stack)
+        path, box, part = top.path, top.box, top.part
+        if names & BAD_NAMES and not out and tag not in ("html", "body", "main", "article") and (bad := _heads(attrs) & BAD_NAMES):
+            part = _Part(part, bool(bad & COMMENT_NAMES), self.first is not None and self.first in stack)
+            self.parts.append(part)
         if tag in BLOCKS:
             path = f"{path}>{_step(tag, attrs)}" if path else _step(tag, attrs)
             if tag in CONTAINERS and not out:
-                box = _Box(path, tag, top.box, bool(names & GOOD_NAMES) or attrs.get("role") == "main" or "articleBody" in attrs.get("itemprop", ""))
+                named = bool(names & GOOD_NAMES) or attrs.get("role") == "main" or "articleBody" in attrs.get("itemprop", "")
+                box = _Box(path, tag, top.box, named, part)
                 self.boxes.append(box)
-        stack.append(_Open(tag, path, out, box, top.link or tag == "a"))
+        stack.append(_Open(tag, path, out, box, top.link or tag == "a", part))
+        if self.first is None and not out and tag in ("article", "main"):
+            self.first = stack[-1]
+            while part is not None:
+                part.holds, part = True, part.up
         return None
 
     def best(self) -> tuple[str, int]:

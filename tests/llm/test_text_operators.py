@@ -127,6 +127,16 @@ def test_html_blocks():
     assert html.main_text(html.Page("<body>" + "<div>" * 500 + "deep" + "<p class='x")) == "deep"
 
 
+def test_html_names_do_not_remove_the_main_text():
+    read_ = lambda h: html.main_text(html.Page(h))
+    article = "<article><p>the article</p><section id='related-work'><p>its section</p></section></article>"
+    for name in ("content-sidebar-wrap", "site has-sidebar", "social-policy", "sidebar", "overflow-hidden"):
+        assert read_(f"<body><div class='{name}'>{article}<div class='ad'>buy</div></div></body>") == "the article\n\nits section"
+    assert read_("<body><div class='notice'><p>" + "word " * 30 + "</p></div><div class='cookie-notice'>ok</div></body>") == ("word " * 30).strip()
+    assert read_("<body><article><p>short</p></article><div id='comments'><article><p>" + "long " * 30 + "</p></article></div></body>") == "short"
+    assert read_("<body><article><p>a</p><svg width='1' /><p>b</p><svg><text>no</text></svg><p>c <span class='ad'>buy</span>d</p></article></body>") == "a\n\nb\n\nc d"
+
+
 def test_host_outvotes_a_misleading_page(spark):
     good = "<body><div class=text{}><p>{}</p></div><div class=box><p>short</p></div></body>"
     rows = [(i, "http://h.org/x", good.format(i, "words " * 40)) for i in range(12)]
