@@ -296,8 +296,9 @@ def q_ruleset_union_metrics(spark, sf):
 
 # ---- model-backed queries (no SQL oracle: a trained tree decides) ------------------------
 
-# the small test tables hold few rows per id: rules on ids would lack support
 TREE_P = P.with_(max_depth=4, mining_max_values=50)
+# the workflow mines ids whatever their number of values: min_support decides
+WORKFLOW_P = TREE_P.with_(max_rules=3, mining_max_values=None)
 
 
 def _prepared(spark, sf):
@@ -336,12 +337,12 @@ def q_positive_rows(spark, sf):
 
 
 def q_workflow(spark, sf):
-    res = mine_rules(_tx(spark, sf), R, TREE_P.with_(max_rules=3))
+    res = mine_rules(_tx(spark, sf), R, WORKFLOW_P)
     return res.selected.select("rank", "rule_string", *METRIC_COLS)
 
 
 def q_workflow_union_metrics(spark, sf):
-    res = mine_rules(_tx(spark, sf), R, TREE_P.with_(max_rules=3))
+    res = mine_rules(_tx(spark, sf), R, WORKFLOW_P)
     return res.union_metrics
 
 

@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -63,6 +64,29 @@ def test_workflow_rules_are_precise(spark):
     assert u["union_transactions"] <= m["total_transactions"]
 
 
+def test_registered_workflow_mines_ids_of_any_number_of_values(spark, monkeypatch):
+    from riskrules.plans.workflow import mining_features
+
+    used = []
+
+    class Stop(Exception):
+        pass
+
+    def seen(df, roles, params):
+        used.append(params)
+        raise Stop
+
+    monkeypatch.setattr(Q, "mine_rules", seen)
+    for query in (Q.q_workflow, Q.q_workflow_union_metrics):
+        with pytest.raises(Stop):
+            query(spark, SF0001)
+    scored = tx_frame(spark, SF0001)
+    ids = {c: c for c in ("mch_id_trimmed", "issuer_member", "part_id", "bill_count")}
+    for params in used:
+        mined, left_out = mining_features([(c, 0.25) for c in ids], ids, scored, FIXTURE_ROLES, params, {c: 1_000_000 for c in ids})
+        assert sorted(mined) == sorted(ids) and not left_out
+
+
 def test_streaming_equals_batch(spark):
     band = Q._band(spark, SF001)
     sel = Q._selected(spark, SF001, band)
