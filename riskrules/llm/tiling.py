@@ -11,12 +11,15 @@
    left.  A document is contaminated if the tiles cover COVERED of the words of an
    item, in whatever order the item's parts occur in it.
 
-Words are runs of letters and digits in lower case, so case and punctuation do
-not hide a copy.  Only residues travel: clean text never leaves its task, and
+Items shorter than SHORTEST words are looked up as exact runs of all their words.
+
+Words are runs of letters, marks and digits in lower case, so case and punctuation
+(Unicode's too) do not hide a copy; characters of scripts written without spaces
+are words of their own.  Only residues travel: clean text never leaves its task, and
 neither side is broadcast except the filter.
 
-Defined results: null or empty texts are clean; items with fewer words than
-SHORTEST take no part (no seed); rows that repeat a doc_id share the result;
+Defined results: null or empty texts are clean; items without words take
+no part; rows that repeat a doc_id share the result;
 rows with a null doc_id are kept; repeated items are reported each; empty tables
 leave everything clean; other columns are not read.
 """
@@ -33,14 +36,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import key_filter, passes, shared_table
-from .words import MARKS, WORD_BASE, grams, spans_hash, words
+from .words import MARKS, WORD_BASE, grams, mix, spans_hash, words
 
 #: Words of the shortest tile, and the share of an item's words that condemns.
 SHORTEST, COVERED = 5, 0.8
 
 
+#: What a text is folded by: unseen format characters, other marks than ASCII's, and scripts without spaces.
+FOLDS = [
+    (r"\p{Cf}", ""),
+    (r"[^\x00-\x7F\p{L}\p{N}\p{M}]", " "),
+    (r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])", r" \1 "),
+]
+
+
 def _folded(col: pa.Array) -> Iterator:
-    return words(pc.utf8_lower(pc.fill_null(col, "")), separator=MARKS)
+    col = pc.utf8_lower(pc.fill_null(col, ""))
+    for pattern, to in FOLDS:
+        col = pc.replace_substring_regex(col, pattern, to)
+    return words(col, separator=MARKS)
+
+
+def _whole_runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the runs of n words, apart from those of other lengths."""
+    return mix(grams(h, n) ^ mix(np.array([n], np.uint64)))
 
 
 def _items(shortest: int):
@@ -53,7 +72,7 @@ def _items(shortest: int):
                 for i in range(w.hi - w.lo):
                     h = w.hash[cuts[i] : cuts[i + 1]]
                     tokens.append(h.tobytes())
-                    seeds.append(grams(h, shortest).view(np.int64))
+                    seeds.append((_whole_runs(h, len(h)) if 0 < len(h) < shortest else grams(h, shortest)).view(np.int64))
                 cols = [ids.slice(w.lo, w.hi - w.lo), pa.array(np.diff(cuts)), pa.array(tokens, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))]
                 yield pa.record_batch(cols, names=["item_id", "n", "tokens", "seeds"])
 
@@ -86,6 +105,24 @@ def _residues(shortest: int, known):
     return run
 
 
+def _short_runs(lengths: list[int], known):
+    """Texts into the keys of short items that they may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w in _folded(b.column("text")):
+                for n in lengths:
+                    if len(w.hash) < n:
+                        continue
+                    g = _whole_runs(w.hash, n)
+                    hit = np.flatnonzero(passes(known.value, g) & (w.row[: len(g)] == w.row[n - 1 :]))
+                    if len(hit):
+                        found = np.unique(np.rec.fromarrays([w.row[hit], g[hit].view(np.int64)], names="row,seed"))
+                        yield pa.record_batch([b.column("doc_id").take(pa.array(found.row)), pa.array(np.ascontiguousarray(found.seed))], names=["doc_id", "seed"])
+
+    return run
+
+
 def tiles(item: np.ndarray, text: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
     """Non-overlapping common runs ``(place in item, place in text, length)``,
     greedily longest first (ties: earliest in item, then in text)."""
@@ -145,6 +182,8 @@ def coverages(docs: DataFrame, benchmark: DataFrame, *, shortest: int = SHORTEST
     """``doc_id, item_id, coverage`` of the pairs that reach ``covered``."""
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = shared_table(bench.mapInArrow(_items(shortest), "item_id long, n long, tokens binary, seeds array<long>"), "items")
+    short = items.where((F.col("n") > 0) & (F.col("n") < shortest)).select("item_id", "n", F.explode("seeds").alias("seed"))
+    lengths = [r["n"] for r in short.select("n").distinct().collect()]  # fewer than shortest
     items = items.where(F.col("n") >= shortest).withColumn("ikey", F.xxhash64("item_id", "tokens"))
     seeds = items.select("item_id", "ikey", "n", F.explode("seeds").alias("seed"))
     seeds = seeds.groupBy("item_id", "ikey", "n", "seed").agg(F.count(F.lit(1)).alias("times"))
@@ -165,7 +204,12 @@ def coverages(docs: DataFrame, benchmark: DataFrame, *, shortest: int = SHORTEST
         .select("doc_id", "item_id", "tokens", "item_tokens")
         .mapInArrow(_tile(shortest), "doc_id long, item_id long, coverage double")
     )
-    return tiled.where(F.col("coverage") >= covered)
+    tiled = tiled.where(F.col("coverage") >= covered)
+    if not lengths:
+        return tiled
+    runs = rows.select("doc_id", "text").mapInArrow(_short_runs(lengths, key_filter(short, "seed")), "doc_id long, seed long")
+    whole = runs.join(short.select("item_id", "seed").distinct(), "seed").select("doc_id", "item_id", F.lit(1.0).alias("coverage"))
+    return tiled.unionByName(whole.distinct())
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -245,6 +245,18 @@ def test_decontamination(spark):
     assert tiling.judged(df, bench.limit(0)).where("kept").count() == len(docs) and tiling.judged(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_short_unspaced_and_curly_items(spark):
+    cjk = "\u4eca\u5929\u7684\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed"
+    bench = [(1, "What is two?"), (2, cjk), (3, "He said \u2018the quick brown fox\u2019 \u2014 and left us all"), (4, "\u2026 !"), (5, None)]
+    docs = [
+        (1, "so, what IS \u201ctwo\u201d then", "x"), (2, "what two is", "x"), (3, "\u5c31\u662f" + cjk + "\u5427", "x"), (4, cjk[:5], "x"),
+        (5, "then he said: the quick\u00a0brown fox \u2013 and left us all.", "x"), (None, "what is two", "x"), (6, "what is", "x"), (7, "two? what is two", "x"),
+    ]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in tiling.judged(spark.createDataFrame(docs, DOCS), items).collect()}
+    assert got == {1: [1], 2: [], 3: [2], 4: [], 5: [3], None: [], 6: [], 7: [1]}
+
+
 # substrings -------------------------------------------------------------------
 
 
