@@ -100,7 +100,7 @@ def _score(ratio):
                 total = np.bincount(row - w.lo, weights=table[bucket], minlength=w.hi - w.lo)
                 part = b.slice(w.lo, w.hi - w.lo)
                 score = pa.array(np.round(total / np.maximum(n, 1), 9))
-                yield pa.record_batch([part.column("doc_id"), part.column("quality"), pa.array(n), score], names=["doc_id", "quality", "n_grams", "log_ratio"])
+                yield pa.record_batch([part.column("doc_id"), part.column("rid"), part.column("quality"), pa.array(n), score], names=["doc_id", "rid", "quality", "n_grams", "log_ratio"])
 
     return run
 
@@ -158,32 +158,39 @@ def kth_largest(keys: DataFrame, key: str, k: int) -> float:
 
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, n_grams, log_ratio, key, kept`` of every document."""
+    return _resampled(docs, labels).drop("rid")
+
+
+def _resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``resample`` with ``rid``, a hash of the text."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("rid"), text.alias("text"))
     sample = shared_table(labelled_sample(labels), "labels")
     # LABELS rows at most, two numbers each
-    rows = rows.join(F.broadcast(sample), rows["doc_id"] == sample["__id"], "left").select("doc_id", "text", "quality")
+    rows = rows.join(F.broadcast(sample), rows["doc_id"] == sample["__id"], "left").select("doc_id", "rid", "text", "quality")
     counts = rows.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     got = counts.toArrow()  # one row per bucket
     model = np.ones((2, BUCKETS))
     for i, c in enumerate(("raw", "target")):
         model[i, got.column("bucket").to_numpy()] += got.column(c).to_numpy()
     ratio = np.log(model[1] / model[1].sum()) - np.log(model[0] / model[0].sum())
-    schema = "doc_id long, quality int, n_grams long, log_ratio double"
+    schema = "doc_id long, rid long, quality int, n_grams long, log_ratio double"
     scored = shared_table(rows.mapInArrow(_score(spark.sparkContext.broadcast(ratio)), schema), "scored")
     point = decision_point(scored.where("quality IS NOT NULL"))
     if point == float("-inf"):
-        return scored.select("doc_id", "n_grams", "log_ratio", F.lit(0.0).alias("key"), F.lit(True).alias("kept"))
+        return scored.select("doc_id", "rid", "n_grams", "log_ratio", F.lit(0.0).alias("key"), F.lit(True).alias("kept"))
     # uniform in (0, 1) from 52 bits of a hash of the id
     unit = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("gumbel")), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
     keyed = scored.withColumn("key", (F.col("log_ratio") - F.lit(point)) / F.lit(TEMPERATURE) - F.log(-F.log(unit)))
     keyed = keyed.withColumn("good", F.col("log_ratio") >= F.lit(point))
     k = keyed.where("good").count()
     least = kth_largest(keyed, "key", k) if k else float("inf")
-    return keyed.select("doc_id", "n_grams", "log_ratio", "key", (F.col("key") >= F.lit(least)).alias("kept"))
+    return keyed.select("doc_id", "rid", "n_grams", "log_ratio", "key", (F.col("key") >= F.lit(least)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the resampling leaves out."""
-    out = resample(docs, labels).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(out, docs["doc_id"].cast("long") == out["__id"], "left_anti")
+    """``docs`` without the rows (id and text) that the resampling leaves out."""
+    out = _resampled(docs, labels).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid")).distinct()
+    same = (docs["doc_id"].cast("long") == out["__id"]) & (F.xxhash64(docs["text"].cast("string")) == out["__rid"])
+    return docs.join(out, same, "left_anti")

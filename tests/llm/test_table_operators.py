@@ -149,6 +149,18 @@ def test_quality_defined_results(spark):
     assert quality.resample(docs.limit(0), labels).count() == 0
 
 
+def test_quality_judges_rows_of_a_repeated_id(spark):
+    docs, labels = read(spark, SF, "documents").select("doc_id", "text"), read(spark, SF, "labels")
+    kept = quality.resample(docs, labels).select("doc_id", "kept")
+    good = kept.where("kept AND doc_id IS NOT NULL").agg(F.min("doc_id")).first()[0]
+    bad = kept.where("NOT kept").agg(F.min("doc_id")).first()[0]
+    text = docs.where(F.col("doc_id") == bad).first()["text"]
+    more = docs.unionByName(spark.createDataFrame([(good, text)], "doc_id long, text string"))
+    judged = quality.resample(more, labels).where(F.col("doc_id") == good)
+    left = quality.keep_good(more, labels).where(F.col("doc_id") == good)
+    assert judged.where("NOT kept").count() == 1 and left.count() == judged.where("kept").count() == 1
+
+
 def test_kth_largest(spark):
     rng = random.Random(1)
     xs = [rng.gauss(0, 50) for _ in range(3000)] + [7.5] * 40
