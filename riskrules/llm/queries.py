@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, langid, neardup, pieces, quality, substrings, tiling, tokens, topk
+from . import chat, html, langid, neardup, periods, pieces, quality, substrings, tiling, tokens, topk
 from ..functions.joins import checkpoint_dir
 from .shared import read
 
@@ -85,10 +85,16 @@ def op10_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, every tenth with a repeated tail."""
+    return periods.digests(periods.find_runs(periods.with_repeated_tails(read(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_token_files, op3_html_extract, op4_sentencepiece, op5_decontaminate, op6_topk_search,
         op7_language_id, op8_substring_dedup, op9_minhash_neardup, op10_quality_resample,
+        op13_periodic_runs,
     )
 }
