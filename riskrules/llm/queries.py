@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, langid, neardup, periods, pieces, quality, substrings, tiling, tokens, topk, winnow
+from . import chat, html, langid, neardup, periods, pieces, quality, substrings, tiling, tokens, topk, whiten, winnow
 from ..functions.joins import checkpoint_dir
 from .shared import read
 
@@ -85,6 +85,11 @@ def op10_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 16 greatest components of the distinct ones, whitened."""
+    return whiten.whitened(read(spark, sf_dir, "embeddings"), scale=64, most=16)
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed fingerprints of every document, of its edited text and the next one's likeness."""
     return winnow.against_next(read(spark, sf_dir, "documents"))
@@ -100,6 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_format, op2_token_files, op3_html_extract, op4_sentencepiece, op5_decontaminate, op6_topk_search,
         op7_language_id, op8_substring_dedup, op9_minhash_neardup, op10_quality_resample,
-        op12_fingerprints, op13_periodic_runs,
+        op11_whitening, op12_fingerprints, op13_periodic_runs,
     )
 }
