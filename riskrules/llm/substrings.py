@@ -16,7 +16,8 @@ windows name it.
    another cell holds with a smaller id are kept as a bit mask.  Neighbouring cells
    of a document form chains (cells of opened anchors stand alone); equal chains of
    many documents collapse first, cells are taken from the distinct chains only, and
-   a document meets its verdict once a chain, not once a cell.
+   a document meets its verdict once a chain, not once a cell.  Cells of one document
+   without a repeated window have no verdict; chains of such cells stay behind.
 3. Maximal repeats: the repeated windows are merged per document and their words
    removed.
 
@@ -180,10 +181,11 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     shared, mixed = key_filter(seeds, "anchor"), key_filter(seeds.where("mixed"), "anchor")
     occ = shared_table(rows.mapInArrow(_cells(window, shared, mixed), CHAIN), "occurrences")
     key = ["chain", "anchors"]
-    chains = shared_table(occ.groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.first("cells").alias("cells")), "chains")
-    parts = chains.select(*key, "first_id", F.explode("cells").alias("c"))
-    cells = parts.groupBy("c.anchor", "c.cell").agg(F.min("first_id").alias("first_id"), F.first("c.wins").alias("wins"))
-    cells = shared_table(cells, "distinct")
+    ends = [F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")]
+    chains = shared_table(occ.groupBy(*key).agg(*ends, F.first("cells").alias("cells")), "chains")
+    parts = chains.select(*key, "first_id", "last_id", F.explode("cells").alias("c"))
+    ends = [F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id")]
+    cells = shared_table(parts.groupBy("c.anchor", "c.cell").agg(*ends, F.first("c.wins").alias("wins")), "distinct")
     opened = cells.where(F.octet_length("wins") > 0).mapInArrow(_open, "anchor long, cell long, first_id long, j int, win long")
     less = opened.groupBy("anchor", "win").agg(F.min("first_id").alias("least"), F.max("first_id").alias("most")).where("least < most")
     masks = (
@@ -192,7 +194,9 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
         .groupBy("anchor", "cell")
         .agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
     )
-    judged = cells.select("anchor", "cell", "first_id").join(masks, ["anchor", "cell"], "left")
+    # a cell of one document without a repeated window has no verdict, and a chain of such cells none either
+    judged = cells.select("anchor", "cell", "first_id", "last_id").join(masks, ["anchor", "cell"], "left")
+    judged = judged.where("first_id < last_id OR mask IS NOT NULL").drop("last_id")
     judged = (
         parts.select(*key, "c.anchor", "c.cell", "c.at", "c.windows")
         .join(judged, ["anchor", "cell"])
@@ -201,12 +205,19 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     )
     # written, so that the join below has two plain shuffles and a hot chain's rows can be split
     judged = shared_table(judged, "judged")
+    told = key_filter(judged, "chain")
+
+    def with_verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(passes(told.value, b.column("chain").to_numpy().view(np.uint64))))
+
     found = F.expr(
         "filter(transform(parts, p -> struct(start + p.at AS start, "
         "IF(p.first_id < doc_id, shiftleft(1L, p.windows) - 1L, p.mask) AS mask)), f -> f.mask IS NOT NULL)"
     )
     return (
         occ.select(*key, "doc_id", "tkey", "start")
+        .mapInArrow(with_verdict, "chain long, anchors long, doc_id long, tkey long, start int")
         .join(judged, key)
         .select("doc_id", "tkey", found.alias("found"))
         .where(F.size("found") > 0)
