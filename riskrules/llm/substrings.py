@@ -16,7 +16,7 @@ windows name it.
    another cell holds with a smaller id are kept as a bit mask.  Neighbouring cells
    of a document form chains (cells of opened anchors stand alone); equal chains of
    many documents collapse first, cells are taken from the distinct chains only, and
-   a document meets its verdict once a chain, not once a cell.  Cells of one document
+   a document meets its verdict once a distinct chain, not once a cell.  Cells of one document
    without a repeated window have no verdict; chains of such cells stay behind.
 3. Maximal repeats: the repeated windows are merged per document and their words
    removed.
@@ -45,7 +45,7 @@ from .words import WORD_BASE, grams, mix, spans_hash, words
 
 #: A chain's key is the hash of its cells with the hash of its anchors.
 CHAIN = (
-    "chain long, anchors long, doc_id long, tkey long, start int, "
+    "chain long, anchors long, doc_id long, tkey long, starts array<int>, "
     "cells array<struct<anchor: long, cell: long, at: int, windows: int, wins: binary>>"
 )
 #: A chain ends after a cell whose hash is divisible by the first number (so that
@@ -119,7 +119,7 @@ def chains_of(row: np.ndarray, place: np.ndarray, cell: np.ndarray, single: np.n
 
 
 def _cells(window: int, shared, mixed):
-    names, parts = ["chain", "anchors", "doc_id", "tkey", "start", "cells"], ["anchor", "cell", "at", "windows", "wins"]
+    names, parts = ["chain", "anchors", "doc_id", "tkey", "starts", "cells"], ["anchor", "cell", "at", "windows", "wins"]
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,8 +145,15 @@ def _cells(window: int, shared, mixed):
                 held_cells = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.StructArray.from_arrays(part, parts))
                 head = row[first]
                 begin = (start[first] - w.firsts()[head - w.lo]).astype(np.int32)
-                keyed = (_long(mix(spans_hash(x, WORD_BASE, first, ends) + (ends - first).astype(np.uint64))) for x in (cell, anchor))
-                yield pa.record_batch([*keyed, pa.array(ids[head]), pa.array(keys[head]), pa.array(begin), held_cells], names=names)
+                chain, anchors = (mix(spans_hash(x, WORD_BASE, first, ends) + (ends - first).astype(np.uint64)) for x in (cell, anchor))
+                # a row holds all places of a chain in its text: periodic words repeat one cell many times
+                order = np.lexsort((begin, anchors, chain, head))
+                same = [x[order][1:] == x[order][:-1] for x in (head, chain, anchors)]
+                new = np.flatnonzero(np.r_[True, ~(same[0] & same[1] & same[2])])
+                one = order[new]
+                starts = pa.ListArray.from_arrays(pa.array(np.r_[new, len(order)].astype(np.int32)), pa.array(begin[order]))
+                cols = [_long(chain[one]), _long(anchors[one]), pa.array(ids[head[one]]), pa.array(keys[head[one]]), starts]
+                yield pa.record_batch([*cols, held_cells.take(pa.array(one))], names=names)
 
     return cells
 
@@ -212,12 +219,12 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
             yield b.filter(pa.array(passes(told.value, b.column("chain").to_numpy().view(np.uint64))))
 
     found = F.expr(
-        "filter(transform(parts, p -> struct(start + p.at AS start, "
-        "IF(p.first_id < doc_id, shiftleft(1L, p.windows) - 1L, p.mask) AS mask)), f -> f.mask IS NOT NULL)"
+        "flatten(transform(starts, s -> filter(transform(parts, p -> struct(s + p.at AS start, "
+        "IF(p.first_id < doc_id, shiftleft(1L, p.windows) - 1L, p.mask) AS mask)), f -> f.mask IS NOT NULL)))"
     )
     return (
-        occ.select(*key, "doc_id", "tkey", "start")
-        .mapInArrow(with_verdict, "chain long, anchors long, doc_id long, tkey long, start int")
+        occ.select(*key, "doc_id", "tkey", "starts")
+        .mapInArrow(with_verdict, "chain long, anchors long, doc_id long, tkey long, starts array<int>")
         .join(judged, key)
         .select("doc_id", "tkey", found.alias("found"))
         .where(F.size("found") > 0)
