@@ -10,20 +10,18 @@ beyond the radius of 39 with a chance below 1e-5.
 
 Links are confirmed on the full sets.  No group is expanded into all pairs:
 
-1. equal sets are one node (its smallest id);
+1. equal sets are one node, with a number of its own (ids may be any 64-bit values);
 2. a document is compared with the least id of each of its key groups, the one
    that shares most keys first; confirmed links make components;
 3. the same comparisons also tell which documents are akin (similarity NEAR or
    more), and kinship makes clusters: both ends of most links are akin to the
    ends of the key groups they share.  In clusters that still span several
-   components, the documents outside the largest component are compared with all
-   others, block by block: a unit of work holds two blocks of sets and lets out
-   links only.  Clusters inside one component cost nothing;
+   components, the documents outside the largest component meet all others as
+   blocks of signatures, and only pairs within RADIUS, whose sizes allow the
+   similarity, go on to their texts.  Clusters inside one component cost nothing;
 4. a key group may be headed by a document akin to neither end of a link.  Key
-   groups that span several clusters are dealt the same way, as blocks of
-   signatures: all their pairs of different clusters within RADIUS, whose sizes
-   allow the similarity, are compared.  So every pair within the radius is
-   compared or lies in one component.
+   groups that span several clusters are dealt the same way, so every pair within
+   the radius is compared or lies in one component.
 
 Comparisons with a single document are dealt by (document, block of partners):
 one set is held at a time and partners stream past it.  Components come from
@@ -32,7 +30,8 @@ label propagation with pointer jumping over written tables.
 Defined results: null or empty texts have empty sets and are linked to nothing;
 a text shorter than a shingle is one shingle, its whole sequence; rows with a
 null id are linked to nothing, get a null component and are kept; rows that
-repeat an id are one document for links; other columns are not read.
+repeat an id are one document for links, each with the set of its own text (a link
+of any of them is a link of the document); other columns are not read.
 """
 
 from __future__ import annotations
@@ -52,14 +51,14 @@ from .words import mix, shingles, words
 SYMBOLS, CHUNKS, ERRORS = 100, 20, 1
 WIDTH = SYMBOLS // CHUNKS
 RADIUS = CHUNKS * (ERRORS + 1) - 1
-#: Partners of one held set, and documents of a cluster's and of a key's block, in a unit of work.
-BLOCK, CLUSTER_BLOCK, KEY_BLOCK = 512, 256, 2048
+#: Partners of one held set, and documents of a block of signatures, in a unit of work.
+BLOCK, KEY_BLOCK = 512, 2048
 #: Similarity from which two documents are akin.
 NEAR = 0.35
 LEAVE = list(combinations(range(WIDTH), WIDTH - ERRORS))
 _seeds = mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64))
 MULT, ADD = _seeds[:SYMBOLS] | np.uint64(1), _seeds[SYMBOLS:]
-SIGNED = "doc_id long, n long, set_a long, set_b long, sig binary"
+SIGNED = "doc_id long, tkey long, n long, set_a long, set_b long, sig binary"
 
 
 def signatures(g: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -74,7 +73,7 @@ def signatures(g: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _sign(k: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id")
+            ids, keys = b.column("doc_id"), b.column("tkey")
             for w in words(b.column("text"), lower=True):
                 sizes, g = shingles(w, k)
                 full = np.flatnonzero(sizes)
@@ -86,7 +85,7 @@ def _sign(k: int):
                     set_b[full] = np.add.reduceat(mix(g ^ np.uint64(0x5851F42D4C957F2D)), at)
                     for r, s in zip(full, signatures(g, sizes[full]), strict=True):
                         sig[r] = s.tobytes()
-                cols = [ids.slice(w.lo, w.hi - w.lo), pa.array(sizes), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), pa.array(sig, pa.binary())]
+                cols = [ids.slice(w.lo, w.hi - w.lo), keys.slice(w.lo, w.hi - w.lo), pa.array(sizes), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), pa.array(sig, pa.binary())]
                 yield pa.record_batch(cols, names=[f.split()[0] for f in SIGNED.split(", ")])
 
     return sign
@@ -161,7 +160,7 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     """``a, b, linked`` of the pairs that are akin; linked: their full sets reach
     the similarity num / den.
 
-    ``texts`` has one row per id (``doc_id, text``) and no negative id: b = -1
+    ``texts`` has one row per node (``doc_id, text``), whose numbers are not negative: b = -1
     marks the row of the held set, which sorts first.
     """
     blocks = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).cast("long")
@@ -203,51 +202,6 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return shared_table(labels.join(more, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def _cross_links(k: int, num: int, den: int):
-    """Rows of a unit of work (two blocks of a cluster) into links between
-    documents with different labels; one side of each is outside ("left")."""
-
-    def of_unit(held: list) -> Iterator[tuple[int, int]]:
-        ids, labels, left, own = (np.array([h[i] for h in held]) for i in range(4))
-        sets = [h[4] for h in held]
-        sizes = np.array([len(x) for x in sets])
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        for i in np.flatnonzero(left):
-            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-            n = hi - lo
-            at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            both = np.bincount(owner[at], minlength=len(sets))
-            union = sizes + sizes[i] - both
-            hit = (labels != labels[i]) & (both > 0) & (den * both >= num * union)
-            for j in np.flatnonzero(hit & (~left | (own != own[i]) | (ids > ids[i]))):
-                yield int(ids[i]), int(ids[j])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            a, b = zip(*found, strict=True)
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        unit, held = None, []
-        for b in batches:
-            c = {x: b.column(x).to_pylist() for x in ("cluster", "p", "q", "doc_id", "label", "left", "block")}
-            for w in words(b.column("text"), lower=True):
-                sizes, g = shingles(w, k)
-                end = np.cumsum(sizes)
-                for r in range(w.lo, w.hi):
-                    now = (c["cluster"][r], c["p"][r], c["q"][r])
-                    if now != unit:
-                        if held and (found := list(of_unit(held))):
-                            yield out(found)
-                        unit, held = now, []
-                    held.append((c["doc_id"][r], c["label"][r], c["left"][r], c["block"][r], g[end[r - w.lo] - sizes[r - w.lo] : end[r - w.lo]].copy()))
-        if held and (found := list(of_unit(held))):
-            yield out(found)
-
-    return run
-
-
 def _dealt(placed: DataFrame, block: int) -> DataFrame:
     """Rows ``cluster, doc_id, label`` of the clusters with several labels, dealt
     over units of work (cluster, p, q): the documents outside the largest label
@@ -283,16 +237,6 @@ def _clusters(akin: DataFrame, labels: DataFrame) -> DataFrame:
     return shared_table(placed.select(F.coalesce("cluster", "label").alias("cluster"), "doc_id", "label"), "clusters")
 
 
-def _cluster_links(placed: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links between the components that lie in one cluster."""
-    units = _dealt(placed, CLUSTER_BLOCK).join(texts, "doc_id")
-    return (
-        units.repartition("cluster", "p", "q")
-        .sortWithinPartitions("cluster", "p", "q", "doc_id")
-        .mapInArrow(_cross_links(k, num, den), "a long, b long")
-    )
-
-
 def _close_pairs(num: int, den: int):
     """Rows of a unit of work (two blocks of a key group) into pairs of different
     labels within RADIUS, of sizes that allow the similarity num / den."""
@@ -333,6 +277,13 @@ def _close_pairs(num: int, den: int):
     return run
 
 
+def _near_in_units(placed: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: pairs of different labels of a cluster that lie within RADIUS."""
+    units = _dealt(placed, KEY_BLOCK).join(sigs, "doc_id")
+    pairs = units.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "doc_id").mapInArrow(_close_pairs(num, den), "a long, b long")
+    return shared_table(pairs.distinct(), "near-pairs")
+
+
 def _meeting(sigs: DataFrame, placed: DataFrame, shared, num: int, den: int) -> DataFrame:
     """``a, b``: pairs of different clusters that share a key and lie within RADIUS."""
     clustered = sigs.join(placed.select("doc_id", F.col("cluster").alias("label")), "doc_id").select("doc_id", "label", "sig")
@@ -342,9 +293,7 @@ def _meeting(sigs: DataFrame, placed: DataFrame, shared, num: int, den: int) ->
     spans = shared_table(spans.where("least < most").select("key"), "spans")
     met = clustered.mapInArrow(_keys(key_filter(spans, "key")), keyed).join(spans, "key")
     met = shared_table(met.select(F.col("key").alias("cluster"), "doc_id", "label"), "met")
-    units = _dealt(met, KEY_BLOCK).join(sigs, "doc_id")
-    pairs = units.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "doc_id").mapInArrow(_close_pairs(num, den), "a long, b long")
-    return shared_table(pairs.distinct(), "met-pairs")
+    return _near_in_units(met, sigs, num, den)
 
 
 def _across(labels: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -358,17 +307,18 @@ def groups(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> Dat
 
     Documents are linked if den * shared >= num * union of their k-word shingles.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
     signed = shared_table(rows.mapInArrow(_sign(k), SIGNED), "signed")
     taking_part = signed.where("n > 0 AND doc_id IS NOT NULL")
     same = ["n", "set_a", "set_b"]
-    nodes = taking_part.groupBy(*same).agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"))
-    # ids are shifted to start at 0, so that -1 is free to mark held sets
+    nodes = taking_part.groupBy(*same).agg(F.min(F.struct("doc_id", "tkey")).alias("least"), F.min("sig").alias("sig"))
     # a signature becomes CHUNKS * WIDTH keys, so its table is dealt over as many
-    # parts as the session shuffles into and a task aggregates few of them
-    nodes = shared_table(nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "set_a", "set_b"), "nodes")
-    low = nodes.agg(F.min("node")).first()[0] or 0
-    sigs = nodes.select((F.col("node") - F.lit(low)).alias("doc_id"), "n", "sig")
+    # parts as the session shuffles into and a task aggregates few of them; the
+    # numbers of the nodes are fixed by writing them
+    nodes = nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "set_a", "set_b")
+    nodes = shared_table(nodes.select(*same, "sig", "least.doc_id", "least.tkey", F.monotonically_increasing_id().alias("node")), "nodes")
+    sigs = nodes.select(F.col("node").alias("doc_id"), "n", "sig")
 
     ends = sigs.select("doc_id", "sig").mapInArrow(_keys(), "key long, doc_id long").groupBy("key").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
@@ -380,7 +330,7 @@ def groups(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> Dat
     star = shared_table(star.groupBy("doc_id", "end").agg(F.count(F.lit(1)).alias("keys")), "star")
 
     wanted = key_filter(star.select("doc_id").union(star.select("end")).distinct(), "doc_id")
-    texts = shared_table(_texts(rows, nodes, low, wanted), "texts")
+    texts = shared_table(_texts(rows, nodes, wanted), "texts")
     best = star.groupBy("doc_id").agg(F.max_by("end", F.struct("keys", -F.col("end"))).alias("end"))
     first = shared_table(compared(best.select(F.col("end").alias("a"), F.col("doc_id").alias("b")), texts, k, num, den), "akin")
     labels = components(first.where("linked"))
@@ -391,26 +341,48 @@ def groups(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> Dat
     rest = shared_table(compared(rest, texts, k, num, den), "akin")
     labels = _relabel(labels, rest.where("linked"))
     placed = _clusters(first.union(rest), labels)
-    labels = _relabel(labels, _cluster_links(placed, texts, k, num, den))
+    near = _near_in_units(placed, sigs, num, den)
+    labels = _relabel(labels, compared(near, texts, k, num, den).where("linked"))
     met = _meeting(sigs, placed, shared, num, den)
     labels = _relabel(labels, compared(met, texts, k, num, den).where("linked"))
 
-    found = nodes.select(*same, "node").join(labels.select((F.col("id") + F.lit(low)).alias("node"), (F.col("label") + F.lit(low)).alias("label")), "node", "left")
-    found = found.select(*same, F.coalesce("label", "node").alias("component"))
+    labels = nodes.select(F.col("node").alias("id")).join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    labels = shared_table(labels, "labels")
+    if not (twice := _in_several(taking_part, nodes, same)).isEmpty():
+        labels = _relabel(labels, twice)
+    placed = nodes.select(*same, "doc_id", F.col("node").alias("id")).join(labels, "id")
+    component = placed.groupBy("label").agg(F.min("doc_id").alias("component"))
+    found = shared_table(placed.select(*same, "label").join(component, "label").select(*same, "component"), "found")
     own = taking_part.select("doc_id", *same).join(found, same).groupBy("doc_id").agg(F.min("component").alias("component"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(own, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _texts(rows: DataFrame, nodes: DataFrame, low: int, wanted) -> DataFrame:
-    """Texts of the nodes that take part in a comparison."""
+def _in_several(taking_part: DataFrame, nodes: DataFrame, same: list[str]) -> DataFrame:
+    """``a, b``: nodes that hold rows of one id, as links to the least of them."""
+    sets = F.struct(*same)
+    ids = taking_part.groupBy("doc_id").agg(F.min(sets).alias("lo"), F.max(sets).alias("hi")).where("lo <> hi").select("doc_id")
+    held = taking_part.join(ids, "doc_id", "left_semi").select("doc_id", *same).distinct()
+    held = held.join(nodes.select(*same, "node"), same).select("doc_id", "node")
+    least = held.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return shared_table(held.join(least, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "repeated")
+
+
+def _texts(rows: DataFrame, nodes: DataFrame, wanted) -> DataFrame:
+    """``doc_id, text``: a text of each node that takes part in a comparison, by its number."""
+
+    def of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(passes(wanted.value, b.column("node").to_numpy().view(np.uint64))))
+
+    kept = nodes.select("node", "doc_id", "tkey").mapInArrow(of_nodes, "node long, doc_id long, tkey long")
+    kept = shared_table(kept, "compared")
+    held = key_filter(kept, "tkey")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array(passes(wanted.value, ids.astype(np.int64).view(np.uint64))))
+            yield b.filter(pa.array(passes(held.value, b.column("tkey").to_numpy().view(np.uint64))))
 
-    kept = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select((F.col("doc_id") - F.lit(low)).alias("doc_id"), "text")
-    picked = kept.mapInArrow(pick, "doc_id long, text string")
-    return picked.join(nodes.select((F.col("node") - F.lit(low)).alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    picked = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(pick, "doc_id long, tkey long, text string")
+    return picked.join(kept, ["doc_id", "tkey"]).groupBy(F.col("node").alias("doc_id")).agg(F.first("text").alias("text"))

@@ -94,6 +94,25 @@ def test_neardup_groups_by_definition(spark, k):
     assert neardup.groups(spark.createDataFrame([], DOCS), k=k).count() == 0
 
 
+def test_neardup_ids_at_both_ends_and_repeated_ids(spark):
+    """Ids span the 64-bit range; rows of one id with different texts are one document."""
+    rng = random.Random(4)
+    texts = [[f"t{i}w{rng.randrange(500)}" for _ in range(60)] for i in range(6)]
+
+    def near(i):
+        t = list(texts[i])
+        t[rng.randrange(60)] = "new"
+        return " ".join(t)
+
+    lo, hi = -(2**63), 2**63 - 1
+    rows = [(lo, near(0)), (hi, near(0)), (hi - 1, near(1)), (lo + 5, near(1))]
+    # 5 links its two texts' groups; through 1 and 7 four ids are one component
+    rows += [(5, near(2)), (5, near(3)), (1, near(2)), (7, near(3)), (7, near(4)), (9, near(4)), (11, near(5)), (11, near(5))]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()}
+    want = {lo: lo, hi: lo, lo + 5: lo + 5, hi - 1: lo + 5, 1: 1, 5: 1, 7: 1, 9: 1, 11: 11}
+    assert got == {(i, c, i == c) for i, c in want.items()}
+
+
 def test_pairs_headed_by_other_documents_meet(spark):
     """Links whose key groups all start with documents akin to neither end."""
     rng, rows = random.Random(11), []
