@@ -15,13 +15,15 @@ Encoding cost: a byte-level BPE never merges across the tokenizer's word splits,
 and a single space between two other characters always starts a split, so a text
 is cut there and each distinct piece is encoded once per worker, in a cache of
 bounded size.  Texts with other white space than single spaces and single line
-feeds between other characters go to the library whole.
+feeds between other characters, or with the text of an added token, go to the
+library whole; pieces that tell such a text are never remembered.
 
 Defined results: null or empty text is the end id alone; rows with a null
 doc_id sort first; rows that repeat an id are ordered by
 a hash of their texts; an empty table
-gives an empty file; other columns are not read.  Strings that look like special
-tokens are ordinary text.
+gives an empty file; other columns are not read.  The text of an added token
+(``<|endoftext|>``) becomes that token, as the library does with
+``add_special_tokens=False``; a document longer than a block is a block of its own.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +45,7 @@ from .shared import shared_table
 
 #: Least ids of a block (unless its part ends), pieces a worker remembers.
 BLOCK_TOKENS, CACHE = 1 << 19, 1_500_000
-#: White space other than single spaces and line feeds between other characters.
-ODD_SPACE = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+SPACE = re.compile(r"\s")
 IDS = "doc_id long, tkey long, ids binary"
 BLOCK = "part int, seq int, doc_ids binary, no_id binary, lens binary, n long, stream binary, at binary, states binary, crc long"
 READ = "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long"
@@ -68,53 +70,67 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size()
         self.kind = kind or np.dtype("<u4")
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.marks = {c: self.whole(c) for c in ",.\n"}
-        self.known: dict[str, bytes] = {}
+        self.known = self._start()
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        # an added token that may lie across pieces is looked for in every text
+        self.wide = [c for c in added if " " in c or "\n" in c]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _start(self) -> dict[str, bytes]:
+        return {"\n": self.marks["\n"]}
+
+    def _learn(self, pieces: set[str]) -> bool:
         """Encode unknown pieces.  A word of letters (after at most one space) is
         one split of the tokenizer and goes to its model directly; one final mark
-        after it is a split of its own; other pieces go to the library whole."""
-        known, marks, kind, letters = self.known, self.marks, self.kind, self.letters
+        after it is a split of its own; other pieces go to the library whole.
+        False if a piece tells that its text does (it is empty, a lone space, or
+        holds white space inside or an added token)."""
+        known, marks, code, letters = self.known, self.marks, self.kind.char, self.letters
         tokenize = self.library.model.tokenize
         others = []
         for p in pieces:
             mark = p[-1:] if p[-1:] in marks else ""
             word = p[:-1] if mark else p
             if not word.removeprefix(" ").isalpha():
+                inside = p.removeprefix(" ")
+                if not inside or SPACE.search(inside) or self.added.search(p):
+                    return False
                 others.append(p)
                 continue
             ids = known.get(word)
             if ids is None:
                 spelt = word.encode().decode("latin-1").translate(letters)
-                ids = known[word] = np.array([t.id for t in tokenize(spelt)], kind).tobytes()
+                ids = known[word] = array(code, [t.id for t in tokenize(spelt)]).tobytes()
             if mark:
                 known[p] = ids + marks[mark]
         for p, e in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, kind).tobytes()
+            known[p] = array(code, e.ids).tobytes()
+        return True
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes."""
         if len(self.known) > CACHE:
-            self.known = {}
+            self.known = self._start()
         known, out = self.known, []
         for text in texts:
-            if "\0" in text or ODD_SPACE.search(text):
+            if "\0" in text or any(c in text for c in self.wide):
                 out.append(self.whole(text))
                 continue
+            # odd white space leaves a piece that is empty, a lone space or holds white
+            # space itself, and no such piece is ever known
             pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
             try:
                 out.append(b"".join(map(known.__getitem__, pieces)))
             except KeyError:
-                self._learn({p for p in pieces if p not in known})
-                out.append(b"".join(map(known.__getitem__, pieces)))
+                whole = not self._learn(set(pieces).difference(known))
+                out.append(self.whole(text) if whole else b"".join(map(known.__getitem__, pieces)))
         return out
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from riskrules.llm import chat, html, pieces, rans, substrings, tiling, tokens
 from riskrules.llm.queries import tokenizer_file
@@ -86,18 +87,32 @@ def test_pieces_of_a_text_encode_as_the_whole(text):
     if not _ENCODER:
         _ENCODER["e"] = tokens.Encoder(tokenizer_file("byte_bpe_50k.json"))
     e = _ENCODER["e"]
-    assert e.ids([text])[0] == e.whole(text)
+    assert e.ids([text])[0] == e.whole(text) == plain_ids(text, e.kind)
+
+
+def plain_ids(text, kind):
+    """Ids by the library as it comes."""
+    if "plain" not in _ENCODER:
+        _ENCODER["plain"] = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    return np.array(_ENCODER["plain"].encode(text, add_special_tokens=False).ids, kind).tobytes()
+
+
+@pytest.mark.parametrize("text", ["say <|endoftext|> now", "<|endoftext|>", "a<|endoftext|>b\nc", " lead", "trail ", "a  b", "a\n\nb", "a\u00a0b c", "\n", " ", "", "a \nb", "tab\there", "a\0b", "x\u3000y", "a\n b"])
+def test_special_strings_and_odd_spaces(text):
+    e = tokens.Encoder(tokenizer_file("byte_bpe_50k.json"))
+    for t in (text, "warm up words, here. " + text, text + " word"):
+        assert e.ids([t, t]) == [plain_ids(t, e.kind)] * 2
 
 
 def test_token_files(spark, tmp_path):
-    rows = odd_texts(random.Random(2)) + [(7, "again", "x"), (None, "no id", "x")]
+    rows = odd_texts(random.Random(2)) + [(7, "again", "x"), (None, "no id", "x"), (90, "ends <|endoftext|> here", "x"), (91, "long words " * 300_000, "x")]
     path = tokenizer_file("byte_bpe_50k.json")
     tokens.write_tokens(spark.createDataFrame(rows, DOCS), str(tmp_path / "t"), path, end_id=0)
     got = sorted(tokens.read_tokens(spark, str(tmp_path / "t"), path, end_id=0).collect(), key=lambda r: r["start"])
     e = tokens.Encoder(path)
     want = {}
     for i, t, _ in rows:
-        raw = e.whole(t or "") + np.array([0], "<u4").tobytes()
+        raw = plain_ids(t or "", e.kind) + np.array([0], "<u4").tobytes()
         want.setdefault(i, []).append((len(raw) // 4, zlib.crc32(raw)))
     at = 0
     for r in got:
