@@ -13,12 +13,15 @@
 The text of a path is every block of its containers outside menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments;
 nothing is dropped for length.  A class or id names such a part by a whole token or
-its last word ("cookie-notice"; not "has-sidebar", "related-work"), and never
-removes an element that holds the page's first article or main, nor one with most
-of the text unless that article lies elsewhere or it is named as comments.  Character references are decoded, white space in
-a block becomes one space, blocks are joined by two line feeds.
-
-Defined results: null or empty html gives empty text; a null url is a host of its
+its last word ("cookie-notice"; not "has-sidebar", "related-work"), whatever its
+length, and never removes an element that holds the page's first article or main.
+Character references are decoded, white space in a block becomes one space, blocks
+are joined by two line feeds.
+
+Defined results: null or empty html gives empty text (so does a page that holds
+notices only); long pages are read whole, in time and memory by their length; of
+equal scores the path that sorts last is a page's best, of equal votes the greater
+score and then the path that sorts first wins; a null url is a host of its
 own (empty); pages without any container use the whole page; rows that repeat a
 page_id are extracted one by one; an empty table gives an empty result; other
 columns are not read.
@@ -58,7 +61,6 @@ BAD_NAMES = set(
     "consent gdpr notice notices newsletter subscribe subscription signup share sharing social related recommended "
     "recommendations popup modal overlay widget toolbar pagination pager login search form hidden disclaimer copyright".split()
 )
-COMMENT_NAMES = set("comment comments disqus respond reply".split())
 #: First words of tokens that say something about an element, not what it is.
 ABOUT = set("has with no without overflow".split())
 GOOD_NAMES = set("article post entry content story body text main".split())
@@ -97,11 +99,11 @@ class _Open:
 class _Part:
     """An element with a bad name, judged when the page is read."""
 
-    __slots__ = ("up", "comments", "inside", "holds", "size", "out")
+    __slots__ = ("up", "holds", "out")
 
-    def __init__(self, up, comments, inside):
-        # inside, holds: it lies in, or holds, the page's first article or main
-        self.up, self.comments, self.inside, self.holds, self.size, self.out = up, comments, inside, False, 0, False
+    def __init__(self, up):
+        # holds: the page's first article or main lies in it
+        self.up, self.holds, self.out = up, False, False
 
 
 class _Box:
@@ -157,7 +159,6 @@ class Page:
         self.read: list[tuple[_Box, list[tuple[str, bool, _Part | None]]]] = []
         self.parts: list[_Part] = []
         self.first: _Open | None = None
-        self.size = 0
         at = 0
         for m in MARKUP.finditer(text):
             if m.start() > at:
@@ -175,10 +176,6 @@ class Page:
         top = self.stack[-1]
         if s and not top.out:
             self.pieces.append((s, top.link, top.part))
-            n, part = len(s.strip()), top.part
-            self.size += n
-            while part is not None:
-                part.size, part = part.size + n, part.up
 
     def _flush(self) -> None:
         if self.pieces:
@@ -188,8 +185,7 @@ class Page:
     def _judge(self) -> None:
         """Leave out the parts with bad names, and score the blocks that stay."""
         for p in self.parts:  # outer ones first
-            most = 2 * p.size > self.size and (self.first is None or p.inside) and not p.comments
-            p.out = not (p.holds or most) or (p.up is not None and p.up.out)
+            p.out = not p.holds or (p.up is not None and p.up.out)
         for box, pieces in self.read:
             kept = [(s, link) for s, link, p in pieces if p is None or not p.out]
             block = SPACE.sub(" ", references.unescape("".join(s for s, _ in kept))).strip()
@@ -241,8 +237,8 @@ class Page:
         names = _names(attrs) if "class" in attrs or "id" in attrs else set()
         out = top.out or _is_out(tag, attrs, stack)
         path, box, part = top.path, top.box, top.part
-        if names & BAD_NAMES and not out and tag not in ("html", "body", "main", "article") and (bad := _heads(attrs) & BAD_NAMES):
-            part = _Part(part, bool(bad & COMMENT_NAMES), self.first is not None and self.first in stack)
+        if names & BAD_NAMES and not out and tag not in ("html", "body", "main", "article") and _heads(attrs) & BAD_NAMES:
+            part = _Part(part)
             self.parts.append(part)
         if tag in BLOCKS:
             path = f"{path}>{_step(tag, attrs)}" if path else _step(tag, attrs)
@@ -251,7 +247,7 @@ class Page:
                 box = _Box(path, tag, top.box, named, part)
                 self.boxes.append(box)
         stack.append(_Open(tag, path, out, box, top.link or tag == "a", part))
-        if self.first is None and not out and tag in ("article", "main"):
+        if self.first is None and not out and (tag in ("article", "main") or attrs.get("role") == "main" or "articleBody" in attrs.get("itemprop", "")):
             self.first = stack[-1]
             while part is not None:
                 part.holds, part = True, part.up

@@ -147,7 +147,14 @@ def test_html_names_do_not_remove_the_main_text():
     article = "<article><p>the article</p><section id='related-work'><p>its section</p></section></article>"
     for name in ("content-sidebar-wrap", "site has-sidebar", "social-policy", "sidebar", "overflow-hidden"):
         assert read_(f"<body><div class='{name}'>{article}<div class='ad'>buy</div></div></body>") == "the article\n\nits section"
-    assert read_("<body><div class='notice'><p>" + "word " * 30 + "</p></div><div class='cookie-notice'>ok</div></body>") == ("word " * 30).strip()
+    # a named part stays out however long it is
+    words = "word " * 60
+    assert read_(f"<body><div class='notice'><p>{words}</p></div><div class='cookie-notice'>ok</div></body>") == ""
+    assert read_(f"<body><article><p>the article</p><div class='ad'>{words}</div></article></body>") == "the article"
+    assert read_(f"<body><div id=content><p>the article</p></div><div class='cookie-notice'>{words}</div></body>") == "the article"
+    assert read_(f"<body><p>the article</p><div class='sidebar'>{words}</div></body>") == "the article"
+    assert read_(f"<body><div class='overlay'><div role='main'><p>the article</p></div></div><div class='ad'>{words}</div></body>") == "the article"
+    assert read_("<body><article>" + "<p>one</p>" * 20_000 + "</article></body>") == "\n\n".join(["one"] * 20_000)
     assert read_("<body><article><p>short</p></article><div id='comments'><article><p>" + "long " * 30 + "</p></article></div></body>") == "short"
     assert read_("<body><article><p>a</p><svg width='1' /><p>b</p><svg><text>no</text></svg><p>c <span class='ad'>buy</span>d</p></article></body>") == "a\n\nb\n\nc d"
 
