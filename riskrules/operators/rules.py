@@ -1,23 +1,23 @@
 """Rule evaluation (J7, A17-A20), precision gate (P11) and ranking (O1).
 
 Every rule is measured over ALL rows of the band (not only flagged rows), which
-are first aggregated once to cells of equal bucket and mining values.
-Matching is a join of cells, never one query per rule:
-
-* rules are grouped by their wildcard mask (which features they bind; at
-  most 2^k masks, in practice few);
-* per mask, one equi-join on the amount bucket and the bound features;
-* the interval score joins on a bin number ``floor(x / w)``: each rule is
-  exploded over the few bins its interval overlaps (on the small side), each
-  row has exactly one bin, and the exact interval test is the join residual.
-  ``floor(x / w)`` is monotone in x, so no match is lost.
-
-The union of the per-mask matches holds each (cell, rule) pair once.
+are first aggregated once to cells of equal bucket and bound mining values.
+Matching is one join of cells and rules, whatever the number of rules and of
+wildcard masks:
+
+* a cell has an atom (feature, value) for each bound feature; the interval score's
+  value is a bin number ``floor(x / w)``;
+* a rule is filed under its rarest atom, the one that the fewest cells hold (a rule
+  without any bound feature is filed under its bucket alone).  An interval is filed
+  under the few bins it spans; a cell lies in one bin, and ``floor(x / w)`` is
+  monotone in x, so no match is lost and none is doubled;
+* cells meet the rules filed under their atoms in one equi-join on the bucket and
+  the atom; the rest of a rule's conditions is the join's residual test.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -50,31 +50,69 @@ def bound_features(mask: int, features: Sequence[str]) -> list[str]:
     return [f for i, f in enumerate(features) if mask >> i & 1]
 
 
-def _rule_side(rules: DataFrame, mask: int, features: Sequence[str], interval: str | None, params: Params) -> DataFrame:
-    bound = bound_features(mask, features)
-    cols = [F.col(RULE_ID), F.col(BUCKET).alias("__r_bucket")]
-    cols += [F.col(f).alias(f"__r_{f}") for f in bound if f != interval]
-    r = rules.where(F.col(MASK) == F.lit(mask))
-    if interval in bound:
-        w = bin_width(params)
-        cols += [F.col(LO).alias("__r_lo"), F.col(HI).alias("__r_hi")]
-        cols.append(
-            F.explode(
-                F.sequence(F.floor(F.col(LO) / F.lit(w)), F.floor(F.col(HI) / F.lit(w)))
-            ).alias("__r_bin")
-        )
-    return r.select(*cols)
+def any_bound(masks: Iterable[int], features: Sequence[str]) -> list[str]:
+    """Features that at least one of the masks binds."""
+    return bound_features(reduce(lambda a, b: a | b, masks, 0), features)
+
+
+def _in_mask(i: int) -> Column:
+    return F.col(MASK).bitwiseAND(F.lit(1 << i)) != 0
+
+
+def _atom(i: int, values: Column) -> Column:
+    return F.struct(F.lit(i).alias("f"), values.alias("v"))
+
 
+def _cell_atoms(features: Sequence[str], interval: str | None, bound: Sequence[str]) -> Column:
+    """The atoms of a cell; number -1 holds for every cell."""
+    atoms = [_atom(-1, F.lit(""))]
+    for i, f in enumerate(features):
+        if f in bound:
+            v = F.col(BIN) if f == interval else F.col(f)
+            atoms.append(F.when(v.isNotNull(), _atom(i, v.cast("string"))))
+    return F.filter(F.array(*atoms), lambda a: a.isNotNull())
 
-def _match_condition(rows: DataFrame, r: DataFrame, mask: int, features: Sequence[str], interval: str | None) -> Column:
-    bound = bound_features(mask, features)
-    cond = rows[BUCKET] == r["__r_bucket"]
-    for f in bound:
+
+def _rule_atoms(rules: DataFrame, features: Sequence[str], interval: str | None, bound: Sequence[str], params: Params) -> DataFrame:
+    """``rule_id, amount_bucket, f, v``: a row per atom under which a rule may be filed."""
+    atoms = [F.when(F.col(MASK) == 0, _atom(-1, F.array(F.lit(""))))]
+    w = bin_width(params)
+    for i, f in enumerate(features):
+        if f in bound:
+            if f == interval:
+                bins = F.sequence(F.floor(F.col(LO) / F.lit(w)), F.floor(F.col(HI) / F.lit(w)))
+                values = F.transform(bins, lambda x: x.cast("string"))
+            else:
+                values = F.array(F.col(f).cast("string"))
+            atoms.append(F.when(_in_mask(i), _atom(i, values)))
+    each = rules.select(RULE_ID, BUCKET, F.explode(F.filter(F.array(*atoms), lambda a: a.isNotNull())).alias("atom"))
+    return each.select(RULE_ID, BUCKET, F.col("atom.f").alias("f"), F.explode("atom.v").alias("v"))
+
+
+def _filed(rules: DataFrame, atoms: DataFrame, cell_atoms: DataFrame, small: bool) -> DataFrame:
+    """``rule_id, f, v``: the places of each rule, those of its rarest atom.
+
+    Only atoms that some rule holds are counted."""
+    mark = F.broadcast if small else (lambda d: d)
+    wanted = atoms.select(BUCKET, "f", "v").distinct()
+    counts = cell_atoms.join(mark(wanted), [BUCKET, "f", "v"], "left_semi").groupBy(BUCKET, "f", "v").agg(F.count(F.lit(1)).alias("cells"))
+    held = atoms.join(mark(counts), [BUCKET, "f", "v"], "left")
+    per_atom = held.groupBy(RULE_ID, "f").agg(F.sum(F.coalesce("cells", F.lit(0))).alias("cells"), F.collect_set("v").alias("vs"))
+    best = per_atom.groupBy(RULE_ID).agg(F.min_by(F.struct("f", "vs"), F.struct("cells", "f")).alias("best"))
+    return best.select(RULE_ID, F.col("best.f").alias("f"), F.explode("best.vs").alias("v"))
+
+
+def _residual(features: Sequence[str], interval: str | None, bound: Sequence[str]) -> Column:
+    """The conditions of a rule (columns ``__r_...``) on a cell."""
+    cond = F.lit(True)
+    for i, f in enumerate(features):
+        if f not in bound:
+            continue
         if f == interval:
-            cond = cond & (rows[BIN] == r["__r_bin"])
-            cond = cond & (rows[f] >= r["__r_lo"]) & (rows[f] < r["__r_hi"])
+            hit = (F.col(f) >= F.col("__r_lo")) & (F.col(f) < F.col("__r_hi"))
         else:
-            cond = cond & (rows[f] == r[f"__r_{f}"])
+            hit = F.col(f) == F.col(f"__r_{f}")
+        cond = cond & (~_in_mask(i) | F.coalesce(hit, F.lit(False)))
     return cond
 
 
@@ -102,22 +140,27 @@ def match_rules(
     masks: dict[int, int] | None = None,
 ) -> DataFrame:
     """``rule_id, <keep>`` for every (row or cell, rule) match."""
-    interval = interval_feature(rows, features, roles)
-    cols = list(dict.fromkeys([BUCKET, *features, *keep]))
-    base = with_bin(rows.select(*cols), interval, params)
     masks = mask_counts(rules) if masks is None else masks
+    if not masks:
+        return rows.limit(0).select(F.lit(None).cast("string").alias(RULE_ID), *keep)
+    bound = any_bound(masks, features)
+    interval = next((f for f in bound if is_interval(f, rows.schema[f].dataType, roles)), None)
     # size check before broadcasting the rule side: an interval spans at
-    # most 3 bins of width w, so each rule has at most 4 exploded copies
+    # most 3 bins of width w, so each rule has at most 4 places
     small = sum(masks.values()) * 4 <= params.max_broadcast_rows
-    parts = []
-    for m in sorted(masks):
-        r = _rule_side(rules, m, features, interval, params)
-        r = F.broadcast(r) if small else r
-        j = base.join(r, _match_condition(base, r, m, features, interval), "inner")
-        parts.append(j.select(RULE_ID, *keep))
-    if not parts:
-        return base.limit(0).select(F.lit(None).cast("string").alias(RULE_ID), *keep)
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    mark = F.broadcast if small else (lambda d: d)
+    base = with_bin(rows.select(*dict.fromkeys([BUCKET, *bound, *keep])), interval, params)
+    base = base.withColumn("__atom", F.explode(_cell_atoms(features, interval, bound)))
+    base = base.withColumns({"__f": F.col("__atom.f"), "__v": F.col("__atom.v")}).drop("__atom")
+    atoms = _rule_atoms(rules, features, interval, bound, params)
+    places = _filed(rules, atoms, base.select(BUCKET, F.col("__f").alias("f"), F.col("__v").alias("v")), small)
+    cols = [F.col(RULE_ID), F.col(MASK), F.col(BUCKET).alias("__r_bucket")]
+    cols += [F.col(f).alias(f"__r_{f}") for f in bound if f != interval]
+    if interval is not None:
+        cols += [F.col(LO).alias("__r_lo"), F.col(HI).alias("__r_hi")]
+    side = rules.select(*cols).join(mark(places.withColumnRenamed("f", "__r_f").withColumnRenamed("v", "__r_v")), RULE_ID)
+    on = (F.col(BUCKET) == F.col("__r_bucket")) & (F.col("__f") == F.col("__r_f")) & (F.col("__v") == F.col("__r_v"))
+    return base.join(mark(side), on & _residual(features, interval, bound)).select(RULE_ID, *keep)
 
 
 def fraud_amount(roles: Roles) -> Column:
@@ -130,10 +173,10 @@ def total_fraud_amount(rows: DataFrame, roles: Roles) -> DataFrame:
 
 
 def rule_cells(rows: DataFrame, features: Sequence[str], roles: Roles) -> DataFrame:
-    """The rows aggregated once to (bucket, mining values) cells with their
+    """The rows aggregated once to (bucket, bound mining values) cells with their
     measures.  Rules see only these columns, so a cell matches as its rows do;
-    rules of any number of masks then scan cells, not rows, and a frequent value
-    is one cell.  Checkpointed: every mask's join reads it."""
+    rules then scan cells, not rows, and a frequent value is one cell.
+    Checkpointed: the atom counts and the join read it."""
     cells = rows.where(F.col(BUCKET).isNotNull()).groupBy(BUCKET, *features).agg(
         F.count(F.lit(1)).alias("__cell_n"),
         F.sum(F.col(roles.label).cast("int")).alias("__cell_frauds"),
@@ -148,10 +191,11 @@ def evaluate_rules(
     """Rules + num_transactions, num_frauds, captured_fraud_amount, precision, amount_recall.
 
     ``rules`` should be persisted by the caller: it is read by the mask job,
-    the joins and the final projection.
+    the rule index and the final projection.
     """
     masks = mask_counts(rules) if masks is None else masks
-    cells = rule_cells(rows, features, roles)
+    # values that no rule binds do not split cells; without rules one empty cell list is enough
+    cells = rule_cells(rows if masks else rows.limit(0), any_bound(masks, features), roles)
     measures = [c for c in cells.columns if c.startswith("__cell")]
     matches = match_rules(cells, rules, features, roles, params, keep=measures, masks=masks)
     stats = matches.groupBy(RULE_ID).agg(
