@@ -8,62 +8,42 @@ collect.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import tier_expr
-from ..functions.rank import global_rank
+from ..functions.joins import checkpoint
+from ..functions.order_stats import percentiles
 from ..roles import UNKNOWN_TIER, Params, Roles
 from .profiles import measure_names
 
 BINS = "bins"
 
 
-def risk_bins(
-    profile: DataFrame, rate_col: str, params: Params, *, approx: bool = False, max_rates: int | None = None
-) -> DataFrame:
+BINS_SCHEMA = "__gid long, bins array<double>"
+
+
+def _bins_of(rates: DataFrame, params: Params) -> DataFrame:
+    """``__gid, bins``: sorted distinct percentile edges of the distinct rates
+    (``group, value``) of each group; at most one row per group."""
+    spark = rates.sparkSession
+    found = percentiles(checkpoint(rates.where(F.col("value").isNotNull()).distinct()), [float(p) for p in params.tier_percentiles])
+    return spark.createDataFrame([(g, list(dict.fromkeys(edges))) for g, edges in sorted(found.items())], BINS_SCHEMA)
+
+
+def risk_bins(profile: DataFrame, rate_col: str, params: Params, *, approx: bool = False) -> DataFrame:
     """One row, ``bins array<double>``: sorted distinct percentile edges.
 
-    Exact, with linear interpolation between order statistics (NumPy's
-    default): for percentile p over n distinct rates, position (n - 1) p lies
-    between ranks floor and ceil.
-
-    * ``max_rates`` (an upper bound of the distinct rates, e.g. the profile's
-      row count) at most ``exact_percentile_max_rates``: Spark's ``percentile``
-      aggregate, whose final merge holds one entry per distinct rate.
-    * otherwise the distinct rates are ranked by a range-partitioned sort
-      (``global_rank``), so no task holds all of them; only the at most 2 x 5
-      rows at the needed ranks reach the final one-row aggregate.
-    * ``approx``: ``percentile_approx``.
+    Exact, with linear interpolation between order statistics (NumPy's default),
+    by grouped counts of shrinking ranges (``functions.order_stats``), whatever the
+    number of rates; NULL without rates.  ``approx``: ``percentile_approx``.
     """
-    rates = profile.select(F.col(rate_col).alias("rate")).where(F.col("rate").isNotNull()).distinct()
-    pcts = [float(p) for p in params.tier_percentiles]
+    rates = profile.select(F.lit(0).cast("long").alias("group"), F.col(rate_col).cast("double").alias("value"))
     if approx:
-        edges = F.percentile_approx("rate", F.array(*[F.lit(p) for p in pcts]), params.percentile_accuracy)
-        return rates.agg(F.array_distinct(edges).alias(BINS))
-    if max_rates is not None and max_rates <= params.exact_percentile_max_rates:
-        return rates.agg(F.array_distinct(F.percentile("rate", F.array(*[F.lit(p) for p in pcts]))).alias(BINS))
-    n = rates.agg(F.count(F.lit(1)).alias("__n"))
-    # n: one-row aggregate, evaluated once as a scalar subquery
-    ranked = global_rank(rates, [F.asc("rate")], "__rk", rows_hint=max_rates).withColumn("__n", n.scalar())
-    pos = [(F.col("__n") - 1) * F.lit(p) for p in pcts]
-    needed = reduce(
-        lambda a, b: a | b,
-        [(F.col("__rk") == F.floor(x) + 1) | (F.col("__rk") == F.ceil(x) + 1) for x in pos],
-    )
-    picked = ranked.where(needed).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("__rk").cast("long"), "rate"))).alias("__v"),
-        F.first("__n").alias("__n"),
-    )
-    edges = []
-    for p in pcts:
-        x = (F.col("__n") - 1) * F.lit(p)
-        lo = F.element_at("__v", F.floor(x) + 1)
-        hi = F.element_at("__v", F.ceil(x) + 1)
-        edges.append(lo + (x - F.floor(x)) * (hi - lo))
-    return picked.select(F.when(F.col("__n") > 0, F.array_distinct(F.array(*edges))).alias(BINS))
+        pcts = F.array(*[F.lit(float(p)) for p in params.tier_percentiles])
+        rates = rates.where(F.col("value").isNotNull()).distinct()
+        return rates.agg(F.array_distinct(F.percentile_approx("value", pcts, params.percentile_accuracy)).alias(BINS))
+    return _bins_of(rates, params).agg(F.first(BINS).alias(BINS))
 
 
 def tier_name(key: str, roles: Roles) -> str:
@@ -77,13 +57,11 @@ def with_risk_tier(
     roles: Roles,
     params: Params,
     bins: DataFrame | None = None,
-    *,
-    max_rates: int | None = None,
 ) -> DataFrame:
     """Profile + tier column; ``bins`` (one row) is read as a scalar subquery."""
     rate = measure_names(key, roles)["rate"]
     if bins is None:
-        bins = risk_bins(profile, rate, params, max_rates=max_rates)
+        bins = risk_bins(profile, rate, params)
     return (
         profile.withColumn(BINS, bins.scalar())
         .withColumn(tier_name(key, roles), tier_expr(F.col(rate), F.col(BINS)))
@@ -120,15 +98,13 @@ def tier_onehot_columns(key: str, roles: Roles, labels: list[str]) -> list:
     ]
 
 
-def tier_population(stats, roles: Roles, params: Params, card: dict[str, int]):
+def tier_population(stats, roles: Roles, params: Params):
     """Tiers of every entity of every id from the one population aggregate.
 
-    Bins of all ids come from one grouped ``percentile`` over the distinct
-    (id, rate) pairs; the task of one id holds that id's distinct rates,
-    checked against ``exact_percentile_max_rates`` (ids above it take the
-    distributed rank path of ``risk_bins``).  The bins table has one row per
-    id (bounded) and is broadcast; tiers are one projection; the tier labels
-    of all ids are one small aggregate.
+    Bins of all ids come from one set of passes over the distinct (id, rate) pairs
+    (``percentiles``).  The bins table has one row per id (bounded) and is
+    broadcast; tiers are one projection; the tier labels of all ids are one small
+    aggregate.
 
     Returns ({id: profile with tier column}, {id: tier labels in slot order}).
     """
@@ -137,21 +113,7 @@ def tier_population(stats, roles: Roles, params: Params, card: dict[str, int]):
         return {}, {}
     gids = {k: stats.gid[k] for k in ids}
     table = stats.table.where(F.col("__gid").isin(list(gids.values())))
-    pct = F.array(*[F.lit(float(p)) for p in params.tier_percentiles])
-    small = [k for k in ids if card.get(k, 0) <= params.exact_percentile_max_rates]
-    parts = []
-    if small:
-        rates = (
-            table.where(F.col("__gid").isin([gids[k] for k in small]) & F.col("__rate").isNotNull())
-            .select("__gid", F.col("__rate").alias("rate"))
-            .distinct()
-        )
-        parts.append(rates.groupBy("__gid").agg(F.array_distinct(F.percentile("rate", pct)).alias(BINS)))
-    for k in ids:
-        if k not in small:
-            rate = measure_names(k, roles)["rate"]
-            parts.append(risk_bins(stats.profile(k), rate, params).select(F.lit(gids[k]).alias("__gid"), BINS))
-    bins = reduce(lambda a, b: a.unionByName(b), parts)
+    bins = _bins_of(table.select(F.col("__gid").cast("long").alias("group"), F.col("__rate").alias("value")), params)
     tiered = (
         table.join(F.broadcast(bins), on="__gid", how="left")
         .withColumn("__tier", tier_expr(F.col("__rate"), F.col(BINS)))
@@ -161,8 +123,6 @@ def tier_population(stats, roles: Roles, params: Params, card: dict[str, int]):
     # profiles cut from this one table, and repeated references to a cached
     # plan can be re-instantiated by the analyzer and miss the cache, while a
     # checkpointed relation is always read back, never recomputed.
-    from ..functions.joins import checkpoint
-
     tiered = checkpoint(tiered)
     value = F.when(stats.key_is_null(), F.lit(UNKNOWN_TIER)).otherwise(F.col("__tier"))
     rows = tiered.groupBy("__gid", value.alias("value")).agg(F.sum("__count").alias("n")).collect()

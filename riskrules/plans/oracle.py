@@ -251,6 +251,67 @@ COND_ROWS = (
 )
 
 
+# ---- rules over all subsets of four mining columns ------------------------------------------
+
+LATTICE = ("cs", "card_profile_dep", "part_id", "ship_address_usage_ind")
+
+
+def lattice_ctes() -> tuple[str, ...]:
+    cols = ", ".join(LATTICE)
+    sets = ", ".join(
+        "(" + ", ".join(["amount_bucket", *[f for i, f in enumerate(LATTICE) if m >> i & 1]]) + ")" for m in range(1, 1 << len(LATTICE))
+    )
+    bound = " AND ".join(f"(GROUPING({f}) = 1 OR {f} IS NOT NULL)" for f in LATTICE)
+    size = " + ".join(f"CASE WHEN {f} IS NULL THEN 0 ELSE 1 END" for f in LATTICE)
+    lat = (
+        f"lat AS (SELECT *, {size} AS n_bound FROM (SELECT amount_bucket, {cols}, COUNT(*) AS support FROM "
+        "(SELECT amount_bucket, ROUND(cs, 1) AS cs, card_profile_dep, part_id, ship_address_usage_ind FROM band "
+        "WHERE cs >= 0.35 AND amount_bucket IS NOT NULL) "
+        f"GROUP BY GROUPING SETS ({sets}) HAVING COUNT(*) >= 50 AND {bound}))"
+    )
+    extends = " AND ".join(f"(p.{f} IS NULL OR q.{f} = p.{f})" for f in LATTICE)
+    pat = (
+        f"pat AS (SELECT amount_bucket, {cols}, support FROM lat p WHERE NOT EXISTS (SELECT 1 FROM lat q "
+        f"WHERE q.amount_bucket = p.amount_bucket AND q.n_bound > p.n_bound AND {extends}))"
+    )
+    rul = (
+        "r AS (SELECT *, CASE WHEN cs IS NOT NULL THEN ROUND(GREATEST(0.0, cs - 0.05), 3) END AS score_lo, "
+        "CASE WHEN cs IS NOT NULL THEN ROUND(LEAST(1.0, cs + 0.05), 3) END AS score_hi FROM pat)"
+    )
+    hit = (
+        "b.amount_bucket = r.amount_bucket AND (r.cs IS NULL OR (b.cs >= r.score_lo AND b.cs < r.score_hi)) AND "
+        + " AND ".join(f"(r.{f} IS NULL OR b.{f} = r.{f})" for f in LATTICE[1:])
+    )
+    keys = f"r.amount_bucket, {', '.join('r.' + f for f in LATTICE)}, r.support, r.score_lo, r.score_hi"
+    ev = (
+        f"ev AS (SELECT {keys}, COUNT(b.amount_bucket) AS num_transactions, "
+        "CAST(COALESCE(SUM(CAST(b.is_fraud AS INTEGER)), 0) AS BIGINT) AS num_frauds, "
+        f"COALESCE(CAST(SUM(CAST(CASE WHEN b.is_fraud = 1 THEN b.amount ELSE 0 END AS {MONEY})) AS DOUBLE), 0.0) AS captured_fraud_amount "
+        f"FROM r LEFT JOIN band b ON {hit} GROUP BY {keys})"
+    )
+    quote = "''''"
+    text = (
+        f"({AMOUNT_TEXT}) || COALESCE(' AND event.cs >= ' || printf('%.3f', score_lo) || ' AND event.cs < ' || printf('%.3f', score_hi), '') "
+        f"|| COALESCE(' AND event.card_profile_dep = ' || {quote} || card_profile_dep || {quote}, '') "
+        "|| COALESCE(' AND event.part_id = ' || part_id, '') "
+        f"|| COALESCE(' AND event.ship_address_usage_ind = ' || {quote} || ship_address_usage_ind || {quote}, '')"
+    )
+    order = ", ".join(["amount_recall DESC", "amount_bucket ASC", *[f"{f} ASC NULLS FIRST" for f in LATTICE]])
+    ranked = f"rk AS (SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY {order}) AS INTEGER) AS rank, {text} AS rule_string FROM k)"
+    return BAND, lat, pat, rul, ev, TOTAL, MET, KEPT, ranked, hit
+
+
+def lattice_queries() -> dict[str, str]:
+    *ctes, hit = lattice_ctes()
+    cols = ", ".join(LATTICE)
+    shown = f"rank, amount_bucket, {cols}, rule_string, support, num_transactions, num_frauds, captured_fraud_amount, precision, amount_recall"
+    return {
+        "mine_lattice": with_(*ctes[:2]) + f"SELECT amount_bucket, {cols}, support FROM lat",
+        "lattice_rules": with_(*ctes) + f"SELECT {shown} FROM rk",
+        "lattice_hits": with_(*ctes) + f"SELECT b.* FROM band b WHERE EXISTS (SELECT 1 FROM rk r WHERE r.rank <= 8 AND {hit})",
+    }
+
+
 def oracle() -> dict[str, str]:
     q: dict[str, str] = {
         "tx_scan": with_() + "SELECT * FROM tx",
@@ -307,4 +368,4 @@ def oracle() -> dict[str, str]:
         f"SELECT {', '.join(cols)} FROM (SELECT * FROM tx WHERE fraud_score >= 50 AND fraud_score < 70) b "
         "LEFT JOIN p ON b.mch_id_trimmed = p.mch_id_trimmed"
     )
-    return q
+    return {**q, **lattice_queries()}

@@ -19,12 +19,13 @@ from ..operators import bands, encode, model, patterns, profiles, rules, ruleset
 from ..operators.bands import BUCKET
 from ..roles import Params, Roles
 from ..sources.fixtures import FIXTURE_ROLES, tx_frame
-from .workflow import mine_rules, preprocess
+from .workflow import extract_rules, mine_rules, preprocess
 
 R: Roles = FIXTURE_ROLES
 P: Params = Params()
 MCH, ISS, PART = "mch_id_trimmed", "issuer_member", "part_id"
 MINING = ["cs", "card_profile_dep"]
+LATTICE = ["cs", "card_profile_dep", "part_id", "ship_address_usage_ind"]
 FLAG_MIN = 0.35
 ONEHOT_DEMO = ["card_profile_dep", "ship_address_usage_ind"]
 CATEGORICAL_CHECK = ["ship_address_usage_ind", "card_profile_dep", "bill_count", "part_id"]
@@ -107,12 +108,10 @@ def q_risk_bins(spark, sf):
 
 
 def _tiered(spark, sf, key):
-    # the profile's row count bounds the distinct rates: the size check of the
-    # exact percentile aggregate (q_risk_bins runs the distributed rank path)
     names = profiles.measure_names(key, R)
+    # read by the bins and by the tiers: aggregated once
     prof = _profile(spark, sf, key).persist(StorageLevel.MEMORY_AND_DISK)
-    t = tiers.with_risk_tier(prof, key, R, P, max_rates=prof.count())
-    return t.select(key, names["rate"], tiers.tier_name(key, R))
+    return tiers.with_risk_tier(prof, key, R, P).select(key, names["rate"], tiers.tier_name(key, R))
 
 
 def q_risk_tier_merchant(spark, sf):
@@ -224,6 +223,28 @@ def q_mine_patterns(spark, sf):
     return _patterns(spark, sf)
 
 
+def q_mine_lattice(spark, sf):
+    """A16 over every subset of the mining columns, an id among them."""
+    return patterns.mine_lattice(_band(spark, sf), _flag(), LATTICE, R, P)
+
+
+def _lattice_ranked(spark, sf, band):
+    _, ranked = extract_rules(band, LATTICE, R, P, flagged=_flag())
+    return ranked
+
+
+def q_lattice_rules(spark, sf):
+    """Rules of the maximal patterns (R1 wildcards, J7, A17-A20, O1) with an id mined."""
+    return _lattice_ranked(spark, sf, _band(spark, sf)).select("rank", BUCKET, *LATTICE, "rule_string", "support", *METRIC_COLS)
+
+
+def q_lattice_hits(spark, sf):
+    """Rows hit by the best lattice rules, whose masks differ."""
+    band = _band(spark, sf)
+    best = ruleset.choose(_lattice_ranked(spark, sf, band), P, 8).persist(StorageLevel.MEMORY_AND_DISK)
+    return ruleset.hits(band, best, LATTICE, R, P)
+
+
 def q_rule_text(spark, sf):
     return _rules(spark, sf).select(BUCKET, *MINING, "support", "rule_string")
 
@@ -296,9 +317,9 @@ def q_ruleset_union_metrics(spark, sf):
 
 # ---- model-backed queries (no SQL oracle: a trained tree decides) ------------------------
 
-TREE_P = P.with_(max_depth=4, mining_max_values=50)
+TREE_P = P.with_(max_depth=4)
 # the workflow mines ids whatever their number of values: min_support decides
-WORKFLOW_P = TREE_P.with_(max_rules=3, mining_max_values=None)
+WORKFLOW_P = TREE_P.with_(max_rules=3)
 
 
 def _prepared(spark, sf):

@@ -23,7 +23,7 @@ from ..functions.joins import materialize
 from ..operators.bands import BUCKET, score_band, with_amount_flags
 from ..operators.encode import attach_frequency, fill_sentinel, onehot_columns, plan_encoding
 from ..operators.model import confident, feature_ranking, model_inputs, score, train
-from ..operators.patterns import mine_patterns, rule_conditions
+from ..operators.patterns import mine_lattice, mine_patterns, rule_conditions
 from ..operators.profiles import PopulationStats, attach_profile, profile_columns, with_cross_border
 from ..operators.rules import evaluate_rules, keep_precise, mask_counts, rank_rules
 from ..operators.ruleset import choose, combined_rule, metrics, union_metrics
@@ -74,10 +74,10 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
     # all profiles and category counts in one pass over the population
     stats = PopulationStats(pop, roles, params, roles.categoricals) if (roles.ids or roles.categoricals) else None
     # one small job: every id's and categorical's cardinality (also the size
-    # checks of the profile joins and of the percentile aggregate)
+    # checks of the profile joins)
     card: dict[str, int] = stats.cardinalities() if stats is not None else {}
     # tiers of every entity of every id in one plan, labels in one small job
-    profiles, tiers = tier_population(stats, roles, params, card) if roles.ids else ({}, {})
+    profiles, tiers = tier_population(stats, roles, params) if roles.ids else ({}, {})
     for key, prof in profiles.items():
         for c in profile_columns(prof, key):
             source_of[c] = key
@@ -153,10 +153,15 @@ def extract_rules(
 ) -> tuple[DataFrame, DataFrame]:
     """Patterns among the confident rows of a scored frame, and the precise rules
     they give, ranked.  ``scored`` comes from ``score`` of a fitted model; another
-    ``target_precision`` needs only this step."""
+    ``target_precision`` needs only this step.  With ``Params.mine_subsets`` the
+    patterns are the maximal frequent ones over all subsets of the features."""
     if flagged is None and "prediction" not in scored.columns:
         raise ValueError("score the rows with a trained model first, or say which rows are flagged")
-    patterns = mine_patterns(scored, flagged if flagged is not None else confident(params), features, roles, params)
+    flagged = flagged if flagged is not None else confident(params)
+    if params.mine_subsets:
+        patterns = mine_lattice(scored, flagged, features, roles, params, maximal=True)
+    else:
+        patterns = mine_patterns(scored, flagged, features, roles, params)
     rules = rule_conditions(patterns, features, roles, params).persist(StorageLevel.MEMORY_AND_DISK)
     masks = mask_counts(rules)
     evaluated = evaluate_rules(scored, rules, features, roles, params, masks=masks).persist(StorageLevel.MEMORY_AND_DISK)

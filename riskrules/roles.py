@@ -93,16 +93,17 @@ class Params:
     keep_zero_importance: bool = False
     confidence: float = 0.7
     min_support: int = 50
+    # mine the maximal frequent patterns over all subsets of the mining columns
+    # (a column whose values never repeat min_support times then leaves the others
+    # their patterns); False groups by all columns at once, as the method does
+    mine_subsets: bool = True
     score_half_width: float = 0.05
     # grid of the interval score when mining; None = the grid whose step is
     # the rule interval's width (2 x 0.05 = 0.1, one decimal), so the cell of
     # a pattern, round(x) = v, is its own rule interval [v - w, v + w)
     score_decimals: int | None = None
     max_rules: int = 5
-    # exact percentile bins: Spark's percentile aggregate up to this many
-    # entities (its final merge holds every distinct rate), a distributed
-    # rank of the distinct rates above; percentile_accuracy is for approx
-    exact_percentile_max_rates: int = 1_000_000
+    # accuracy of approximate bins (risk_bins(approx=True))
     percentile_accuracy: int = 100_000
     # explicit size checks before any broadcast of a data-derived table
     max_broadcast_rows: int = 2_000_000

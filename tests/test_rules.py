@@ -179,17 +179,96 @@ def test_global_rank_of_many_rows_with_payload(spark):
 
 
 def test_bins_of_many_rates_equal_percentile(spark):
+    """A million rates, most of them in a tiny range."""
     from riskrules.operators.tiers import risk_bins
 
-    rates = spark.range(0, 400_000, 1, 8).select((F.rand(9) * 0.9 + F.col("id") * 1e-12).alias("rate"))
+    value = F.when(F.col("id") % 10 == 0, F.rand(9)).otherwise(0.25 + F.col("id") * 1e-12)
     path = tempfile.mkdtemp(prefix="riskrules-rates-")
-    rates.write.mode("overwrite").parquet(path)
+    spark.range(0, 1_000_000, 1, 8).select(value.alias("rate")).write.mode("overwrite").parquet(path)
     rates = spark.read.parquet(path)
     a = risk_bins(rates, "rate", P).first()["bins"]
-    b = risk_bins(rates, "rate", P, max_rates=400_000).first()["bins"]
+    b = rates.distinct().agg(F.percentile("rate", F.array(*[F.lit(float(p)) for p in P.tier_percentiles])).alias("b")).first()["b"]
     assert len(a) == len(b) == 5 and all(abs(x - y) < 1e-12 for x, y in zip(a, b, strict=True))
 
 
+def test_percentiles_of_groups_by_definition(spark):
+    """Shrinking ranges with few parts and early reading, repeats and extremes."""
+    import numpy as np
+
+    from riskrules.functions.order_stats import percentiles
+
+    rng = random.Random(5)
+    groups = {
+        0: [rng.random() for _ in range(500)], 1: [0.5], 2: [rng.choice([1.0, 2.0, 3.0]) for _ in range(300)],
+        3: [1e308, -1e308, 0.0, *(rng.random() * 1e-300 for _ in range(200))], 4: [2.0**-k for k in range(400)],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "group long, value double")
+    pcts = [0.0, 0.1, 0.5, 0.9, 0.95, 1.0]
+    got = percentiles(df, pcts, digits=4, stop=8)
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        if g == 3:
+            assert got[g][0] == -1e308 and got[g][-1] == 1e308
+            continue
+        assert np.allclose(got[g], np.quantile(vs, pcts), rtol=1e-12, atol=0)
+    assert percentiles(df.limit(0), pcts) == {}
+
+
+def lattice_by_definition(rows, features, least, flagged):
+    from itertools import combinations
+
+    count = {}
+    for r in rows:
+        if not flagged(r) or bucket_of(r["amount"]) is None:
+            continue
+        v = {f: None if r[f] is None or r[f] == -1 else (round(r[f] * 10) / 10 if f == "cs" else r[f]) for f in features}
+        for size in range(1, len(features) + 1):
+            for s in combinations(features, size):
+                if all(v[f] is not None for f in s):
+                    key = (bucket_of(r["amount"]), *(v[f] if f in s else None for f in features))
+                    count[key] = count.get(key, 0) + 1
+    return {k: n for k, n in count.items() if n >= least}
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_lattice_by_definition(spark, most):
+    """Subsets of columns with NULL, -1 and an id that never repeats, with and without broadcasts."""
+    rows = make_rows(seed=3, count=500)
+    data = [(*r, i) for i, r in enumerate(rows)]
+    feats = ["one", *FEATS]
+    df = bands.with_amount_bucket(spark.createDataFrame(data, SCHEMA + ", one int"), ROLES, P)
+    params = P.with_(min_support=4, max_broadcast_rows=most)
+    flag = F.col("is_fraud") == 1
+    got = {tuple(r)[:-1]: r["support"] for r in patterns.mine_lattice(df, flag, feats, ROLES, params).collect()}
+    dicts = [r.asDict() for r in df.collect()]
+    # values halfway between two cells are rounded by Spark's own rule
+    grid = {r["cs"]: r["g"] for r in df.select("cs", patterns.on_grid(F.col("cs"), params).alias("g")).distinct().collect()}
+    want = lattice_by_definition([{**r, "cs": grid[r["cs"]]} for r in dicts], feats, 4, lambda r: r["is_fraud"] == 1)
+    assert got == want and len({tuple(v is None for v in k) for k in got}) > 5
+    top = {tuple(r)[:-1] for r in patterns.mine_lattice(df, flag, feats, ROLES, params, maximal=True).collect()}
+
+    def extends(a, b):
+        return a != b and a[0] == b[0] and all(y is None or x == y for x, y in zip(a[1:], b[1:], strict=True))
+
+    assert top == {k for k in want if not any(extends(q, k) for q in want)}
+    assert patterns.mine_lattice(df, F.lit(False), feats, ROLES, params).count() == 0
+    assert patterns.mine_lattice(df, flag, [], ROLES, params).count() == 0
+
+
+def test_one_join_whatever_the_number_of_masks(spark, mined):
+    """Rules meet cells in one join on their filing atom; hit rows in one semi join."""
+    df, rl, ev, _ = mined
+    masks = rules.mask_counts(rl)
+    assert len(masks) > 3
+    cells = rules.rule_cells(df, FEATS, ROLES)
+    plan = rules.match_rules(cells, rl, FEATS, ROLES, P, masks=masks)._jdf.queryExecution().optimizedPlan().toString()
+    # distinct atoms, their counts, the filing and the match: none of them per mask
+    assert plan.count("Join ") <= 4 and "Union" not in plan
+    best = ruleset.choose(rules.rank_rules(ev, FEATS), P, 5)
+    hit = ruleset.hits(df, best, FEATS, ROLES, P)._jdf.queryExecution().optimizedPlan().toString()
+    assert hit.count("LeftSemi") == 1 and "ExistenceJoin" not in hit
+
+
 def test_rules_that_differ_in_their_wildcard_only(spark):
     """('Y', NULL) and (NULL, 'Y') are two rules, measured apart."""
     schema = "is_fraud int, amount double, fraud_score double, a string, b string"
