@@ -312,6 +312,48 @@ def lattice_queries() -> dict[str, str]:
     }
 
 
+# ---- rules with wildcards: NULL and -1 in the mining columns ----------------------------------
+
+NULL_BAND = (
+    "bn AS (SELECT is_fraud, amount, amount_bucket, CASE WHEN bill_count % 11 <> 0 THEN cs END AS cs, "
+    "CASE WHEN bill_count % 7 <> 0 THEN card_profile_dep END AS card_profile_dep, "
+    "CAST(bill_count % 3 - 1 AS INTEGER) AS n FROM band)"
+)
+
+
+def null_queries() -> dict[str, str]:
+    cols = "amount_bucket, cs, card_profile_dep, n"
+    pat = (
+        "pat AS (SELECT amount_bucket, ROUND(cs, 1) AS cs, card_profile_dep, n, COUNT(*) AS support FROM bn "
+        "WHERE is_fraud = 1 AND amount_bucket IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING COUNT(*) >= 5)"
+    )
+    rul = (
+        "r AS (SELECT *, CASE WHEN cs IS NOT NULL THEN ROUND(GREATEST(0.0, cs - 0.05), 3) END AS score_lo, "
+        "CASE WHEN cs IS NOT NULL THEN ROUND(LEAST(1.0, cs + 0.05), 3) END AS score_hi FROM pat)"
+    )
+    keys = "r.amount_bucket, r.cs, r.card_profile_dep, r.n, r.support, r.score_lo, r.score_hi"
+    ev = (
+        f"ev AS (SELECT {keys}, COUNT(b.amount_bucket) AS num_transactions, "
+        "CAST(COALESCE(SUM(CAST(b.is_fraud AS INTEGER)), 0) AS BIGINT) AS num_frauds, "
+        f"COALESCE(CAST(SUM(CAST(CASE WHEN b.is_fraud = 1 THEN b.amount ELSE 0 END AS {MONEY})) AS DOUBLE), 0.0) AS captured_fraud_amount "
+        "FROM r LEFT JOIN bn b ON b.amount_bucket = r.amount_bucket AND (r.cs IS NULL OR (b.cs >= r.score_lo AND b.cs < r.score_hi)) "
+        "AND (r.card_profile_dep IS NULL OR b.card_profile_dep = r.card_profile_dep) AND (r.n IS NULL OR r.n = -1 OR b.n = r.n) "
+        f"GROUP BY {keys})"
+    )
+    quote = "''''"
+    text = (
+        f"({AMOUNT_TEXT}) || COALESCE(' AND event.cs >= ' || printf('%.3f', score_lo) || ' AND event.cs < ' || printf('%.3f', score_hi), '') "
+        f"|| COALESCE(' AND event.card_profile_dep = ' || {quote} || card_profile_dep || {quote}, '') "
+        "|| CASE WHEN n IS NULL OR n = -1 THEN '' ELSE ' AND event.n = ' || n END"
+    )
+    shown = f"{cols}, {text} AS rule_string, support, num_transactions, num_frauds, captured_fraud_amount, precision, amount_recall"
+    return {
+        "null_rules": with_(BAND, NULL_BAND, pat, rul, ev, TOTAL, MET) + f"SELECT {shown} FROM m",
+        "null_view_sentinel": with_(BAND, NULL_BAND)
+        + "SELECT is_fraud, amount, amount_bucket, COALESCE(cs, -1) AS cs, card_profile_dep, n FROM bn",
+    }
+
+
 def oracle() -> dict[str, str]:
     q: dict[str, str] = {
         "tx_scan": with_() + "SELECT * FROM tx",
@@ -368,4 +410,4 @@ def oracle() -> dict[str, str]:
         f"SELECT {', '.join(cols)} FROM (SELECT * FROM tx WHERE fraud_score >= 50 AND fraud_score < 70) b "
         "LEFT JOIN p ON b.mch_id_trimmed = p.mch_id_trimmed"
     )
-    return {**q, **lattice_queries()}
+    return {**q, **lattice_queries(), **null_queries()}

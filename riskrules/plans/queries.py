@@ -245,6 +245,29 @@ def q_lattice_hits(spark, sf):
     return ruleset.hits(band, best, LATTICE, R, P)
 
 
+def _null_band(spark, sf):
+    """The band with NULL scores, NULL categories and the -1 sentinel in a number."""
+    b = F.col("bill_count")
+    return _band(spark, sf).select(
+        "is_fraud", "amount", BUCKET, F.when(b % 11 != 0, F.col("cs")).alias("cs"),
+        F.when(b % 7 != 0, F.col("card_profile_dep")).alias("card_profile_dep"), (b % 3 - 1).alias("n"),
+    )
+
+
+def q_null_rules(spark, sf):
+    """R1, J7 and A17-A20 with wildcards: NULL and -1 put no condition on a column."""
+    band, feats = _null_band(spark, sf).persist(StorageLevel.MEMORY_AND_DISK), ["cs", "card_profile_dep", "n"]
+    # few rows repeat four values; a lower support gives rules with every kind of wildcard
+    pats = patterns.mine_patterns(band, F.col("is_fraud") == 1, feats, R, P.with_(min_support=5))
+    found = patterns.rule_conditions(pats, feats, R, P).persist(StorageLevel.MEMORY_AND_DISK)
+    return rules.evaluate_rules(band, found, feats, R, P).select(BUCKET, *feats, "rule_string", "support", *METRIC_COLS)
+
+
+def q_null_view_sentinel(spark, sf):
+    """P7 on rows that hold NULL: numbers become -1, texts stay."""
+    return encode.fill_sentinel(_null_band(spark, sf))
+
+
 def q_rule_text(spark, sf):
     return _rules(spark, sf).select(BUCKET, *MINING, "support", "rule_string")
 
