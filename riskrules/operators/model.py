@@ -67,7 +67,9 @@ def assemble(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
 
 
 def train(band: DataFrame, inputs: Sequence[str], roles: Roles, params: Params) -> PipelineModel:
-    """Gini tree on rows with a label (rows without one are only scored)."""
+    """Gini tree on rows with a label (rows without one are only scored).
+
+    The learner takes no NaN: fill NULL and NaN numbers first (``encode.fill_sentinel``)."""
     data = band.where(F.col(roles.label).isNotNull()).withColumn(LABEL, F.col(roles.label).cast("double"))
     tree = DecisionTreeClassifier(
         labelCol=LABEL,
@@ -102,8 +104,8 @@ def tree_nodes(spark: SparkSession, model: PipelineModel, inputs: Sequence[str])
 
     ``node_id`` numbers nodes as a heap (root 1, children 2i and 2i + 1);
     internal nodes carry the split (input column, threshold: go left when
-    ``value <= threshold``), every node its prediction, impurity and the
-    training rows that reached it.  Model metadata walked on the driver
+    ``value <= threshold``), every node its prediction, its share of the label 1,
+    its impurity and the training rows that reached it.  Model metadata walked on the driver
     through Spark ML's public node API; no data is read.
     """
     rows = []
@@ -111,18 +113,20 @@ def tree_nodes(spark: SparkSession, model: PipelineModel, inputs: Sequence[str])
     while stack:
         node, nid, depth = stack.pop()
         count = int(node.impurityStats().count())
+        by_label = [float(v) for v in node.impurityStats().stats()]
+        share = by_label[1] / sum(by_label) if len(by_label) > 1 and sum(by_label) else 0.0
         if node.getClass().getSimpleName() == "InternalNode":
             split = node.split()
             threshold = float(split.threshold()) if split.getClass().getSimpleName() == "ContinuousSplit" else None
             rows.append((nid, depth, False, inputs[split.featureIndex()], threshold,
-                         float(node.prediction()), float(node.impurity()), float(node.gain()), count))
+                         float(node.prediction()), share, float(node.impurity()), float(node.gain()), count))
             stack.append((node.leftChild(), 2 * nid, depth + 1))
             stack.append((node.rightChild(), 2 * nid + 1, depth + 1))
         else:
-            rows.append((nid, depth, True, None, None, float(node.prediction()), float(node.impurity()), None, count))
+            rows.append((nid, depth, True, None, None, float(node.prediction()), share, float(node.impurity()), None, count))
     schema = (
         "node_id long, depth int, is_leaf boolean, feature string, threshold double, "
-        "prediction double, impurity double, gain double, rows long"
+        "prediction double, share double, impurity double, gain double, rows long"
     )
     return spark.createDataFrame(sorted(rows), schema)
 
@@ -133,6 +137,44 @@ def score(model: PipelineModel, band: DataFrame) -> DataFrame:
     return out.withColumn(PROB, vector_to_array(F.col("probability"))[1]).drop(FEATURES, "rawPrediction")
 
 
+def tree_column(df: DataFrame, nodes: DataFrame) -> Column:
+    """The tree as one expression on the columns of ``df``: a struct of ``leaf_id``,
+    ``prediction`` and ``fraud_probability``.
+
+    ``nodes`` is a table as ``tree_nodes`` gives it (bounded by the depth; read on the
+    driver).  Values go the way Spark ML sends them: NULL and NaN numbers fail every
+    ``<=`` and go right, a NULL flag counts as -1.  No vector and no model object is
+    needed, so the rows of a stream or of another application can be scored.
+    """
+    node = {r["node_id"]: r for r in nodes.collect()}
+
+    def value(name: str) -> Column:
+        quoted = F.col("`" + name.replace("`", "``") + "`")
+        number = quoted.cast("double")
+        return F.coalesce(number, F.lit(-1.0)) if isinstance(df.schema[name].dataType, T.BooleanType) else number
+
+    def below(nid: int) -> Column:
+        n = node[nid]
+        if n["is_leaf"]:
+            return F.struct(
+                F.lit(nid).cast("long").alias("leaf_id"),
+                F.lit(n["prediction"]).alias("prediction"),
+                F.lit(n["share"]).alias(PROB),
+            )
+        if n["threshold"] is None:
+            raise ValueError(f"node {nid} splits {n['feature']} by categories; only thresholds are supported")
+        return F.when(value(n["feature"]) <= F.lit(n["threshold"]), below(2 * nid)).otherwise(below(2 * nid + 1))
+
+    return below(1)
+
+
+def score_by_tree(df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``df`` with ``leaf_id``, ``prediction`` and ``fraud_probability`` by ``tree_column``."""
+    by = "__tree"
+    parts = [F.col(f"{by}.{c}").alias(c) for c in ("leaf_id", "prediction", PROB)]
+    return df.withColumn(by, tree_column(df, nodes)).select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns], *parts)
+
+
 def confident(params: Params) -> Column:
     """Rows the tree flags with high confidence."""
     return (F.col("prediction") == F.lit(1.0)) & (F.col(PROB) >= F.lit(float(params.confidence)))

@@ -354,6 +354,77 @@ def null_queries() -> dict[str, str]:
     }
 
 
+# ---- sources and sinks, a tree as a table ----------------------------------------------------
+
+RAW = (
+    "raw AS (SELECT CASE WHEN bill_count % 17 <> 0 THEN mch_id_trimmed END AS m, "
+    "CASE WHEN bill_count % 13 = 0 THEN 'n/a' WHEN bill_count % 19 <> 0 THEN CAST(amount AS VARCHAR) END AS a, "
+    "CASE WHEN bill_count = 41 THEN 3000000000 ELSE CAST(is_fraud AS BIGINT) END AS f, "
+    "CASE WHEN bill_count % 11 <> 0 THEN cs END AS c, "
+    "CASE WHEN bill_count % 10 = 3 THEN bill_count + 0.5::DOUBLE WHEN bill_count % 10 <> 7 THEN CAST(bill_count AS DOUBLE) END AS b, "
+    "card_profile_dep, issuer_member FROM tx)"
+)
+REASONS = (
+    "why AS (SELECT *, CASE WHEN m IS NULL THEN 'mch_id_trimmed:null' END AS r1, "
+    "CASE WHEN a IS NULL THEN 'amount:null' WHEN TRY_CAST(a AS DOUBLE) IS NULL THEN 'amount:type' END AS r2, "
+    "CASE WHEN TRY_CAST(f AS INTEGER) IS NULL THEN 'is_fraud:type' END AS r3, "
+    "CASE WHEN b <> floor(b) THEN 'bill_count:lossy' END AS r4 FROM raw)"
+)
+
+
+def source_queries() -> dict[str, str]:
+    good = "r1 IS NULL AND r2 IS NULL AND r3 IS NULL AND r4 IS NULL"
+    one = " UNION ALL ".join(f"SELECT {r} AS w FROM why WHERE {r} IS NOT NULL" for r in ("r1", "r2", "r3", "r4"))
+    return {
+        "schema_rows": with_(RAW, REASONS)
+        + "SELECT m AS mch_id_trimmed, TRY_CAST(a AS DOUBLE) AS amount, TRY_CAST(f AS INTEGER) AS is_fraud, c AS cs, "
+        f"CAST(b AS INTEGER) AS bill_count, card_profile_dep, CAST(NULL AS VARCHAR) AS auth_note FROM why WHERE {good}",
+        "schema_rejected": with_(RAW, REASONS)
+        + "SELECT card_profile_dep, CAST(issuer_member AS VARCHAR) AS issuer_member, concat_ws(',', r1, r2, r3, r4) AS reasons "
+        f"FROM why WHERE NOT ({good})",
+        "schema_report": with_(RAW, REASONS)
+        + f"SELECT split_part(w, ':', 1) AS \"column\", split_part(w, ':', 2) AS reason, COUNT(*) AS n FROM ({one}) GROUP BY 1, 2",
+        "published_rules": with_(*RULE_CTES)
+        + f"SELECT rank, rule_string, {METRICS}, CAST(2 AS BIGINT) AS version, (SELECT COUNT(*) FROM k) AS rules_before FROM sel",
+    }
+
+
+def sketch_queries() -> dict[str, str]:
+    one = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, COUNT(DISTINCT {c}) + MAX(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS n_distinct, "
+        "COUNT(*) AS n, TRUE AS within_error FROM events"
+        for c in ("event_id", "user_id", "event_type")
+    )
+    return {
+        "sketch_cardinality": f"SELECT feature, CAST(n_distinct AS BIGINT) AS n_distinct, n, within_error FROM ({one})",
+        "sketch_quantiles": "SELECT CAST(s AS DOUBLE) AS share, n, TRUE AS within_error FROM (VALUES (0.0), (0.5), (0.9), (0.95), (1.0)) t(s), "
+        "(SELECT COUNT(*) AS n FROM events WHERE value IS NOT NULL AND NOT isnan(value))",
+    }
+
+
+def tree_queries() -> dict[str, str]:
+    rows = (
+        "t AS (SELECT mch_id_trimmed, amount, is_fraud, CASE WHEN bill_count % 11 <> 0 THEN cs END AS cs, "
+        "CASE WHEN bill_count % 5 <> 0 THEN bill_count END AS n, "
+        'CASE WHEN bill_count % 7 <> 0 THEN issuer_bin_profile_issuing_cou <> merchant_country_code END AS "cross" FROM band)'
+    )
+    leaf = (
+        "l AS (SELECT *, CAST(CASE WHEN cs <= 0.35 THEN CASE WHEN \"cross\" THEN 5 ELSE 4 END "
+        "WHEN cs <= 0.65 THEN CASE WHEN n <= 24.5 THEN 12 ELSE 13 END ELSE 7 END AS BIGINT) AS leaf_id FROM t)"
+    )
+    shown = (
+        "SELECT *, CASE WHEN leaf_id IN (7, 13) THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction, CASE leaf_id WHEN 4 THEN 0.05 "
+        "WHEN 5 THEN 0.2 WHEN 7 THEN 0.95 WHEN 12 THEN 0.45 WHEN 13 THEN 0.72 END::DOUBLE AS fraud_probability FROM l"
+    )
+    zero = "CAST(0 AS BIGINT) AS"
+    return {
+        "tree_rows": with_(BAND, rows, leaf) + shown,
+        "tree_positive_rows": with_(BAND, rows, leaf) + f"SELECT * FROM ({shown}) WHERE leaf_id IN (7, 13)",
+        "tree_agreement": with_(BAND)
+        + f"SELECT COUNT(*) AS rows, {zero} predictions_differ, {zero} probabilities_differ, {zero} flags_differ FROM band",
+    }
+
+
 def oracle() -> dict[str, str]:
     q: dict[str, str] = {
         "tx_scan": with_() + "SELECT * FROM tx",
@@ -410,4 +481,4 @@ def oracle() -> dict[str, str]:
         f"SELECT {', '.join(cols)} FROM (SELECT * FROM tx WHERE fraud_score >= 50 AND fraud_score < 70) b "
         "LEFT JOIN p ON b.mch_id_trimmed = p.mch_id_trimmed"
     )
-    return {**q, **lattice_queries(), **null_queries()}
+    return {**q, **lattice_queries(), **null_queries(), **source_queries(), **sketch_queries(), **tree_queries()}

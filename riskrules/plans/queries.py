@@ -10,15 +10,20 @@ Sample standard deviations are shown at 4 decimals and percentile edges at
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import bands, encode, model, patterns, profiles, rules, ruleset, tiers
+from ..functions.joins import checkpoint, checkpoint_dir
+from ..operators import bands, encode, model, patterns, profiles, rules, ruleset, sketches, tiers
 from ..operators.bands import BUCKET
 from ..roles import Params, Roles
-from ..sources.fixtures import FIXTURE_ROLES, tx_frame
+from ..sources.conform import conform
+from ..sources.fixtures import FIXTURE_ROLES, table, tx_frame
+from ..sources.publish import publish, read_published
 from .workflow import extract_rules, mine_rules, preprocess
 
 R: Roles = FIXTURE_ROLES
@@ -338,6 +343,140 @@ def q_ruleset_union_metrics(spark, sf):
     return ruleset.union_metrics(band, _selected(spark, sf, band), MINING, R, P)
 
 
+# ---- sources and sinks ------------------------------------------------------------------
+
+#: What the raw view below has to fit; the label, the amount and the merchant are required.
+RAW_SCHEMA = T.StructType(
+    [
+        T.StructField("mch_id_trimmed", T.LongType(), False),
+        T.StructField("amount", T.DoubleType(), False),
+        T.StructField("is_fraud", T.IntegerType(), False),
+        T.StructField("cs", T.DoubleType(), True),
+        T.StructField("bill_count", T.IntegerType(), True),
+        T.StructField("card_profile_dep", T.StringType(), True),
+        T.StructField("auth_note", T.StringType(), True),
+    ]
+)
+
+
+def _raw(spark, sf):
+    """Transactions as a careless export gives them: numbers as text, "n/a", NULLs,
+    halves and out-of-range values in an integer, a column too many, one missing."""
+    b, c = F.col("bill_count"), F.col
+    return _tx(spark, sf).select(
+        F.when(b % 17 != 0, c("mch_id_trimmed")).alias("mch_id_trimmed"),
+        F.when(b % 13 == 0, "n/a").when(b % 19 != 0, c("amount").cast("string")).alias("amount"),
+        F.when(b == 41, F.lit(3_000_000_000)).otherwise(c("is_fraud").cast("long")).alias("is_fraud"),
+        F.when(b % 11 != 0, c("cs").cast("string")).alias("cs"),
+        F.when(b % 10 == 3, b + 0.5).when(b % 10 != 7, b.cast("double")).alias("bill_count"),
+        "card_profile_dep", "issuer_member",
+    )
+
+
+def q_schema_rows(spark, sf):
+    """The rows that keep the schema, typed."""
+    return conform(_raw(spark, sf), RAW_SCHEMA).rows
+
+
+def q_schema_rejected(spark, sf):
+    """The rejected rows, each with all its reasons."""
+    bad = conform(_raw(spark, sf), RAW_SCHEMA).rejected
+    reasons = F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["column"], e["reason"])), ",")
+    shown = [F.get_json_object("row", f"$.{c}").alias(c) for c in ("card_profile_dep", "issuer_member")]
+    return bad.select(*shown, reasons.alias("reasons"))
+
+
+def q_schema_report(spark, sf):
+    """How many rows break the schema, by column and reason."""
+    return conform(_raw(spark, sf), RAW_SCHEMA).report
+
+
+def q_published_rules(spark, sf):
+    """S3: all precise rules published, then the chosen ones; what a reader gets."""
+    kept = rules.keep_precise(_evaluated(spark, sf), P).persist(StorageLevel.MEMORY_AND_DISK)
+    base = f"{checkpoint_dir(spark)}/published-{uuid4().hex}"
+    first = publish(kept, base)
+    latest = publish(ruleset.choose(kept, P, features=MINING), base)
+    before = read_published(spark, base, first).agg(F.count(F.lit(1)).alias("n"))
+    return read_published(spark, base).select(
+        "rank", BUCKET, *MINING, "rule_string", "support", *METRIC_COLS,
+        F.lit(latest).cast("long").alias("version"), before.scalar().alias("rules_before"),
+    )
+
+
+# ---- sketches per day -------------------------------------------------------------------
+
+SKETCHED = ["event_id", "user_id", "event_type"]
+SHARES = [0.0, 0.5, 0.9, 0.95, 1.0]
+#: Over three standard errors of the distinct counts, and twice the rank error of the quantiles.
+DISTINCT_ERROR, RANK_ERROR = 0.03, 0.02
+
+
+def _daily(spark, sf):
+    return table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+
+
+def q_sketch_cardinality(spark, sf):
+    """A14 by merged sketches of days, beside the exact counts they stand for."""
+    ev = _daily(spark, sf)
+    stored = checkpoint(sketches.category_sketches(ev, SKETCHED, "day"))
+    near = sketches.merged_cardinality(stored).withColumnRenamed("n_distinct", "about")
+    exact = encode.cardinality(encode.category_counts(ev, SKETCHED))
+    within = F.abs(F.col("about") - F.col("n_distinct")) <= DISTINCT_ERROR * F.col("n_distinct")
+    return exact.join(near, "feature").select("feature", "n_distinct", "n", within.alias("within_error"))
+
+
+def q_sketch_quantiles(spark, sf):
+    """A12 by merged sketches of days: each quantile's true rank lies within the error."""
+    ev = _daily(spark, sf)
+    stored = checkpoint(sketches.value_sketches(ev, ["value"], "day"))
+    # one row, read by every row's comparison and by the result
+    asked = checkpoint(sketches.merged_quantiles(stored, SHARES)).select("quantiles")
+    rows = ev.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("q", asked.scalar())
+    at = [(F.col("value") < F.col("q")[i], F.col("value") <= F.col("q")[i]) for i in range(len(SHARES))]
+    share = lambda c: F.avg(c.cast("int"))
+    ranks = F.array(*[F.struct(F.lit(s).alias("share"), share(lo).alias("lo"), share(hi).alias("hi")) for s, (lo, hi) in zip(SHARES, at)])
+    found = rows.agg(F.count(F.lit(1)).alias("n"), ranks.alias("ranks")).select("n", F.inline("ranks"))
+    within = (F.col("lo") - RANK_ERROR <= F.col("share")) & (F.col("share") <= F.col("hi") + RANK_ERROR)
+    return found.select("share", "n", within.alias("within_error"))
+
+
+# ---- a tree as a table ----------------------------------------------------------------------
+
+#: A small stated tree over a score, a number and a flag (thresholds as a fitted tree has them).
+STATED_TREE = [
+    (1, False, "cs", 0.35, 0.0, 0.3),
+    (2, False, "cross", 0.5, 0.0, 0.1),
+    (3, False, "cs", 0.65, 1.0, 0.7),
+    (4, True, None, None, 0.0, 0.05),
+    (5, True, None, None, 0.0, 0.2),
+    (6, False, "n", 24.5, 1.0, 0.55),
+    (7, True, None, None, 1.0, 0.95),
+    (12, True, None, None, 0.0, 0.45),
+    (13, True, None, None, 1.0, 0.72),
+]
+TREE_COLUMNS = "node_id long, is_leaf boolean, feature string, threshold double, prediction double, share double"
+
+
+def _tree_rows(spark, sf):
+    b = F.col("bill_count")
+    rows = bands.score_band(_tx(spark, sf), R, P).select(
+        MCH, "amount", "is_fraud", F.when(b % 11 != 0, F.col("cs")).alias("cs"), F.when(b % 5 != 0, b).alias("n"),
+        F.when(b % 7 != 0, F.col("issuer_bin_profile_issuing_cou") != F.col("merchant_country_code")).alias("cross"),
+    )
+    return model.score_by_tree(rows, spark.createDataFrame(STATED_TREE, TREE_COLUMNS))
+
+
+def q_tree_rows(spark, sf):
+    """Every band row scored by a stated tree, NULLs in all three inputs."""
+    return _tree_rows(spark, sf)
+
+
+def q_tree_positive_rows(spark, sf):
+    """P8 on the stated tree."""
+    return _tree_rows(spark, sf).where(model.confident(P))
+
+
 # ---- model-backed queries (no SQL oracle: a trained tree decides) ------------------------
 
 TREE_P = P.with_(max_depth=4)
@@ -380,6 +519,23 @@ def q_positive_rows(spark, sf):
     return scored.where(model.confident(TREE_P)).select(MCH, "amount", "is_fraud", "cs", model.PROB)
 
 
+def q_tree_agreement(spark, sf):
+    """The fitted tree as an expression against the fitted model, whole band."""
+    prep, m = _trained(spark, sf)
+    by_model = model.score(m, prep.band)
+    mine = model.tree_column(by_model, model.tree_nodes(spark, m, prep.inputs))
+    both = by_model.withColumn("__tree", mine)
+    p, q = F.col("__tree.prediction"), F.col(f"__tree.{model.PROB}")
+    flagged = (p == 1.0) & (q >= F.lit(float(TREE_P.confidence)))
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        count(~p.eqNullSafe(F.col("prediction"))).alias("predictions_differ"),
+        count(~q.eqNullSafe(F.col(model.PROB))).alias("probabilities_differ"),
+        count(~flagged.eqNullSafe(model.confident(TREE_P))).alias("flags_differ"),
+    )
+
+
 def q_workflow(spark, sf):
     res = mine_rules(_tx(spark, sf), R, WORKFLOW_P)
     return res.selected.select("rank", "rule_string", *METRIC_COLS)

@@ -49,12 +49,17 @@ class Roles:
         return replace(self, **kw)
 
     def check(self, df: DataFrame) -> "Roles":
-        """Fail early when a required column is missing."""
+        """Fail early when a required column is missing, or when the label, the amount
+        or the score is no number."""
         cols = set(df.columns)
         need = [self.label, self.amount, self.score, *self.categoricals, *self.ids]
         missing = [c for c in need if c not in cols]
         if missing:
             raise ValueError(f"columns missing from the transaction table: {missing}")
+        numbers = {c: df.schema[c].dataType for c in (self.label, self.amount, self.score)}
+        wrong = [f"{c} ({t.simpleString()})" for c, t in numbers.items() if not is_numeric(t)]
+        if wrong:
+            raise ValueError(f"columns of the transaction table that must be numbers: {wrong}")
         return self
 
 

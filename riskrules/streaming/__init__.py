@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.joins import checkpoint_dir
 from ..operators.bands import with_amount_bucket
+from ..operators.model import confident, score_by_tree
 from ..operators.ruleset import hits
 from ..roles import Params, Roles
 
@@ -30,6 +31,14 @@ def flag_events(events: DataFrame, selected: DataFrame, features: Sequence[str],
     return hits(with_amount_bucket(events, roles, params), selected, features, roles, params)
 
 
+def score_events(events: DataFrame, nodes: DataFrame, params: Params) -> DataFrame:
+    """Events (batch or streaming) that a tree flags with high confidence.
+
+    ``nodes`` is the table of ``operators.model.tree_nodes``; ``events`` hold the
+    tree's input columns.  One projection and one filter, without state."""
+    return score_by_tree(events, nodes).where(confident(params))
+
+
 def start_flagging(
     events: DataFrame,
     selected: DataFrame,
