@@ -53,6 +53,17 @@ def money_total(prefix: str) -> Column:
     return _total(*(F.col(f"{prefix}_{p}") for p in ("unit", "rest", "odd", "plain")))
 
 
+def money_less(prefix: str, c: str | Column) -> Column:
+    """The sum that ``money_parts`` columns stand for, less one of its amounts (NULL
+    takes nothing off).  NaN if the group holds a NaN or infinite amount."""
+    x = col(c).cast("double")
+    unit = F.floor(x)
+    rest = F.floor((x - unit) * F.lit(float(_UNIT)) + F.lit(0.5)).cast("long")
+    odd = F.col(f"{prefix}_odd")
+    less = [F.col(f"{prefix}_{p}") - F.coalesce(v, F.lit(0)) for p, v in (("unit", unit), ("rest", rest))]
+    return _total(less[0], less[1], odd, F.when(odd, F.lit(float("nan"))))
+
+
 def money_sum(c: str | Column) -> Column:
     """Order-independent sum of an amount, returned as double.
 

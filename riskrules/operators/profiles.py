@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import label_double, money_sum, safe_ratio
+from ..functions.exprs import label_double, money_less, money_parts, money_sum, safe_ratio, tier_expr
 from ..functions.joins import attach
 from ..roles import Params, Roles
 
 CROSS_BORDER = "is_cross_border"
+#: Column of a profile that holds the tier edges, beside the states.
+BINS = "__bins"
 
 
 def profile_kind(key: str, roles: Roles) -> str:
@@ -75,8 +77,61 @@ def with_cross_border(df: DataFrame, roles: Roles) -> DataFrame:
     return df.withColumn(CROSS_BORDER, cross_border_flag(roles))
 
 
-def entity_profile(df: DataFrame, key: str, roles: Roles, params: Params) -> DataFrame:
-    """One row per value of ``key`` (NULL is a group of its own)."""
+#: Prefix of the additive states from which a row's own share can be taken off.
+STATE = "__state_"
+
+
+def _label_rates(columns, roles: Roles, params: Params) -> dict[str, Column]:
+    """What each rate that holds the label averages: the label, where it counts."""
+    y, amt, t = label_double(roles.label), F.col(roles.amount), params.amount_thresholds
+    out = {"rate": y, "small": F.when(amt <= F.lit(float(t[0])), y), "large": F.when(amt > F.lit(float(t[-1])), y)}
+    if roles.issuing_country in columns and roles.merchant_country in columns:
+        out["xb_fraud"] = F.when(cross_border_flag(roles) == 1, y)
+    return out
+
+
+def _positive_amount(roles: Roles) -> Column:
+    return F.when(F.col(roles.label) == 1, F.col(roles.amount)).otherwise(F.lit(0.0))
+
+
+def label_states(df: DataFrame, roles: Roles, params: Params) -> list[Column]:
+    """Additive states of every measure that holds the label: sums and counts, and
+    exact sums of money."""
+    out = []
+    for name, y in _label_rates(df.columns, roles, params).items():
+        out += [F.sum(y).alias(f"{STATE}{name}_sum"), F.count(y).alias(f"{STATE}{name}_n")]
+    return [*out, *money_parts(_positive_amount(roles), f"{STATE}positive"), *money_parts(roles.amount, f"{STATE}amount")]
+
+
+def less_own_label(rows: DataFrame, key: str, roles: Roles, params: Params, bins: str | None = None) -> DataFrame:
+    """Rows with an attached profile and its states: every measure that holds the label
+    is learned from the OTHER rows of the entity, and the states are dropped.
+
+    A row's profile then tells nothing about its own label.  Counts, mean amount,
+    deviation and the rates without the label stay those of all rows.  NULL where no
+    other row counts, and for a NULL key.  ``bins``: a column of tier edges; the tier is
+    then that of the row's own new rate.  The rows have to be rows of the population.
+    """
+    names = measure_names(key, roles)
+    made = {}
+    for name, y in _label_rates(rows.columns, roles, params).items():
+        if names.get(name) in rows.columns:
+            left = F.coalesce(F.col(f"{STATE}{name}_sum"), F.lit(0.0)) - F.coalesce(y, F.lit(0.0))
+            made[names[name]] = safe_ratio(left, F.col(f"{STATE}{name}_n") - y.isNotNull().cast("long"))
+    made[names["amount_rate"]] = safe_ratio(
+        money_less(f"{STATE}positive", _positive_amount(roles)), money_less(f"{STATE}amount", roles.amount)
+    )
+    tier = names["rate"].replace("_fraud_rate", "_risk_tier")
+    out = rows.withColumns(made)
+    if bins is not None:
+        # rows without a profile keep their NULL tier
+        out = out.withColumn(tier, F.when(F.col(bins).isNotNull(), tier_expr(F.col(names["rate"]), F.col(bins)))).drop(bins)
+    return out.drop(*[c for c in out.columns if c.startswith(STATE)])
+
+
+def entity_profile(df: DataFrame, key: str, roles: Roles, params: Params, *, states: bool = False) -> DataFrame:
+    """One row per value of ``key`` (NULL is a group of its own); ``states`` adds what
+    ``less_own_label`` needs."""
     names = measure_names(key, roles)
     y = label_double(roles.label)
     amt = F.col(roles.amount)
@@ -106,6 +161,8 @@ def entity_profile(df: DataFrame, key: str, roles: Roles, params: Params) -> Dat
             xb = cross_border_flag(roles)
             aggs.append(F.avg(xb.cast("double")).alias(names["xb"]))
             aggs.append(F.avg(F.when(xb == 1, y)).alias(names["xb_fraud"]))
+    if states:
+        aggs += label_states(df, roles, params)
     return df.groupBy(key).agg(*aggs)
 
 
@@ -116,9 +173,13 @@ def profile_columns(profile: DataFrame, key: str) -> list[str]:
 def attach_profile(
     rows: DataFrame, profile: DataFrame, key: str, roles: Roles, params: Params, *, keyed_rows: int | None = None
 ) -> DataFrame:
-    """Left join of a profile on ``key``; NULL keys never match (NULL measures)."""
+    """Left join of a profile on ``key``; NULL keys never match (NULL measures).  A
+    profile with states is attached without the row's own label (``less_own_label``)."""
     count_col = measure_names(key, roles)["count"]
-    return attach(rows, profile, key, params, count_col=count_col, keyed_rows=keyed_rows)
+    out = attach(rows, profile, key, params, count_col=count_col, keyed_rows=keyed_rows)
+    if f"{STATE}rate_n" in profile.columns:
+        return less_own_label(out, key, roles, params, BINS if BINS in profile.columns else None)
+    return out
 
 
 # ---- one pass for every profile and every category count -----------------------------
@@ -173,6 +234,8 @@ class PopulationStats:
         n = len(cols)
         self.gid = {c: (2**n - 1) - 2 ** (n - 1 - i) for i, c in enumerate(cols)}
         self.measures = [m for m in _all_measures(df, roles, params)]
+        if not params.own_label:
+            self.measures += label_states(df, roles, params)
         agg = base.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols]).agg(
             *self.measures, F.grouping_id().alias("__gid")
         )
@@ -194,6 +257,7 @@ class PopulationStats:
             src = f"__{m}"
             if src in self.has:
                 sel.append(F.col(src).alias(out))
+        sel += [F.col(c) for c in self.table.columns if c.startswith(STATE)]
         t = self.table if table is None else table
         return t.where(F.col("__gid") == F.lit(self.gid[key])).select(*sel, *extra)
 

@@ -15,6 +15,7 @@ from ..functions.exprs import tier_expr
 from ..functions.joins import checkpoint
 from ..functions.order_stats import percentiles
 from ..roles import UNKNOWN_TIER, Params, Roles
+from .profiles import BINS as ROW_BINS
 from .profiles import measure_names
 
 BINS = "bins"
@@ -117,8 +118,10 @@ def tier_population(stats, roles: Roles, params: Params):
     tiered = (
         table.join(F.broadcast(bins), on="__gid", how="left")
         .withColumn("__tier", tier_expr(F.col("__rate"), F.col(BINS)))
-        .drop(BINS)
+        .withColumnRenamed(BINS, ROW_BINS)
     )
+    if params.own_label:
+        tiered = tiered.drop(ROW_BINS)
     # one row per entity, always checkpointed (small): the band joins several
     # profiles cut from this one table, and repeated references to a cached
     # plan can be re-instantiated by the analyzer and miss the cache, while a
@@ -132,7 +135,9 @@ def tier_population(stats, roles: Roles, params: Params):
     labels = {
         k: [r["value"] for r in sorted(by_gid.get(gids[k], []), key=lambda r: (-r["n"], r["value"]))] for k in ids
     }
+    # without the row's own label, each row gets the tier of its own rate (the edges come along)
+    edges = [] if params.own_label else [F.col(ROW_BINS)]
     profiles = {
-        k: stats.profile(k, tiered, extra=[F.col("__tier").alias(tier_name(k, roles))]) for k in ids
+        k: stats.profile(k, tiered, extra=[F.col("__tier").alias(tier_name(k, roles)), *edges]) for k in ids
     }
     return profiles, labels

@@ -115,6 +115,33 @@ def q_attach(key: str) -> str:
     return with_(f"p AS ({body})") + f"SELECT {cols} FROM tx LEFT JOIN p ON tx.{key} = p.{key}"
 
 
+def q_without_self(key: str) -> str:
+    """Window sums over the entity, less the row's own share, for measures that hold the label."""
+    kind, rate, _ = PROFILES[key]
+    body, names = profile_sql(key, kind)
+    money = lambda e: f"CAST({e} AS {MONEY})"
+    less = lambda e: f"CAST(SUM({money(e)}) OVER w - {money(e)} AS DOUBLE)"
+
+    def others(cond: str) -> str:
+        y = f"CASE WHEN {cond} THEN is_fraud END"
+        return f"CAST(SUM({y}) OVER w - COALESCE({y}, 0) AS DOUBLE) / NULLIF(COUNT({y}) OVER w - COUNT({y}) OVER one, 0)"
+
+    new = {
+        rate: others("TRUE"),
+        rate.replace("_rate", "_amount_rate"): f"{less(FRAUD_AMT)} / NULLIF({less('amount')}, 0)",
+        "merchant_small_amount_fraud_rate": others(f"amount <= {T0}"),
+        "merchant_large_amount_fraud_rate": others(f"amount > {TN}"),
+        "issuer_cross_border_fraud_rate": others("issuer_bin_profile_issuing_cou <> merchant_country_code"),
+    }
+    made = ", ".join(f"{e} AS {c}" for c, e in new.items() if c in names)
+    kept = ", ".join(f"p.{c}" for c in names if c not in new)
+    return with_(
+        f"p AS ({body})",
+        "numbered AS (SELECT *, ROW_NUMBER() OVER () AS i FROM tx)",
+        f"o AS (SELECT *, {made} FROM numbered WINDOW w AS (PARTITION BY {key}), one AS (PARTITION BY i))",
+    ) + f"SELECT o.* EXCLUDE (i), {kept} FROM o LEFT JOIN p ON o.{key} = p.{key}"
+
+
 def q_tier(key: str) -> str:
     _, rate, tier = PROFILES[key]
     return with_(bins_cte(key)) + f"SELECT {key}, {rate}, {tier_case(rate)} AS {tier} FROM p, b"
@@ -435,6 +462,8 @@ def oracle() -> dict[str, str]:
         "attach_issuer_profile": q_attach("issuer_member"),
         "attach_id_profile": q_attach("part_id"),
         "attach_issuer_profile_salted": q_attach("issuer_member"),
+        "attach_merchant_without_self": q_without_self("mch_id_trimmed"),
+        "attach_issuer_without_self": q_without_self("issuer_member"),
         "risk_bins": q_risk_bins(),
         "risk_tier_merchant": q_tier("mch_id_trimmed"),
         "risk_tier_issuer": q_tier("issuer_member"),

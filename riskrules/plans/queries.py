@@ -99,6 +99,23 @@ def q_attach_issuer_profile_salted(spark, sf):
     return profiles.attach_profile(tx, prof, ISS, R, salted).select(*tx.columns, *profiles.profile_columns(prof, ISS))
 
 
+def _without_self(spark, sf, key):
+    tx = _tx(spark, sf)
+    prof = _shown(profiles.entity_profile(tx, key, R, P, states=True), key)
+    keep = [c for c in profiles.profile_columns(prof, key) if not c.startswith(profiles.STATE)]
+    return profiles.attach_profile(tx, prof, key, R, P).select(*tx.columns, *keep)
+
+
+def q_attach_merchant_without_self(spark, sf):
+    """J1, A1, A5-A7 learned from the other rows of the merchant."""
+    return _without_self(spark, sf, MCH)
+
+
+def q_attach_issuer_without_self(spark, sf):
+    """J2, A1, A5, A11 learned from the other rows of the issuer."""
+    return _without_self(spark, sf, ISS)
+
+
 def q_risk_bins(spark, sf):
     parts = []
     for key in (MCH, ISS, PART):

@@ -65,6 +65,8 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
     lets a row's own label reach its profile).
     """
     roles.check(df)
+    if profile_df is not None and not params.own_label:
+        raise ValueError("own_label=False takes a row's label off its own population; profile_df is another one")
     pop = profile_df if profile_df is not None else df
     if roles.issuer in roles.ids:
         df = with_cross_border(df, roles)
@@ -80,7 +82,8 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
     profiles, tiers = tier_population(stats, roles, params) if roles.ids else ({}, {})
     for key, prof in profiles.items():
         for c in profile_columns(prof, key):
-            source_of[c] = key
+            if not c.startswith("__"):
+                source_of[c] = key
     counts = None
     onehot: dict[str, list[str]] = {}
     freq: list[str] = []

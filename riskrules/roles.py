@@ -102,6 +102,10 @@ class Params:
     # (a column whose values never repeat min_support times then leaves the others
     # their patterns); False groups by all columns at once, as the method does
     mine_subsets: bool = True
+    # False: the measures of a row's profile (and its tier) are learned from the other
+    # rows of the entity, so that its own label does not reach its model inputs;
+    # True: from all rows, as the method does
+    own_label: bool = True
     score_half_width: float = 0.05
     # grid of the interval score when mining; None = the grid whose step is
     # the rule interval's width (2 x 0.05 = 0.1, one decimal), so the cell of
