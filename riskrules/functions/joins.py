@@ -1,7 +1,8 @@
 """Join and materialisation helpers that stay safe at cluster scale.
 
 * ``attach`` joins a keyed table (one row per key) on to a large row table.
-  It broadcasts the keyed table only after counting it; above the limit it
+  It broadcasts the keyed table only after measuring its rows and bytes, within
+  what is left of the plan's ``Budget``; above the limits it
   uses a sort-merge join in which hot keys (a key may hold a third of all
   rows) and the NULL key are spread over several tasks with a salt.
 * ``materialize`` cuts lineage with ``checkpoint`` in the directory the
@@ -12,10 +13,12 @@ from __future__ import annotations
 
 import math
 import tempfile
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..roles import Params
 
@@ -23,6 +26,44 @@ SALT = "__salt"
 NSALT = "__n_salt"
 
 
+#: Bytes a row and a fixed-width value take in a broadcast table, and an array in all.
+ROW_BYTES, VALUE_BYTES, ARRAY_BYTES = 32, 8, 96
+
+
+@dataclass
+class Budget:
+    """Bytes that the broadcasts of one plan may still take; they are held at once."""
+
+    left: int
+
+    def takes(self, rows: int, nbytes: int, params: Params) -> bool:
+        """Whether a table may be broadcast; if so, its bytes are gone."""
+        if rows > params.max_broadcast_rows or nbytes > self.left:
+            return False
+        self.left -= nbytes
+        return True
+
+
+def fixed_width(fields) -> int:
+    """Bytes of a row of these fields without the contents of texts."""
+    return ROW_BYTES + sum(ARRAY_BYTES if isinstance(f.dataType, T.ArrayType) else VALUE_BYTES for f in fields)
+
+
+def text_bytes(fields) -> F.Column:
+    """Bytes of a row's texts."""
+    quoted = [F.col("`" + f.name.replace("`", "``") + "`") for f in fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    total = F.lit(0).cast("long")
+    for c in quoted:
+        total = total + F.coalesce(F.octet_length(c), F.lit(0))
+    return total
+
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a table, in one aggregate."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(text_bytes(df.schema.fields)).alias("texts")).first()
+    return r["n"], r["n"] * fixed_width(df.schema.fields) + int(r["texts"] or 0)
+
+
 def row_hash(df: DataFrame) -> F.Column:
     """Deterministic per-row hash over the atomic columns (stable on retry)."""
     atomic = [
@@ -40,22 +81,24 @@ def attach(
     params: Params,
     *,
     count_col: str | None = None,
-    keyed_rows: int | None = None,
+    keyed_size: tuple[int, int] | None = None,
+    budget: Budget | None = None,
 ) -> DataFrame:
     """``rows LEFT JOIN keyed USING (key)``, planned for size and skew.
 
     ``keyed`` must hold at most one row per non-NULL key (a profile or a
     frequency table).  ``count_col`` is the number of ``rows`` behind each key
-    (``tx_count`` of a profile); it tells which keys are hot.  ``keyed_rows``
-    is its known row count (the size check); when it is not given, ``keyed``
-    is persisted and counted here, and the caller may ``unpersist`` it after
-    the join has run.
+    (``tx_count`` of a profile); it tells which keys are hot.  ``keyed_size``
+    is its known number of rows and bytes (the size check); when it is not given,
+    ``keyed`` is persisted and measured here, and the caller may ``unpersist`` it
+    after the join has run.  ``budget`` is shared by the joins of one plan.
     """
-    if keyed_rows is None:
-        # the count fills the cache the join then reads (no second aggregation)
+    if keyed_size is None:
+        # the measure fills the cache the join then reads (no second aggregation)
         keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
-        keyed_rows = keyed.count()
-    if keyed_rows <= params.max_broadcast_rows:
+        keyed_size = measure(keyed)
+    budget = budget if budget is not None else Budget(params.max_broadcast_bytes)
+    if budget.takes(*keyed_size, params):
         return rows.join(F.broadcast(keyed), on=key, how="left")
     if count_col is None:
         # no weights: sort-merge join, AQE splits skewed partitions

@@ -9,13 +9,13 @@ frequency encoding, so the rows are not scanned again per feature.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import category_text
-from ..functions.joins import attach
+from ..functions.joins import Budget, attach
 from ..roles import Params, is_numeric
 
 
@@ -85,14 +85,21 @@ def frequency_table(counts: DataFrame, feature: str) -> DataFrame:
 
 
 def attach_frequency(
-    rows: DataFrame, counts: DataFrame, feature: str, params: Params, *, n_values: int | None = None
+    rows: DataFrame,
+    counts: DataFrame,
+    feature: str,
+    params: Params,
+    *,
+    size: Callable[[DataFrame], tuple[int, int]] | None = None,
+    budget: Budget | None = None,
 ) -> DataFrame:
     """Left join of the frequency of ``feature``'s value; NULL values get NULL.
 
-    ``n_values`` (the known cardinality) is the size check of the join."""
+    ``size`` tells the known rows and bytes of the frequency table (the size check of
+    the join); without it the table is measured."""
     table = frequency_table(counts, feature)
     keyed = rows.withColumn("__value", category_text(feature))
-    out = attach(keyed, table, "__value", params, count_col=f"__{feature}_n", keyed_rows=n_values)
+    out = attach(keyed, table, "__value", params, count_col=f"__{feature}_n", keyed_size=size(table) if size is not None else None, budget=budget)
     return out.drop("__value", f"__{feature}_n")
 
 

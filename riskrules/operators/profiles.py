@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import label_double, money_less, money_parts, money_sum, safe_ratio, tier_expr
-from ..functions.joins import attach
+from ..functions.joins import VALUE_BYTES, Budget, attach, fixed_width, text_bytes
 from ..roles import Params, Roles
 
 CROSS_BORDER = "is_cross_border"
@@ -171,12 +172,19 @@ def profile_columns(profile: DataFrame, key: str) -> list[str]:
 
 
 def attach_profile(
-    rows: DataFrame, profile: DataFrame, key: str, roles: Roles, params: Params, *, keyed_rows: int | None = None
+    rows: DataFrame,
+    profile: DataFrame,
+    key: str,
+    roles: Roles,
+    params: Params,
+    *,
+    keyed_size: tuple[int, int] | None = None,
+    budget: Budget | None = None,
 ) -> DataFrame:
     """Left join of a profile on ``key``; NULL keys never match (NULL measures).  A
     profile with states is attached without the row's own label (``less_own_label``)."""
     count_col = measure_names(key, roles)["count"]
-    out = attach(rows, profile, key, params, count_col=count_col, keyed_rows=keyed_rows)
+    out = attach(rows, profile, key, params, count_col=count_col, keyed_size=keyed_size, budget=budget)
     if f"{STATE}rate_n" in profile.columns:
         return less_own_label(out, key, roles, params, BINS if BINS in profile.columns else None)
     return out
@@ -247,6 +255,7 @@ class PopulationStats:
 
         self.table = checkpoint(agg)
         self.has = set(self.table.columns)
+        self._groups: dict[int, tuple[int, int]] | None = None
 
     def profile(self, key: str, table: DataFrame | None = None, extra=()) -> DataFrame:
         """One id's profile (its grouping set), from the aggregate or from a
@@ -288,11 +297,26 @@ class PopulationStats:
     def cardinalities(self) -> dict[str, int]:
         """Distinct values (NULL counted once) of every id and categorical, in
         one small job: the number of groups in each grouping set."""
-        rows = self.table.groupBy("__gid").agg(F.count(F.lit(1)).alias("n")).collect()
-        by_gid = {r["__gid"]: r["n"] for r in rows}
-        out = {k: by_gid.get(self.gid[k], 0) for k in self.ids}
-        out.update({f: by_gid.get(self.gid[self.cat_col[f]], 0) for f in self.cats})
-        return out
+        groups = self._sizes()
+        names = {**{k: k for k in self.ids}, **self.cat_col}
+        return {f: groups.get(self.gid[c], (0, 0))[0] for f, c in names.items()}
+
+    def _sizes(self) -> dict[int, tuple[int, int]]:
+        """Number of groups and bytes of the key texts of every grouping set (one job)."""
+        if self._groups is None:
+            # the columns of other sets are NULL, so a row's texts are those of its key
+            texts = F.sum(text_bytes(self.table.schema.fields))
+            agg = self.table.groupBy("__gid").agg(F.count(F.lit(1)).alias("n"), texts.alias("texts"))
+            self._groups = {r["__gid"]: (r["n"], int(r["texts"])) for r in agg.collect()}
+        return self._groups
+
+    def size(self, name: str, keyed: DataFrame, *, categorical: bool = False) -> tuple[int, int]:
+        """Rows and bytes of a table ``keyed`` by an id, or by a categorical (a column can be
+        both).  Texts besides the key (the tier) are short labels, counted with a value's
+        bytes more each."""
+        n, texts = self._sizes().get(self.gid[self.cat_col[name] if categorical else name], (0, 0))
+        short = sum(VALUE_BYTES for f in keyed.schema.fields if isinstance(f.dataType, T.StringType))
+        return n, n * (fixed_width(keyed.schema.fields) + short) + texts
 
     def unpersist(self) -> None:
         self.table.unpersist()

@@ -19,7 +19,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from ..functions.joins import materialize
+from ..functions.joins import Budget, materialize
 from ..operators.bands import BUCKET, score_band, with_amount_flags
 from ..operators.encode import attach_frequency, fill_sentinel, onehot_columns, plan_encoding
 from ..operators.model import confident, feature_ranking, model_inputs, score, train
@@ -91,11 +91,13 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
         counts = stats.counts
         onehot, freq = plan_encoding(counts, roles.categoricals, params, card)
 
+    # all keyed tables of the band's plan are held at once, so they share one budget
+    budget = Budget(params.max_broadcast_bytes)
     band = with_amount_flags(score_band(df, roles, params), roles, params)
     for i in range(len(params.amount_thresholds) + 1):
         source_of[f"amount_range_{i}"] = roles.amount
     for key, prof in profiles.items():
-        band = attach_profile(band, prof, key, roles, params, keyed_rows=card[key])
+        band = attach_profile(band, prof, key, roles, params, keyed_size=stats.size(key, prof), budget=budget)
         enc = tier_onehot_columns(key, roles, tiers[key])
         band = band.select("*", *enc)
         for i in range(len(enc)):
@@ -105,7 +107,7 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
         for i in range(len(labels)):
             source_of[f"{f}_vec_{i}"] = f
     for f in freq:
-        band = attach_frequency(band, counts, f, params, n_values=card[f])
+        band = attach_frequency(band, counts, f, params, size=lambda t, f=f: stats.size(f, t, categorical=True), budget=budget)
         source_of[f"{f}_freq"] = f
     inputs = model_inputs(band, roles, params)
     band = materialize(fill_sentinel(band, inputs), params)

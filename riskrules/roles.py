@@ -116,6 +116,8 @@ class Params:
     percentile_accuracy: int = 100_000
     # explicit size checks before any broadcast of a data-derived table
     max_broadcast_rows: int = 2_000_000
+    # bytes of all keyed tables that one plan may broadcast together
+    max_broadcast_bytes: int = 512 * 1024 * 1024
     # rows one task should handle in a salted join (hot keys are split)
     rows_per_task: int = 5_000_000
     # at most this many hot keys are split (bounded broadcast of the key list)
