@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -144,16 +145,20 @@ def tiles(item: np.ndarray, text: np.ndarray, shortest: int = SHORTEST) -> list[
                     while p + n < len(item) and q + n < len(text) and free_i[p + n] and free_t[q + n] and item[p + n] == text[q + n]:
                         n += 1
                     matches.append((-n, p, q))
-        again = False
-        for n, p, q in sorted(matches):
+        heapify(matches)
+        while matches:
+            n, p, q = heappop(matches)
             n = -n
-            if free_i[p : p + n].all() and free_t[q : q + n].all():
+            free = free_i[p : p + n] & free_t[q : q + n]
+            if free.all():
                 free_i[p : p + n] = free_t[q : q + n] = False
                 found.append((p, q, n))
-            else:
-                again = True  # what is left of it may still be a run of s words
-        if again:
-            continue
+                continue
+            # what longer tiles left of it takes its turn by its own length
+            edges = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8))).tolist()
+            for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+                if hi - lo >= s:
+                    heappush(matches, (lo - hi, p + lo, q + lo))
         if s == shortest:
             return found
         s = max(shortest, s // 2)
