@@ -70,6 +70,11 @@ def onehot_columns(feature: str, labels: Sequence[str]) -> list:
     ]
 
 
+def category_slots(feature: str, labels: Sequence[str]) -> dict:
+    """``<feature>_vec`` for ``slots.add_slots``."""
+    return {f"{feature}_vec": (category_text(feature), labels)}
+
+
 def frequency_table(counts: DataFrame, feature: str) -> DataFrame:
     """``__value, <feature>_freq``: share of all rows holding the value.
 

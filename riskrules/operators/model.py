@@ -2,8 +2,9 @@
 
 The decision tree is MLlib's distributed learner; split statistics are
 aggregated on the executors.  Model inputs are the numeric and boolean
-feature columns (raw strings, ids and the label/amount are never inputs);
-importances are reported per input column and summed per source column.
+feature columns (raw strings, ids and the label/amount are never inputs) and the
+one-hot vectors of ``operators.slots``; importances are reported per slot of the
+model's vector, by the names in its metadata, and summed per source column.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..roles import Params, Roles, is_numeric
 from .bands import BUCKET
+from .slots import Slot, slot_labels, slot_value
 
 FEATURES = "features"
 LABEL = "__label"
@@ -29,14 +31,14 @@ PROB = "fraud_probability"
 
 
 def model_inputs(df: DataFrame, roles: Roles, params: Params, exclude: Sequence[str] = ()) -> list[str]:
-    """Numeric and boolean columns that are not label, amount, ids or source categoricals."""
+    """Numeric, boolean and one-hot vector columns that are not label, amount, ids or source categoricals."""
     skip = {roles.label, roles.amount, BUCKET, *roles.ids, *roles.categoricals, *exclude, *params.extra_excluded_features}
     return [
         f.name
         for f in df.schema.fields
         if f.name not in skip
         and not f.name.startswith("__")
-        and (is_numeric(f.dataType) or isinstance(f.dataType, T.BooleanType))
+        and (is_numeric(f.dataType) or isinstance(f.dataType, T.BooleanType) or slot_labels(df, f.name))
     ]
 
 
@@ -81,17 +83,23 @@ def train(band: DataFrame, inputs: Sequence[str], roles: Roles, params: Params)
     return Pipeline(stages=[*_vector_stages(data, inputs), tree]).fit(data)
 
 
+def _slots(inputs: Sequence[str | Slot]) -> list[Slot]:
+    return [Slot(x, x) if isinstance(x, str) else x for x in inputs]
+
+
 def feature_ranking(
-    spark: SparkSession, model: PipelineModel, inputs: Sequence[str], source_of: Mapping[str, str]
+    spark: SparkSession, model: PipelineModel, inputs: Sequence[str | Slot], source_of: Mapping[str, str]
 ) -> DataFrame:
-    """``feature, source, importance, rank``: one row per model input.
+    """``feature, source, importance, rank``: one row per slot of the model's vector.
 
-    Built from the fitted model's importance vector (one slot per scalar
-    input): a table of model metadata, as small as the input list.
+    Built from the fitted model's importance vector: a table of model metadata,
+    as small as the list of slots.  ``inputs`` names the slots in order
+    (``slots.input_slots``; for scalar inputs their columns); a slot's source is
+    that of its column.
     """
     imp = model.stages[-1].featureImportances.toArray().tolist()
     rows = sorted(
-        ((name, source_of.get(name, name), float(v)) for name, v in zip(inputs, imp)),
+        ((s.name, source_of.get(s.column, s.column), float(v)) for s, v in zip(_slots(inputs), imp, strict=True)),
         key=lambda r: (-r[2], r[0]),
     )
     data = [(n, s, v, i + 1) for i, (n, s, v) in enumerate(rows)]
@@ -99,15 +107,17 @@ def feature_ranking(
     return spark.createDataFrame(data, schema)
 
 
-def tree_nodes(spark: SparkSession, model: PipelineModel, inputs: Sequence[str]) -> DataFrame:
+def tree_nodes(spark: SparkSession, model: PipelineModel, inputs: Sequence[str | Slot]) -> DataFrame:
     """The fitted tree as a table, one row per node (at most 2^(depth+1) - 1).
 
     ``node_id`` numbers nodes as a heap (root 1, children 2i and 2i + 1);
-    internal nodes carry the split (input column, threshold: go left when
-    ``value <= threshold``), every node its prediction, its share of the label 1,
+    internal nodes carry the split (feature, the column and, for a one-hot vector, the
+    slot it reads; go left when ``value <= threshold``, or for a one-hot slot when the
+    value is one of ``left_values``), every node its prediction, its share of the label 1,
     its impurity and the training rows that reached it.  Model metadata walked on the driver
     through Spark ML's public node API; no data is read.
     """
+    slots = _slots(inputs)
     rows = []
     stack = [(model.stages[-1]._java_obj.rootNode(), 1, 0)]
     while stack:
@@ -117,15 +127,18 @@ def tree_nodes(spark: SparkSession, model: PipelineModel, inputs: Sequence[str])
         share = by_label[1] / sum(by_label) if len(by_label) > 1 and sum(by_label) else 0.0
         if node.getClass().getSimpleName() == "InternalNode":
             split = node.split()
-            threshold = float(split.threshold()) if split.getClass().getSimpleName() == "ContinuousSplit" else None
-            rows.append((nid, depth, False, inputs[split.featureIndex()], threshold,
+            ordered = split.getClass().getSimpleName() == "ContinuousSplit"
+            threshold = float(split.threshold()) if ordered else None
+            left = None if ordered else sorted(float(v) for v in split.leftCategories())
+            at = slots[split.featureIndex()]
+            rows.append((nid, depth, False, at.name, at.column, at.index, threshold, left,
                          float(node.prediction()), share, float(node.impurity()), float(node.gain()), count))
             stack.append((node.leftChild(), 2 * nid, depth + 1))
             stack.append((node.rightChild(), 2 * nid + 1, depth + 1))
         else:
-            rows.append((nid, depth, True, None, None, float(node.prediction()), share, float(node.impurity()), None, count))
+            rows.append((nid, depth, True, None, None, None, None, None, float(node.prediction()), share, float(node.impurity()), None, count))
     schema = (
-        "node_id long, depth int, is_leaf boolean, feature string, threshold double, "
+        "node_id long, depth int, is_leaf boolean, feature string, column string, slot int, threshold double, left_values array<double>, "
         "prediction double, share double, impurity double, gain double, rows long"
     )
     return spark.createDataFrame(sorted(rows), schema)
@@ -143,12 +156,16 @@ def tree_column(df: DataFrame, nodes: DataFrame) -> Column:
 
     ``nodes`` is a table as ``tree_nodes`` gives it (bounded by the depth; read on the
     driver).  Values go the way Spark ML sends them: NULL and NaN numbers fail every
-    ``<=`` and go right, a NULL flag counts as -1.  No vector and no model object is
+    ``<=`` and go right, a NULL flag counts as -1.  A node with a ``slot`` reads that slot
+    of the vector in ``column``; without these two fields, ``feature`` is the column.  No feature vector and no model object is
     needed, so the rows of a stream or of another application can be scored.
     """
-    node = {r["node_id"]: r for r in nodes.collect()}
+    node = {r["node_id"]: r.asDict() for r in nodes.collect()}
 
-    def value(name: str) -> Column:
+    def value(n: dict) -> Column:
+        name = n.get("column") or n["feature"]
+        if n.get("slot") is not None:
+            return slot_value(name, n["slot"])
         quoted = F.col("`" + name.replace("`", "``") + "`")
         number = quoted.cast("double")
         return F.coalesce(number, F.lit(-1.0)) if isinstance(df.schema[name].dataType, T.BooleanType) else number
@@ -161,9 +178,13 @@ def tree_column(df: DataFrame, nodes: DataFrame) -> Column:
                 F.lit(n["prediction"]).alias("prediction"),
                 F.lit(n["share"]).alias(PROB),
             )
-        if n["threshold"] is None:
-            raise ValueError(f"node {nid} splits {n['feature']} by categories; only thresholds are supported")
-        return F.when(value(n["feature"]) <= F.lit(n["threshold"]), below(2 * nid)).otherwise(below(2 * nid + 1))
+        if n["threshold"] is not None:
+            left = value(n) <= F.lit(n["threshold"])
+        elif n.get("left_values") is not None:
+            left = value(n).isin(n["left_values"])
+        else:
+            raise ValueError(f"node {nid} splits {n['feature']} by categories; a threshold or left_values is needed")
+        return F.when(left, below(2 * nid)).otherwise(below(2 * nid + 1))
 
     return below(1)
 

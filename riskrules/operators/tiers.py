@@ -99,6 +99,12 @@ def tier_onehot_columns(key: str, roles: Roles, labels: list[str]) -> list:
     ]
 
 
+def tier_slots(key: str, roles: Roles, labels: list[str]) -> dict:
+    """``<tier>_enc`` for ``slots.add_slots``; a row without a tier is 'unknown'."""
+    tier = tier_name(key, roles)
+    return {f"{tier}_enc": (F.coalesce(F.col(tier), F.lit(UNKNOWN_TIER)), labels)}
+
+
 def tier_population(stats, roles: Roles, params: Params):
     """Tiers of every entity of every id from the one population aggregate.
 

@@ -198,6 +198,36 @@ def q_tier_onehot() -> str:
     )
 
 
+ONEHOT = ("ship_address_usage_ind", "card_profile_dep", "bill_count")
+
+
+def slot_queries() -> dict[str, str]:
+    """The slot of every tier and category of the band, ranked over the whole population."""
+    ctes, joins, slots, names = [BAND], [], [], []
+    for key, (kind, rate, tier) in PROFILES.items():
+        count = profile_sql(key, kind)[1][1]
+        ctes.append(
+            f"pt_{key} AS (WITH {bins_cte(key)} SELECT {key}, {count} AS n, {tier_case(rate)} AS {tier} FROM p, b)"
+        )
+        ctes.append(onehot_sql(tier, 0, "", f"CASE WHEN {key} IS NULL THEN 'unknown' ELSE {tier} END", f"pt_{key}", "SUM(n)")[0])
+        joins.append(f"LEFT JOIN pt_{key} ON band.{key} = pt_{key}.{key} LEFT JOIN idx_{tier} ON COALESCE({tier}, 'unknown') = idx_{tier}.v")
+        slots.append((f"{tier}_enc", f"idx_{tier}"))
+        names.append(tier)
+    for c in ONEHOT:
+        text = f"CASE WHEN CAST({c} AS VARCHAR) = '' THEN '__empty__' ELSE CAST({c} AS VARCHAR) END"
+        ctes.append(onehot_sql(c, 0, "", text, "tx")[0])
+        joins.append(f"LEFT JOIN idx_{c} ON {text} = idx_{c}.v")
+        slots.append((f"{c}_vec", f"idx_{c}"))
+    shown = ", ".join(f"CAST({idx}.i AS BIGINT) AS {col}_slot" for col, idx in slots)
+    rows = f"SELECT band.mch_id_trimmed, amount, is_fraud, {', '.join((*ONEHOT, *names))}, {shown} FROM band {' '.join(joins)}"
+    counts = "\nUNION ALL\n".join(
+        f"SELECT '{col}' AS source, {idx}.i AS slot, {idx}.v AS label, COUNT(s.{col}_slot) AS n "
+        f"FROM {idx} LEFT JOIN s ON s.{col}_slot = {idx}.i GROUP BY ALL"
+        for col, idx in slots
+    )
+    return {"slot_rows": with_(*ctes) + rows, "slot_counts": with_(*ctes, f"s AS ({rows})") + counts}
+
+
 def q_cardinality() -> str:
     parts = [
         f"SELECT '{f}' AS feature, COUNT(DISTINCT {f}) + MAX(CASE WHEN {f} IS NULL THEN 1 ELSE 0 END) AS n_distinct FROM tx"
@@ -510,4 +540,4 @@ def oracle() -> dict[str, str]:
         f"SELECT {', '.join(cols)} FROM (SELECT * FROM tx WHERE fraud_score >= 50 AND fraud_score < 70) b "
         "LEFT JOIN p ON b.mch_id_trimmed = p.mch_id_trimmed"
     )
-    return {**q, **lattice_queries(), **null_queries(), **source_queries(), **sketch_queries(), **tree_queries()}
+    return {**q, **lattice_queries(), **null_queries(), **source_queries(), **sketch_queries(), **tree_queries(), **slot_queries()}

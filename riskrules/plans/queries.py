@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.joins import checkpoint, checkpoint_dir
-from ..operators import bands, encode, model, patterns, profiles, rules, ruleset, sketches, tiers
+from ..operators import bands, encode, model, patterns, profiles, rules, ruleset, sketches, slots, tiers
 from ..operators.bands import BUCKET
 from ..roles import Params, Roles
 from ..sources.conform import conform
@@ -505,6 +505,23 @@ def _prepared(spark, sf):
     return preprocess(_tx(spark, sf), R, TREE_P)
 
 
+TIERED = ("merchant", "issuer", "part_id")
+VECTORS = [f"{x}_risk_tier_enc" for x in TIERED] + [f"{c}_vec" for c in ("ship_address_usage_ind", "card_profile_dep", "bill_count")]
+
+
+def q_slot_rows(spark, sf):
+    """The slot each one-hot vector of the stored band marks, per row."""
+    band = _prepared(spark, sf).band
+    tier = [f"{x}_risk_tier" for x in TIERED]
+    marked = [slots.active_slot(v).cast("long").alias(f"{v}_slot") for v in VECTORS]
+    return band.select(MCH, "amount", "is_fraud", "ship_address_usage_ind", "card_profile_dep", "bill_count", *tier, *marked)
+
+
+def q_slot_counts(spark, sf):
+    """Every slot by its name in the metadata, with the band rows that mark it."""
+    return slots.slot_counts(_prepared(spark, sf).band, VECTORS)
+
+
 def q_features(spark, sf):
     prep = _prepared(spark, sf)
     return model.assemble(prep.band, prep.inputs).select(MCH, "amount", "is_fraud", model.FEATURES)
@@ -517,12 +534,12 @@ def _trained(spark, sf):
 
 def q_feature_ranking(spark, sf):
     prep, m = _trained(spark, sf)
-    return model.feature_ranking(spark, m, prep.inputs, prep.source_of)
+    return model.feature_ranking(spark, m, prep.slots, prep.source_of)
 
 
 def q_train_tree(spark, sf):
     prep, m = _trained(spark, sf)
-    return model.tree_nodes(spark, m, prep.inputs)
+    return model.tree_nodes(spark, m, prep.slots)
 
 
 def q_score_rows(spark, sf):
@@ -540,7 +557,7 @@ def q_tree_agreement(spark, sf):
     """The fitted tree as an expression against the fitted model, whole band."""
     prep, m = _trained(spark, sf)
     by_model = model.score(m, prep.band)
-    mine = model.tree_column(by_model, model.tree_nodes(spark, m, prep.inputs))
+    mine = model.tree_column(by_model, model.tree_nodes(spark, m, prep.slots))
     both = by_model.withColumn("__tree", mine)
     p, q = F.col("__tree.prediction"), F.col(f"__tree.{model.PROB}")
     flagged = (p == 1.0) & (q >= F.lit(float(TREE_P.confidence)))

@@ -21,13 +21,14 @@ from pyspark.sql import types as T
 
 from ..functions.joins import Budget, materialize
 from ..operators.bands import BUCKET, score_band, with_amount_flags
-from ..operators.encode import attach_frequency, fill_sentinel, onehot_columns, plan_encoding
+from ..operators.encode import attach_frequency, category_slots, fill_sentinel, plan_encoding
 from ..operators.model import confident, feature_ranking, model_inputs, score, train
 from ..operators.patterns import mine_lattice, mine_patterns, rule_conditions
 from ..operators.profiles import PopulationStats, attach_profile, profile_columns, with_cross_border
 from ..operators.rules import evaluate_rules, keep_precise, mask_counts, rank_rules
 from ..operators.ruleset import choose, combined_rule, metrics, union_metrics
-from ..operators.tiers import tier_name, tier_onehot_columns, tier_population
+from ..operators.slots import Slot, add_slots, input_slots
+from ..operators.tiers import tier_name, tier_population, tier_slots
 from ..roles import Params, Roles, is_numeric
 
 
@@ -36,6 +37,8 @@ class Prepared:
     band: DataFrame
     inputs: list[str]
     source_of: dict[str, str]
+    # the places of the model's vector, in order (several for a one-hot vector)
+    slots: list[Slot] = field(default_factory=list)
     profiles: dict[str, DataFrame] = field(default_factory=dict)
     counts: DataFrame | None = None
     # distinct values per id / categorical column (NULL counts as one)
@@ -94,27 +97,30 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
     # all keyed tables of the band's plan are held at once, so they share one budget
     budget = Budget(params.max_broadcast_bytes)
     band = with_amount_flags(score_band(df, roles, params), roles, params)
+    # one sparse vector per tier and one-hot source, added after the joins in one projection
+    vectors: dict[str, tuple[Column, Sequence[str]]] = {}
     for i in range(len(params.amount_thresholds) + 1):
         source_of[f"amount_range_{i}"] = roles.amount
     for key, prof in profiles.items():
         band = attach_profile(band, prof, key, roles, params, keyed_size=stats.size(key, prof), budget=budget)
-        enc = tier_onehot_columns(key, roles, tiers[key])
-        band = band.select("*", *enc)
-        for i in range(len(enc)):
-            source_of[f"{tier_name(key, roles)}_enc_{i}"] = tier_name(key, roles)
+        tier = tier_slots(key, roles, tiers[key])
+        vectors.update(tier)
+        source_of.update({v: tier_name(key, roles) for v in tier})
     for f, labels in onehot.items():
-        band = band.select("*", *onehot_columns(f, labels))
-        for i in range(len(labels)):
-            source_of[f"{f}_vec_{i}"] = f
+        vec = category_slots(f, labels)
+        vectors.update(vec)
+        source_of.update({v: f for v in vec})
     for f in freq:
         band = attach_frequency(band, counts, f, params, size=lambda t, f=f: stats.size(f, t, categorical=True), budget=budget)
         source_of[f"{f}_freq"] = f
+    band = add_slots(band, vectors)
     inputs = model_inputs(band, roles, params)
+    slots = input_slots(band, inputs)
     band = materialize(fill_sentinel(band, inputs), params)
     if stats is not None and params.materialize == "checkpoint":
         # the band no longer depends on the population aggregate
         stats.unpersist()
-    return Prepared(band=band, inputs=inputs, source_of=source_of, profiles=profiles, counts=counts, cardinality=card)
+    return Prepared(band=band, inputs=inputs, source_of=source_of, slots=slots, profiles=profiles, counts=counts, cardinality=card)
 
 
 def mineable(df: DataFrame, name: str, roles: Roles) -> bool:
@@ -187,10 +193,11 @@ def mine_rules(
     spark = df.sparkSession
     prep = preprocess(df, roles, params, profile_df=profile_df)
     model = train(prep.band, prep.inputs, roles, params)
-    ranking = feature_ranking(spark, model, prep.inputs, prep.source_of)
-    ranked_inputs = [(r["feature"], r["importance"]) for r in sorted(ranking.collect(), key=lambda r: r["rank"])]
+    ranking = feature_ranking(spark, model, prep.slots, prep.source_of)
+    # the table names each slot's source already
+    ranked_inputs = [(r["source"], r["importance"]) for r in sorted(ranking.collect(), key=lambda r: r["rank"])]
     scored = materialize(score(model, prep.band), params)
-    feats, left_out = (list(features), []) if features is not None else mining_features(ranked_inputs, prep.source_of, scored, roles, params, prep.cardinality)
+    feats, left_out = (list(features), []) if features is not None else mining_features(ranked_inputs, {}, scored, roles, params, prep.cardinality)
     patterns, ranked = extract_rules(scored, feats, roles, params, flagged=flagged)
     selected = choose(ranked, params)
     return MiningResult(

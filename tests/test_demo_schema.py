@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskrules import Params, Roles, mine_rules
+from riskrules.operators.slots import slot_labels
 from riskrules.sources.fixtures import tx_frame
 from riskrules.sources.transactions import TRANSACTION_SCHEMA, read_transactions, write_rules
 
@@ -51,7 +52,8 @@ def test_mine_rules_on_demo_schema_and_publish(spark, demo):
     inputs = set(res.scored.columns)
     # boolean (with NULLs) kept as a model input, "" tokenised, issuer auth / 3DS measures present
     assert "is_correct_bill_dept" in inputs and "issuer_auth_rate" in inputs and "issuer_3ds_usage_rate" in inputs
-    assert any(c.startswith("card_profile_dep_vec_") for c in inputs)
+    assert "__empty__" in slot_labels(res.scored, "card_profile_dep_vec")
+    assert not any(c.startswith("card_profile_dep_vec_") for c in inputs)
     sel = res.selected.collect()
     assert res.features[0] == "community_fraud_score_amount_d"
     assert 0 < len(sel) <= 3

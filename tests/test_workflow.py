@@ -39,9 +39,9 @@ def test_tree_flags_planted_signal(spark):
     from riskrules.operators import model
 
     m = model.train(prep.band, prep.inputs, FIXTURE_ROLES, Q.TREE_P)
-    rank = model.feature_ranking(spark, m, prep.inputs, prep.source_of).orderBy("rank").first()
+    rank = model.feature_ranking(spark, m, prep.slots, prep.source_of).orderBy("rank").first()
     assert rank["feature"] == "cs"
-    nodes = model.tree_nodes(spark, m, prep.inputs).collect()
+    nodes = model.tree_nodes(spark, m, prep.slots).collect()
     assert len(nodes) == m.stages[-1].numNodes
     root = [n for n in nodes if n["node_id"] == 1][0]
     assert root["feature"] == "cs" and not root["is_leaf"] and root["rows"] == 12023
