@@ -16,7 +16,8 @@ Defined results: a page without text is judged by markup, address and host; null
 or odd addresses have empty host and suffix, a missing declaration is the value
 ''; ties take the first language in alphabetical order; without any labelled
 document the language is null; rows that repeat a page_id are judged one by one;
-other columns are not read.
+other columns are not read.  The text model is a table of MOST_LANGUAGES languages
+at most (64 KB each); more distinct labels raise, since they are no languages.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from .words import LOWER, string_buffers
 
 #: Trigram buckets; temper of the text; whole posterior; pseudo-counts of pages.
 BUCKETS, TEMPER, WHOLE = 1 << 14, 0.2, 1_000_000
+MOST_LANGUAGES = 1024
 SMOOTH_HOST, SMOOTH_TABLE = 5.0, 1.0
 
 
@@ -78,7 +80,9 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Trigram model of the documents' language labels (all of them)."""
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())  # one row per language
+    languages = sorted(r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"documents name more than {MOST_LANGUAGES} languages; clean the labels first")
     counts = np.full((len(languages), BUCKETS), 0.5)
     got = rows.mapInArrow(_count(languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts[got.column("lang").to_numpy(), got.column("bucket").to_numpy()] += got.column("n").to_numpy()
@@ -132,15 +136,18 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     for c, table in by.items():
         joined = joined.join(table, c, "left")
 
-    def fused(i: int) -> Column:
-        own = F.col("p")[i] / WHOLE
+    # one expression whatever the number of languages: sizes once a page, then a pass over the places
+    size = {c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) for c in ("g", "host_n", "name_n")}
+    joined = joined.withColumns({f"{c}_size": x for c, x in size.items()})
+
+    def fused(whole_p: Column, i: Column) -> Column:
+        own = whole_p / WHOLE
         g = F.col("g")[i]
-        total = F.aggregate("g", F.lit(0.0), lambda a, x: a + x)
-        top = (g + 1.0) / (total + float(n))
+        top = (g + 1.0) / (F.col("g_size") + float(n))
 
         def smoothed(counts: str, above: Column) -> Column:
-            size = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) - 1.0
-            return (F.greatest(F.col(counts)[i] - own, F.lit(0.0)) + SMOOTH_HOST * above) / (F.greatest(size, F.lit(0.0)) + SMOOTH_HOST)
+            others = F.greatest(F.col(f"{counts}_size") - 1.0, F.lit(0.0))
+            return (F.greatest(F.col(counts)[i] - own, F.lit(0.0)) + SMOOTH_HOST * above) / (others + SMOOTH_HOST)
 
         prior = smoothed("host_n", smoothed("name_n", top))
         log = F.log(own + 1e-9) + F.log(prior + 1e-9)
@@ -149,7 +156,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         return log
 
     langs = F.array(*[F.lit(x) for x in model.languages])
-    out = joined.withColumn("log", F.array(*[fused(i) for i in range(n)]))
+    out = joined.withColumn("log", F.transform("p", fused))
     best = F.array_max("log")
     share = F.lit(1.0) / F.aggregate("log", F.lit(0.0), lambda a, x: a + F.exp(x - best))
     return out.select(
