@@ -8,15 +8,17 @@ repeats one of the words before), so text never seen is still judged.
 * Target model: the documents labelled good in a bounded sample of the labels
   (LABELS rows, least hashed ids): a fitted classifier's sample.
 * Raw model: every document.
-* Weights: the log-ratio over the decision point of the labelled sample, over a
-  temperature; Gumbel noise from a hash of the id makes the k largest keys a
-  sample without replacement by weight.  k is the number of documents on the
+* Weights: the document's log-ratio summed over its n-grams, each less the decision
+  point of the labelled sample, at a temperature of 1 (other temperatures, and the
+  cut without noise, are parameters); Gumbel noise from a hash of the id makes the k largest keys a
+  sample without replacement by weight.  A short document has little evidence, so
+  chance has its say; a long one is nearly decided.  k, unless given, is the number of documents on the
   good side, counted over all documents, so the size of the sample follows the
   corpus.  The k-th key is found by counting keys per 65,536th of a shrinking
   range: a few grouped counts, never a global sort.
 
 Defined results: null or empty texts have no n-grams and a ratio of 0, the raw
-mean; rows with a null id take a fixed noise; equal keys at the end of the sample
+mean, and weigh as one n-gram; a k over the number of rows keeps all, a k of 0 none; rows with a null id take a fixed noise; equal keys at the end of the sample
 are all kept; rows that repeat an id share their noise; without good labels every
 document is kept; other columns are not read.
 """
@@ -34,7 +36,7 @@ from .shared import shared_table
 from .words import Words, mix, words
 
 #: Labelled rows of the sample; buckets of a model; temperature of the weights.
-LABELS, BUCKETS, TEMPERATURE = 20_000, 1 << 16, 0.01
+LABELS, BUCKETS, TEMPERATURE = 20_000, 1 << 16, 1.0
 #: How far back a word may repeat, and the share of good labels that must pass.
 BACK, GOOD_PASS = 3, 0.995
 
@@ -156,12 +158,17 @@ def kth_largest(keys: DataFrame, key: str, k: int) -> float:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, n_grams, log_ratio, key, kept`` of every document."""
-    return _resampled(docs, labels).drop("rid")
+def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, k: int | None = None) -> DataFrame:
+    """``doc_id, n_grams, log_ratio, key, kept`` of every document.
 
+    ``log_ratio`` is the mean of its n-grams.  ``k``: size of the sample (by default the
+    documents on the good side of the decision point).  ``temperature`` 0 cuts at the
+    point without noise: the key is then the summed log-ratio over it.
+    """
+    return _resampled(docs, labels, temperature, k).drop("rid")
 
-def _resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+
+def _resampled(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, k: int | None = None) -> DataFrame:
     """``resample`` with ``rid``, a hash of the text."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
@@ -182,9 +189,11 @@ def _resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return scored.select("doc_id", "rid", "n_grams", "log_ratio", F.lit(0.0).alias("key"), F.lit(True).alias("kept"))
     # uniform in (0, 1) from 52 bits of a hash of the id
     unit = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("gumbel")), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = scored.withColumn("key", (F.col("log_ratio") - F.lit(point)) / F.lit(TEMPERATURE) - F.log(-F.log(unit)))
-    keyed = keyed.withColumn("good", F.col("log_ratio") >= F.lit(point))
-    k = keyed.where("good").count()
+    weight = (F.col("log_ratio") - F.lit(point)) * F.greatest("n_grams", F.lit(1))
+    key = weight / F.lit(temperature) - F.log(-F.log(unit)) if temperature else weight
+    keyed = scored.withColumn("key", key)
+    if k is None:
+        k = scored.where(F.col("log_ratio") >= F.lit(point)).count()
     least = kth_largest(keyed, "key", k) if k else float("inf")
     return keyed.select("doc_id", "rid", "n_grams", "log_ratio", "key", (F.col("key") >= F.lit(least)).alias("kept"))
 
