@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..roles import Roles
+from ..roles import Params, Roles
 
 TX_TABLES = ("lineitem", "orders", "customer", "supplier", "nation")
 
@@ -27,12 +27,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tx_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``tx`` view: lineitem + orders + customer + supplier + two nations."""
+    """The ``tx`` view: lineitem + orders + customer + supplier + two nations.
+
+    The line items are the many rows, so they are shuffled once, by order: customers are
+    joined to the orders first, suppliers are broadcast when their measured number allows
+    it, and what is derived from one table is derived before the join.
+    """
+    fraud = ((F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.035)) | (F.col("l_tax") >= 0.065)
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+        "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice",
+        F.when(fraud, 1).otherwise(0).cast("int").alias("is_fraud"),
+        F.round(F.col("l_discount") * 1000, 0).alias("fraud_score"),
+        F.round(F.col("l_tax") * 10, 1).alias("cs"),
+        F.col("l_linenumber").cast("string").alias("ship_address_usage_ind"),
+        F.col("l_quantity").cast("int").alias("bill_count"),
+        F.when(F.col("l_linestatus") == "F", "Y").otherwise("N").alias("trans_status"),
+    )
+    od = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderpriority",
+        F.when(F.col("o_orderstatus") == "P", "N").when(F.col("o_orderstatus") == "O", "C").otherwise("F").alias("three_ds_mode"),
     )
-    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     # dimensions enriched first (nation is tiny: 25 rows by definition of the schema)
     cust = (
@@ -41,36 +55,29 @@ def tx_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
         .select("c_custkey", F.col("n_name").alias("issuer_bin_profile_issuing_cou"))
     )
-    supp = (
-        table(spark, sf_dir, "supplier")
-        .select("s_suppkey", "s_nationkey")
-        .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", F.col("n_name").alias("merchant_country_code"))
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    supp = suppliers.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        "s_suppkey", F.col("n_name").alias("merchant_country_code")
     )
-    j = (
-        li.join(od, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(cust, F.col("o_custkey") == F.col("c_custkey"))
-        .join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
-    )
-    fraud = ((F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.035)) | (F.col("l_tax") >= 0.065)
+    if suppliers.count() <= Params().max_broadcast_rows:
+        supp = F.broadcast(supp)
+    placed = od.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    j = li.join(supp, F.col("l_suppkey") == F.col("s_suppkey")).join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(
         F.col("l_suppkey").alias("mch_id_trimmed"),
         F.col("o_custkey").alias("issuer_member"),
         F.col("l_partkey").alias("part_id"),
         F.col("l_extendedprice").alias("amount"),
-        F.when(fraud, 1).otherwise(0).cast("int").alias("is_fraud"),
-        F.round(F.col("l_discount") * 1000, 0).alias("fraud_score"),
-        F.round(F.col("l_tax") * 10, 1).alias("cs"),
-        F.col("l_linenumber").cast("string").alias("ship_address_usage_ind"),
+        "is_fraud",
+        "fraud_score",
+        "cs",
+        "ship_address_usage_ind",
         F.col("o_orderpriority").alias("card_profile_dep"),
-        F.col("l_quantity").cast("int").alias("bill_count"),
+        "bill_count",
         "merchant_country_code",
         "issuer_bin_profile_issuing_cou",
-        F.when(F.col("l_linestatus") == "F", "Y").otherwise("N").alias("trans_status"),
-        F.when(F.col("o_orderstatus") == "P", "N")
-        .when(F.col("o_orderstatus") == "O", "C")
-        .otherwise("F")
-        .alias("three_ds_mode"),
+        "trans_status",
+        "three_ds_mode",
     )
 
 
