@@ -61,7 +61,9 @@ def tx_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     if suppliers.count() <= Params().max_broadcast_rows:
         supp = F.broadcast(supp)
-    placed = od.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    # merged at every size: else small tables are broadcast by whichever side is ready first, and
+    # the order of rows (the last bits of deviations) changes from run to run
+    placed = od.join(cust, F.col("o_custkey") == F.col("c_custkey")).hint("merge")
     j = li.join(supp, F.col("l_suppkey") == F.col("s_suppkey")).join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(
         F.col("l_suppkey").alias("mch_id_trimmed"),
