@@ -150,10 +150,13 @@ def q_risk_tier_id(spark, sf):
 
 def q_tier_onehot(spark, sf):
     tx = _tx(spark, sf)
-    t = tiers.with_risk_tier(profiles.entity_profile(tx, MCH, R, P), MCH, R, P)
+    names = profiles.measure_names(MCH, R)
+    # read by the bins, the labels and the join: aggregated once
+    prof = profiles.entity_profile(tx, MCH, R, P).select(MCH, names["rate"], names["count"]).persist(StorageLevel.MEMORY_AND_DISK)
+    t = tiers.with_risk_tier(prof, MCH, R, P)
     labels = tiers.tier_labels(t, MCH, R)
     name = tiers.tier_name(MCH, R)
-    out = profiles.attach_profile(tx, t.select(MCH, name, profiles.measure_names(MCH, R)["count"]), MCH, R, P)
+    out = profiles.attach_profile(tx, t.select(MCH, name, names["count"]), MCH, R, P)
     return out.select(MCH, "amount", "is_fraud", name, *tiers.tier_onehot_columns(MCH, R, labels))
 
 
