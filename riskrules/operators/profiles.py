@@ -7,6 +7,8 @@ after the left join equal the separately filtered group-bys they replace.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -167,6 +169,18 @@ def entity_profile(df: DataFrame, key: str, roles: Roles, params: Params, *, sta
     return df.groupBy(key).agg(*aggs)
 
 
+def entity_rates(df: DataFrame, keys: Sequence[str], roles: Roles) -> DataFrame:
+    """``entity int, rate double``: A1 of every value of every key (NULL is a group of its
+    own) from one aggregate over one scan; ``entity`` is the key's place in ``keys``."""
+    n = len(keys)
+    agg = df.groupingSets([[F.col(k)] for k in keys], *[F.col(k) for k in keys]).agg(
+        F.avg(label_double(roles.label)).alias("rate"), F.grouping_id().alias("__gid")
+    )
+    # a set's grouping id has every bit but its key's
+    entity = F.coalesce(*[F.when(F.col("__gid") == F.lit((2**n - 1) - 2 ** (n - 1 - i)), F.lit(i)) for i in range(n)])
+    return agg.select(entity.alias("entity"), "rate")
+
+
 def profile_columns(profile: DataFrame, key: str) -> list[str]:
     return [c for c in profile.columns if c != key]
 

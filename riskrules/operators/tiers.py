@@ -32,19 +32,24 @@ def _bins_of(rates: DataFrame, params: Params) -> DataFrame:
     return spark.createDataFrame([(g, list(dict.fromkeys(edges))) for g, edges in sorted(found.items())], BINS_SCHEMA)
 
 
-def risk_bins(profile: DataFrame, rate_col: str, params: Params, *, approx: bool = False) -> DataFrame:
-    """One row, ``bins array<double>``: sorted distinct percentile edges.
+def risk_bins(profile: DataFrame, rate_col: str, params: Params, *, by: str | None = None, approx: bool = False) -> DataFrame:
+    """One row, ``bins array<double>``: sorted distinct percentile edges.  ``by``: a
+    whole-number column; a row ``<by>, bins`` for each of its values that has rates.
 
     Exact, with linear interpolation between order statistics (NumPy's default),
     by grouped counts of shrinking ranges (``functions.order_stats``), whatever the
     number of rates; NULL without rates.  ``approx``: ``percentile_approx``.
     """
-    rates = profile.select(F.lit(0).cast("long").alias("group"), F.col(rate_col).cast("double").alias("value"))
+    group = F.lit(0) if by is None else F.col(by)
+    rates = profile.select(group.cast("long").alias("group"), F.col(rate_col).cast("double").alias("value"))
+    if approx and by is not None:
+        raise ValueError("approximate bins are those of one group")
     if approx:
         pcts = F.array(*[F.lit(float(p)) for p in params.tier_percentiles])
         rates = rates.where(F.col("value").isNotNull()).distinct()
         return rates.agg(F.array_distinct(F.percentile_approx("value", pcts, params.percentile_accuracy)).alias(BINS))
-    return _bins_of(rates, params).agg(F.first(BINS).alias(BINS))
+    bins = _bins_of(rates, params)
+    return bins.agg(F.first(BINS).alias(BINS)) if by is None else bins.withColumnRenamed("__gid", by)
 
 
 def tier_name(key: str, roles: Roles) -> str:
