@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import math
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -22,6 +24,8 @@ from pyspark.sql import types as T
 
 from ..roles import Params
 
+#: Spark's limit on the bytecode of a fused method, and the JVM's for compiling one.
+METHOD_KEY, METHOD_BYTES = "spark.sql.codegen.hugeMethodLimit", 8000
 SALT = "__salt"
 NSALT = "__n_salt"
 
@@ -156,6 +160,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Generated code only as far as the JVM compiles it.
+
+    The JVM interprets methods of more than 8,000 bytes for good.  Joins and projections of
+    a hundred columns fused into one stage make such a method; with this limit they run
+    operator by operator instead, each compiled."""
+    old = spark.conf.get(METHOD_KEY)
+    spark.conf.set(METHOD_KEY, str(min(int(old), METHOD_BYTES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(METHOD_KEY, old)
+
+
+def spread(df: DataFrame, rows: int, params: Params) -> DataFrame:
+    """``df``, of at most ``rows`` rows, in partitions that do not grow with it.
+
+    After a shuffle Spark merges partitions by their bytes before the joins, down to one
+    a core; rows that grow wide after that need more.  Few rows stay as they are."""
+    n = math.ceil(rows / params.rows_per_partition)
+    return df.repartition(n) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def materialize(df: DataFrame, params: Params) -> DataFrame:
     """Reuse ``df`` across jobs without recomputing its lineage.
 
@@ -165,7 +193,8 @@ def materialize(df: DataFrame, params: Params) -> DataFrame:
     """
     if params.materialize == "checkpoint":
         checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        with compiled_methods(df.sparkSession):
+            return df.checkpoint(eager=True)
     if params.materialize == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df

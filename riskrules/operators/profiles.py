@@ -18,6 +18,8 @@ from ..functions.joins import VALUE_BYTES, Budget, attach, fixed_width, text_byt
 from ..roles import Params, Roles
 
 CROSS_BORDER = "is_cross_border"
+#: Bytes of the text of a whole number, at most.
+NUMBER_TEXT = 20
 #: Column of a profile that holds the tier edges, beside the states.
 BINS = "__bins"
 
@@ -248,9 +250,13 @@ class PopulationStats:
         self.roles, self.params = roles, params
         self.ids = list(roles.ids)
         self.cats = list(categoricals)
-        self.cat_col = {f: f"__cat_{i}" for i, f in enumerate(self.cats)}
-        base = df.select("*", *[category_text(f).alias(self.cat_col[f]) for f in self.cats])
-        cols = self.ids + [self.cat_col[f] for f in self.cats]
+        # a whole number and its text are one to one: such an id's own set counts the category too
+        whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+        self.by_id = {f for f in self.cats if f in self.ids and isinstance(df.schema[f].dataType, whole)}
+        self.cat_col = {f: f if f in self.by_id else f"__cat_{i}" for i, f in enumerate(self.cats)}
+        texts = [f for f in self.cats if f not in self.by_id]
+        base = df.select("*", *[category_text(f).alias(self.cat_col[f]) for f in texts])
+        cols = self.ids + [self.cat_col[f] for f in texts]
         if not cols:
             raise ValueError("PopulationStats needs at least one id or categorical column")
         n = len(cols)
@@ -269,7 +275,7 @@ class PopulationStats:
 
         self.table = checkpoint(agg)
         self.has = set(self.table.columns)
-        self._groups: dict[int, tuple[int, int]] | None = None
+        self._groups: dict[int, tuple[int, int, int]] | None = None
 
     def profile(self, key: str, table: DataFrame | None = None, extra=()) -> DataFrame:
         """One id's profile (its grouping set), from the aggregate or from a
@@ -302,7 +308,7 @@ class PopulationStats:
         for f in self.cats:
             cond = F.col("__gid") == F.lit(self.gid[self.cat_col[f]])
             feature = F.when(cond, F.lit(f)) if feature is None else feature.when(cond, F.lit(f))
-            col = F.col(self.cat_col[f])
+            col = F.col(self.cat_col[f]).cast("string")
             value = F.when(cond, col) if value is None else value.when(cond, col)
         return self.table.where(F.col("__gid").isin(gids)).select(
             feature.alias("feature"), value.alias("value"), F.col("__count").alias("n")
@@ -313,22 +319,28 @@ class PopulationStats:
         one small job: the number of groups in each grouping set."""
         groups = self._sizes()
         names = {**{k: k for k in self.ids}, **self.cat_col}
-        return {f: groups.get(self.gid[c], (0, 0))[0] for f, c in names.items()}
+        return {f: groups.get(self.gid[c], (0, 0, 0))[0] for f, c in names.items()}
 
-    def _sizes(self) -> dict[int, tuple[int, int]]:
-        """Number of groups and bytes of the key texts of every grouping set (one job)."""
+    def rows(self) -> int:
+        """Rows of the population: every grouping set counts all of them."""
+        return max((n for _, _, n in self._sizes().values()), default=0)
+
+    def _sizes(self) -> dict[int, tuple[int, int, int]]:
+        """Number of groups, bytes of the key texts and rows of every grouping set (one job)."""
         if self._groups is None:
             # the columns of other sets are NULL, so a row's texts are those of its key
             texts = F.sum(text_bytes(self.table.schema.fields))
-            agg = self.table.groupBy("__gid").agg(F.count(F.lit(1)).alias("n"), texts.alias("texts"))
-            self._groups = {r["__gid"]: (r["n"], int(r["texts"])) for r in agg.collect()}
+            agg = self.table.groupBy("__gid").agg(F.count(F.lit(1)).alias("n"), texts.alias("texts"), F.sum("__count").alias("rows"))
+            self._groups = {r["__gid"]: (r["n"], int(r["texts"]), int(r["rows"])) for r in agg.collect()}
         return self._groups
 
     def size(self, name: str, keyed: DataFrame, *, categorical: bool = False) -> tuple[int, int]:
         """Rows and bytes of a table ``keyed`` by an id, or by a categorical (a column can be
         both).  Texts besides the key (the tier) are short labels, counted with a value's
         bytes more each."""
-        n, texts = self._sizes().get(self.gid[self.cat_col[name] if categorical else name], (0, 0))
+        n, texts, _ = self._sizes().get(self.gid[self.cat_col[name] if categorical else name], (0, 0, 0))
+        if categorical and name in self.by_id:
+            texts = n * NUMBER_TEXT
         short = sum(VALUE_BYTES for f in keyed.schema.fields if isinstance(f.dataType, T.StringType))
         return n, n * (fixed_width(keyed.schema.fields) + short) + texts
 

@@ -19,7 +19,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from ..functions.joins import Budget, materialize
+from ..functions.joins import Budget, materialize, spread
 from ..operators.bands import BUCKET, score_band, with_amount_flags
 from ..operators.encode import attach_frequency, category_slots, fill_sentinel, plan_encoding
 from ..operators.model import confident, feature_ranking, model_inputs, score, train
@@ -113,7 +113,9 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
     for f in freq:
         band = attach_frequency(band, counts, f, params, size=lambda t, f=f: stats.size(f, t, categorical=True), budget=budget)
         source_of[f"{f}_freq"] = f
-    band = add_slots(band, vectors)
+    # a learned population may be another one than the rows
+    rows = stats.rows() if stats is not None and profile_df is None else score_band(df, roles, params).count()
+    band = add_slots(spread(band, rows, params), vectors)
     inputs = model_inputs(band, roles, params)
     slots = input_slots(band, inputs)
     band = materialize(fill_sentinel(band, inputs), params)

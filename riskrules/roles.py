@@ -120,6 +120,8 @@ class Params:
     max_broadcast_bytes: int = 512 * 1024 * 1024
     # rows one task should handle in a salted join (hot keys are split)
     rows_per_task: int = 5_000_000
+    # rows of the population behind one partition of the stored band
+    rows_per_partition: int = 500_000
     # at most this many hot keys are split (bounded broadcast of the key list)
     max_hot_keys: int = 100_000
     # "checkpoint" cuts lineage in spark.checkpoint.dir, "persist" caches
