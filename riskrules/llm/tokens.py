@@ -14,7 +14,7 @@
 Encoding cost: a byte-level BPE never merges across the tokenizer's word splits,
 and a single space between two other characters always starts a split, so a text
 is cut there and each distinct piece is encoded once per worker, in a cache of
-bounded size.  Texts with other white space than single spaces and single line
+bounded size; unknown pieces of several texts are learned together.  Texts with other white space than single spaces and single line
 feeds between other characters, or with the text of an added token, go to the
 library whole; pieces that tell such a text are never remembered.
 
@@ -28,8 +28,10 @@ gives an empty file; other columns are not read.  The text of an added token
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -46,6 +48,9 @@ from .shared import shared_table
 #: Least ids of a block (unless its part ends), pieces a worker remembers.
 BLOCK_TOKENS, CACHE = 1 << 19, 1_500_000
 SPACE = re.compile(r"\s")
+#: Marks that end a piece (an apostrophe may begin a split of its own), words spelt in
+#: one call, pieces of texts with unknown ones that are held.
+MARKS, JOINED, WAITING = "".join(c for c in string.punctuation if c != "'"), 32, 20_000
 IDS = "doc_id long, tkey long, ids binary"
 BLOCK = "part int, seq int, doc_ids binary, no_id binary, lens binary, n long, stream binary, at binary, states binary, crc long"
 READ = "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long"
@@ -73,7 +78,8 @@ class Encoder:
         self.size = self.library.get_vocab_size()
         self.kind = kind or np.dtype("<u4")
         self.letters = {b: c for b, c in enumerate(byte_letters())}
-        self.marks = {c: self.whole(c) for c in ",.\n"}
+        self.newline = self.whole("\n")
+        self.between = self._between()
         self.known = self._start()
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
@@ -84,53 +90,98 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _start(self) -> dict[str, bytes]:
-        return {"\n": self.marks["\n"]}
-
-    def _learn(self, pieces: set[str]) -> bool:
-        """Encode unknown pieces.  A word of letters (after at most one space) is
-        one split of the tokenizer and goes to its model directly; one final mark
-        after it is a split of its own; other pieces go to the library whole.
-        False if a piece tells that its text does (it is empty, a lone space, or
-        holds white space inside or an added token)."""
-        known, marks, code, letters = self.known, self.marks, self.kind.char, self.letters
-        tokenize = self.library.model.tokenize
-        others = []
+        return {"\n": self.newline}
+
+    def _between(self) -> tuple[str, int] | None:
+        """A letter that no merge holds and no word is spelt with, and its id: words
+        joined by it are merged each by itself.  None if the model has no such letter."""
+        model = json.loads(self.library.to_str())["model"]
+        odd = ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix")
+        letter = self.letters[0]
+        at = self.library.token_to_id(letter)
+        if at is None or any(model.get(x) for x in odd) or any(letter in x for m in model["merges"] for x in m):
+            return None
+        return letter, at
+
+    def _spell(self, words: list[str]) -> None:
+        """Learn words of letters (after at most one space): each is one split of the
+        tokenizer and goes to its model directly, JOINED at a time."""
+        letters, tokenize = self.letters, self.library.model.tokenize
+        spelt = [letters[32] * (w[0] == " ") + w.removeprefix(" ") if w.isascii() else w.encode().decode("latin-1").translate(letters) for w in words]
+        if self.between is None:
+            self.known.update((w, np.array([t.id for t in tokenize(s)], self.kind).tobytes()) for w, s in zip(words, spelt, strict=True))
+            return
+        letter, mark = self.between
+        ids = []
+        for i in range(0, len(spelt), JOINED):
+            ids += [t.id for t in tokenize(letter.join(spelt[i : i + JOINED]))]
+            ids.append(mark)
+        ids, size = np.array(ids, self.kind), self.kind.itemsize
+        raw, ends = ids.tobytes(), (np.flatnonzero(ids == mark) * size).tolist()
+        begins = [0, *(e + size for e in ends)]
+        self.known.update((w, raw[i:j]) for w, i, j in zip(words, begins, ends, strict=False))
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode unknown pieces: words of letters, with the run of marks that ends them
+        (a split of its own), by ``_spell``; others go to the library whole.
+        A piece that tells that its text does (it is empty, a lone space, or holds
+        white space inside or an added token) stays unknown."""
+        known = self.known
+        others, words, marked, runs = [], set(), [], set()
         for p in pieces:
-            mark = p[-1:] if p[-1:] in marks else ""
-            word = p[:-1] if mark else p
-            if not word.removeprefix(" ").isalpha():
+            word = p.rstrip(MARKS)
+            if not word.removeprefix(" ").isalpha() or (len(word) < len(p) and self.added.search(p)):
                 inside = p.removeprefix(" ")
-                if not inside or SPACE.search(inside) or self.added.search(p):
-                    return False
-                others.append(p)
+                if inside and not SPACE.search(inside) and not self.added.search(p):
+                    others.append(p)
                 continue
-            ids = known.get(word)
-            if ids is None:
-                spelt = word.encode().decode("latin-1").translate(letters)
-                ids = known[word] = array(code, [t.id for t in tokenize(spelt)]).tobytes()
-            if mark:
-                known[p] = ids + marks[mark]
+            if word not in known:
+                words.add(word)
+            if len(word) < len(p):
+                run = p[len(word) :]
+                marked.append((p, word, run))
+                if run not in known:
+                    runs.add(run)
+        self._spell(list(words))
+        others += runs.difference(others)
         for p, e in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            known[p] = array(code, e.ids).tobytes()
-        return True
+            known[p] = array(self.kind.char, e.ids).tobytes()
+        for p, word, run in marked:
+            known[p] = known[word] + known[run]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes."""
         if len(self.known) > CACHE:
             self.known = self._start()
-        known, out = self.known, []
-        for text in texts:
+        known, out = self.known, [b""] * len(texts)
+        waiting, unknown, held = [], set(), 0
+
+        def settle() -> None:
+            self._learn(unknown)
+            for i, pieces in waiting:
+                try:
+                    out[i] = b"".join(map(known.__getitem__, pieces))
+                except KeyError:
+                    out[i] = self.whole(texts[i])
+
+        for i, text in enumerate(texts):
             if "\0" in text or any(c in text for c in self.wide):
-                out.append(self.whole(text))
+                out[i] = self.whole(text)
                 continue
             # odd white space leaves a piece that is empty, a lone space or holds white
             # space itself, and no such piece is ever known
             pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
             try:
-                out.append(b"".join(map(known.__getitem__, pieces)))
+                out[i] = b"".join(map(known.__getitem__, pieces))
             except KeyError:
-                whole = not self._learn(set(pieces).difference(known))
-                out.append(self.whole(text) if whole else b"".join(map(known.__getitem__, pieces)))
+                # learned together with those of other texts
+                waiting.append((i, pieces))
+                unknown.update(set(pieces).difference(known))
+                held += len(pieces)
+                if held > WAITING:
+                    settle()
+                    waiting, unknown, held = [], set(), 0
+        settle()
         return out
 
 

@@ -104,6 +104,37 @@ def test_special_strings_and_odd_spaces(text):
         assert e.ids([t, t]) == [plain_ids(t, e.kind)] * 2
 
 
+def test_unknown_words_are_learned_together():
+    e = tokens.Encoder(tokenizer_file("byte_bpe_50k.json"))
+    own, calls = e.library, []
+
+    class Library:
+        def __getattr__(self, name):
+            return getattr(own, name)
+
+        def encode_batch_fast(self, pieces, **kw):
+            calls.append(sorted(pieces))
+            return own.encode_batch_fast(pieces, **kw)
+
+    e.library = Library()
+    texts = ["Über*** alles*** so", "one*** don't two,.", "naïve &&& 日本語!? x_ _y a-b Ā", "end<|endoftext|>", ""]
+    assert e.ids(texts) == [plain_ids(t, e.kind) for t in texts]
+    # one call; the marks that end words are a piece of their own, told once
+    assert [c for c in calls if c] == [sorted([" don't", "***", ",.", " &&&", "!?", "_", " _y", " a-b"])]
+    e.between = None
+    e.known = e._start()
+    assert e.ids(texts) == [plain_ids(t, e.kind) for t in texts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="aZéĀ日.'*_<1", max_size=6), max_size=90))
+def test_runs_of_marks_and_joined_words(words):
+    if "marks" not in _ENCODER:
+        _ENCODER["marks"] = tokens.Encoder(tokenizer_file("byte_bpe_50k.json"))
+    e, text = _ENCODER["marks"], " ".join(words)
+    assert e.ids([text, "b " + text]) == [plain_ids(t, e.kind) for t in (text, "b " + text)]
+
+
 def test_token_files(spark, tmp_path):
     rows = odd_texts(random.Random(2)) + [(7, "again", "x"), (None, "no id", "x"), (90, "ends <|endoftext|> here", "x"), (91, "long words " * 300_000, "x")]
     path = tokenizer_file("byte_bpe_50k.json")
