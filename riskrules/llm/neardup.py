@@ -165,9 +165,11 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     ``texts`` has one row per node (``doc_id, text``), whose numbers are not negative: b = -1
     marks the row of the held set, which sorts first.
     """
+    pairs = shared_table(pairs.select("a", "b"), "pairs")
+    # partners of one block are dealt without a number; a larger set takes more than BLOCK pairs
     blocks = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).cast("long")
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    dealt = shared_table(pairs.join(counts, "a").select("a", "b", blocks.alias("block")), "pairs")
+    large = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    dealt = pairs.join(large, "a", "left").select("a", "b", F.coalesce(blocks, F.lit(0).cast("long")).alias("block"))
     held = dealt.select("a", "block").distinct().select("a", F.lit(-1).cast("long").alias("b"), "block")
     rows = (
         dealt.withColumn("doc_id", F.col("b"))
@@ -180,7 +182,9 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 def components(links: DataFrame) -> DataFrame:
     """``id, label``: the smallest id reachable over ``links`` (a, b)."""
-    both = shared_table(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    # both directions of a row at once: the links are worked out a single time
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = shared_table(links.select(F.inline(ways)).distinct(), "links")
     labels = shared_table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
     total = F.sum(F.col("label").cast("decimal(38,0)"))
     before = labels.agg(total).first()[0]
@@ -338,7 +342,7 @@ def _near_in_units(placed: DataFrame, sigs: DataFrame, num: int, den: int) -> Da
     """``a, b``: pairs of different labels of a cluster that lie within RADIUS."""
     units = _dealt(placed, KEY_BLOCK).join(sigs, "doc_id")
     pairs = units.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "doc_id").mapInArrow(_close_pairs(num, den), "a long, b long")
-    return shared_table(pairs.distinct(), "near-pairs")
+    return pairs.distinct()
 
 
 def _meeting(sigs: DataFrame, placed: DataFrame, shared, num: int, den: int) -> DataFrame:

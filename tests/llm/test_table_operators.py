@@ -130,6 +130,37 @@ def test_pairs_headed_by_other_documents_meet(spark):
     assert got == {i: want[i] for i in got} and sum(got[100 * p + 21] == 100 * p + 20 for p in range(6)) == 6
 
 
+def counted(df, seen):
+    """``df``, adding to ``seen`` each row that is worked out."""
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(count, df.schema)
+
+
+def test_pairs_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    links = counted(spark.createDataFrame([(i, i - 1) for i in range(1, 40)] + [(99, 98), (98, 99)], "a long, b long"), seen)
+    labels = {r["id"]: r["label"] for r in neardup.components(links).collect()}
+    assert labels == dict.fromkeys(range(40), 0) | {98: 98, 99: 98} and seen.value == 41
+    seen = spark.sparkContext.accumulator(0)
+    texts = spark.createDataFrame([(i, "one two three four") for i in range(8)], "doc_id long, text string")
+    pairs = counted(spark.createDataFrame([(0, i) for i in range(1, 8)], "a long, b long"), seen)
+    got = neardup.compared(pairs, texts, 2, 80, 100).collect()
+    assert sorted(tuple(r) for r in got) == [(0, i, True) for i in range(1, 8)] and seen.value == 7
+
+
+def test_large_sets_of_partners_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    texts = spark.createDataFrame([(i, "one two three four" if i < 30 else f"other {i}") for i in range(40)], "doc_id long, text string")
+    pairs = [(0, i) for i in range(1, 40)] + [(30, 31), (1, 2)]
+    got = neardup.compared(spark.createDataFrame(pairs, "a long, b long"), texts, 2, 80, 100).collect()
+    assert sorted(tuple(r) for r in got) == sorted([(0, i, True) for i in range(1, 30)] + [(1, 2, True)])
+
+
 def test_index_meets_every_pair_within_the_radius():
     rng = np.random.default_rng(5)
     for _ in range(200):
