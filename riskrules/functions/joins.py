@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import tempfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -26,6 +26,8 @@ from ..roles import Params
 
 #: Spark's limit on the bytecode of a fused method, and the JVM's for compiling one.
 METHOD_KEY, METHOD_BYTES = "spark.sql.codegen.hugeMethodLimit", 8000
+#: Whether Spark removes a query's shuffle files at its end, or when the driver collects its garbage.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SALT = "__salt"
 NSALT = "__n_salt"
 
@@ -87,6 +89,7 @@ def attach(
     count_col: str | None = None,
     keyed_size: tuple[int, int] | None = None,
     budget: Budget | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """``rows LEFT JOIN keyed USING (key)``, planned for size and skew.
 
@@ -96,6 +99,7 @@ def attach(
     is its known number of rows and bytes (the size check); when it is not given,
     ``keyed`` is persisted and measured here, and the caller may ``unpersist`` it
     after the join has run.  ``budget`` is shared by the joins of one plan.
+    ``partitions``: into so many the salted join deals the rows.
     """
     if keyed_size is None:
         # the measure fills the cache the join then reads (no second aggregation)
@@ -107,11 +111,11 @@ def attach(
     if count_col is None:
         # no weights: sort-merge join, AQE splits skewed partitions
         return rows.join(keyed, on=key, how="left")
-    return _salted_left_join(rows, keyed, key, count_col, params)
+    return _salted_left_join(rows, keyed, key, count_col, params, partitions)
 
 
 def _salted_left_join(
-    rows: DataFrame, keyed: DataFrame, key: str, count_col: str, params: Params
+    rows: DataFrame, keyed: DataFrame, key: str, count_col: str, params: Params, partitions: int | None = None
 ) -> DataFrame:
     stats = keyed.agg(
         F.sum(count_col).alias("total"),
@@ -134,6 +138,9 @@ def _salted_left_join(
         .withColumn(SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(NSALT), F.lit(1)) - 1)))
         .drop(NSALT)
     )
+    if partitions is not None:
+        # Spark joins them as they are dealt, and leaves a stated number as it is
+        tagged, copies = (side.repartition(partitions, key, SALT) for side in (tagged, copies))
     return tagged.join(copies, on=[key, SALT], how="left").drop(SALT)
 
 
@@ -157,31 +164,46 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Eager checkpoint in the shared checkpoint folder (lineage cut)."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_removed(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 @contextmanager
-def compiled_methods(spark: SparkSession) -> Iterator[None]:
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    old = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def compiled_methods(spark: SparkSession):
     """Generated code only as far as the JVM compiles it.
 
     The JVM interprets methods of more than 8,000 bytes for good.  Joins and projections of
     a hundred columns fused into one stage make such a method; with this limit they run
     operator by operator instead, each compiled."""
-    old = spark.conf.get(METHOD_KEY)
-    spark.conf.set(METHOD_KEY, str(min(int(old), METHOD_BYTES)))
-    try:
-        yield
-    finally:
-        spark.conf.set(METHOD_KEY, old)
+    return _setting(spark, METHOD_KEY, str(min(int(spark.conf.get(METHOD_KEY)), METHOD_BYTES)))
+
+
+def shuffles_removed(spark: SparkSession):
+    """The shuffle files of what is checkpointed go when it is stored.
+
+    Nothing reads them again.  Else they lie beside the next steps' files until the driver
+    happens to collect its garbage, which on a cluster may be after the last step.  Spark
+    before 4.1 does not know the setting and keeps them."""
+    return _setting(spark, CLEANUP_KEY, "true") if spark.conf.isModifiable(CLEANUP_KEY) else nullcontext()
 
 
-def spread(df: DataFrame, rows: int, params: Params) -> DataFrame:
-    """``df``, of at most ``rows`` rows, in partitions that do not grow with it.
+def partitions_by_rows(spark: SparkSession, rows: int, params: Params) -> int | None:
+    """Partitions that do not grow with ``rows`` rows; None if few rows may stay as they are.
 
-    After a shuffle Spark merges partitions by their bytes before the joins, down to one
-    a core; rows that grow wide after that need more.  Few rows stay as they are."""
+    After a shuffle Spark merges partitions by their bytes, down to one a core; rows that
+    grow wide after that need more."""
     n = math.ceil(rows / params.rows_per_partition)
-    return df.repartition(n) if n > df.sparkSession.sparkContext.defaultParallelism else df
+    return n if n > spark.sparkContext.defaultParallelism else None
 
 
 def materialize(df: DataFrame, params: Params) -> DataFrame:
@@ -192,9 +214,8 @@ def materialize(df: DataFrame, params: Params) -> DataFrame:
     disk cache, recomputed from lineage on loss.
     """
     if params.materialize == "checkpoint":
-        checkpoint_dir(df.sparkSession)
         with compiled_methods(df.sparkSession):
-            return df.checkpoint(eager=True)
+            return checkpoint(df)
     if params.materialize == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df

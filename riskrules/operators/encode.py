@@ -97,6 +97,7 @@ def attach_frequency(
     *,
     size: Callable[[DataFrame], tuple[int, int]] | None = None,
     budget: Budget | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Left join of the frequency of ``feature``'s value; NULL values get NULL.
 
@@ -104,7 +105,8 @@ def attach_frequency(
     the join); without it the table is measured."""
     table = frequency_table(counts, feature)
     keyed = rows.withColumn("__value", category_text(feature))
-    out = attach(keyed, table, "__value", params, count_col=f"__{feature}_n", keyed_size=size(table) if size is not None else None, budget=budget)
+    keyed_size = size(table) if size is not None else None
+    out = attach(keyed, table, "__value", params, count_col=f"__{feature}_n", keyed_size=keyed_size, budget=budget, partitions=partitions)
     return out.drop("__value", f"__{feature}_n")
 
 

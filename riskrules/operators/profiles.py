@@ -196,11 +196,12 @@ def attach_profile(
     *,
     keyed_size: tuple[int, int] | None = None,
     budget: Budget | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Left join of a profile on ``key``; NULL keys never match (NULL measures).  A
     profile with states is attached without the row's own label (``less_own_label``)."""
     count_col = measure_names(key, roles)["count"]
-    out = attach(rows, profile, key, params, count_col=count_col, keyed_size=keyed_size, budget=budget)
+    out = attach(rows, profile, key, params, count_col=count_col, keyed_size=keyed_size, budget=budget, partitions=partitions)
     if f"{STATE}rate_n" in profile.columns:
         return less_own_label(out, key, roles, params, BINS if BINS in profile.columns else None)
     return out

@@ -41,25 +41,40 @@ def slot_index(value: Column, labels: Sequence[str]) -> Column:
     return F.when(at > 0, at - 1).otherwise(len(labels)).cast("double")
 
 
-def add_slots(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[str]]]) -> DataFrame:
-    """``df`` with a sparse vector column per entry ``{name: (value, labels in slot
-    order)}``; an entry without labels adds no column.  One projection for all."""
-    wanted = {name: entry for name, entry in wanted.items() if entry[1]}
+def add_slot_places(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[str]]]) -> DataFrame:
+    """``df`` with the place of each row's value, one number column per entry with labels:
+    what a stored row holds; ``slots_of_places`` makes the vectors."""
+    places = [slot_index(value, labels).alias(f"{INDEX}{i}") for i, (value, labels) in enumerate(_labelled(wanted).values())]
+    return df.select("*", *places)
+
+
+def slots_of_places(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[str]]]) -> DataFrame:
+    """``df`` with the vector columns in place of the places that ``add_slot_places`` gave it."""
+    wanted = _labelled(wanted)
     if not wanted:
         return df
     index = {name: f"{INDEX}{i}" for i, name in enumerate(wanted)}
-    coded = df.select(
-        "*",
-        *[
-            slot_index(value, labels).alias(index[name], metadata={ML_ATTR: {"type": "nominal", "name": index[name], "vals": list(labels)}})
-            for name, (value, labels) in wanted.items()
-        ],
+    coded = df.withColumns(
+        {
+            index[name]: F.col(index[name]).alias(index[name], metadata={ML_ATTR: {"type": "nominal", "name": index[name], "vals": list(labels)}})
+            for name, (_, labels) in wanted.items()
+        }
     )
     # the place after the last label is the invalid one, which dropLast leaves as zeros
     encoder = OneHotEncoder(inputCols=list(index.values()), outputCols=list(index), handleInvalid="keep", dropLast=True)
     return encoder.fit(coded).transform(coded).drop(*index.values())
 
 
+def _labelled(wanted: Mapping[str, tuple[Column, Sequence[str]]]) -> dict[str, tuple[Column, Sequence[str]]]:
+    return {name: entry for name, entry in wanted.items() if entry[1]}
+
+
+def add_slots(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[str]]]) -> DataFrame:
+    """``df`` with a sparse vector column per entry ``{name: (value, labels in slot
+    order)}``; an entry without labels adds no column.  One projection for all."""
+    return slots_of_places(add_slot_places(df, wanted), wanted)
+
+
 def slot_labels(df: DataFrame, column: str) -> list[str] | None:
     """Slot names of a vector column in order, from its metadata; None for other columns."""
     field = df.schema[column]

@@ -501,10 +501,12 @@ TREE_P = P.with_(max_depth=4)
 WORKFLOW_P = TREE_P.with_(max_rules=3)
 
 
-def _prepared(spark, sf):
-    return preprocess(_tx(spark, sf), R, TREE_P)
+def _prepared(spark, sf, columns=None):
+    return preprocess(_tx(spark, sf), R, TREE_P, columns=columns)
 
 
+#: Columns of a band row that the queries show beside its label and model inputs.
+SHOWN = (MCH, "amount")
 TIERED = ("merchant", "issuer", "part_id")
 VECTORS = [f"{x}_risk_tier_enc" for x in TIERED] + [f"{c}_vec" for c in ("ship_address_usage_ind", "card_profile_dep", "bill_count")]
 
@@ -523,12 +525,12 @@ def q_slot_counts(spark, sf):
 
 
 def q_features(spark, sf):
-    prep = _prepared(spark, sf)
+    prep = _prepared(spark, sf, SHOWN)
     return model.assemble(prep.band, prep.inputs).select(MCH, "amount", "is_fraud", model.FEATURES)
 
 
-def _trained(spark, sf):
-    prep = _prepared(spark, sf)
+def _trained(spark, sf, columns=()):
+    prep = _prepared(spark, sf, columns)
     return prep, model.train(prep.band, prep.inputs, R, TREE_P)
 
 
@@ -543,12 +545,12 @@ def q_train_tree(spark, sf):
 
 
 def q_score_rows(spark, sf):
-    prep, m = _trained(spark, sf)
+    prep, m = _trained(spark, sf, SHOWN)
     return model.score(m, prep.band).select(MCH, "amount", "is_fraud", "cs", "prediction", model.PROB)
 
 
 def q_positive_rows(spark, sf):
-    prep, m = _trained(spark, sf)
+    prep, m = _trained(spark, sf, SHOWN)
     scored = model.score(m, prep.band)
     return scored.where(model.confident(TREE_P)).select(MCH, "amount", "is_fraud", "cs", model.PROB)
 

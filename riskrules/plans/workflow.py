@@ -11,23 +11,24 @@ rule evaluation never replay the profile joins.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.joins import Budget, materialize, spread
-from ..operators.bands import BUCKET, score_band, with_amount_flags
-from ..operators.encode import attach_frequency, category_slots, fill_sentinel, plan_encoding
+from ..functions.joins import Budget, materialize, partitions_by_rows
+from ..operators.bands import BUCKET, amount_flag_columns, score_band, with_amount_bucket
+from ..operators.encode import attach_frequency, category_slots, fill_sentinel, frequency_table, plan_encoding
 from ..operators.model import confident, feature_ranking, model_inputs, score, train
 from ..operators.patterns import mine_lattice, mine_patterns, rule_conditions
-from ..operators.profiles import PopulationStats, attach_profile, profile_columns, with_cross_border
+from ..operators.profiles import PopulationStats, attach_profile, measure_names, profile_columns, with_cross_border
 from ..operators.rules import evaluate_rules, keep_precise, mask_counts, rank_rules
 from ..operators.ruleset import choose, combined_rule, metrics, union_metrics
-from ..operators.slots import Slot, add_slots, input_slots
+from ..operators.slots import INDEX, Slot, add_slot_places, input_slots, slots_of_places
 from ..operators.tiers import tier_name, tier_population, tier_slots
 from ..roles import Params, Roles, is_numeric
 
@@ -60,12 +61,72 @@ class MiningResult:
     union_metrics: DataFrame
 
 
-def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataFrame | None = None) -> Prepared:
+def _quoted(c: str) -> Column:
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
+@dataclass
+class KeyedJoin:
+    """A table to join on to the band: whether it is broadcast, the columns it adds, and the
+    join ``(rows, params, partitions)``."""
+
+    broadcast: bool
+    adds: list[str]
+    join: Callable[[DataFrame, Params, int | None], DataFrame]
+
+
+def join_profile(prof: DataFrame, key: str, roles: Roles, params: Params, size: tuple[int, int], budget: Budget) -> KeyedJoin:
+    fits = budget.takes(*size, params)
+
+    def join(rows: DataFrame, params: Params, partitions: int | None) -> DataFrame:
+        # what was decided for all tables in their order holds
+        own = Budget(size[1] if fits else 0)
+        return attach_profile(rows, prof, key, roles, params, keyed_size=size, budget=own, partitions=partitions)
+
+    return KeyedJoin(fits, profile_columns(prof, key), join)
+
+
+def join_frequency(counts: DataFrame, feature: str, params: Params, size: tuple[int, int], budget: Budget) -> KeyedJoin:
+    fits = budget.takes(*size, params)
+
+    def join(rows: DataFrame, params: Params, partitions: int | None) -> DataFrame:
+        own = Budget(size[1] if fits else 0)
+        return attach_frequency(rows, counts, feature, params, size=lambda _: size, budget=own, partitions=partitions)
+
+    return KeyedJoin(fits, [f"{feature}_freq"], join)
+
+
+def join_all(band: DataFrame, joins: Sequence[KeyedJoin], rows: int, params: Params) -> DataFrame:
+    """``band``, rows of a population of ``rows``, with all tables joined on to it, in
+    partitions that do not grow with the rows.
+
+    Tables that are not broadcast come first, the narrowest before the others, so the rows
+    are shuffled before they are wide; the last of these joins deals them into the
+    partitions, hot keys split by the same number.  Without such a join the rows are
+    dealt before they are joined.  Few rows are joined as they lie."""
+    n = partitions_by_rows(band.sparkSession, rows, params)
+    by_key = sorted((j for j in joins if not j.broadcast), key=lambda j: len(j.adds))
+    if n is not None and not by_key:
+        band = band.repartition(n)
+    dealt = params if n is None else params.with_(rows_per_task=min(params.rows_per_task, params.rows_per_partition))
+    for i, j in enumerate(by_key, 1):
+        band = j.join(band, dealt, n) if i == len(by_key) else j.join(band, params, None)
+    for j in joins:
+        if j.broadcast:
+            band = j.join(band, params, None)
+    return band
+
+
+def preprocess(
+    df: DataFrame, roles: Roles, params: Params, *, profile_df: DataFrame | None = None, columns: Sequence[str] | None = None
+) -> Prepared:
     """Band rows with every model input attached.
 
     ``profile_df`` (optional) is the population profiles, tiers and encoders
     are learned on; by default the rows themselves (as the method does, which
-    lets a row's own label reach its profile).
+    lets a row's own label reach its profile).  ``columns`` (optional) are the
+    columns wanted beside the label, the amount bucket and the model inputs; by
+    default all are kept.
     """
     roles.check(df)
     if profile_df is not None and not params.own_label:
@@ -96,13 +157,18 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
 
     # all keyed tables of the band's plan are held at once, so they share one budget
     budget = Budget(params.max_broadcast_bytes)
-    band = with_amount_flags(score_band(df, roles, params), roles, params)
-    # one sparse vector per tier and one-hot source, added after the joins in one projection
+    joins: list[KeyedJoin] = []
+    # one sparse vector per tier and one-hot source, made of places that are stored
     vectors: dict[str, tuple[Column, Sequence[str]]] = {}
     for i in range(len(params.amount_thresholds) + 1):
         source_of[f"amount_range_{i}"] = roles.amount
+    shown: list[str] = []
     for key, prof in profiles.items():
-        band = attach_profile(band, prof, key, roles, params, keyed_size=stats.size(key, prof), budget=budget)
+        shown += [c for c in profile_columns(prof, key) if not c.startswith("__")]
+        if key in freq and key in stats.by_id and df.schema[key].dataType == pop.schema[key].dataType:
+            # the id's own count is the category's: one join for both
+            prof = prof.withColumn(f"{key}_freq", F.col(measure_names(key, roles)["count"]) / F.lit(stats.rows()))
+        joins.append(join_profile(prof, key, roles, params, stats.size(key, prof), budget))
         tier = tier_slots(key, roles, tiers[key])
         vectors.update(tier)
         source_of.update({v: tier_name(key, roles) for v in tier})
@@ -111,14 +177,33 @@ def preprocess(df: DataFrame, roles: Roles, params: Params, *, profile_df: DataF
         vectors.update(vec)
         source_of.update({v: f for v in vec})
     for f in freq:
-        band = attach_frequency(band, counts, f, params, size=lambda t, f=f: stats.size(f, t, categorical=True), budget=budget)
+        if not any(f"{f}_freq" in j.adds for j in joins):
+            joins.append(join_frequency(counts, f, params, stats.size(f, frequency_table(counts, f), categorical=True), budget))
+        shown.append(f"{f}_freq")
         source_of[f"{f}_freq"] = f
     # a learned population may be another one than the rows
     rows = stats.rows() if stats is not None and profile_df is None else score_band(df, roles, params).count()
-    band = add_slots(spread(band, rows, params), vectors)
-    inputs = model_inputs(band, roles, params)
-    slots = input_slots(band, inputs)
-    band = materialize(fill_sentinel(band, inputs), params)
+    band = with_amount_bucket(join_all(score_band(df, roles, params), joins, rows, params), roles, params)
+    # as if every id had been joined in turn, which puts it first
+    ids = list(profiles)[::-1]
+    own = [*ids, *[c for c in df.columns if c not in ids], *[c for c in band.columns if c == BUCKET and c not in df.columns]]
+    coded = add_slot_places(band.select(*[_quoted(c) for c in (*own, *shown)]), vectors)
+
+    def whole(stored: DataFrame) -> DataFrame:
+        """A stored row with what is derived from it alone: amount flags and vectors."""
+        at = [c for c in own if c in stored.columns]
+        rest = [c for c in stored.columns if c not in own]
+        flags = amount_flag_columns(params)
+        return slots_of_places(stored.select(*[_quoted(c) for c in at], *flags, *[_quoted(c) for c in rest]), vectors)
+
+    shape = whole(coded)
+    inputs = model_inputs(shape, roles, params)
+    slots = input_slots(shape, inputs)
+    coded = fill_sentinel(coded, [c for c in inputs if c in coded.columns])
+    if columns is not None:
+        wanted = {roles.label, BUCKET, *inputs, *columns}
+        coded = coded.select(*[_quoted(c) for c in coded.columns if c in wanted or c.startswith(INDEX)])
+    band = whole(materialize(coded, params))
     if stats is not None and params.materialize == "checkpoint":
         # the band no longer depends on the population aggregate
         stats.unpersist()

@@ -163,3 +163,58 @@ def test_band_is_stored_by_compiled_methods(spark, monkeypatch):
     before = spark.conf.get(joins.METHOD_KEY)
     joins.materialize(spark.range(3), P)
     assert seen == [8000] and spark.conf.get(joins.METHOD_KEY) == before
+
+
+def stored(monkeypatch) -> list:
+    """The tables that ``preprocess`` stores from now on."""
+    import riskrules.plans.workflow as W
+
+    seen, store = [], W.materialize
+    monkeypatch.setattr(W, "materialize", lambda df, params: (seen.append(df), store(df, params))[1])
+    return seen
+
+
+def test_band_is_stored_without_what_is_derived_from_a_row(spark, monkeypatch):
+    seen = stored(monkeypatch)
+    tx = tx_frame(spark, SF0001)
+    whole = preprocess(tx, FIXTURE_ROLES, P)
+    only = preprocess(tx, FIXTURE_ROLES, P, columns=["amount"])
+    for df in seen:
+        assert not [f.name for f in df.schema.fields if f.name.startswith("amount_range_") or f.name.endswith(("_enc", "_vec"))]
+    assert set(only.band.columns) == {*only.inputs, "is_fraud", "amount", "amount_bucket"} and set(tx.columns) < set(whole.band.columns)
+    assert (only.inputs, only.slots) == (whole.inputs, whole.slots) and only.band.count() > 0
+    assert only.band.exceptAll(whole.band.select(only.band.columns)).count() == 0 and only.band.count() == whole.band.count()
+
+
+def test_rows_are_dealt_by_the_joins_before_they_are_wide(spark, monkeypatch):
+    """Two profiles over the limit: each shuffles the rows once, broadcast ones come after, and nothing deals the wide rows anew."""
+    seen = stored(monkeypatch)
+    tx = tx_frame(spark, SF0001)
+    total = tx.count()
+    few = preprocess(tx, FIXTURE_ROLES, Params()).band
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = preprocess(tx, FIXTURE_ROLES, Params(max_broadcast_rows=100, rows_per_partition=100)).band
+        p = seen[-1]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    n = -(-total // 100)
+    assert "Exchange RoundRobin" not in p and len(re.findall(r"Exchange hashpartitioning\(part_id#\d+L, __salt", p)) == 2
+    assert len(re.findall(rf"Exchange hashpartitioning\(issuer_member#\d+L, __salt#\d+, {n}\), REPARTITION_BY_NUM", p)) == 2
+    # seen from the top: the merchants' broadcast, the issuers, then the parts and their frequency
+    at = [re.search(x, p).start() for x in (r"Join \[mch_id_trimmed", r"Join \[issuer_member#\d+L, __salt", r"Join \[part_id#\d+L, __salt")]
+    assert at == sorted(at) and "__value" not in p
+    assert many.rdd.getNumPartitions() == n and many.columns == few.columns
+    shown = [c for c in few.columns if not c.endswith(("_enc", "_vec")) and "std" not in c]
+    assert few.select(shown).exceptAll(many.select(shown)).count() == 0 and few.count() == many.count()
+
+
+def test_shuffles_of_what_is_checkpointed_are_removed(spark, monkeypatch):
+    frame, seen = type(spark.range(1)), []
+    store = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a, **b: (seen.append(spark.conf.get(joins.CLEANUP_KEY)), store(self, *a, **b))[1])
+    before = spark.conf.get(joins.CLEANUP_KEY)
+    for put in (joins.checkpoint, lambda df: joins.materialize(df, P)):
+        assert put(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    assert seen == ["true", "true"] and spark.conf.get(joins.CLEANUP_KEY) == before
