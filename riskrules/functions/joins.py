@@ -165,7 +165,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Eager checkpoint in the shared checkpoint folder (lineage cut)."""
     checkpoint_dir(df.sparkSession)
     with shuffles_removed(df.sparkSession):
-        return df.checkpoint(eager=True)
+        # a query has the setting of the moment when it is stated
+        return df.select("*").checkpoint(eager=True)
 
 
 @contextmanager

@@ -86,12 +86,12 @@ def with_cross_border(df: DataFrame, roles: Roles) -> DataFrame:
 STATE = "__state_"
 
 
-def _label_rates(columns, roles: Roles, params: Params) -> dict[str, Column]:
+def _label_rates(columns, roles: Roles, params: Params, xb: Column | None = None) -> dict[str, Column]:
     """What each rate that holds the label averages: the label, where it counts."""
     y, amt, t = label_double(roles.label), F.col(roles.amount), params.amount_thresholds
     out = {"rate": y, "small": F.when(amt <= F.lit(float(t[0])), y), "large": F.when(amt > F.lit(float(t[-1])), y)}
     if roles.issuing_country in columns and roles.merchant_country in columns:
-        out["xb_fraud"] = F.when(cross_border_flag(roles) == 1, y)
+        out["xb_fraud"] = F.when((cross_border_flag(roles) if xb is None else xb) == 1, y)
     return out
 
 
@@ -99,11 +99,11 @@ def _positive_amount(roles: Roles) -> Column:
     return F.when(F.col(roles.label) == 1, F.col(roles.amount)).otherwise(F.lit(0.0))
 
 
-def label_states(df: DataFrame, roles: Roles, params: Params) -> list[Column]:
+def label_states(df: DataFrame, roles: Roles, params: Params, xb: Column | None = None) -> list[Column]:
     """Additive states of every measure that holds the label: sums and counts, and
-    exact sums of money."""
+    exact sums of money.  ``xb``: the cross-border flag, if it is a column."""
     out = []
-    for name, y in _label_rates(df.columns, roles, params).items():
+    for name, y in _label_rates(df.columns, roles, params, xb).items():
         out += [F.sum(y).alias(f"{STATE}{name}_sum"), F.count(y).alias(f"{STATE}{name}_n")]
     return [*out, *money_parts(_positive_amount(roles), f"{STATE}positive"), *money_parts(roles.amount, f"{STATE}amount")]
 
@@ -210,8 +210,8 @@ def attach_profile(
 # ---- one pass for every profile and every category count -----------------------------
 
 
-def _all_measures(df: DataFrame, roles: Roles, params: Params) -> list[Column]:
-    """Every measure any profile kind needs, under internal names."""
+def _all_measures(df: DataFrame, roles: Roles, params: Params, xb: Column) -> list[Column]:
+    """Every measure any profile kind needs, under internal names; ``xb`` is the cross-border flag."""
     y = label_double(roles.label)
     amt = F.col(roles.amount)
     fraud_amt = F.when(F.col(roles.label) == 1, amt).otherwise(F.lit(0.0))
@@ -230,16 +230,21 @@ def _all_measures(df: DataFrame, roles: Roles, params: Params) -> list[Column]:
     if roles.auth_mode in df.columns:
         out.append(F.avg(F.when(F.col(roles.auth_mode) != "N", 1.0).otherwise(0.0)).alias("__3ds"))
     if has_cross_border(df, roles):
-        xb = cross_border_flag(roles)
         out.append(F.avg(xb.cast("double")).alias("__xb"))
         out.append(F.avg(F.when(xb == 1, y)).alias("__xb_fraud"))
     return out
 
 
 class PopulationStats:
-    """Profiles of all id columns and value counts of all categoricals from ONE
-    aggregate (``GROUPING SETS``, one set per column): one scan of the
-    population, partial aggregation before a single shuffle, checkpointed once.
+    """Profiles of all id columns from one aggregate over the population, and value
+    counts of all other categoricals from a second one, each checkpointed.
+
+    An id seldom repeats among the rows of one task, so partial rows of 25 buffers would be
+    shuffled where rows of three numbers do: every row is dealt once per id, by it, with
+    what that id's measures read, and is aggregated there.  Spark splits what a frequent id
+    makes large (``rebalance``), so a partial row per task and id follows, as short as the
+    list of ids.  Values of categoricals repeat: ``GROUPING SETS``, partially aggregated
+    before the shuffle.
 
     ``profile(key)`` equals ``entity_profile(df, key)``; ``counts`` equals
     ``encode.category_counts(df, categoricals)``.
@@ -260,24 +265,52 @@ class PopulationStats:
         cols = self.ids + [self.cat_col[f] for f in texts]
         if not cols:
             raise ValueError("PopulationStats needs at least one id or categorical column")
-        n = len(cols)
-        self.gid = {c: (2**n - 1) - 2 ** (n - 1 - i) for i, c in enumerate(cols)}
-        self.measures = [m for m in _all_measures(df, roles, params)]
-        if not params.own_label:
-            self.measures += label_states(df, roles, params)
-        agg = base.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols]).agg(
-            *self.measures, F.grouping_id().alias("__gid")
-        )
+        # the number of a column's set
+        self.gid = {c: i for i, c in enumerate(cols)}
         # one row per distinct key of every set, always checkpointed (small):
         # the band query reads it beside its own scan of the same input, and
         # the analyzer's re-instantiation of shared leaves makes a cached plan
         # miss there; a checkpointed relation is read back, never recomputed.
         from ..functions.joins import checkpoint
 
-        self.table = checkpoint(agg)
+        made = [checkpoint(agg) for agg in (self._by_id(df), self._by_value(base, [self.cat_col[f] for f in texts])) if agg is not None]
+        self.table = made[0] if len(made) == 1 else made[0].unionByName(made[1], allowMissingColumns=True)
         self.has = set(self.table.columns)
         self._groups: dict[int, tuple[int, int, int]] | None = None
 
+    def _by_id(self, df: DataFrame) -> DataFrame | None:
+        """The measures of every id's values, ``__gid`` telling the id."""
+        if not self.ids:
+            return None
+        roles, gid = self.roles, F.col("__gid")
+        xb = F.col("__xb_flag")
+        flag = [cross_border_flag(roles).alias("__xb_flag")] if has_cross_border(df, roles) else []
+        rows = df.select("*", *flag, F.explode(F.array(*[F.lit(self.gid[k]) for k in self.ids])).alias("__gid"))
+        # the key of one set, and what its measures read
+        keys = {f"__key_{i}": F.when(gid == F.lit(self.gid[k]), F.col(k)) for i, k in enumerate(self.ids)}
+        of_issuer = gid == F.lit(self.gid[roles.issuer]) if roles.issuer in self.ids else F.lit(False)
+        read = dict.fromkeys((roles.label, roles.amount))
+        only = [c for c in (roles.status, roles.auth_mode) if c in df.columns and c not in read] + ["__xb_flag"] * len(flag)
+        dealt = rows.select(gid, *[k.alias(c) for c, k in keys.items()], *read, *[F.when(of_issuer, F.col(c)).alias(c) for c in only])
+        # by the label too: were an id's rows all in one partition, Spark would not split it
+        dealt = dealt.hint("rebalance", "__gid", *keys, roles.label)
+        measures = _all_measures(df, roles, self.params, xb)
+        if not self.params.own_label:
+            measures += label_states(df, roles, self.params, xb)
+        return dealt.groupBy("__gid", *keys).agg(*measures).withColumnsRenamed(dict(zip(keys, self.ids)))
+
+    def _by_value(self, base: DataFrame, cols: Sequence[str]) -> DataFrame | None:
+        """Rows of every value of the columns."""
+        if not cols:
+            return None
+        n = len(cols)
+        agg = base.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols]).agg(
+            F.count(F.lit(1)).alias("__count"), F.grouping_id().alias("__set")
+        )
+        # a set's grouping id has every bit but its column's
+        gid = F.coalesce(*[F.when(F.col("__set") == F.lit((2**n - 1) - 2 ** (n - 1 - i)), F.lit(self.gid[c])) for i, c in enumerate(cols)])
+        return agg.select(gid.alias("__gid"), *cols, "__count")
+
     def profile(self, key: str, table: DataFrame | None = None, extra=()) -> DataFrame:
         """One id's profile (its grouping set), from the aggregate or from a
         table derived from it (``extra``: further columns to keep)."""

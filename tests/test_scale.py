@@ -2,6 +2,7 @@
 
 import re
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,11 +211,40 @@ def test_rows_are_dealt_by_the_joins_before_they_are_wide(spark, monkeypatch):
     assert few.select(shown).exceptAll(many.select(shown)).count() == 0 and few.count() == many.count()
 
 
-def test_shuffles_of_what_is_checkpointed_are_removed(spark, monkeypatch):
-    frame, seen = type(spark.range(1)), []
-    store = frame.checkpoint
-    monkeypatch.setattr(frame, "checkpoint", lambda self, *a, **b: (seen.append(spark.conf.get(joins.CLEANUP_KEY)), store(self, *a, **b))[1])
+def test_shuffles_of_what_is_checkpointed_are_removed(spark):
+    def files() -> set:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (found.apply(i).getName() for i in range(found.size())) if f.startswith("shuffle_")}
+
     before = spark.conf.get(joins.CLEANUP_KEY)
     for put in (joins.checkpoint, lambda df: joins.materialize(df, P)):
-        assert put(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
-    assert seen == ["true", "true"] and spark.conf.get(joins.CLEANUP_KEY) == before
+        df, old = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), files()
+        kept, end = put(df), time.time() + 20
+        while files() - old and time.time() < end:
+            time.sleep(0.1)
+        assert not files() - old and kept.count() == 7
+    assert spark.conf.get(joins.CLEANUP_KEY) == before
+
+
+def test_rows_are_dealt_by_id_before_they_are_aggregated(spark, monkeypatch):
+    """No partial row per row: the ids are rebalanced first; a frequent id's partition is split, so its parts are summed after."""
+    frame, seen = type(spark.range(1)), []
+    store = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a, **b: (seen.append(self), store(self, *a, **b))[1])
+    # one id in most rows, NULL ids, and an id that a measure reads
+    df = spark.range(4000).selectExpr(
+        "if(id % 10 < 8, 7, if(id % 10 = 8, null, id)) part_id", "if(id % 3 = 0, null, id % 5) issuer_member", "id % 100 + 0.25D amount",
+        "if(id % 11 = 0, null, cast(id % 4 = 0 AS int)) is_fraud", "if(id % 2 = 0, 'Y', null) trans_status",
+        "'FR' merchant_country_code", "if(id % 6 = 0, 'PE', 'FR') issuer_bin_profile_issuing_cou", "concat('c', id % 3) cat",
+    ).repartition(8)
+    roles = FIXTURE_ROLES.with_(ids=("part_id", "issuer_member", "trans_status"), categoricals=("cat", "part_id"))
+    for own in (True, False):
+        st = PopulationStats(df, roles, P.with_(own_label=own), roles.categoricals)
+        p = seen[-2]._jdf.queryExecution().optimizedPlan().toString()
+        assert "RebalancePartitions [__gid" in p and p.index("Aggregate [__gid") < p.index("RebalancePartitions") and "Expand" not in p
+        assert re.search(r"Exchange hashpartitioning\(__gid#\d+, __key_0#\d+L, __key_1#\d+L, __key_2#\d+, \d+\), ENSURE", seen[-2]._jdf.queryExecution().executedPlan().toString())
+        shown = lambda d: sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in d.collect())
+        for key in roles.ids:
+            alone = profiles.entity_profile(df, key, roles, P)
+            assert shown(st.profile(key).select(alone.columns)) == shown(alone)
+        assert shown(st.counts) == shown(encode.category_counts(df, roles.categoricals)) and st.rows() == 4000
